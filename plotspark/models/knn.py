@@ -91,19 +91,19 @@ def nearest(design: DataFrame, keys: Sequence[str], n_keys: int, size: int, k: i
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                known_names = np.array([t["filename"] for t in row.train])
-                known_y = np.array([t["y"] for t in row.train])
-                known_x = np.array([list(t["x"]) for t in row.train])
+                known = sorted(row.train, key=lambda t: t["filename"])  # a stable sort by distance then breaks ties by name
+                known_names, known_y = np.array([t["filename"] for t in known]), np.array([t["y"] for t in known])
+                known_x = np.array([list(t["x"]) for t in known])
                 names = np.array([q["filename"] for q in row.asked])
                 x = np.array([list(q["x"]) for q in row.asked])
-                for at in range(0, len(x), 64):
-                    d = _distances(x[at:at + 64], known_x)
-                    for i, dist in enumerate(d):
-                        keep = np.lexsort((known_names, dist))[:k]
-                        out = pd.DataFrame({"filename": names[at + i], "neighbour": known_names[keep], "dist": dist[keep], "y": known_y[keep]})
-                        for q in keys:
-                            out[q] = getattr(row, q)
-                        yield out[[*keys, "filename", "neighbour", "dist", "y"]]
+                dist = np.vstack([_distances(x[at:at + 64], known_x) for at in range(0, len(x), 64)])
+                keep = np.argsort(dist, axis=1, kind="stable")[:, :k]
+                out = pd.DataFrame({
+                    "filename": np.repeat(names, keep.shape[1]), "neighbour": known_names[keep].ravel(),
+                    "dist": np.take_along_axis(dist, keep, axis=1).ravel(), "y": known_y[keep].ravel()})
+                for q in keys:
+                    out[q] = getattr(row, q)
+                yield out[[*keys, "filename", "neighbour", "dist", "y"]]
 
     pairs = queries.join(packed, [*keys, "cell"])  # block pairs, never row pairs
     found = pairs.mapInPandas(best, f"{fields}, filename string, neighbour string, dist double, y double")

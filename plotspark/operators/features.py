@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from plotspark.config import FeatureConfig
 from plotspark.functions.aggregates import slope
 from plotspark.functions.scalars import balance_index
-from plotspark.operators.ranking import group_quantiles, metric_bucket, salted_join
+from plotspark.operators.ranking import METRIC, group_quantiles, salted_join
 
 c = F.col
 
@@ -308,7 +308,7 @@ def cloud_values(points: DataFrame, keys: Sequence[str], cfg: FeatureConfig = Fe
         shares = {n: LEVELS[n] for n in LEVELS if n in levels}
         if "cut_lo" in levels:
             shares |= {"cut_lo": cfg.strata_pct / 100.0, "cut_hi": (100.0 - cfg.strata_pct) / 100.0}
-        quantiles = group_quantiles(veg, by, "h", shares, bucket=metric_bucket)
+        quantiles = group_quantiles(veg, by, "h", shares, METRIC)
         clouds = clouds.join(quantiles, by, "left")
         if "cut_lo" in levels and frame:
             clouds = clouds.persist(StorageLevel.MEMORY_AND_DISK)

@@ -30,53 +30,58 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: C
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def magnitude_bucket(value: Column) -> Column:
-    """Order-preserving bucket with constant relative width, for values of unknown scale."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value) * 1000.0) * 1024.0).cast("bigint")
+Buckets = tuple[Callable[[Column], Column], ...]
 
-
-def metric_bucket(value: Column) -> Column:
-    """Order-preserving bucket of about 4 mm, for heights and coordinates in metres."""
-    return F.floor(value * 256.0).cast("bigint")
+# Order-preserving buckets, coarse then fine: constant relative width for values of unknown scale ...
+MAGNITUDE: Buckets = tuple(
+    (lambda v, k=k: F.floor(F.signum(v) * F.log1p(F.abs(v) * 1000.0) * k).cast("bigint")) for k in (64.0, 64.0 * 65536.0))
+# ... and a constant width (1.6 cm, then 0.24 um) for heights and coordinates in metres.
+METRIC: Buckets = tuple((lambda v, k=k: F.floor(v * k).cast("bigint")) for k in (64.0, 64.0 * 65536.0))
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float],
-                    bucket: Callable[[Column], Column] = magnitude_bucket) -> DataFrame:
+                    buckets: Buckets = MAGNITUDE) -> DataFrame:
     """Exact linearly interpolated quantiles per group: columns ``keys + quantiles``.
 
-    ``quantiles`` maps an output name to a share in [0, 1]; nulls are ignored. The bucket only decides how much work
-    is shared between tasks, never the result.
+    ``quantiles`` maps an output name to a share in [0, 1]; nulls are ignored. Each level of ``buckets`` counts rows
+    per bucket and keeps the buckets that hold a wanted rank; only their rows reach the next level. The buckets decide
+    how work is shared between tasks, never the result.
     """
     named, keys = list(keys), list(keys) or ["_one"]
     rows = df.where(F.col(value).isNotNull()).select(*named, F.col(value).cast("double").alias("_v"))
     if not named:
         rows = rows.withColumn("_one", F.lit(1))
-    rows = rows.withColumn("_b", bucket(F.col("_v")))
-
-    histogram = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    whole = Window.partitionBy(*keys)
-    histogram = (
-        histogram
-        .withColumn("_start", F.sum("_c").over(whole.orderBy("_b")) - F.col("_c"))
-        .withColumn("_n", F.sum("_c").over(whole))
-    )
-    positions = {name: F.lit(float(q)) * (F.col("_n") - 1) for name, q in quantiles.items()}
-    wanted = F.lit(False)
-    for position in positions.values():
-        for rank in (F.floor(position), F.ceil(position)):
-            wanted = wanted | ((rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_c")))
-    hit = histogram.where(wanted).select(*keys, "_b", "_start", "_n")
-
-    values = (
-        rows.join(hit, [*keys, "_b"])
-        .groupBy(*keys, "_b", "_start", "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    )
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v")
+
+    def wanted_here(n: Column, start: Column, stop: Column) -> Column:
+        hit = F.lit(False)
+        for q in quantiles.values():
+            position = F.lit(float(q)) * (n - 1)
+            for rank in (F.floor(position), F.ceil(position)):
+                hit = hit | ((rank >= start) & (rank < stop))
+        return hit
+
+    group = list(keys)
+    for level, bucket in enumerate(buckets):
+        rows = rows.withColumn(f"_b{level}", bucket(F.col("_v")))
+        carried = ["_start", "_n"] if level else []
+        counts = rows.groupBy(*group, *carried, f"_b{level}").agg(F.count(F.lit(1)).alias("_c"))
+        inside = Window.partitionBy(*group)
+        before = F.sum("_c").over(inside.orderBy(f"_b{level}")) - F.col("_c")
+        counts = counts.withColumn("_from", (F.col("_start") + before) if level else before)
+        counts = counts.withColumn("_total", F.col("_n") if level else F.sum("_c").over(inside))
+        group = [*group, f"_b{level}"]
+        hit = counts.where(wanted_here(F.col("_total"), F.col("_from"), F.col("_from") + F.col("_c")))
+        hit = hit.select(*group, F.col("_from").alias("_start"), F.col("_total").alias("_n"))
+        rows = rows.drop(*carried).join(hit, group)
+
+    values = rows.groupBy(*group, "_start", "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    inside = Window.partitionBy(*group).orderBy("_v")
     values = values.withColumn("_to", F.col("_start") + F.sum("_c").over(inside))
     values = values.withColumn("_from", F.col("_to") - F.col("_c"))
 
     picks = []
-    for i, position in enumerate(positions.values()):
+    for i, q in enumerate(quantiles.values()):
+        position = F.lit(float(q)) * (F.col("_n") - 1)
         for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
             here = (rank >= F.col("_from")) & (rank < F.col("_to"))
             picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{side}{i}"))
@@ -90,7 +95,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: M
 
 
 def hash_rank(df: DataFrame, keys: Sequence[str], digest: str, ties: Sequence[str], out: str = "rank",
-              digits: int = 3) -> DataFrame:
+              digits: int = 4) -> DataFrame:
     """1-based rank of every row by a hex digest within its group.
 
     Digests are uniform, so their first ``digits`` digits split even a huge group into equal parts; the rank is the
@@ -110,27 +115,34 @@ def hash_rank(df: DataFrame, keys: Sequence[str], digest: str, ties: Sequence[st
 
 
 def hash_sample(df: DataFrame, keys: Sequence[str], digest: str, ties: Sequence[str], quota: DataFrame,
-                quota_col: str, digits: int = 4) -> DataFrame:
-    """Exactly ``quota`` rows per group: those with the smallest digests.
+                quota_col: str, digits: int = 4, keep_rest: bool = False) -> DataFrame:
+    """Exactly ``quota`` rows per group: those with the smallest digests (ties in order of ``ties``).
 
-    A histogram of digest prefixes finds the prefix in which the quota runs out. Rows of smaller prefixes are kept
-    without being shuffled; only the rows of that one prefix are ranked.
+    A histogram of digest prefixes finds the prefix in which the quota runs out, and ranking the rows of that prefix
+    alone finds the last digest that is kept. The rows themselves are only filtered, never shuffled or sorted.
+    Groups without a quota are dropped, or kept whole with ``keep_rest``.
     """
     keys = list(keys)
-    rows = df.withColumn("_part", F.substring(digest, 1, digits))
-    counts = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    slim = df.select(*keys, digest, *ties)
+    if keep_rest:
+        slim = salted_join(slim, quota.select(*keys), keys, F.col(digest))  # count only groups that have a quota
+    slim = slim.withColumn("_part", F.substring(digest, 1, digits))
+    counts = slim.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c"))
     upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_part"))
-    cut = (
+    border = (
         counts.withColumn("_upto", upto).join(quota.select(*keys, F.col(quota_col).alias("_quota")), keys)
         .where((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_c") < F.col("_quota")))
-        .select(*keys, F.col("_part").alias("_cut"), (F.col("_quota") - F.col("_upto") + F.col("_c")).alias("_need"))
+        .select(*keys, "_part", (F.col("_quota") - F.col("_upto") + F.col("_c")).alias("_need"))
     )
-    marked = salted_join(rows, cut, keys, F.col(digest))
-    sure = marked.where(F.col("_part") < F.col("_cut"))
-    edge = marked.where(F.col("_part") == F.col("_cut"))
+    edge = slim.join(border, [*keys, "_part"])
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(digest, *ties))
-    edge = edge.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_need")).drop("_rank")
-    return sure.unionByName(edge).drop("_part", "_cut", "_need")
+    last = F.struct(F.col(digest).alias("d"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(ties)])
+    cut = edge.withColumn("_rank", rank).where(F.col("_rank") == F.col("_need")).select(*keys, last.alias("_cut"))
+    marked = salted_join(df, cut, keys, F.col(digest), "left" if keep_rest else "inner")
+    kept = last <= F.col("_cut")
+    if keep_rest:
+        kept = F.col("_cut").isNull() | kept
+    return marked.where(kept).drop("_cut")
 
 
 def ordered_rank(df: DataFrame, order: Sequence[Column | str], out: str = "rank") -> DataFrame:
@@ -153,7 +165,7 @@ def ordered_rank(df: DataFrame, order: Sequence[Column | str], out: str = "rank"
 
 
 def count_below(df: DataFrame, keys: Sequence[str], value: str, out: str = "below", total: str = "total",
-                bucket: Callable[[Column], Column] = magnitude_bucket) -> DataFrame:
+                buckets: Buckets = MAGNITUDE) -> DataFrame:
     """Per row: how many non-null values of its group are strictly smaller, and how many there are.
 
     Distinct values are counted first, then ranked inside buckets, so neither ties nor group size matter.
@@ -163,7 +175,7 @@ def count_below(df: DataFrame, keys: Sequence[str], value: str, out: str = "belo
     group = keys or ["_k"]
     counted = (
         rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", bucket(F.col(value).cast("double")))
+        .withColumn("_b", buckets[0](F.col(value).cast("double")))
     )
     buckets = counted.groupBy(*group, "_b").agg(F.sum("_c").alias("_bc"))
     whole = Window.partitionBy(*group)

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotspark.operators.ranking import group_quantiles, metric_bucket, ordered_rank, salted_join
+from plotspark.operators.ranking import METRIC, group_quantiles, ordered_rank, salted_join
 
 c = F.col
 
@@ -76,8 +76,8 @@ def trim_outliers(points: DataFrame, by: Sequence[str] = ("plot",), lo: float =
     """Points within the percentile band on both axes; groups under 20 points, or left with fewer than 3, stay whole."""
     by = list(by)
     limits = (
-        group_quantiles(points, by, "x", {"_xlo": lo, "_xhi": hi}, metric_bucket)
-        .join(group_quantiles(points, by, "y", {"_ylo": lo, "_yhi": hi}, metric_bucket), by)
+        group_quantiles(points, by, "x", {"_xlo": lo, "_xhi": hi}, METRIC)
+        .join(group_quantiles(points, by, "y", {"_ylo": lo, "_yhi": hi}, METRIC), by)
     )
     inside = c("x").between(c("_xlo"), c("_xhi")) & c("y").between(c("_ylo"), c("_yhi"))
     banded = salted_join(points, limits, by, F.struct("x", "y"))
@@ -134,6 +134,23 @@ def hull_of(xy: np.ndarray) -> np.ndarray:
     return np.array(chain(rows)[:-1] + chain(rows[::-1])[:-1])
 
 
+BUFFER_ROWS = 1_000_000
+
+
+def _group_hulls(pdf: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    """The rows of every group that are vertices of its hull."""
+    pdf = pdf.reset_index(drop=True)
+    xy = pdf[["x", "y"]].to_numpy()
+    parts = []
+    for key, rows in pdf.groupby(by, sort=False, dropna=False).indices.items():
+        hull = hull_of(xy[rows])
+        parts.append((key if isinstance(key, tuple) else (key,), hull))
+    lengths = [len(hull) for _, hull in parts]
+    out = {name: np.repeat(np.array([key[i] for key, _ in parts], dtype=object), lengths) for i, name in enumerate(by)}
+    hulls = np.vstack([hull for _, hull in parts])
+    return pd.DataFrame({**out, "x": hulls[:, 0], "y": hulls[:, 1]})
+
+
 def convex_hulls(points: DataFrame, by: Sequence[str] = ("plot",), partitions_per_part: int = 256) -> DataFrame:
     """``hull``: ordered vertices of each group's convex hull, null when degenerate.
 
@@ -146,13 +163,16 @@ def convex_hulls(points: DataFrame, by: Sequence[str] = ("plot",), partitions_pe
 
     def partition_hulls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId() // partitions_per_part
-        hulls: dict = {}
+        held: list[pd.DataFrame] = []
+        rows = 0
         for pdf in batches:
-            for key, rows in pdf.groupby(by, sort=False, dropna=False):
-                xy = rows[["x", "y"]].to_numpy()
-                hulls[key] = hull_of(np.vstack([hulls[key], xy]) if key in hulls else xy)
-        for key, hull in hulls.items():
-            yield pd.DataFrame({**dict(zip(by, key)), "_part": part, "x": hull[:, 0], "y": hull[:, 1]}, columns=[*by, "_part", "x", "y"])
+            held.append(pdf)
+            rows += len(pdf)
+            if rows >= BUFFER_ROWS:  # reduce now and then, so that memory holds hulls and one buffer
+                held = [_group_hulls(pd.concat(held), by)]
+                rows = len(held[0]) // 2
+        if held:
+            yield _group_hulls(pd.concat(held), by).assign(_part=part)[[*by, "_part", "x", "y"]]
 
     def part_hull(pdf: pd.DataFrame) -> pd.DataFrame:
         hull = hull_of(pdf[["x", "y"]].to_numpy())

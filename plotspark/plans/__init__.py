@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("feature_queries", "naming_queries", "result_queries", "spatial_queries", "augment_queries")
+MODULES = ("feature_queries", "naming_queries", "result_queries", "spatial_queries", "augment_queries", "model_queries", "table_queries")
 
 
 def _load() -> None:

@@ -70,14 +70,14 @@ def cloud_bounds(spark, sf_dir):
 
 
 @query("a24_height_levels", views.with_views("""
-SELECT filename, level, round(value, 9) AS value FROM (
+SELECT filename, level, round(value, 11) AS value FROM (
   SELECT filename, avg(height) AS h_mean, quantile_cont(height, 0.5) AS h_median, quantile_cont(height, 0.25) AS h_p25, quantile_cont(height, 0.75) AS h_p75,
          quantile_cont(height, 0.95) AS h_p95, max(height) AS h_max FROM v_points WHERE classification = 1 GROUP BY filename)
 UNPIVOT (value FOR level IN (h_mean, h_median, h_p25, h_p75, h_p95, h_max))""", "v_points"))
 def height_levels(spark, sf_dir):
     levels = ["h_mean", "h_median", "h_p25", "h_p75", "h_p95", "h_max"]
     wide = ft.compute_features(views.points(spark, sf_dir), levels)
-    return wide.unpivot("filename", levels, "level", "value").select("filename", "level", rounded("value", 9).alias("value"))
+    return wide.unpivot("filename", levels, "level", "value").select("filename", "level", rounded("value", 11).alias("value"))
 
 
 @query("a25_convex_hulls")
