@@ -8,7 +8,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from plotspark.models import design as ds
@@ -105,6 +106,13 @@ def _fit_predict(rows: DataFrame, proc: Procedure, keys: Sequence[str], n_keys:
     return _union(parts), prep, None
 
 
+def _cached(sided: DataFrame) -> DataFrame:
+    """Fold rows are read for every statistic; once counted, Spark knows their true size."""
+    sided = sided.persist(StorageLevel.MEMORY_AND_DISK)
+    sided.count()
+    return sided
+
+
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -130,7 +138,7 @@ def run_procedure(df: DataFrame, proc: Procedure, folds: DataFrame | None = None
         groups = fd.groups_of(rows)
         n_cycles = min(proc.n_splits, fd.max_splits(groups.count(), proc.test_size))
         folds = fd.grouped_folds(groups, proc.mode, n_cycles, proc.test_size, proc.seed)
-    sided = ds.with_folds(rows, folds, n_cycles, proc.train_aug)
+    sided = _cached(ds.with_folds(rows, folds, n_cycles, proc.train_aug))
     if not (proc.train_aug and proc.score_aug):
         ds.require_originals(sided, proc.score_aug)
     scored, prep, coefs = _scored(sided, proc, ["cycle"], n_cycles, [Trial(0, proc.model, proc.all_params())])
@@ -179,7 +187,7 @@ def score_trials(df: DataFrame, proc: Procedure, trials: Sequence[Trial], inner_
         sided = ds.with_folds(part, inner, k, fit_aug).withColumn("outer", F.lit(o))
         parts.append(sided)
         widest = max(widest, k)
-    sided = _union(parts)
+    sided = _cached(_union(parts))
     keys = ["outer", "cycle"]
     if proc.model in LINEAR or proc.model in ("knn", "gpr", "svr"):
         scored, _, _ = _scored(sided, proc, keys, n_outer * widest, trials)
@@ -216,7 +224,7 @@ def nested_search(df: DataFrame, proc: Procedure, n_trials: int, inner_splits: i
     scores = score_trials(df, proc, trials, inner_splits, inner_mode, outer, n_cycles, proc.train_aug, proc.score_aug)
     chosen = {r["outer"]: r["trial"] for r in best_trials(scores).collect()}  # one row per outer fold
     used = sorted(set(chosen.values()))
-    sided = ds.with_folds(rows, outer, n_cycles, proc.train_aug)
+    sided = _cached(ds.with_folds(rows, outer, n_cycles, proc.train_aug))
     scored, prep, coefs = _scored(sided, proc, ["cycle"], n_cycles, [t for t in trials if t.trial in used])
     pick = F.create_map(*[F.lit(v) for kv in chosen.items() for v in kv])
     scored = scored.where(c("trial") == F.element_at(pick, c("cycle")))
@@ -265,18 +273,19 @@ def fitted_table(run: Run) -> DataFrame:
     return run.prep.join(run.coefs.drop("trial"), "cycle").withColumn("split", c("cycle") + 1).drop("cycle")
 
 
-def linear_score(features: Sequence[str]) -> Column:
-    """Prediction of a row that carries its fold's fitted columns."""
-    total = c("y_mean")
+def linear_score(features: Sequence[str], fitted: Row) -> Column:
+    """Prediction of a dataset row under one fold's fitted row."""
+    total = F.lit(float(fitted["y_mean"]))
     for i, f in enumerate(features):
-        x = (F.coalesce(c(f), F.get("med", F.lit(i))) - F.get("mean", F.lit(i))) / F.get("scale", F.lit(i))
-        total = total + F.get("w", F.lit(i)) * x
+        x = (F.coalesce(c(f), F.lit(fitted["med"][i])) - F.lit(fitted["mean"][i])) / F.lit(fitted["scale"][i])
+        total = total + F.lit(fitted["w"][i]) * x
     return total
 
 
 def score_dataset(df: DataFrame, fitted: DataFrame, features: Sequence[str], target_col: str, split: int) -> DataFrame:
-    """A stored model's predictions on a dataset: filename, plot, aug, actual, predicted."""
+    """A stored model's predictions on a dataset: filename, grp, plot, aug, actual, predicted."""
     rows = ds.labelled_rows(df, features, target_col)
-    one = F.broadcast(fitted.where(c("split") == split))  # a single row
-    return rows.withColumn("split", F.lit(split)).join(one, "split").select(
-        "filename", "grp", "plot", "aug", c("y").alias("actual"), linear_score(features).alias("predicted"))
+    one = fitted.where(c("split") == split).first()  # one fold's weights
+    if one is None:
+        raise ValueError(f"no fitted split {split}")
+    return rows.select("filename", "grp", "plot", "aug", c("y").alias("actual"), linear_score(features, one).alias("predicted"))

@@ -23,11 +23,11 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def keyed_join(rows: DataFrame, small: DataFrame, keys: Sequence[str], small_rows: int, values_per_row: int) -> DataFrame:
-    """Join per-fold values onto rows: broadcast while their known size is small, salted beyond."""
+    """Join per-fold values onto rows: broadcast while their known size is small, cut by row counts beyond."""
     if small_rows * (values_per_row * 8 + 64) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(small), list(keys))
-    spread = F.xxhash64(*[c(n) for n in rows.columns if n in ("filename", "x")] or [F.lit(0)])
-    return salted_join(rows, small, list(keys), spread, salts=64)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return salted_join(rows, small.join(sizes, list(keys)), list(keys), c("filename"), "_n")
 
 
 def labelled_rows(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:

@@ -1,33 +1,62 @@
 """Exact order statistics, ranks and fixed-size samples whose groups may be arbitrarily large.
 
-A plain window puts a whole group into one task. Everything here works in two levels instead: a histogram over
+A plain window puts a whole group into one task. Everything here works in levels instead: a histogram over
 order-preserving buckets (map-side combined, at most a few thousand rows per group) finds *where* an order statistic
 lies, and only the rows of those buckets are looked at again. Results are exact.
+
+When Spark's own size estimate says that the whole input fits one task, the plain form is planned: it gives the same
+rows with fewer stages.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotspark.session import checkpointed
 
-DEFAULT_SALTS = 8
+ONE_TASK_BYTES = 256 * 1024 * 1024  # inputs estimated below this may be handled by a single task
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    """Whether the optimizer's size estimate (file sizes, no job) is small; unknown sizes count as large."""
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(estimate)) <= ONE_TASK_BYTES
+
+
+SHARES = 4096  # a joined group is cut so that no task gets more than about this fraction of all rows
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Column, how: str = "inner",
-                salts: int = DEFAULT_SALTS) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Column, weight: str, how: str = "inner",
+                shares: int = SHARES) -> DataFrame:
     """Join per-group values onto rows when one group may hold a large share of the rows.
 
-    The small side is repeated once per salt and the big side draws its salt from ``spread``, so a shuffled join
-    spreads a hot key over ``salts`` tasks. When the small side fits the session's broadcast limit Spark broadcasts
-    it and the salt costs nothing.
+    ``small`` has ``weight``, the group's number of rows in ``big`` (the same in all of a group's rows). A group with more than 1/shares of
+    all rows is cut: its rows draw a salt from ``spread`` and its small row is repeated per salt. There can be at
+    most ``shares`` such groups, so the list of them is safe to broadcast whatever the data. All other groups join
+    as they are; when the whole small side is small, Spark broadcasts it and no row moves. ``weight`` is dropped.
     """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    keys = list(keys)
+    if fits_one_task(big):
+        return big.join(small.drop(weight), keys, how)
+    small = small.persist(StorageLevel.MEMORY_AND_DISK)  # a row per group, read for the total, the list and the join
+    total = small.agg(F.greatest(F.sum(weight), F.lit(1))).scalar()
+    sized = small.withColumn("_salts", F.greatest(F.lit(1), F.ceil(F.col(weight) * F.lit(shares) / total)).cast("int"))
+    crowded = sized.where(F.col("_salts") > 1).select(*keys, "_salts").distinct()
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
+    left = big.join(F.broadcast(crowded), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
+    right = sized.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    return left.drop("_salts").join(right.drop("_salts", weight), [*keys, "_salt"], how).drop("_salt")
+
+
+def attach(rows: DataFrame, values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join small per-group values; without keys the single row of values becomes scalar columns."""
+    if keys:
+        return rows.join(values, list(keys))
+    return rows.withColumns({n: values.select(n).scalar() for n in values.columns})
 
 
 Buckets = tuple[Callable[[Column], Column], ...]
@@ -40,8 +69,8 @@ METRIC: Buckets = tuple((lambda v, k=k: F.floor(v * k).cast("bigint")) for k in
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float],
-                    buckets: Buckets = MAGNITUDE) -> DataFrame:
-    """Exact linearly interpolated quantiles per group: columns ``keys + quantiles``.
+                    buckets: Buckets = MAGNITUDE, count: str | None = None) -> DataFrame:
+    """Exact linearly interpolated quantiles per group: columns ``keys + quantiles`` (and ``count`` of the values).
 
     ``quantiles`` maps an output name to a share in [0, 1]; nulls are ignored. Each level of ``buckets`` counts rows
     per bucket and keeps the buckets that hold a wanted rank; only their rows reach the next level. The buckets decide
@@ -61,7 +90,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: M
         return hit
 
     group = list(keys)
-    for level, bucket in enumerate(buckets):
+    for level, bucket in enumerate(buckets[:1] if fits_one_task(rows) else buckets):
         rows = rows.withColumn(f"_b{level}", bucket(F.col("_v")))
         carried = ["_start", "_n"] if level else []
         counts = rows.groupBy(*group, *carried, f"_b{level}").agg(F.count(F.lit(1)).alias("_c"))
@@ -91,6 +120,8 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: M
         position = F.lit(float(q)) * (F.col("_n") - 1)
         low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         outputs.append((low + (high - low) * (position - F.floor(position))).alias(name))
+    if count is not None:
+        outputs.append(F.col("_n").alias(count))
     return found.select(*named, *outputs)
 
 
@@ -102,6 +133,8 @@ def hash_rank(df: DataFrame, keys: Sequence[str], digest: str, ties: Sequence[st
     number of rows in earlier parts plus the rank inside the part.
     """
     keys = list(keys)
+    if fits_one_task(df):
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy(digest, *ties)).cast("bigint"))
     part = [*keys, "_part"]
     rows = df.withColumn("_part", F.substring(digest, 1, digits))
     counts = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_c"))
@@ -119,26 +152,29 @@ def hash_sample(df: DataFrame, keys: Sequence[str], digest: str, ties: Sequence[
     """Exactly ``quota`` rows per group: those with the smallest digests (ties in order of ``ties``).
 
     A histogram of digest prefixes finds the prefix in which the quota runs out, and ranking the rows of that prefix
-    alone finds the last digest that is kept. The rows themselves are only filtered, never shuffled or sorted.
-    Groups without a quota are dropped, or kept whole with ``keep_rest``.
+    alone finds the last digest that is kept. The rows themselves are only filtered, never sorted. Groups without a
+    quota are dropped, or kept whole with ``keep_rest``.
     """
     keys = list(keys)
-    slim = df.select(*keys, digest, *ties)
-    if keep_rest:
-        slim = salted_join(slim, quota.select(*keys), keys, F.col(digest))  # count only groups that have a quota
-    slim = slim.withColumn("_part", F.substring(digest, 1, digits))
+    if fits_one_task(df):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(digest, *ties))
+        ranked = df.withColumn("_rank", rank).join(quota.select(*keys, F.col(quota_col).alias("_quota")), keys, "left")
+        fits = F.col("_rank") <= F.col("_quota")
+        return ranked.where((F.col("_quota").isNull() | fits) if keep_rest else fits).drop("_rank", "_quota")
+    slim = df.select(*keys, digest, *ties).withColumn("_part", F.substring(digest, 1, digits))
     counts = slim.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_part"))
+    whole = Window.partitionBy(*keys)
+    counts = counts.withColumn("_upto", F.sum("_c").over(whole.orderBy("_part"))).withColumn("_rows", F.sum("_c").over(whole))
     border = (
-        counts.withColumn("_upto", upto).join(quota.select(*keys, F.col(quota_col).alias("_quota")), keys)
+        counts.join(quota.select(*keys, F.col(quota_col).alias("_quota")), keys)
         .where((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_c") < F.col("_quota")))
-        .select(*keys, "_part", (F.col("_quota") - F.col("_upto") + F.col("_c")).alias("_need"))
+        .select(*keys, "_part", "_rows", (F.col("_quota") - F.col("_upto") + F.col("_c")).alias("_need"))
     )
     edge = slim.join(border, [*keys, "_part"])
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(digest, *ties))
     last = F.struct(F.col(digest).alias("d"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(ties)])
-    cut = edge.withColumn("_rank", rank).where(F.col("_rank") == F.col("_need")).select(*keys, last.alias("_cut"))
-    marked = salted_join(df, cut, keys, F.col(digest), "left" if keep_rest else "inner")
+    cut = edge.withColumn("_rank", rank).where(F.col("_rank") == F.col("_need")).select(*keys, last.alias("_cut"), "_rows")
+    marked = salted_join(df, cut, keys, F.col(digest), "_rows", "left" if keep_rest else "inner")
     kept = last <= F.col("_cut")
     if keep_rest:
         kept = F.col("_cut").isNull() | kept
@@ -151,6 +187,8 @@ def ordered_rank(df: DataFrame, order: Sequence[Column | str], out: str = "rank"
     Range-partitioned sort, then per-partition counts: no task sees more than its range. The sorted rows are
     checkpointed so that counting and numbering read the same partitions.
     """
+    if fits_one_task(df):
+        return df.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     position = F.monotonically_increasing_id()  # partition number in the high bits, row index in the low 33
     ranked = checkpointed(df.orderBy(*order).withColumn("_pos", position))
     ranked = ranked.withColumn("_range", F.shiftright("_pos", 33))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from plotspark.functions.aggregates import intercept, pearson, slope
 from plotspark.functions.scalars import error_pct
 from plotspark.operators import metrics as mt
 from plotspark.operators.features import FEATURES
-from plotspark.operators.ranking import count_below, group_quantiles
+from plotspark.operators.ranking import attach, count_below, group_quantiles
 
 c = F.col
 
@@ -180,21 +182,20 @@ def distribution(values: DataFrame, value: str, keys: Sequence[str] = ()) -> Dat
     """Count, mean, population spread, quartiles, 1.5 IQR whiskers and the number of fliers per group."""
     keys = list(keys)
     rows = values.where(c(value).isNotNull())
-    if not keys:
-        rows, keys = rows.withColumn("_all", F.lit(1)), ["_all"]
     facts = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.stddev_samp(value).alias("sd_samp"),
         F.min(value).alias("low"), F.max(value).alias("high"))
-    facts = facts.join(group_quantiles(rows, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}), keys)
+    quartiles = group_quantiles(rows, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}).persist(StorageLevel.MEMORY_AND_DISK)
     iqr = c("q3") - c("q1")
-    fences = facts.withColumn("_lo", c("q1") - 1.5 * iqr).withColumn("_hi", c("q3") + 1.5 * iqr)
-    inside = c(value).between(c("_lo"), c("_hi"))
-    # few rows per group of facts: Spark broadcasts them while they are small
-    reached = rows.join(fences, keys).groupBy(*keys).agg(
+    fences = quartiles.withColumn("_lo", c("q1") - 1.5 * iqr).withColumn("_hi", c("q3") + 1.5 * iqr)
+    # Equal values are counted once, so the rows that meet the fences are already combined.
+    counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
+    fenced = attach(counted, fences.select(*keys, "_lo", "_hi"), keys)
+    reached = fenced.groupBy(*keys).agg(
         F.min(F.when(c(value) >= c("_lo"), c(value))).alias("whisker_low"), F.max(F.when(c(value) <= c("_hi"), c(value))).alias("whisker_high"),
-        F.count_if(~inside).alias("fliers"))
-    out = facts.join(reached, keys)
-    return out.withColumn("whisker_low", F.least("whisker_low", "q1")).withColumn("whisker_high", F.greatest("whisker_high", "q3")).drop("_all")
+        F.sum(F.when(c(value).between(c("_lo"), c("_hi")), 0).otherwise(c("_w"))).alias("fliers"))
+    out = attach(attach(facts, quartiles, keys), reached, keys)
+    return out.withColumn("whisker_low", F.least("whisker_low", "q1")).withColumn("whisker_high", F.greatest("whisker_high", "q3"))
 
 
 def normal_curve(facts: DataFrame, points: int = 200) -> DataFrame:
@@ -211,16 +212,15 @@ def kernel_density(values: DataFrame, value: str, facts: DataFrame, points: int
 
     Equal values are counted first; every distinct value then adds its kernel to the fixed grid, combined map-side.
     """
-    bandwidth = F.pow(c("n").cast("double"), F.lit(-0.2)) * c("sd_samp")
-    shape = facts.where(c("high") > c("low")).select(
-        "low", ((c("high") - c("low")) / (points - 1)).alias("step"), bandwidth.alias("bw"), "n")
-    fact = lambda name: shape.select(name).scalar()
+    fact = facts.where(c("high") > c("low")).first()  # one row
+    if fact is None:
+        return values.sparkSession.createDataFrame([], "i int, x double, density double")
+    low, step, width = fact["low"], (fact["high"] - fact["low"]) / (points - 1), fact["n"] ** -0.2 * fact["sd_samp"]
     counted = values.where(c(value).isNotNull()).groupBy(c(value).alias("v")).agg(F.count(F.lit(1)).alias("w"))
-    counted = counted.withColumns({"low": fact("low"), "step": fact("step"), "bw": fact("bw"), "n": fact("n")})
-    grid = counted.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", c("low") + c("i") * c("step"))
-    kernel = c("w") * F.exp(-0.5 * F.pow((c("x") - c("v")) / c("bw"), 2))
-    norm = F.max(c("n") * c("bw")) * F.sqrt(F.lit(2.0) * F.pi())
-    return grid.groupBy("i").agg(F.max("x").alias("x"), (F.sum(kernel) / norm).alias("density"))
+    grid = counted.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.lit(low) + c("i") * F.lit(step))
+    kernel = c("w") * F.exp(-0.5 * F.pow((c("x") - c("v")) / F.lit(width), 2))
+    norm = fact["n"] * width * math.sqrt(2.0 * math.pi)
+    return grid.groupBy("i").agg(F.max("x").alias("x"), (F.sum(kernel) / F.lit(norm)).alias("density"))
 
 
 # --------------------------------------------------------------------------------- columns

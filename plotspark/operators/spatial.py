@@ -41,15 +41,19 @@ def strictly_inside(x: Column, y: Column, edges: Column) -> Column:
     return (F.size(F.filter(edges, crosses)) % 2 == 1) & ~F.exists(edges, touches)
 
 
-def points_in_masks(points: DataFrame, masks: DataFrame, cell: float | None = None, label: str = "label") -> DataFrame:
+def points_in_masks(points: DataFrame, masks: DataFrame, cell: float | None = None, label: str = "label",
+                    broadcast_bytes: int = 32 * 1024 * 1024) -> DataFrame:
     """Points with the label of every mask that strictly contains them.
 
-    Masks are spread over the grid cells of their bounding boxes, so the join is an equi-join on the cell; crowded
-    cells are salted. The exact test runs only on points inside a mask's bounding box.
+    Masks are spread over the grid cells of their bounding boxes, so the join is an equi-join on the cell. Masks whose
+    measured size is small are broadcast; otherwise the points are counted per cell and crowded cells are cut. The
+    exact test runs only on points inside a mask's bounding box.
     """
+    facts = masks.agg(
+        F.percentile_approx(c("maxx") - c("minx"), 0.5, 1000).alias("width"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.aggregate("rings", F.lit(0), lambda s, r: s + F.size(r))).alias("vertices")).first()
     if cell is None:
-        width = masks.select((c("maxx") - c("minx")).alias("w")).where(c("w") > 0)
-        cell = width.agg(F.percentile_approx("w", 0.5, 1000)).first()[0] or 1.0  # any size is right, this one is fast
+        cell = facts["width"] or 1.0  # any size gives the same result, this one is fast
     g = F.lit(float(cell))
 
     def span(lo: str, hi: str) -> Column:
@@ -60,7 +64,12 @@ def points_in_masks(points: DataFrame, masks: DataFrame, cell: float | None = No
         .withColumn("_cx", span("minx", "maxx")).withColumn("_cy", span("miny", "maxy"))
     )
     placed = points.withColumn("_cx", F.floor(c("x") / g)).withColumn("_cy", F.floor(c("y") / g))
-    found = salted_join(placed, cells, ["_cx", "_cy"], F.struct("x", "y"))
+    key = ["_cx", "_cy"]
+    if (facts["vertices"] or 0) * 32 * 4 + facts["n"] * 256 <= broadcast_bytes:  # a mask of median width meets four cells
+        found = placed.join(F.broadcast(cells), key)
+    else:
+        crowd = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+        found = salted_join(placed, cells.join(crowd, key), key, F.struct("x", "y"), "_n")
     found = found.where(c("x").between(c("minx"), c("maxx")) & c("y").between(c("miny"), c("maxy")))
     found = found.where(strictly_inside(c("x"), c("y"), c("_edges")))
     return found.drop("_cx", "_cy", "_edges", "minx", "maxx", "miny", "maxy")
@@ -76,14 +85,14 @@ def trim_outliers(points: DataFrame, by: Sequence[str] = ("plot",), lo: float =
     """Points within the percentile band on both axes; groups under 20 points, or left with fewer than 3, stay whole."""
     by = list(by)
     limits = (
-        group_quantiles(points, by, "x", {"_xlo": lo, "_xhi": hi}, METRIC)
+        group_quantiles(points, by, "x", {"_xlo": lo, "_xhi": hi}, METRIC, count="_n")
         .join(group_quantiles(points, by, "y", {"_ylo": lo, "_yhi": hi}, METRIC), by)
     )
     inside = c("x").between(c("_xlo"), c("_xhi")) & c("y").between(c("_ylo"), c("_yhi"))
-    banded = salted_join(points, limits, by, F.struct("x", "y"))
-    kept = banded.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.count_if(inside).alias("_kept"))
-    limits = limits.join(kept, by).withColumn("_whole", (c("_n") < 20) | (c("_kept") < 3))
-    rows = salted_join(points, limits.drop("_n", "_kept"), by, F.struct("x", "y"))
+    banded = salted_join(points.select(*by, "x", "y"), limits, by, F.struct("x", "y"), "_n")
+    kept = banded.groupBy(*by).agg(F.count_if(inside).alias("_kept"))
+    limits = limits.join(kept, by).withColumn("_whole", (c("_n") < 20) | (c("_kept") < 3)).drop("_kept")
+    rows = salted_join(points, limits, by, F.struct("x", "y"), "_n")
     return rows.where(c("_whole") | inside).drop("_xlo", "_xhi", "_ylo", "_yhi", "_whole")
 
 
@@ -265,11 +274,11 @@ def grid_cells(entries: DataFrame, columns: int = 10) -> DataFrame:
 def place_on_grid(points: DataFrame, cells: DataFrame, pitch: DataFrame, by: str = "filename") -> DataFrame:
     """Move each cloud's box midpoint to its cell; rows run downwards and z is untouched."""
     middle = points.groupBy(by).agg(
-        ((F.min("x") + F.max("x")) / 2).alias("_mx"), ((F.min("y") + F.max("y")) / 2).alias("_my"))
+        ((F.min("x") + F.max("x")) / 2).alias("_mx"), ((F.min("y") + F.max("y")) / 2).alias("_my"), F.count(F.lit(1)).alias("_n"))
     shift = middle.join(cells.select(by, "cell_col", "cell_row"), by).select(
-        by, (c("cell_col") * pitch.select("pitch_x").scalar() - c("_mx")).alias("_sx"),
+        by, "_n", (c("cell_col") * pitch.select("pitch_x").scalar() - c("_mx")).alias("_sx"),
         (-c("cell_row") * pitch.select("pitch_y").scalar() - c("_my")).alias("_sy"))
-    moved = salted_join(points, shift, [by], F.struct("x", "y", "z"))
+    moved = salted_join(points, shift, [by], F.struct("x", "y", "z"), "_n")
     return moved.withColumn("x", c("x") + c("_sx")).withColumn("y", c("y") + c("_sy")).drop("_sx", "_sy")
 
 
@@ -303,11 +312,11 @@ def residuals(points: DataFrame, keys: Sequence[str] = ("filename",), height: st
     from plotspark.operators.features import axis_columns, plane_columns
 
     stats = points.groupBy(*keys).agg(
-        F.avg(height).alias("h_avg"), F.avg("x").alias("x_avg"), F.avg("y").alias("y_avg"),
+        F.count(F.lit(1)).alias("_n"), F.avg(height).alias("h_avg"), F.avg("x").alias("x_avg"), F.avg("y").alias("y_avg"),
         F.var_samp("x").alias("x_vs"), F.var_samp("y").alias("y_vs"), F.covar_samp("x", "y").alias("xy_cs"),
         F.covar_samp("x", height).alias("xh_cs"), F.covar_samp("y", height).alias("yh_cs"))
-    plane = plane_columns(axis_columns(stats)).select(*keys, "h_avg", "x_avg", "y_avg", "plane_a", "plane_b")
-    rows = salted_join(points, plane, list(keys), F.struct("x", "y", height))
+    plane = plane_columns(axis_columns(stats)).select(*keys, "_n", "h_avg", "x_avg", "y_avg", "plane_a", "plane_b")
+    rows = salted_join(points, plane, list(keys), F.struct("x", "y", height), "_n")
     level = c("h_avg") + c("plane_a") * (c("x") - c("x_avg")) + c("plane_b") * (c("y") - c("y_avg"))
     return (
         rows.withColumn("plane_h", level).withColumn("residual", c(height) - level)

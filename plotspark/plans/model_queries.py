@@ -291,9 +291,8 @@ def permutation_importance(spark, sf_dir):
     features = list(RIDGE.features)
     rows = ds.labelled_rows(views.dataset(spark, sf_dir), features, "target").withColumnRenamed("y", "actual")
     held = rows.join(run.folds.where(c("cycle") == 1).select("grp"), "grp", "left_semi")
-    fitted = cv.fitted_table(run).where(c("split") == 2)
-    score = lambda df: df.crossJoin(F.broadcast(fitted)).withColumn("predicted", cv.linear_score(features))  # one fitted row
-    return rounded_all(importance.permutation_importance(held, features, score, REPEATS, seed=9))
+    fitted = cv.fitted_table(run).where(c("split") == 2).first()
+    return rounded_all(importance.permutation_importance(held, features, cv.linear_score(features, fitted), REPEATS, seed=9))
 
 
 @query("m18_score_stored_model", views.with_views("""

@@ -1,7 +1,8 @@
 """Reading big binary files in byte ranges: listing, splitting and failures as rows.
 
 A cloud file may be far larger than one task should read, so files are listed by Spark, cut into ranges and read by
-many tasks. A file that cannot be read becomes a failure row and never stops the run.
+many tasks. A first pass over the ranges checks them and counts their rows (from headers alone where records have a
+fixed size); a file with any failing range becomes a failure row and is left out, and never stops the run.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 c = F.col
@@ -27,7 +29,6 @@ class RangeFile:
             fs, inner = pafs.FileSystem.from_uri(path)
         else:
             fs, inner = pafs.LocalFileSystem(), path
-        self.name = inner.rsplit("/", 1)[-1]
         self._handle = fs.open_input_file(inner)
         self.size = self._handle.size()
 
@@ -48,23 +49,41 @@ def file_splits(spark: SparkSession, path: str, suffix: str, split_bytes: int =
     last = F.greatest(F.lit(0), F.ceil(c("length") / F.lit(split_bytes)) - 1)
     splits = files.withColumn("split", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))))
     return splits.select(
-        "path", "split", (c("split") * split_bytes).alias("start"), F.least(c("length"), (c("split") + 1) * split_bytes).alias("stop"),
-    ).repartition("path", "split")
+        "path", "split", (c("split") * split_bytes).alias("start"), F.least(c("length"), (c("split") + 1) * split_bytes).alias("stop"))
 
 
-def scan(splits: DataFrame, read: Callable[[str, int, int], Iterator[pd.DataFrame]], columns: str, names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows, failures): ``read(path, start, stop)`` gives frames with ``names``; an error fails its whole file."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def scan(splits: DataFrame, count: Callable[[str, int, int], int], read: Callable[[str, int, int, int], Iterator[pd.DataFrame]],
+         columns: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, failures) of all ranges.
+
+    ``count(path, start, stop)`` checks a range and counts its rows; ``read(path, start, stop, before)`` gives frames
+    of its rows, knowing how many rows of the file come before the range.
+    """
+    names = [part.split()[0] for part in columns.split(", ")]
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
+            rows, reasons = [], []
+            for r in pdf.itertuples(index=False):
                 try:
-                    for frame in read(row.path, int(row.start), int(row.stop)):
-                        yield frame.assign(path=row.path, split=row.split, reason=None)[["path", "split", "reason", *names]]
+                    rows.append(count(r.path, int(r.start), int(r.stop)))
+                    reasons.append(None)
                 except Exception as exc:  # noqa: BLE001 - the reason is data
-                    empty = {n: [None] for n in names}
-                    yield pd.DataFrame({"path": [row.path], "split": [row.split], "reason": [str(exc) or type(exc).__name__], **empty})
+                    rows.append(0)
+                    reasons.append(str(exc) or type(exc).__name__)
+            yield pdf.assign(rows=rows, reason=reasons)
 
-    rows = splits.mapInPandas(run, f"path string, split bigint, reason string, {columns}")
-    failures = rows.where(c("reason").isNotNull()).groupBy("path").agg(F.min("reason").alias("reason"))
-    good = rows.where(c("reason").isNull()).drop("reason")
-    return good, failures
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                for frame in read(r.path, int(r.start), int(r.stop), int(r.before)):
+                    yield frame.assign(path=r.path)[["path", *names]]
+
+    checked = splits.repartition("path", "split").mapInPandas(check, "path string, split bigint, start bigint, stop bigint, rows bigint, reason string")
+    checked = checked.persist(StorageLevel.MEMORY_AND_DISK)  # one row per range
+    failures = checked.where(c("reason").isNotNull()).groupBy("path").agg(F.min("reason").alias("reason"))
+    # A file larger than this window could hold in one task would need billions of ranges.
+    before = F.sum("rows").over(Window.partitionBy("path").orderBy("split")) - c("rows")
+    good = checked.join(failures.select("path"), "path", "left_anti").withColumn("before", before).where(c("rows") > 0)
+    rows = good.select("path", "split", "start", "stop", "before").repartition("path", "split").mapInPandas(load, f"path string, {columns}")
+    return rows, failures

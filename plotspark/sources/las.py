@@ -90,13 +90,24 @@ class LasHeader:
         return pd.DataFrame(out)[NAMES]
 
 
-def _read(path: str, start: int, stop: int) -> Iterator[pd.DataFrame]:
+def _records(file: RangeFile, head: LasHeader, start: int, stop: int) -> tuple[int, int]:
+    """Numbers [first, last) of the records that begin inside a range; a truncated file is an error."""
+    if max(0, file.size - head.body) // head.length < head.count:
+        raise ValueError(f"{head.count} points declared but fewer present; the file looks truncated")
+    at = lambda byte: min(head.count, max(0, -(-(byte - head.body) // head.length)))
+    return at(start), at(stop)
+
+
+def _count(path: str, start: int, stop: int) -> int:
+    with RangeFile(path) as file:
+        first, last = _records(file, LasHeader(file), start, stop)
+        return last - first
+
+
+def _read(path: str, start: int, stop: int, before: int) -> Iterator[pd.DataFrame]:
     with RangeFile(path) as file:
         head = LasHeader(file)
-        if (file.size - head.body) // head.length < head.count:
-            raise ValueError(f"{head.count} points declared but fewer present; the file looks truncated")
-        first = max(0, -(-(start - head.body) // head.length))
-        last = min(head.count, max(0, -(-(stop - head.body) // head.length)))
+        first, last = _records(file, head, start, stop)
         for at in range(first, last, BATCH):
             raw = file.read(head.body + at * head.length, min(BATCH, last - at) * head.length)
             yield head.frame(np.frombuffer(raw, dtype=head.dtype), at)
@@ -104,8 +115,7 @@ def _read(path: str, start: int, stop: int) -> Iterator[pd.DataFrame]:
 
 def read_las(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame]:
     """(points, failures) of every .las file below ``path``; extra dimensions by name in ``extra``."""
-    rows, failures = scan(file_splits(spark, path, ".las", split_bytes), _read, COLUMNS, NAMES)
-    rows = rows.join(failures.select("path"), "path", "left_anti")
+    rows, failures = scan(file_splits(spark, path, ".las", split_bytes), _count, _read, COLUMNS)
     return rows.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "path", *NAMES), failures
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotspark.sources.files import HEADER_BYTES, SPLIT_BYTES, RangeFile, file_splits, scan
@@ -19,7 +19,7 @@ ALIASES = {"red": ("r", "red"), "green": ("g", "green"), "blue": ("b", "blue"),
 DEFAULT_CLASS = 1
 COLOUR_GAIN = 257
 
-COLUMNS = "local bigint, declared bigint, ascii boolean, x double, y double, z double, intensity int, classification int, red int, green int, blue int"
+COLUMNS = "point_id bigint, x double, y double, z double, intensity int, classification int, red int, green int, blue int"
 NAMES = [part.split()[0] for part in COLUMNS.split(", ")]
 BATCH = 50_000
 
@@ -78,7 +78,7 @@ class PcdHeader:
             raise ValueError(f"no x/y/z fields (found: {', '.join(self.dtype.names)})")
         n = len(points)
         whole = lambda name, top: np.clip(np.rint(points[name][:, 0].astype(np.float64)), 0, top).astype(np.int32)
-        out = {"local": np.arange(first, first + n), "declared": np.full(n, -1 if self.declared is None else self.declared), "ascii": self.encoding == "ascii"}
+        out = {"point_id": np.arange(first, first + n)}
         out.update({a: points[name][:, 0].astype(np.float64) for a, name in zip("xyz", axes)})
         intensity, label = self.field("intensity"), self.field(*ALIASES["classification"])
         out["intensity"] = whole(intensity, 65535) if intensity else None
@@ -93,91 +93,98 @@ def _header(file: RangeFile) -> PcdHeader:
     return PcdHeader(file.read(0, HEADER_BYTES))
 
 
-def _binary(file: RangeFile, head: PcdHeader, start: int, stop: int) -> Iterator[pd.DataFrame]:
+def _records(file: RangeFile, head: PcdHeader, start: int, stop: int) -> tuple[int, int]:
+    """Numbers [first, last) of the binary records that begin inside a range; a truncated file is an error."""
     width = head.dtype.itemsize
-    present = (file.size - head.body) // width
+    present = max(0, file.size - head.body) // width
     if head.declared is not None and present < head.declared:
         raise ValueError(f"{head.declared} points declared but only {present} present; the file looks truncated")
     total = present if head.declared is None else head.declared
     if total == 0:
-        raise ValueError("no points")
-    first = max(0, -(-(start - head.body) // width))
-    last = min(total, max(0, -(-(stop - head.body) // width)))  # records that begin inside the range
-    for at in range(first, last, BATCH):
-        raw = file.read(head.body + at * width, min(BATCH, last - at) * width)
-        yield head.frame(np.frombuffer(raw, dtype=head.dtype), at)
-
-
-def _ascii(file: RangeFile, head: PcdHeader, start: int, stop: int) -> Iterator[pd.DataFrame]:
-    """Rows whose line begins inside the range; the row number is local to the range."""
-    widths = [int(np.prod(head.dtype[n].shape or (1,))) for n in head.dtype.names]
-    at, rest, skip = max(start, head.body), b"", False
-    if at > head.body:
-        at, skip = at - 1, True  # the line around the border belongs to the previous range
-    lines: list[bytes] = []
-    done, first = False, 0
-
-    def flush() -> pd.DataFrame:
-        numbers = [line.split() for line in lines]
-        if any(len(words) != sum(widths) for words in numbers):
-            raise ValueError("the PCD holds a point row of the wrong length")
-        flat = np.array(numbers, dtype=np.float64)
-        points = np.zeros(len(flat), dtype=head.dtype)
-        left = 0
-        for name, width in zip(head.dtype.names, widths):
-            points[name] = flat[:, left:left + width].astype(head.dtype[name].base)
-            left += width
-        return head.frame(points, first)
-
-    position = at
-    while not done:
+        raise ValueError("the PCD contains no points")
+    at = lambda byte: min(total, max(0, -(-(byte - head.body) // width)))
+    return at(start), at(stop)
+
+
+def _lines(file: RangeFile, head: PcdHeader, start: int, stop: int) -> Iterator[list[bytes]]:
+    """Batches of the non-empty lines that begin inside a range of an ascii body."""
+    at = max(start, head.body)
+    skip = at > head.body  # look one byte back: the line around the border belongs to the range before
+    at -= skip
+    position, rest, out = at, b"", []
+    while True:
         block = file.read(position, 1 << 20)
         position += len(block)
-        ended = not block
         parts = (rest + block).split(b"\n")
-        rest = b"" if ended else parts.pop()
+        rest = parts.pop() if block else b""
         for line in parts:
-            begins = at
-            at += len(line) + 1
+            begins, at = at, at + len(line) + 1
             if skip:
                 skip = False
-                continue
-            if begins >= stop:
-                done = True
-                break
-            if line.strip():
-                lines.append(line)
-        if lines and (len(lines) >= BATCH or done or ended):
-            yield flush()
-            first += len(lines)
-            lines.clear()
-        done = done or ended
-    if start <= head.body < max(stop, 1) and first == 0 and stop >= file.size:
-        raise ValueError("the PCD contains no readable point rows")
-
-
-def _read(path: str, start: int, stop: int) -> Iterator[pd.DataFrame]:
+            elif begins >= stop:
+                if out:
+                    yield out
+                return
+            elif line.strip():
+                out.append(line)
+        if len(out) >= BATCH or (out and not block):
+            yield out
+            out = []
+        if not block:
+            return
+
+
+def _numbers(lines: list[bytes], head: PcdHeader) -> np.ndarray:
+    words = [line.split() for line in lines]
+    width = sum(head.dtype[n].shape[0] for n in head.dtype.names)
+    if any(len(w) != width for w in words):
+        raise ValueError("the PCD holds a point row of the wrong length")
+    return np.array(words, dtype=np.float64)
+
+
+def _count(path: str, start: int, stop: int) -> int:
     with RangeFile(path) as file:
         head = _header(file)
-        yield from _binary(file, head, start, stop) if head.encoding == "binary" else _ascii(file, head, start, stop)
+        if None in [head.field(a) for a in ("x", "y", "z")]:
+            raise ValueError(f"no x/y/z fields (found: {', '.join(head.dtype.names)})")
+        if head.encoding == "binary":
+            first, last = _records(file, head, start, stop)
+            return last - first
+        rows = sum(len(_numbers(lines, head)) for lines in _lines(file, head, start, stop))
+        if rows == 0 and start == 0 and stop >= file.size:
+            raise ValueError("the PCD contains no readable point rows")
+        return rows
+
+
+def _read(path: str, start: int, stop: int, before: int) -> Iterator[pd.DataFrame]:
+    with RangeFile(path) as file:
+        head = _header(file)
+        if head.encoding == "binary":
+            first, last = _records(file, head, start, stop)
+            width = head.dtype.itemsize
+            for at in range(first, last, BATCH):
+                raw = file.read(head.body + at * width, min(BATCH, last - at) * width)
+                yield head.frame(np.frombuffer(raw, dtype=head.dtype), at)
+            return
+        for lines in _lines(file, head, start, stop):
+            if head.declared is not None:
+                lines = lines[:max(0, head.declared - before)]  # rows beyond the declared count are dropped
+            if not lines:
+                return
+            flat = _numbers(lines, head)
+            points, left = np.zeros(len(flat), dtype=head.dtype), 0
+            for name in head.dtype.names:
+                width = head.dtype[name].shape[0]
+                points[name] = flat[:, left:left + width].astype(head.dtype[name].base)
+                left += width
+            yield head.frame(points, before)
+            before += len(lines)
 
 
 def read_pcd(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(points, failures) of every .pcd file below ``path``.
-
-    ``point_id`` numbers the points of a file from 0. In ascii files the number follows from the row counts of the
-    earlier ranges, and rows beyond the declared count are dropped.
-    """
-    rows, failures = scan(file_splits(spark, path, ".pcd", split_bytes), _read, COLUMNS, NAMES)
-    sizes = rows.groupBy("path", "split").agg(F.count(F.lit(1)).alias("_n"))  # one row per byte range
-    before = F.sum("_n").over(Window.partitionBy("path").orderBy("split")) - c("_n")
-    rows = rows.join(sizes.select("path", "split", before.alias("_before")), ["path", "split"])
-    rows = rows.withColumn("point_id", F.when(c("ascii"), c("_before") + c("local")).otherwise(c("local")))
-    rows = rows.where((c("declared") < 0) | (c("point_id") < c("declared")))
-    rows = rows.join(failures.select("path"), "path", "left_anti")
-    points = rows.select(
-        F.element_at(F.split("path", "/"), -1).alias("filename"), "path", "point_id", "x", "y", "z", "intensity", "classification", "red", "green", "blue")
-    return points, failures
+    """(points, failures) of every .pcd file below ``path``; ``point_id`` numbers the points of a file from 0."""
+    rows, failures = scan(file_splits(spark, path, ".pcd", split_bytes), _count, _read, COLUMNS)
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "path", *NAMES), failures
 
 
 def write_pcd(points: DataFrame, path: str, columns: list[str] | None = None, max_points: int = 1_000_000) -> None:
