@@ -97,7 +97,8 @@ def general_format(value: Column, digits: int) -> Column:
     fixed = F.lit(None).cast("string")
     for e in range(-4, digits):
         fixed = F.when(exponent == e, trimmed(F.format_string(f"%.{digits - 1 - e}f", value))).otherwise(fixed)
-    return F.when(value == 0, F.lit("0")).otherwise(F.coalesce(fixed, F.concat(trimmed(mantissa), tail)))
+    text = F.when(value == 0, F.lit("0")).otherwise(F.coalesce(fixed, F.concat(trimmed(mantissa), tail)))
+    return F.when(value.isNotNull(), text)
 
 
 def display_value(value: Column, mode: str, is_plot: bool = False) -> Column:

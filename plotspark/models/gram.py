@@ -33,7 +33,7 @@ def _key_fields(df: DataFrame, keys: Sequence[str]) -> str:
 def gram(design: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
     """(keys, i, j, v): sums of products of x, and of x with the centred target (column index ``size``).
 
-    Every Arrow batch is reduced to its own cross-product before anything is shuffled.
+    Every partition is reduced to one cross-product per fold before anything is shuffled.
     """
     keys = list(keys)
     rows = design.where("fit").select(*keys, "x", (c("y") - c("y_mean")).alias("_yc"))
@@ -41,14 +41,16 @@ def gram(design: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
     ii, jj = np.array([u[0] for u in upper]), np.array([u[1] for u in upper])
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
         for pdf in batches:
             for key, part in pdf.groupby(keys, sort=False):
                 z = np.column_stack([np.stack(part["x"].to_numpy()), part["_yc"].to_numpy()])
-                cross = z.T @ z
-                out = pd.DataFrame({"i": ii, "j": jj, "v": cross[ii, jj]})
-                for name, value in zip(keys, key if isinstance(key, tuple) else (key,)):
-                    out[name] = value
-                yield out[[*keys, "i", "j", "v"]]
+                sums[key] = sums.get(key, 0.0) + z.T @ z
+        for key, cross in sums.items():  # one triangle per fold and partition
+            out = pd.DataFrame({"i": ii, "j": jj, "v": cross[ii, jj]})
+            for name, value in zip(keys, key):
+                out[name] = value
+            yield out[[*keys, "i", "j", "v"]]
 
     partial = rows.mapInPandas(products, f"{_key_fields(rows, keys)}, i int, j int, v double")
     return partial.groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))

@@ -69,13 +69,15 @@ def fit_svr(design: DataFrame, keys: Sequence[str], size: int, cost: float, epsi
         current = {key: w.copy() for key, w in weights.items()}
 
         def slopes(batches: Iterator[pd.DataFrame], current=current) -> Iterator[pd.DataFrame]:
+            sums: dict = {}
             for pdf in batches:
                 for key, part in pdf.groupby(keys, sort=False):
-                    key = key if isinstance(key, tuple) else (key,)
                     x = np.stack(part["x"].to_numpy())
                     miss = part["_yc"].to_numpy() - x @ current[key]
                     sign = np.where(miss > epsilon, 1.0, np.where(miss < -epsilon, -1.0, 0.0))
-                    yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "g": [x.T @ sign]})
+                    sums[key] = sums.get(key, 0.0) + x.T @ sign
+            for key, g in sums.items():  # one row per fold and partition
+                yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "g": [g]})
 
         partial = rows.mapInPandas(slopes, f"{fields}, g array<double>")
         summed = partial.select(*keys, F.posexplode("g").alias("i", "v")).groupBy(*keys, "i").agg(F.sum("v").alias("v"))

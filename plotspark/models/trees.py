@@ -30,6 +30,8 @@ def estimator(model: str, params: dict, seed: int):
 def fit_trees(design: DataFrame, model: str, params: dict, n_cycles: int, seed: int = 0) -> dict[int, object]:
     """cycle -> fitted model."""
     rows = design.withColumn("features", array_to_vector("x"))
+    # bootstrap draws follow the row order, so rows are placed by name and not by how the input was partitioned
+    rows = rows.repartition("filename").sortWithinPartitions("cycle", "filename")
     spec = estimator(model, params, seed)
     return {cycle: spec.fit(rows.where((c("cycle") == cycle) & c("fit"))) for cycle in range(n_cycles)}
 

@@ -66,7 +66,7 @@ def read_geopackage(spark: SparkSession, path: str) -> DataFrame:
                         while rows := cursor.fetchmany(1000):
                             records = [dict(zip(names, r)) for r in rows]
                             yield pd.DataFrame({
-                                "properties": [[(k, None if v is None else str(v)) for k, v in r.items() if k != column] for r in records],
+                                "properties": [{k: None if v is None else str(v) for k, v in r.items() if k != column} for r in records],
                                 "rings": [polygon_rings(r[column]) for r in records]})
                 finally:
                     con.close()

@@ -86,7 +86,7 @@ class LasHeader:
             out[k] = points[k].astype(np.int32) if k in self.dtype.names else None
         dims = [(name, points[f"extra{i}"] * scale + offset) for i, (name, kind, scale, offset) in enumerate(self.extra) if not kind.startswith("V")]
         names = [name for name, _ in dims]
-        out["extra"] = [list(zip(names, (float(v) for v in row))) for row in zip(*(v for _, v in dims))] if dims else [None] * n
+        out["extra"] = [dict(zip(names, map(float, row))) for row in zip(*(v for _, v in dims))] if dims else [None] * n
         return pd.DataFrame(out)[NAMES]
 
 
