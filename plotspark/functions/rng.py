@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SCALE = float(2 ** 52)
@@ -33,12 +33,16 @@ def uniform_between(lo: float, hi: float, *parts) -> Column:
     return F.lit(float(lo)) + uniform(*parts) * F.lit(float(hi) - float(lo))
 
 
-def normal_pair(*parts) -> tuple[Column, Column]:
-    """Two independent standard normals (Box-Muller) from one digest."""
-    digest = key_hash(*parts)
-    radius = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - hash_uniform(digest, 0)))
-    angle = F.lit(2.0 * math.pi) * hash_uniform(digest, 1)
-    return radius * F.cos(angle), radius * F.sin(angle)
+def with_normals(df: DataFrame, first: str, second: str, wanted: Column, *parts) -> DataFrame:
+    """Adds two independent standard normals (Box-Muller) from one digest, null where not ``wanted``.
+
+    Digest, radius and angle are columns of their own, so each is computed once per row.
+    """
+    df = df.withColumn("_digest", F.when(wanted, key_hash(*parts)))
+    df = df.withColumn("_radius", F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - hash_uniform(F.col("_digest"), 0))))
+    df = df.withColumn("_angle", F.lit(2.0 * math.pi) * hash_uniform(F.col("_digest"), 1))
+    radius, angle = F.col("_radius"), F.col("_angle")
+    return df.withColumns({first: radius * F.cos(angle), second: radius * F.sin(angle)}).drop("_digest", "_radius", "_angle")
 
 
 def inner_seed(seed: int, cycle: Column) -> Column:

@@ -16,15 +16,20 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotspark.functions.rng import hash_uniform
 from plotspark.session import checkpointed
 
-ONE_TASK_BYTES = 256 * 1024 * 1024  # inputs estimated below this may be handled by a single task
+ONE_TASK_BYTES = 32 * 1024 * 1024  # inputs read from tables below this size may be handled by a single task
 
 
 def fits_one_task(df: DataFrame) -> bool:
-    """Whether the optimizer's size estimate (file sizes, no job) is small; unknown sizes count as large."""
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(estimate)) <= ONE_TASK_BYTES
+    """Whether the tables below ``df`` are small by Spark's own size estimates (no job); unknown sizes count as large.
+
+    The leaves are summed, because estimates above joins multiply their sides and say little.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(sizes) <= ONE_TASK_BYTES
 
 
 SHARES = 4096  # a joined group is cut so that no task gets more than about this fraction of all rows
@@ -126,17 +131,19 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: M
 
 
 def hash_rank(df: DataFrame, keys: Sequence[str], digest: str, ties: Sequence[str], out: str = "rank",
-              digits: int = 4) -> DataFrame:
+              size_col: str | None = None) -> DataFrame:
     """1-based rank of every row by a hex digest within its group.
 
-    Digests are uniform, so their first ``digits`` digits split even a huge group into equal parts; the rank is the
-    number of rows in earlier parts plus the rank inside the part.
+    Digests are uniform, so equal digest ranges split even a huge group into equal parts (the square root of
+    ``size_col``, the group's size, when it is known); the rank is the number of rows in earlier parts plus the rank
+    inside the part.
     """
     keys = list(keys)
     if fits_one_task(df):
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy(digest, *ties)).cast("bigint"))
+    ranges = F.ceil(F.sqrt(F.col(size_col).cast("double"))) if size_col else F.lit(16384)
     part = [*keys, "_part"]
-    rows = df.withColumn("_part", F.substring(digest, 1, digits))
+    rows = df.withColumn("_part", F.floor(hash_uniform(F.col(digest)) * ranges))
     counts = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_c"))
     order = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     offsets = counts.withColumn("_before", F.sum("_c").over(order.orderBy("_part")) - F.col("_c")).drop("_c")
@@ -148,32 +155,32 @@ def hash_rank(df: DataFrame, keys: Sequence[str], digest: str, ties: Sequence[st
 
 
 def hash_sample(df: DataFrame, keys: Sequence[str], digest: str, ties: Sequence[str], quota: DataFrame,
-                quota_col: str, digits: int = 4, keep_rest: bool = False) -> DataFrame:
+                quota_col: str, size_col: str | None = None, keep_rest: bool = False) -> DataFrame:
     """Exactly ``quota`` rows per group: those with the smallest digests (ties in order of ``ties``).
 
-    A histogram of digest prefixes finds the prefix in which the quota runs out, and ranking the rows of that prefix
-    alone finds the last digest that is kept. The rows themselves are only filtered, never sorted. Groups without a
-    quota are dropped, or kept whole with ``keep_rest``.
+    Digests are uniform. A histogram of equal digest ranges finds the range in which the quota runs out, and ranking
+    the rows of that range alone finds the last digest that is kept; the rows themselves are only filtered. With
+    ``size_col``, the number of rows of the row's group, a group is cut into the square root of its size. Groups
+    without a quota are dropped, or kept whole with ``keep_rest``.
     """
     keys = list(keys)
-    if fits_one_task(df):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(digest, *ties))
-        ranked = df.withColumn("_rank", rank).join(quota.select(*keys, F.col(quota_col).alias("_quota")), keys, "left")
-        fits = F.col("_rank") <= F.col("_quota")
-        return ranked.where((F.col("_quota").isNull() | fits) if keep_rest else fits).drop("_rank", "_quota")
-    slim = df.select(*keys, digest, *ties).withColumn("_part", F.substring(digest, 1, digits))
-    counts = slim.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    ranges = F.ceil(F.sqrt(F.col(size_col).cast("double"))) if size_col else F.lit(4096)
+    slim = df.select(*keys, digest, *ties, ranges.alias("_ranges"))
+    limits = quota.select(*keys, F.col(quota_col).alias("_quota"))
     whole = Window.partitionBy(*keys)
-    counts = counts.withColumn("_upto", F.sum("_c").over(whole.orderBy("_part"))).withColumn("_rows", F.sum("_c").over(whole))
-    border = (
-        counts.join(quota.select(*keys, F.col(quota_col).alias("_quota")), keys)
-        .where((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_c") < F.col("_quota")))
-        .select(*keys, "_part", "_rows", (F.col("_quota") - F.col("_upto") + F.col("_c")).alias("_need"))
-    )
-    edge = slim.join(border, [*keys, "_part"])
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(digest, *ties))
+    if fits_one_task(df):
+        edge = slim.join(limits, keys).withColumn("_need", F.col("_quota")).withColumn("_rows", F.lit(1))
+    else:
+        slim = slim.withColumn("_part", F.floor(hash_uniform(F.col(digest)) * F.col("_ranges")))
+        counts = slim.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c"))
+        counts = counts.withColumn("_upto", F.sum("_c").over(whole.orderBy("_part"))).withColumn("_rows", F.sum("_c").over(whole))
+        before = F.col("_upto") - F.col("_c")
+        border = counts.join(limits, keys).withColumn("_quota", F.least("_quota", "_rows"))
+        border = border.where((F.col("_upto") >= F.col("_quota")) & (before < F.col("_quota")))
+        edge = slim.join(border.select(*keys, "_part", "_rows", (F.col("_quota") - before).alias("_need")), [*keys, "_part"])
     last = F.struct(F.col(digest).alias("d"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(ties)])
-    cut = edge.withColumn("_rank", rank).where(F.col("_rank") == F.col("_need")).select(*keys, last.alias("_cut"), "_rows")
+    edge = edge.withColumn("_rank", F.row_number().over(whole.orderBy(digest, *ties))).where(F.col("_rank") <= F.col("_need"))
+    cut = edge.groupBy(*keys).agg(F.max(last).alias("_cut"), F.max("_rows").alias("_rows"))
     marked = salted_join(df, cut, keys, F.col(digest), "_rows", "left" if keep_rest else "inner")
     kept = last <= F.col("_cut")
     if keep_rest:
@@ -224,6 +231,7 @@ def count_below(df: DataFrame, keys: Sequence[str], value: str, out: str = "belo
     inside = F.sum("_c").over(Window.partitionBy(*group, "_b").orderBy(value)) - F.col("_c")
     ranks = (
         counted.withColumn("_inside", inside).join(buckets, [*group, "_b"])
-        .select(*group, value, (F.col("_before") + F.col("_inside")).alias(out), total)
+        .select(*group, value, (F.col("_before") + F.col("_inside")).alias(out), total, "_c")
     )
-    return rows.join(ranks, [*group, value], "left").drop("_k")
+    spread = F.struct(*df.columns)  # rows of one frequent value are spread by their other columns
+    return salted_join(rows, ranks, [*group, value], spread, "_c", "left").drop("_k")

@@ -23,12 +23,12 @@ def channel_value(points: DataFrame, channel: str) -> Column:
 def channel_listing(points: DataFrame) -> DataFrame:
     """Every dimension name with the number of clouds that carry it."""
     fixed = [n for n in points.columns if n not in ("filename", "plot", "aug", "point_id", "extra")]
-    present = F.filter(
-        F.array(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n in fixed]), lambda n: n.isNotNull()
-    )
+    per_cloud = points.groupBy("filename").agg(*[F.count(n).alias(n) for n in fixed])
+    present = F.explode(F.array(*[F.when(F.col(n) > 0, F.lit(n)) for n in fixed])).alias("dimension")
+    pairs = per_cloud.select("filename", present).where(F.col("dimension").isNotNull())
     if "extra" in points.columns:
-        present = F.concat(present, F.coalesce(F.map_keys("extra"), F.array().cast("array<string>")))
-    pairs = points.select("filename", F.explode(present).alias("dimension")).distinct()
+        extras = points.select("filename", F.map_keys("extra").alias("names")).distinct()
+        pairs = pairs.unionByName(extras.select("filename", F.explode("names").alias("dimension")).distinct())
     return pairs.groupBy("dimension").agg(F.count(F.lit(1)).alias("clouds"))
 
 

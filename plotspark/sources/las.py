@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotspark.operators.ranking import salted_join
 from plotspark.sources.files import SPLIT_BYTES, RangeFile, file_splits, scan
 
 c = F.col
@@ -136,3 +138,63 @@ def header_counts(spark: SparkSession, path: str) -> DataFrame:
         return pd.Series(out)
 
     return files.select("path", count("path").alias("points"))
+
+
+LAS_SCALE = 0.0001  # fixed value: written resolution in metres
+
+
+def _file_bytes(pdf: pd.DataFrame, dims: list[str], colour: bool) -> bytes:
+    """One LAS 1.2 file of these points; the offset is their own corner, so any survey position fits."""
+    extra = b""
+    for name in dims:
+        entry = bytearray(192)
+        entry[2] = 10  # double
+        entry[4:4 + len(name)] = name.encode("ascii")[:32]
+        extra += bytes(entry)
+    vlr = struct.pack("<H16sHH32s", 0, b"LASF_Spec", 4, len(extra), b"") + extra if dims else b""
+    layout = [("X", "<i4"), ("Y", "<i4"), ("Z", "<i4"), ("intensity", "<u2"), ("flags", "u1"), ("classification", "u1"), ("rest", "V4" if not colour else "V12")]
+    layout += [(k, "<u2") for k in ("red", "green", "blue")] if colour else []
+    record = np.zeros(len(pdf), dtype=layout + [(f"extra{i}", "<f8") for i in range(len(dims))])
+    corner = [float(pdf[a].min()) for a in "xyz"]
+    for a, raw, low in zip("xyz", "XYZ", corner):
+        record[raw] = np.rint((pdf[a].to_numpy() - low) / LAS_SCALE)
+    for name in ("intensity", "classification") + (("red", "green", "blue") if colour else ()):
+        if name in pdf:
+            record[name] = pdf[name].fillna(0).to_numpy()
+    for i, name in enumerate(dims):
+        record[f"extra{i}"] = pdf[name].to_numpy()
+    head = bytearray(227)
+    head[0:4], head[24], head[25] = b"LASF", 1, 2
+    struct.pack_into("<HII", head, 94, 227, 227 + len(vlr), 1 if dims else 0)
+    struct.pack_into("<BHI", head, 104, 3 if colour else 0, record.dtype.itemsize, len(pdf))
+    struct.pack_into("<3d", head, 131, *[LAS_SCALE] * 3)
+    struct.pack_into("<3d", head, 155, *corner)
+    high = [low + float(record[raw].max()) * LAS_SCALE for raw, low in zip("XYZ", corner)]
+    struct.pack_into("<6d", head, 179, high[0], corner[0], high[1], corner[1], high[2], corner[2])
+    return bytes(head) + vlr + record.tobytes()
+
+
+def write_las(points: DataFrame, path: str, dims: list[str] | None = None, max_points: int = 500_000) -> DataFrame:
+    """LAS files below ``path``, one per cloud and at most about ``max_points`` points each; returns what was written.
+
+    A crowded cloud becomes several files (name.0.las, name.1.las, ...). A repeated task writes the same file again.
+    """
+    dims = list(dims or [])
+    colour = {"red", "green", "blue"} <= set(points.columns)
+    size = F.count(F.lit(1))
+    parts = points.groupBy("filename").agg(F.ceil(size / F.lit(max_points)).alias("_parts"), size.alias("_n"))
+    rows = salted_join(points, parts, ["filename"], F.struct("x", "y", "z"), "_n")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("x", "y", "z", F.lit(7)), c("_parts"))).drop("_parts")
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        name, part = pdf["filename"].iloc[0], int(pdf["part"].iloc[0])
+        target = f"{path}/{name.rsplit('.', 1)[0]}.{part}.las"
+        fs, inner = pafs.FileSystem.from_uri(target) if "://" in target or target.startswith("file:") else (pafs.LocalFileSystem(), target)
+        fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+        with fs.open_output_stream(inner) as out:
+            out.write(_file_bytes(pdf, dims, colour))
+        return pd.DataFrame({"filename": [name], "path": [target], "points": [len(pdf)]})
+
+    written = rows.groupBy("filename", "part").applyInPandas(write, "filename string, path string, points bigint")
+    written.write.mode("overwrite").parquet(f"{path}/_written")
+    return points.sparkSession.read.parquet(f"{path}/_written")
