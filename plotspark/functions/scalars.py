@@ -84,34 +84,82 @@ def box_angle(corners: Column) -> Column:
     return F.when(angle > 90, angle - 180).when(angle <= -90, angle + 180).otherwise(angle)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _units(value: Column, places: Column) -> Column:
+    """|value| in units of 10^-places, rounded to an integer from the exact binary value, ties to even.
+
+    The product with the power of ten is split into its rounded value and its exact error, so 379.45 (a little less
+    than its decimal text) rounds down at one digit.
+    """
+    v = F.abs(value)
+    scale = F.pow(F.lit(10.0), places.cast("double"))
+
+    def rounded(q: Column) -> Column:
+        high = q["c"] - (q["c"] - q["v"])  # the upper half of the bits
+        error = (high * q["s"] - q["p"]) + (q["v"] - high) * q["s"]
+        rest = (q["p"] - F.floor(q["p"])) + error
+        return F.floor(q["p"]) + F.when(rest > 0.5, 1).when(rest < 0.5, 0).otherwise(F.floor(q["p"]) % 2)
+
+    return _let(F.struct(v.alias("v"), scale.alias("s"), (v * scale).alias("p"), (v * 134217729.0).alias("c")), rounded)
+
+
+def _from_units(units: Column, places: Column) -> Column:
+    text = units.cast("string")
+    padded = F.lpad(text, F.greatest(F.length(text), places + 1), F.lit("0"))
+    return _let(padded, lambda t: F.when(places == 0, t).otherwise(
+        F.concat(F.substr(t, F.lit(1), F.length(t) - places), F.lit("."), F.right(t, places))))
+
+
+def fixed_format(value: Column, digits: int, plus: bool = False) -> Column:
+    """``%.<digits>f`` text (``%+.<digits>f`` with ``plus``)."""
+    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit("+" if plus else ""))
+    exact = F.concat(sign, _from_units(_units(value, F.lit(digits)), F.lit(digits)))
+    return F.when(F.abs(value) < 1e11, exact).when(value.isNotNull(), F.format_string(f"%{'+' if plus else ''}.{digits}f", value))
+
+
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
 def general_format(value: Column, digits: int) -> Column:
     """``%.<digits>g`` text: scientific outside 1e-5 < |v| < 10^digits, trailing zeros removed."""
-    sci = F.format_string(f"%.{digits - 1}e", value)
-    exponent = F.regexp_extract(sci, r"e([+-]\d+)$", 1).try_cast("int")
-    mantissa = F.regexp_extract(sci, r"^([^e]+)e", 1)
-    tail = F.regexp_extract(sci, r"(e[+-]\d+)$", 1)
+    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
+    exponent = F.regexp_extract(F.format_string("%.16e", F.abs(value)), r"e([+-]\d+)$", 1).try_cast("int")
+
+    def scientific(v: Column) -> Column:
+        return _let(F.format_string(f"%.{digits - 1}e", v), lambda t: F.concat(
+            _trimmed(F.regexp_extract(t, r"^([^e]+)e", 1)), F.regexp_extract(t, r"(e[+-]\d+)$", 1)))
 
-    def trimmed(text: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    def shown(q: Column) -> Column:
+        next_power = q["u"] >= 10 ** digits  # rounding reached the next power of ten
+        plain = q["e"].between(-4, digits - 1) & ~((q["e"] == digits - 1) & next_power)
+        return (
+            F.when(plain, F.concat(sign, F.when(q["e"] == digits - 1, q["u"].cast("string")).otherwise(_trimmed(_from_units(q["u"], q["places"])))))
+            .when((q["e"] == -5) & next_power, F.concat(sign, F.lit("0.0001")))
+            .when((q["e"] == digits - 1) & next_power, F.concat(sign, F.lit(f"1e+{digits:02d}"))).otherwise(scientific(value)))
 
-    fixed = F.lit(None).cast("string")
-    for e in range(-4, digits):
-        fixed = F.when(exponent == e, trimmed(F.format_string(f"%.{digits - 1 - e}f", value))).otherwise(fixed)
-    text = F.when(value == 0, F.lit("0")).otherwise(F.coalesce(fixed, F.concat(trimmed(mantissa), tail)))
-    return F.when(value.isNotNull(), text)
+    places = F.greatest(F.lit(digits - 1) - F.least(exponent, F.lit(digits - 1)), F.lit(0))
+    bounded = F.when(exponent.between(-5, digits - 1), value).otherwise(F.lit(0.0))
+    text = _let(F.struct(exponent.alias("e"), F.least(places, F.lit(digits + 4)).alias("places"), bounded.alias("b")), lambda q: _let(
+        F.struct(q["e"].alias("e"), q["places"].alias("places"), _units(q["b"], q["places"]).alias("u")), shown))
+    return F.when(value.isNotNull(), F.when(value == 0, F.lit("0")).otherwise(text))
 
 
 def display_value(value: Column, mode: str, is_plot: bool = False) -> Column:
     """One map label: z-score, percentile or raw; empty text when there is no value."""
     if mode == "z":
-        text = F.format_string("%+.2f", value)
+        text = fixed_format(value, 2, plus=True)
     elif mode == "percentile":
-        text = F.concat(F.format_string("%.0f", value), F.lit("%"))
+        text = F.concat(fixed_format(value, 0), F.lit("%"))
     elif is_plot:
         text = F.rint(value).cast("bigint").cast("string")
     else:
         wide = (F.abs(value) >= 1000) | ((F.abs(value) < 0.01) & (value != 0))
-        text = F.when(wide, general_format(value, 2)).otherwise(F.format_string("%.1f", value))
+        text = F.when(wide, general_format(value, 2)).otherwise(fixed_format(value, 1))
     return F.when(value.isNull() | F.isnan(value), F.lit("")).otherwise(text)
 
 

@@ -175,19 +175,16 @@ def score_trials(df: DataFrame, proc: Procedure, trials: Sequence[Trial], inner_
     folds, and all trials, are scored in one job.
     """
     rows = ds.labelled_rows(df, proc.features, proc.target)
-    parts, widest = [], 1
-    for o in range(n_outer):
-        part = rows if outer is None else fd.train_rows(rows, outer, o)
-        groups = fd.groups_of(part)
-        n_groups = groups.count()
-        k = max(1, min(inner_splits, n_groups))
-        if inner_mode != "random":
-            k = min(k, fd.max_splits(n_groups, proc.test_size))
-        inner = fd.grouped_folds(groups, inner_mode, k, proc.test_size, proc.seed if outer is None else proc.seed + 1000 * (o + 1))
-        sided = ds.with_folds(part, inner, k, fit_aug).withColumn("outer", F.lit(o))
-        parts.append(sided)
-        widest = max(widest, k)
-    sided = _cached(_union(parts))
+    rows = rows.withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(n_outer - 1))))
+    if outer is not None:  # training groups only
+        rows = rows.join(outer.select(c("cycle").alias("outer"), "grp"), ["outer", "grp"], "left_anti")
+    groups = rows.select("outer", "grp").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    seed = proc.seed if outer is None else F.lit(proc.seed) + 1000 * (c("outer") + 1)
+    inner = fd.folds_per_key(groups, "outer", inner_mode, inner_splits, proc.test_size, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    widest = inner.agg(F.max("cycle")).first()[0] + 1
+    counts = inner.groupBy("outer").agg((F.max("cycle") + 1).alias("_cycles"))  # one row per outer fold
+    sided = ds.with_folds_per_key(rows.join(counts, "outer"), inner, "outer", fit_aug)
+    sided = _cached(sided)
     keys = ["outer", "cycle"]
     if proc.model in LINEAR or proc.model in ("knn", "gpr", "svr"):
         scored, _, _ = _scored(sided, proc, keys, n_outer * widest, trials)

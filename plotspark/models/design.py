@@ -46,6 +46,16 @@ def with_folds(rows: DataFrame, folds: DataFrame, n_cycles: int, train_aug: bool
     return sided.withColumn("fit", ~c("held_out") & (F.lit(train_aug) | ~c("is_aug")))
 
 
+def with_folds_per_key(rows: DataFrame, folds: DataFrame, key: str, train_aug: bool = True) -> DataFrame:
+    """As with_folds, for many cross-validations at once; rows carry ``_cycles``, the number of cycles of their key."""
+    sizes = rows.groupBy(key, "grp").agg(F.count(F.lit(1)).alias("_n"))
+    marked = folds.join(sizes, [key, "grp"]).withColumn("_held", F.lit(True))
+    every = rows.withColumn("cycle", F.explode(F.sequence(F.lit(0), c("_cycles") - 1))).drop("_cycles")
+    sided = salted_join(every, marked, [key, "cycle", "grp"], c("filename"), "_n", "left")
+    sided = sided.withColumn("held_out", F.coalesce(c("_held"), F.lit(False))).drop("_held")
+    return sided.withColumn("fit", ~c("held_out") & (F.lit(train_aug) | ~c("is_aug")))
+
+
 def require_originals(sided: DataFrame, score_aug: bool) -> None:
     """Every fold needs rows to fit on and rows to score."""
     scored = c("held_out") & (F.lit(score_aug) | ~c("is_aug"))

@@ -13,6 +13,7 @@ from plotspark.functions.aggregates import intercept, pearson, slope
 from plotspark.functions.scalars import error_pct
 from plotspark.operators import metrics as mt
 from plotspark.operators.features import FEATURES
+from plotspark.operators.folds import grouped_split, groups_of
 from plotspark.operators.ranking import attach, count_below, group_quantiles
 
 c = F.col
@@ -242,6 +243,21 @@ def feature_preview(rows: DataFrame, features: Sequence[str], target: str) -> Da
     return long.groupBy("feature").agg(F.min("v").alias("low"), F.max("v").alias("high"), pearson(c("t"), c("v")).alias("direct_r"))
 
 
+def training_preview(rows: DataFrame, features: Sequence[str], test_size: float, seed: int, include_aug: bool) -> DataFrame:
+    """The feature preview on the training side of one random grouped split.
+
+    ``rows``: grp, is_aug, y and the features. Too few groups to split, or no original row left, means all rows.
+    """
+    groups = groups_of(rows)
+    train = rows
+    if groups.limit(2).count() == 2:
+        train = rows.join(grouped_split(groups, "random", test_size, seed), "grp", "left_anti")
+    originals = train.where(~c("is_aug"))
+    if not include_aug and not originals.isEmpty():
+        train = originals
+    return feature_preview(train, features, "y")
+
+
 def values_as_text(values: DataFrame, unit: str = "", as_table: bool = False, with_average: bool = False) -> DataFrame:
     """One row ``text``: the chart's values (label, value, position) as a line or as tab-separated rows."""
     from plotspark.functions.scalars import general_format

@@ -132,6 +132,14 @@ def pls_two_components(spark, sf_dir):
     return _predictions(_run(spark, sf_dir, cv.Procedure("pls", FEATURES, params={"n_components": 2})))
 
 
+@query("m05_pls_full_rank", views.with_views("""
+SELECT CAST(cycle + 1 AS INT) AS split, filename, held_out, round(ym + (p * d - q * b) / (a * d - b * b) * x0 + (q * a - p * b) / (a * d - b * b) * x1, 6) AS predicted FROM z JOIN gr USING (cycle)""",
+    "v_dataset", ctes=TWO_CTE))
+def pls_full_rank(spark, sf_dir):
+    """As many components as features: least squares."""
+    return _predictions(_run(spark, sf_dir, cv.Procedure("pls", ("f0", "f1"), params={"n_components": 2})))
+
+
 KNN_CTE = DATA_FOLDS_CTE.rstrip() + """,
 st AS (SELECT cycle, avg(f0) AS m0, stddev_pop(f0) AS s0, avg(f1) AS m1, stddev_pop(f1) AS s1, avg(f2) AS m2, stddev_pop(f2) AS s2, avg(f3) AS m3, stddev_pop(f3) AS s3 FROM sided WHERE NOT held_out GROUP BY cycle),
 z AS (SELECT d.cycle, filename, held_out, target AS y, (f0 - m0) / s0 AS x0, (f1 - m1) / s1 AS x1, (f2 - m2) / s2 AS x2, (f3 - m3) / s3 AS x3 FROM sided d JOIN st USING (cycle)),
@@ -242,6 +250,27 @@ def trial_scores(spark, sf_dir):
     return rounded_all(_scores(spark, sf_dir))
 
 
+@query("m13_inner_folds", views.with_views("""
+SELECT CAST(outer_ AS INT) AS "outer", CAST(inner_fold AS INT) AS cycle, grp, 'sequential' AS mode FROM inner_folds WHERE inner_fold < 3
+UNION ALL SELECT CAST(outer_ AS INT), CAST((rn - 1) % 3 AS INT), grp, 'systematic' FROM inner_pl WHERE (rn - 1) // 3 < greatest(1, least(n, CAST(round_even(0.25e0 * n, 0) AS BIGINT), n // 3))
+UNION ALL SELECT CAST(outer_ AS INT), CAST((rh - 1) // greatest(1, least(n, CAST(round_even(0.25e0 * n, 0) AS BIGINT), n // 3)) AS INT), grp, 'random_systematic' FROM (
+  SELECT *, row_number() OVER (PARTITION BY outer_ ORDER BY md5(concat(CAST(outer_ + 40 AS VARCHAR), ':', grp))) AS rh FROM inner_pl)
+  WHERE (rh - 1) // greatest(1, least(n, CAST(round_even(0.25e0 * n, 0) AS BIGINT), n // 3)) < 3
+UNION ALL SELECT CAST(outer_ AS INT), CAST(i AS INT), grp, 'random' FROM (
+  SELECT *, row_number() OVER (PARTITION BY outer_, i ORDER BY md5(concat(CAST(i + outer_ + 40 AS VARCHAR), ':', grp))) AS rh FROM inner_pl CROSS JOIN range(3) AS r(i)) WHERE rh <= ceil(0.25e0 * n)""",
+    "v_dataset", ctes=SEARCH_CTE))
+def inner_folds(spark, sf_dir):
+    rows = labelled(spark, sf_dir, ("f0",))
+    outer = fd.grouped_folds(fd.groups_of(rows), "sequential", 4, 0.25)
+    groups = rows.select("grp").distinct().withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    groups = groups.join(outer.select(c("cycle").alias("outer"), "grp"), ["outer", "grp"], "left_anti").persist()
+    out = None
+    for mode in fd.MODES:
+        part = fd.folds_per_key(groups, "outer", mode, 3, 0.25, c("outer") + 40).withColumn("mode", F.lit(mode))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("m13_best_trials", views.with_views("""
 SELECT CAST(outer_ AS INT) AS "outer", CAST(min_by(trial, struct_pack(a := mean_rrmse, b := trial)) AS INT) AS trial, round(min(mean_rrmse), 6) AS mean_rrmse, round(min_by(mean_r2, struct_pack(a := mean_rrmse, b := trial)), 6) AS mean_r2,
        any_value(n_folds) AS n_folds FROM scores GROUP BY outer_""", "v_dataset", ctes=SEARCH_CTE))

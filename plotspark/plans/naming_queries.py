@@ -154,12 +154,14 @@ def box_geometry(spark, sf_dir):
                           rounded(scalars.box_angle(c("corners")), 8).alias("angle"))
 
 
-@query("p17_display_values")
+@query("p17_display_values", """
+SELECT s_suppkey, CASE WHEN abs(v) >= 1000 OR (abs(v) < 0.01 AND v <> 0) THEN format('{:.2g}', v) ELSE format('{:.1f}', v) END AS raw, format('{:+.2f}', v / 1000) AS z,
+       concat(format('{:.0f}', v / 10), '%') AS pct, CAST(s_suppkey AS VARCHAR) AS plot FROM (SELECT s_suppkey, s_acctbal / 7e0 AS v FROM supplier)""")
 def display_values(spark, sf_dir):
-    value = c("s_acctbal")
+    value = c("s_acctbal") / 7.0
     return views.table(spark, sf_dir, "supplier").select(
         "s_suppkey", scalars.display_value(value, "raw").alias("raw"), scalars.display_value(value / 1000, "z").alias("z"),
-        scalars.display_value(value / 100, "percentile").alias("pct"),
+        scalars.display_value(value / 10, "percentile").alias("pct"),
         scalars.display_value(c("s_suppkey").cast("double"), "raw", is_plot=True).alias("plot"))
 
 
@@ -326,7 +328,7 @@ def column_values(spark, sf_dir):
     return encode.column_values(views.reference(spark, sf_dir), "block")
 
 
-@query("f04_column_resolution")
+@query("f04_column_resolution", views.with_views("SELECT filename, f0, f2, f3 FROM v_dataset", "v_dataset"))
 def column_resolution(spark, sf_dir):
     data = views.dataset(spark, sf_dir)
     return data.select("filename", *encode.resolve_columns(["f0", "f1", "f2", "f3"], disabled=["f1"]))

@@ -472,7 +472,11 @@ def run_listing(spark, sf_dir):
     return listed.select("model", "label", place.cast("bigint").alias("place"))
 
 
-@query("p17_chart_text")
+@query("p17_chart_text", views.with_views("""
+SELECT concat(string_agg(concat(model, ': ', format('{:.4g}', v), ' rRMSE (%)'), ', ' ORDER BY model), ', Average: ', format('{:.4g}', avg(v)), ' rRMSE (%)') AS text FROM held
+UNION ALL SELECT concat(chr(9), 'rRMSE (%)', chr(10), string_agg(concat(model, chr(9), format('{:.4g}', v)), chr(10) ORDER BY model), chr(10), 'Average', chr(9), format('{:.4g}', avg(v))) FROM held""",
+    "v_predictions", ctes=CUBE_CTE.rstrip() + """,
+held AS (SELECT model, avg(rrmse) AS v FROM chosen WHERE scope = 'held_out' GROUP BY model)"""))
 def chart_text(spark, sf_dir):
     values = rs.model_values(chosen_cells(spark, sf_dir), ["model"], "rrmse").where(c("kind") == "held_out")
     values = values.select(c("model").alias("label"), "value", c("model").alias("position"))
@@ -486,7 +490,4 @@ SELECT feature, round(min(v), 6) AS low, round(max(v), 6) AS high, round(corr(v,
 WHERE NOT is_aug AND grp NOT IN (SELECT grp FROM (SELECT grp, row_number() OVER (ORDER BY md5(concat('3:', grp))) AS rn, n FROM pl) WHERE rn <= ceil(0.25e0 * n)) GROUP BY feature""",
     "v_dataset", ctes=DATA_FOLDS_CTE))
 def training_preview(spark, sf_dir):
-    rows = labelled(spark, sf_dir)
-    held = fd.grouped_split(fd.groups_of(rows), "random", 0.25, 3)
-    train = rows.join(held, "grp", "left_anti").where(~c("is_aug"))
-    return rounded_all(rs.feature_preview(train, ["f0", "f1", "f2", "f3"], "y"))
+    return rounded_all(rs.training_preview(labelled(spark, sf_dir), ["f0", "f1", "f2", "f3"], 0.25, 3, include_aug=False))

@@ -86,6 +86,18 @@ def convex_hulls(spark, sf_dir):
     return hulls.select("filename", F.size("hull").alias("vertices"), "hull")
 
 
+DIRECTIONS = ((1, 0), (2, 1), (1, 1), (1, 2), (0, 1), (-1, 2), (-1, 1), (-2, 1), (-1, 0), (-2, -1), (-1, -1), (-1, -2), (0, -1), (1, -2), (1, -1), (2, -1))
+
+
+@query("a25_hull_extremes", views.with_views(
+    "SELECT filename, " + ", ".join(f"round(max({a} * x + {b} * y), 6) + 0e0 AS e{i}" for i, (a, b) in enumerate(DIRECTIONS)) + " FROM v_points GROUP BY filename", "v_points"))
+def hull_extremes(spark, sf_dir):
+    """How far each hull reaches in sixteen directions: as far as the points themselves."""
+    hulls = sp.convex_hulls(views.points(spark, sf_dir), ["filename"])
+    reach = lambda a, b: F.array_max(F.transform("hull", lambda v: F.lit(float(a)) * v["x"] + F.lit(float(b)) * v["y"]))
+    return hulls.select("filename", *[rounded(reach(a, b)).alias(f"e{i}") for i, (a, b) in enumerate(DIRECTIONS)])
+
+
 @query("a26_min_area_boxes")
 def min_area_boxes(spark, sf_dir):
     boxes = sp.min_area_rectangles(sp.convex_hulls(views.points(spark, sf_dir), ["filename"]))

@@ -141,10 +141,17 @@ def test_units(spark):
 
 @pytest.mark.parametrize("digits", [2, 3, 4])
 def test_general_format_matches_percent_g(spark, digits):
-    values = [0.0, 1.0, 37.2134, 0.00012345, 0.0000123456, 123456.0, 9999.6, -0.5, 1e20, 100.0, 0.1, 2.5e-7, 999.96]
+    values = [0.0, 1.0, 37.2134, 0.00012345, 0.0000123456, 123456.0, 9999.6, -0.5, 1e20, 100.0, 0.1, 2.5e-7, 999.96, 379.45, 0.15, 2.5, 0.125, 9.995, 99.95, 0.00009996, -1.005, 1e5]
     assert column(spark, values, lambda v: scalars.general_format(v, digits), "double") == [f"{v:.{digits}g}" for v in values]
 
 
+@pytest.mark.parametrize("digits", [0, 1, 2])
+def test_fixed_format_matches_percent_f(spark, digits):
+    values = [379.45, 0.15, 2.5, 3.5, 0.125, -0.375, 4703.95, 1e15, 0.0, -0.04, 12345.678]
+    assert column(spark, values, lambda v: scalars.fixed_format(v, digits), "double") == [f"{v:.{digits}f}" for v in values]
+    assert column(spark, values, lambda v: scalars.fixed_format(v, digits, plus=True), "double") == [f"{v:+.{digits}f}" for v in values]
+
+
 def test_display_values(spark):
     values = [float("nan"), None, 1234.5, 0.001, 0.0, -3.14159]
     assert column(spark, values, lambda v: scalars.display_value(v, "raw"), "double") == ["", "", "1.2e+03", "0.001", "0.0", "-3.1"]
