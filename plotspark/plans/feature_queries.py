@@ -37,8 +37,8 @@ def _features(keys, digits: int = 6):
 
 
 query("a01_height_center", views.with_views(
-    "SELECT filename, round(avg(height), 11) AS h_mean, round(max(height), 11) AS h_max FROM v_points WHERE classification = 1 GROUP BY filename",
-    "v_points"))(_features(["h_mean", "h_max"], 11))
+    "SELECT filename, round(avg(height), 10) AS h_mean, round(max(height), 10) AS h_max FROM v_points WHERE classification = 1 GROUP BY filename",
+    "v_points"))(_features(["h_mean", "h_max"], 10))
 
 query("a02_height_percentiles", views.with_views("""
 SELECT filename, round(quantile_cont(height, 0.5), 9) AS h_median, round(quantile_cont(height, 0.25), 9) AS h_p25,

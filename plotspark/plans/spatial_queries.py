@@ -63,21 +63,22 @@ def grid_pitch(spark, sf_dir):
 
 
 @query("a23_cloud_bounds", views.with_views("""
-SELECT filename, round(min(x), 6) AS xmin, round(max(x), 6) AS xmax, round(min(y), 6) AS ymin, round(max(y), 6) AS ymax, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz
+SELECT filename, round(min(x), 6) AS xmin, round(max(x), 6) AS xmax, round(min(y), 6) AS ymin, round(max(y), 6) AS ymax, round(avg(x), 9) AS cx, round(avg(y), 9) AS cy, round(avg(z), 6) AS cz
 FROM v_points GROUP BY filename""", "v_points"))
 def cloud_bounds(spark, sf_dir):
-    return rounded_all(sp.bounds(views.points(spark, sf_dir), ["filename"]))
+    box = sp.bounds(views.points(spark, sf_dir), ["filename"])
+    return box.select("filename", *[rounded(k, 9 if k in ("cx", "cy") else 6).alias(k) for k in box.columns if k != "filename"])
 
 
 @query("a24_height_levels", views.with_views("""
-SELECT filename, level, round(value, 11) AS value FROM (
+SELECT filename, level, round(value, 10) AS value FROM (
   SELECT filename, avg(height) AS h_mean, quantile_cont(height, 0.5) AS h_median, quantile_cont(height, 0.25) AS h_p25, quantile_cont(height, 0.75) AS h_p75,
          quantile_cont(height, 0.95) AS h_p95, max(height) AS h_max FROM v_points WHERE classification = 1 GROUP BY filename)
 UNPIVOT (value FOR level IN (h_mean, h_median, h_p25, h_p75, h_p95, h_max))""", "v_points"))
 def height_levels(spark, sf_dir):
     levels = ["h_mean", "h_median", "h_p25", "h_p75", "h_p95", "h_max"]
     wide = ft.compute_features(views.points(spark, sf_dir), levels)
-    return wide.unpivot("filename", levels, "level", "value").select("filename", "level", rounded("value", 11).alias("value"))
+    return wide.unpivot("filename", levels, "level", "value").select("filename", "level", rounded("value", 10).alias("value"))
 
 
 @query("a25_convex_hulls")

@@ -28,6 +28,12 @@ def plans(request, monkeypatch):
     return request.param
 
 
+@pytest.fixture
+def at_scale(monkeypatch):
+    """Plan as for inputs that no single task can hold."""
+    monkeypatch.setattr(ranking, "ONE_TASK_BYTES", -1)
+
+
 @pytest.fixture
 def cloud(spark):
     """cloud(rows, **defaults): a points table from dicts."""

@@ -18,7 +18,7 @@ def heights(cloud, values, **extra):
     return cloud([{"height": v, "x": i % 7, "y": i // 7, **extra} for i, v in enumerate(values)])
 
 
-def test_percentiles_of_a_ramp(cloud, plans):
+def test_percentiles_of_a_ramp(cloud):
     got = one(ft.compute_features(heights(cloud, [0, 1, 2, 3, 4]), ["h_mean", "h_median", "h_max", "h_p25", "h_p75", "h_p95"]))
     assert got["h_mean"] == 2 and got["h_median"] == 2 and got["h_max"] == 4
     assert got["h_p25"] == 1 and got["h_p75"] == 3 and got["h_p95"] == pytest.approx(3.8)
@@ -54,7 +54,7 @@ def test_shape_moments(cloud):
 
 
 @pytest.mark.parametrize("values, width, bits", [((0.1, 0.2, 5.1, 5.2), 0.5, 1.0), ((0.05, 0.15, 0.25, 0.35), 0.1, 2.0)])
-def test_entropy_in_bits(cloud, plans, values, width, bits):
+def test_entropy_in_bits(cloud, at_scale, values, width, bits):
     assert one(ft.compute_features(heights(cloud, values), ["entropy"], FeatureConfig(entropy_bin=width)))["entropy"] == pytest.approx(bits)
 
 
@@ -80,7 +80,7 @@ def test_tilted_plane_has_no_roughness(cloud):
     assert one(ft.compute_features(cloud(spot), ["sigma_z"]))["sigma_z"] == pytest.approx(np.std([0, 1, 5]))
 
 
-def test_shares(cloud, plans):
+def test_shares(cloud, at_scale):
     assert one(ft.compute_features(heights(cloud, [0, 0, 0, 10]), ["frac_above_mean"]))["frac_above_mean"] == 0.25
     rows = [{"classification": 2}] * 3 + [{"classification": 1}] * 7
     assert one(ft.compute_features(cloud(rows), ["ppr"]))["ppr"] == pytest.approx(0.3)
@@ -108,7 +108,7 @@ def wheat(seed=0, angle=0.0, shift=(0.0, 0.0)):
 HORIZONTAL = [k for k, f in ft.FEATURES.items() if f.cls == "2D"]
 
 
-def test_horizontal_features_ignore_rotation_and_shift(cloud, plans):
+def test_horizontal_features_ignore_rotation_and_shift(cloud, at_scale):
     assert len(HORIZONTAL) == 9
     here = one(ft.compute_features(cloud(wheat()), HORIZONTAL))
     there = one(ft.compute_features(cloud(wheat(angle=53, shift=(1000, -200))), HORIZONTAL))
@@ -134,9 +134,13 @@ def test_horizontal_features_against_numpy(cloud):
 
 
 def test_guards_for_few_points(cloud):
+    pts = None
     for n in (0, 1, 2, 3):
-        rows = [{"x": i, "y": i * i, "height": i + 1.0} for i in range(n)] + [{"classification": 2}]
-        got = one(ft.compute_features(cloud(rows)))
+        part = cloud([{"x": i, "y": i * i, "height": i + 1.0} for i in range(n)] + [{"classification": 2}], f"plot({n}).laz")
+        pts = part if pts is None else pts.unionByName(part)
+    rows = {int(r["filename"][5]): r for r in ft.compute_features(pts).collect()}
+    assert len(rows) == 4
+    for n, got in rows.items():
         assert got["ppr"] == pytest.approx(1 / (n + 1))
         assert (got["h_mean"] is None) == (n < 1) and (got["h_median"] is None) == (n < 1)
         assert (got["h_std"] is None) == (n < 2) and (got["h_cv"] is None) == (n < 2)

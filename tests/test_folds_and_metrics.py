@@ -132,7 +132,7 @@ def test_bar_order_keeps_missing_last(spark):
     assert order("none") == [0, 1, 2, 3, 4] and order("asc") == [0, 4, 2, 1, 3] and order("desc") == [2, 4, 0, 1, 3]
 
 
-def test_fields(spark, plans):
+def test_fields(spark, at_scale):
     df = spark.createDataFrame([(1, 1.0), (2, 3.0), (3, 3.0), (4, None), (5, 5.0)], "plot int, v double")
     z = {r["plot"]: r["z"] for r in rs.z_scores(df, "v").collect()}
     assert z[1] == pytest.approx(-2 / math.sqrt(2)) and z[4] is None
@@ -143,7 +143,7 @@ def test_fields(spark, plans):
     assert {r["z"] for r in rs.z_scores(flat, "v").collect()} == {None}
 
 
-def test_distribution_and_density(spark, plans):
+def test_distribution_and_density(spark, at_scale):
     rng = np.random.default_rng(4)
     v = np.append(rng.normal(10, 2, 80), 40.0)
     df = spark.createDataFrame([(float(x),) for x in v], "v double")

@@ -22,7 +22,7 @@ def test_every_query_has_a_plan_and_most_have_sql():
 
 
 @pytest.mark.parametrize("name", CHECKED)
-def test_query_equals_its_sql(spark, plans, name):
+def test_query_equals_its_sql(spark, at_scale, name):
     con = duckdb.connect()
     for table in ("nation", "customer", "supplier", "part", "orders", "lineitem", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
