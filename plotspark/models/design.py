@@ -61,7 +61,7 @@ def require_originals(sided: DataFrame, score_aug: bool) -> None:
     scored = c("held_out") & (F.lit(score_aug) | ~c("is_aug"))
     empty = sided.groupBy("cycle").agg(F.count_if("fit").alias("f"), F.count_if(scored).alias("s")).where((c("f") == 0) | (c("s") == 0))
     if not empty.isEmpty():
-        raise ValueError("a fold has no original rows to fit on or score; include augmented rows or change the test share")
+        raise ValueError("one side of a fold holds no original row; allow augmented rows or choose another test share")
 
 
 def medians(sided: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:

@@ -17,7 +17,7 @@ def to_log(rows: DataFrame, y: str = "y") -> DataFrame:
     """The target on the log scale; values of -1 or less are an error that names their number."""
     bad = rows.where(c(y) <= -1).count()
     if bad:
-        raise ValueError(f"the log target needs values greater than -1; {bad} row(s) are at or below that")
+        raise ValueError(f"log1p is undefined for {bad} row(s): targets must exceed -1")
     return rows.withColumn(y, F.log1p(y))
 
 

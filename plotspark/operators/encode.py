@@ -34,7 +34,7 @@ def keep_rows(sheet: DataFrame, column: str | None, value: str | None) -> DataFr
     kept = sheet.where(trimmed(column) == str(value).strip())
     if kept.isEmpty():
         present = [r["value"] for r in column_values(sheet, column).orderBy("value").limit(10).collect()]
-        raise ValueError(f"no rows have {column} = {str(value).strip()!r}; values present: {', '.join(present)}")
+        raise ValueError(f"{column} never equals {str(value).strip()!r}; it holds {', '.join(present)}")
     return kept
 
 
@@ -42,9 +42,8 @@ def resolve_columns(universe: Sequence[str], enabled: Sequence[str] = (), disabl
     """A whitelist wins, else everything but the blacklist; order of the universe is kept."""
     if not enabled and not disabled and not default_on:
         return []
-    if enabled:
-        return [n for n in universe if n in set(enabled)]
-    return [n for n in universe if n not in set(disabled)]
+    allowed = set(enabled) or set(universe) - set(disabled)
+    return [n for n in universe if n in allowed]
 
 
 def first_rows(sheet: ReferenceSheet, columns: Sequence[str]) -> DataFrame:
@@ -119,8 +118,9 @@ def feature_tables(points: DataFrame, keys: Sequence[str] | None = None, sheet:
         wanted = [n for n in columns if n != target]
         x = lookup(files, sheet, wanted, "_p").drop("_p") if wanted else x
         x = one_hot(x, sheet, [n for n in encode if n in wanted]) if encode else x
-        if target is not None:
-            y = lookup(files.select("filename", "_p"), sheet, [target], "_p").drop("_p")
+        if target is not None:  # from the names alone, so that the features are not computed again
+            names = usable.select("filename").distinct().withColumn("_p", naming.plot_number(c("filename")))
+            y = lookup(names, sheet, [target], "_p").drop("_p")
     return FeatureTables(x, y, failures)
 
 

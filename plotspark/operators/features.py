@@ -76,34 +76,45 @@ AXES = ("n", "x_avg", "y_avg", "x_vs", "y_vs", "xy_cs")
 PLANE = (*AXES, "h_avg", "xh_cs", "yh_cs")
 
 
-def _frame_aggregates() -> dict[str, tuple[tuple[str, ...], Column]]:
+Frame = tuple[tuple[str, ...], Callable[[], Column]]
+
+
+def _residual(fitted: Callable[[], Column]) -> Callable[[], Column]:
+    return lambda: F.avg(F.pow(c("h") - c("h_avg") - fitted(), 2))
+
+
+def _extent(value: Callable[[], Column]) -> Callable[[], Column]:
+    return lambda: F.max(value()) - F.min(value())
+
+
+def _frame() -> dict[str, Frame]:
     """name -> (base intermediates it is relative to, aggregate over vegetation points)."""
-    out = {
-        "n_above": (("h_avg",), F.count_if(c("h") > c("h_avg"))),
-        "plane_ms": (PLANE, F.avg(F.pow(c("h") - c("h_avg") - c("plane_a") * c("dx") - c("plane_b") * c("dy"), 2))),
+    out: dict[str, Frame] = {
+        "n_above": (("h_avg",), lambda: F.count_if(c("h") > c("h_avg"))),
+        "plane_ms": (PLANE, _residual(lambda: c("plane_a") * c("dx") + c("plane_b") * c("dy"))),
+        "top_n": (("cut_lo", "cut_hi"), lambda: F.count_if(c("h") >= c("cut_hi"))),
+        "bottom_n": (("cut_lo", "cut_hi"), lambda: F.count_if(c("h") <= c("cut_lo"))),
     }
+    inside = {"top": lambda: c("h") >= c("cut_hi"), "bottom": lambda: c("h") <= c("cut_lo")}
     for axis in ("major", "minor"):
-        s = c(f"s_{axis}")
-        out[f"{axis}_pos"] = (AXES, F.count_if(s > 0))
-        out[f"{axis}_neg"] = (AXES, F.count_if(s < 0))
-        out[f"{axis}_range"] = (AXES, F.max(s) - F.min(s))
-        out[f"{axis}_ms"] = (PLANE, F.avg(F.pow(c("h") - c("h_avg") - c(f"trend_{axis}") * s, 2)))
-        for stratum, inside in (("top", c("h") >= c("cut_hi")), ("bottom", c("h") <= c("cut_lo"))):
+        along = lambda axis=axis: c(f"s_{axis}")
+        out[f"{axis}_pos"] = (AXES, lambda s=along: F.count_if(s() > 0))
+        out[f"{axis}_neg"] = (AXES, lambda s=along: F.count_if(s() < 0))
+        out[f"{axis}_range"] = (AXES, _extent(along))
+        out[f"{axis}_ms"] = (PLANE, _residual(lambda s=along, axis=axis: c(f"trend_{axis}") * s()))
+        for stratum, within in inside.items():
             needs = (*AXES, "cut_lo", "cut_hi")
-            out[f"{axis}_{stratum}_slope"] = (needs, slope(F.when(inside, c("h")), F.when(inside, s)))
-            out[f"{axis}_{stratum}_range"] = (needs, F.max(F.when(inside, s)) - F.min(F.when(inside, s)))
-            out[f"{axis}_{stratum}_s0"] = (needs, F.avg(F.when(inside, s)))
-            out[f"{axis}_{stratum}_h0"] = (needs, F.avg(F.when(inside, c("h"))))
-    out["top_n"] = (("cut_lo", "cut_hi"), F.count_if(c("h") >= c("cut_hi")))
-    out["bottom_n"] = (("cut_lo", "cut_hi"), F.count_if(c("h") <= c("cut_lo")))
+            place = lambda s=along, w=within: F.when(w(), s())
+            height = lambda w=within: F.when(w(), c("h"))
+            name = f"{axis}_{stratum}"
+            out[f"{name}_slope"] = (needs, lambda h=height, s=place: slope(h(), s()))
+            out[f"{name}_range"] = (needs, _extent(place))
+            out[f"{name}_s0"] = (needs, lambda s=place: F.avg(s()))
+            out[f"{name}_h0"] = (needs, lambda h=height: F.avg(h()))
     return out
 
 
-FRAME_NAMES = tuple(
-    ["n_above", "plane_ms", "top_n", "bottom_n"]
-    + [f"{a}_{k}" for a in ("major", "minor") for k in ("pos", "neg", "range", "ms")]
-    + [f"{a}_{s}_{k}" for a in ("major", "minor") for s in ("top", "bottom") for k in ("slope", "range", "s0", "h0")]
-)
+FRAME: dict[str, Frame] = _frame()
 
 
 # ------------------------------------------------------------------------------ closed forms
@@ -188,6 +199,7 @@ def _rough(axis: str) -> Column:
 
 
 def _definitions() -> list[FeatureDef]:
+    # Keys, classes and types of the features, in output order.
     central, spread, shape, structure, density = "Central tendency", "Spread", "Shape", "Structure", "Density"
     flat = "Horizontal (hand-crafted)"
     defs = [
@@ -263,8 +275,8 @@ def _needs(keys: Sequence[str]) -> tuple[set[str], set[str], set[str], bool]:
     """(base, levels, frame) intermediates and whether the layer pass is needed."""
     used = {u for k in keys for u in FEATURES[k].uses}
     layers = "layer_entropy" in used
-    frame = {u for u in used if u in FRAME_NAMES}
-    relative = {need for name in frame for need in _frame_aggregates()[name][0]}
+    frame = {u for u in used if u in FRAME}
+    relative = {need for name in frame for need in FRAME[name][0]}
     base = {u for u in used | relative if u in BASE}
     if frame & {f"{a}_{k}" for a in ("major", "minor") for k in ("pos", "neg", "range", "ms")} or "plane_ms" in frame:
         base |= set(AXES)
@@ -287,9 +299,9 @@ def cloud_values(points: DataFrame, keys: Sequence[str], cfg: FeatureConfig = Fe
     base, levels, frame, layers = _needs(keys)
     frame |= set(extra_frame)
     for name in extra_frame:
-        base |= {n for n in _frame_aggregates()[name][0] if n in BASE}
+        base |= {n for n in FRAME[name][0] if n in BASE}
         base |= set(PLANE)
-        levels |= {n for n in _frame_aggregates()[name][0] if n.startswith("cut_")}
+        levels |= {n for n in FRAME[name][0] if n.startswith("cut_")}
     pts = prepared_points(points, cfg)
     veg = pts.where(c("veg") & c("h").isNotNull())
 
@@ -315,11 +327,10 @@ def cloud_values(points: DataFrame, keys: Sequence[str], cfg: FeatureConfig = Fe
 
     out = clouds
     if frame:
-        aggregates = _frame_aggregates()
         rows = salted_join(veg, clouds, by, F.struct("x", "y", "h"), "n")
         if set(AXES) <= base:
             rows = with_projection(rows)
-        second = rows.groupBy(*by).agg(*[aggregates[n][1].alias(n) for n in FRAME_NAMES if n in frame])
+        second = rows.groupBy(*by).agg(*[FRAME[n][1]().alias(n) for n in FRAME if n in frame])
         out = out.join(second, by, "left")
     if layers:
         rows = salted_join(veg.select(*by, "x", "y", "h"), clouds.select(*by, "h_lo", "h_hi", "n"), by, F.struct("x", "y", "h"), "n")

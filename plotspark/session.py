@@ -17,6 +17,7 @@ def local_session(cores: int | str = 8, name: str = "plotspark") -> SparkSession
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

@@ -95,7 +95,7 @@ class LasHeader:
 def _records(file: RangeFile, head: LasHeader, start: int, stop: int) -> tuple[int, int]:
     """Numbers [first, last) of the records that begin inside a range; a truncated file is an error."""
     if max(0, file.size - head.body) // head.length < head.count:
-        raise ValueError(f"{head.count} points declared but fewer present; the file looks truncated")
+        raise ValueError(f"truncated: fewer records than the {head.count} declared")
     at = lambda byte: min(head.count, max(0, -(-(byte - head.body) // head.length)))
     return at(start), at(stop)
 

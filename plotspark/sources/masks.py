@@ -75,5 +75,5 @@ def read_geojson(spark: SparkSession, path: str, label_field: str, fmt: LabelFor
         raise KeyError(f"no label field {label_field!r}; available: {', '.join(known)}")
     masks, unreadable = load_masks(features, label_field, fmt)
     if masks.isEmpty():
-        raise ValueError(f"no usable polygons in {path}")
+        raise ValueError(f"none of the features in {path} is a polygon with a readable label")
     return masks, unreadable

@@ -34,7 +34,7 @@ class PcdHeader:
         while "DATA" not in values:
             stop = raw.find(b"\n", position)
             if stop < 0:
-                raise ValueError("the file ends inside its header (no DATA line)")
+                raise ValueError("header without a DATA line")
             words = raw[position:stop].decode("ascii", "replace").split()
             position = stop + 1
             if words and not words[0].startswith("#"):
@@ -76,7 +76,7 @@ class PcdHeader:
         """Points in the common columns; colour only when all three channels are there."""
         axes = [self.field(a) for a in ("x", "y", "z")]
         if None in axes:
-            raise ValueError(f"no x/y/z fields (found: {', '.join(self.dtype.names)})")
+            raise ValueError(f"x/y/z are not among the fields {list(self.dtype.names)}")
         n = len(points)
         whole = lambda name, top: np.clip(np.rint(points[name][:, 0].astype(np.float64)), 0, top).astype(np.int32)
         out = {"point_id": np.arange(first, first + n)}
@@ -99,10 +99,10 @@ def _records(file: RangeFile, head: PcdHeader, start: int, stop: int) -> tuple[i
     width = head.dtype.itemsize
     present = max(0, file.size - head.body) // width
     if head.declared is not None and present < head.declared:
-        raise ValueError(f"{head.declared} points declared but only {present} present; the file looks truncated")
+        raise ValueError(f"truncated: {present} of {head.declared} declared points are there")
     total = present if head.declared is None else head.declared
     if total == 0:
-        raise ValueError("the PCD contains no points")
+        raise ValueError("empty: not a single point record")
     at = lambda byte: min(total, max(0, -(-(byte - head.body) // width)))
     return at(start), at(stop)
 
@@ -139,7 +139,7 @@ def _numbers(lines: list[bytes], head: PcdHeader) -> np.ndarray:
     words = [line.split() for line in lines]
     width = sum(head.dtype[n].shape[0] for n in head.dtype.names)
     if any(len(w) != width for w in words):
-        raise ValueError("the PCD holds a point row of the wrong length")
+        raise ValueError("a point row has more or fewer values than the header names")
     return np.array(words, dtype=np.float64)
 
 
@@ -147,13 +147,13 @@ def _count(path: str, start: int, stop: int) -> int:
     with RangeFile(path) as file:
         head = _header(file)
         if None in [head.field(a) for a in ("x", "y", "z")]:
-            raise ValueError(f"no x/y/z fields (found: {', '.join(head.dtype.names)})")
+            raise ValueError(f"x/y/z are not among the fields {list(head.dtype.names)}")
         if head.encoding == "binary":
             first, last = _records(file, head, start, stop)
             return last - first
         rows = sum(len(_numbers(lines, head)) for lines in _lines(file, head, start, stop))
         if rows == 0 and start == 0 and stop >= file.size:
-            raise ValueError("the PCD contains no readable point rows")
+            raise ValueError("empty: not a single point row")
         return rows
 
 

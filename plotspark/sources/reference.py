@@ -28,7 +28,7 @@ def drop_blank_columns(df: DataFrame, keep: tuple[str, ...] = ("row_no",)) -> Da
     filled = {r["column"] for r in filled_columns(df).where(c("filled") > 0).collect()}  # one row per column
     kept = [n for n in df.columns if n in filled or n in keep]
     if len([n for n in kept if n not in keep]) < 2:
-        raise ValueError("a reference sheet needs a plot-number column and at least one data column")
+        raise ValueError("fewer than two columns hold values: a sheet is a key and something to look up")
     return df.select(*kept)
 
 

@@ -46,6 +46,6 @@ def cloud(spark):
             full.update(row)
             full.update({k: float(full[k]) for k in ("x", "y", "z", "height") if full[k] is not None})
             filled.append(tuple(full[n.split()[0]] for n in fields.split(", ")))
-        return spark.createDataFrame(filled, fields)
+        return spark.createDataFrame(filled, fields).coalesce(2)
 
     return build

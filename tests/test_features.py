@@ -134,11 +134,11 @@ def test_horizontal_features_against_numpy(cloud):
 
 
 def test_guards_for_few_points(cloud):
-    pts = None
+    points = []
     for n in (0, 1, 2, 3):
-        part = cloud([{"x": i, "y": i * i, "height": i + 1.0} for i in range(n)] + [{"classification": 2}], f"plot({n}).laz")
-        pts = part if pts is None else pts.unionByName(part)
-    rows = {int(r["filename"][5]): r for r in ft.compute_features(pts).collect()}
+        some = [{"x": i, "y": i * i, "height": i + 1.0} for i in range(n)] + [{"classification": 2}]
+        points += [{**p, "filename": f"plot({n}).laz"} for p in some]
+    rows = {int(r["filename"][5]): r for r in ft.compute_features(cloud(points)).collect()}
     assert len(rows) == 4
     for n, got in rows.items():
         assert got["ppr"] == pytest.approx(1 / (n + 1))
