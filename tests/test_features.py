@@ -96,7 +96,7 @@ def test_colours_use_vegetation_only(cloud):
     assert unset["R_mean"] is None
 
 
-def wheat(seed=0, angle=0.0, shift=(0.0, 0.0)):
+def strip(seed=0, angle=0.0, shift=(0.0, 0.0)):
     rng = np.random.default_rng(seed)
     sx, sy = rng.uniform(0, 4, 600) ** 1.1, rng.uniform(0, 1, 600)
     h = 0.5 + 0.05 * sx + rng.normal(0, 0.05, 600)
@@ -110,15 +110,15 @@ HORIZONTAL = [k for k, f in ft.FEATURES.items() if f.cls == "2D"]
 
 def test_horizontal_features_ignore_rotation_and_shift(cloud, at_scale):
     assert len(HORIZONTAL) == 9
-    here = one(ft.compute_features(cloud(wheat()), HORIZONTAL))
-    there = one(ft.compute_features(cloud(wheat(angle=53, shift=(1000, -200))), HORIZONTAL))
+    here = one(ft.compute_features(cloud(strip()), HORIZONTAL))
+    there = one(ft.compute_features(cloud(strip(angle=53, shift=(1000, -200))), HORIZONTAL))
     for key in HORIZONTAL:
         assert here[key] == pytest.approx(there[key], abs=1e-6), key
     assert here["pca_spread_major"] > here["pca_spread_minor"] and 0 <= here["asym_major"] <= 1
 
 
 def test_horizontal_features_against_numpy(cloud):
-    rows = wheat(5, 20)
+    rows = strip(5, 20)
     x, y, h = (np.array([r[k] for r in rows]) for k in ("x", "y", "height"))
     got = one(ft.compute_features(cloud(rows), HORIZONTAL))
     values, vectors = np.linalg.eigh(np.cov(x, y))
