@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotspark.llm import sharding
+from plotspark.llm import sharding, simhash
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -34,3 +34,10 @@ def jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards by jump consistent hashing of doc_id."""
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query("op7_simhash_variants")
+def simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id", "component_rows")
