@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotspark.llm import sharding, simhash
+from plotspark.llm import quality, sharding, simhash
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -41,3 +41,51 @@ def simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id", "component_rows")
+
+
+_CLASS_SQL = {  # RE2 classes, as the operator's; each count leaves out what an earlier class took
+    "lower": r"[^\p{Ll}]", "space": r"[^\x20\x09-\x0D]", "upper": r"[^\p{Lu}]", "digit": r"[^\p{Nd}]", "symbol": r"[^#*$%&|<>]", "punct": r"[^\p{P}]|[#*%&]",
+}
+_RULES = quality.QualityRules()
+_COUNTS = ", ".join(f"length(regexp_replace(t, '{pattern}', '', 'g')) AS {name}" for name, pattern in _CLASS_SQL.items())
+_NAMES = [*_CLASS_SQL, "other"]
+_JS = "CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2(2 * {q} / ({p} + {q})) ELSE 0 END"
+_CHARS = " + ".join(_NAMES)
+_CLASS_DISTANCE = " + ".join(_JS.format(p=f"(s.{name} / s.chars)", q=f"c.{name}") for name in _NAMES)
+QUALITY_SQL = f"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang FROM documents),
+counted AS (SELECT *, length(t) AS chars, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, {_COUNTS} FROM texts),
+sized AS (SELECT *, len(w) AS n, chars - lower - space - upper - digit - symbol - punct AS other, CAST(floor(len(w) / {quality.STRATUM_WORDS}) AS INT) % {_RULES.strata} AS stratum FROM counted),
+sums AS (SELECT lang, stratum, sum(n) AS words, {", ".join(f"sum({x}) / sum({_CHARS}) AS {x}" for x in _NAMES)} FROM sized WHERE n >= {_RULES.min_words} GROUP BY lang, stratum),
+classes AS (SELECT lang, count(*) AS strata, {", ".join(f"avg({x}) AS {x}" for x in _NAMES)} FROM sums GROUP BY lang),
+tokens AS (SELECT rid, lang, stratum, n, unnest(w) AS word, unnest(range(len(w))) AS pos FROM sized),
+word_counts AS (SELECT lang, stratum, word, count(*) AS k FROM tokens WHERE n >= {_RULES.min_words} GROUP BY ALL),
+shares AS (SELECT lang, word, round(sum(k / words) / any_value(strata), 12) AS share FROM word_counts JOIN sums USING (lang, stratum) JOIN classes USING (lang) GROUP BY lang, word),
+top AS (SELECT * FROM shares QUALIFY row_number() OVER (PARTITION BY lang ORDER BY share DESC, word) <= {_RULES.common_words}),
+rests AS (SELECT lang, greatest(1 - sum(share), 0) AS q FROM top GROUP BY lang),
+seen AS (SELECT s.rid, s.n, s.lang, top.word, share AS q, coalesce(k, 0) / s.n AS p
+         FROM sized s JOIN top USING (lang) LEFT JOIN (SELECT rid, word, count(*) AS k FROM tokens GROUP BY ALL) x ON x.rid = s.rid AND x.word = top.word WHERE s.n >= {_RULES.min_common_words}),
+parts AS (SELECT rid, lang, sum({_JS.format(p="p", q="q")}) AS part, greatest(1 - sum(p), 0) AS p FROM seen GROUP BY rid, lang),
+word_far AS (SELECT rid, sqrt(greatest((part + {_JS.format(p="p", q="q")}) / 2, 0)) AS word_distance FROM parts JOIN rests USING (lang)),
+grams AS (SELECT rid, pos, word || ' ' || lead(word, 1) OVER (PARTITION BY rid ORDER BY pos) || ' ' || lead(word, 2) OVER (PARTITION BY rid ORDER BY pos) AS gram FROM tokens),
+again AS (SELECT rid, pos FROM grams WHERE gram IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
+repeats AS (SELECT rid, count(DISTINCT pos + k) AS n_repeat_words FROM again, (VALUES (0), (1), (2)) AS v(k) GROUP BY rid),
+lines AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM texts)
+          WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
+judged AS (
+  SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(s.chars - s.space AS BIGINT) AS word_chars, CAST(s.symbol AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+         n < {_RULES.min_words} OR 100 * coalesce(n_repeat_words, 0) > {_RULES.max_repeat_percent} * n AS base_failed,
+         CASE WHEN s.chars >= {_RULES.min_class_chars} THEN sqrt(greatest(({_CLASS_DISTANCE}) / 2, 0)) END AS class_distance, word_distance
+  FROM sized s LEFT JOIN classes c USING (lang) LEFT JOIN word_far USING (rid) LEFT JOIN repeats USING (rid) LEFT JOIN lines USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance,
+       NOT base_failed AND coalesce(class_distance <= {_RULES.max_class_distance}, true) AND coalesce(word_distance <= {_RULES.max_word_distance}, true) AS kept
+FROM judged"""
+
+
+@query("op2_distribution_divergence", QUALITY_SQL)
+def distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counting rules and distance from the language's distributions for every document."""
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    distances = [F.round(c, 6).alias(c) for c in ("class_distance", "word_distance")]
+    return judged.select("doc_id", *quality.BASE, "base_failed", *distances, "kept")
