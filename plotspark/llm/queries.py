@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotspark.llm import quality, sharding, simhash
+from plotspark.llm import decontaminate, quality, sharding, simhash
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -89,3 +89,9 @@ def distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     distances = [F.round(c, 6).alias(c) for c in ("class_distance", "word_distance")]
     return judged.select("doc_id", *quality.BASE, "base_failed", *distances, "kept")
+
+
+@query("op8_cgk_decontamination")
+def cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in every document."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
