@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotspark.llm import decontaminate, quality, sharding, simhash
+from plotspark.llm import decontaminate, quality, sharding, simhash, token_files
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -95,3 +96,9 @@ def distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item found in every document."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_elias_fano_files")
+def elias_fano_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token-id files in doc_id order, read back."""
+    return token_files.token_file_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
