@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotspark.llm import decontaminate, quality, sharding, simhash, token_files
+from plotspark.llm import decontaminate, packing, quality, sharding, simhash, token_files
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -102,3 +102,10 @@ def cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def elias_fano_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token-id files in doc_id order, read back."""
     return token_files.token_file_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+@query("op10_least_squares_packing")
+def least_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 4096 ids."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
