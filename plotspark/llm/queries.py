@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotspark.llm import decontaminate, packing, quality, sharding, simhash, token_files
+from plotspark.llm import decontaminate, language_id, packing, quality, sharding, simhash, token_files
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -56,12 +56,13 @@ _CLASS_DISTANCE = " + ".join(_JS.format(p=f"(s.{name} / s.chars)", q=f"c.{name}"
 QUALITY_SQL = f"""
 WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang FROM documents),
 counted AS (SELECT *, length(t) AS chars, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, {_COUNTS} FROM texts),
-sized AS (SELECT *, len(w) AS n, chars - lower - space - upper - digit - symbol - punct AS other, CAST(floor(len(w) / {quality.STRATUM_WORDS}) AS INT) % {_RULES.strata} AS stratum FROM counted),
-sums AS (SELECT lang, stratum, sum(n) AS words, {", ".join(f"sum({x}) / sum({_CHARS}) AS {x}" for x in _NAMES)} FROM sized WHERE n >= {_RULES.min_words} GROUP BY lang, stratum),
-classes AS (SELECT lang, count(*) AS strata, {", ".join(f"avg({x}) AS {x}" for x in _NAMES)} FROM sums GROUP BY lang),
-tokens AS (SELECT rid, lang, stratum, n, unnest(w) AS word, unnest(range(len(w))) AS pos FROM sized),
-word_counts AS (SELECT lang, stratum, word, count(*) AS k FROM tokens WHERE n >= {_RULES.min_words} GROUP BY ALL),
-shares AS (SELECT lang, word, round(sum(k / words) / any_value(strata), 12) AS share FROM word_counts JOIN sums USING (lang, stratum) JOIN classes USING (lang) GROUP BY lang, word),
+sized AS (SELECT *, len(w) AS n, chars - lower - space - upper - digit - symbol - punct AS other, CAST(floor(strlen(t) / {quality.STRATUM_BYTES}) AS INT) % {_RULES.strata} AS stratum FROM counted),
+sums AS (SELECT lang, stratum, sum(strlen(t)) AS bytes, {", ".join(f"sum({x}) / sum({_CHARS}) AS {x}" for x in _NAMES)} FROM sized WHERE strlen(t) >= {_RULES.min_reference_bytes} GROUP BY lang, stratum),
+classes AS (SELECT lang, {", ".join(f"avg({x}) AS {x}" for x in _NAMES)} FROM sums GROUP BY lang),
+tokens AS (SELECT rid, lang, stratum, strlen(t) AS size, unnest(w) AS word, unnest(range(len(w))) AS pos FROM sized),
+word_counts AS (SELECT lang, stratum, word, count(*) AS k FROM tokens WHERE size >= {_RULES.min_reference_bytes} GROUP BY ALL),
+weights AS (SELECT lang, word, sum(k / bytes) AS weight FROM word_counts JOIN sums USING (lang, stratum) GROUP BY lang, word),
+shares AS (SELECT lang, word, round(weight / sum(weight) OVER (PARTITION BY lang), 12) AS share FROM weights),
 top AS (SELECT * FROM shares QUALIFY row_number() OVER (PARTITION BY lang ORDER BY share DESC, word) <= {_RULES.common_words}),
 rests AS (SELECT lang, greatest(1 - sum(share), 0) AS q FROM top GROUP BY lang),
 seen AS (SELECT s.rid, s.n, s.lang, top.word, share AS q, coalesce(k, 0) / s.n AS p
@@ -109,3 +110,12 @@ def least_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 4096 ids."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query("op1_compression_language")
+def compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by per-language dictionaries learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out(F.col("doc_id")))
+    model = language_id.train(docs.where(~F.col("held_out")))
+    found = language_id.identify(docs.select("doc_id", "held_out", "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
