@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotspark.llm import decontaminate, language_id, packing, quality, sharding, simhash, token_files
+from plotspark.llm import decontaminate, language_id, link_trust, packing, quality, sharding, simhash, token_files
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -119,3 +119,42 @@ def compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.where(~F.col("held_out")))
     found = language_id.identify(docs.select("doc_id", "held_out", "text"), model)
     return found.select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
+
+
+RULES = [
+    link_trust.Rule("allow", "org"), link_trust.Rule("block", "example.org", "/es/"), link_trust.Rule("block", "example.org", "/en/1"),
+    link_trust.Rule("allow", "com", "/fr/"), link_trust.Rule("block", "com", "/de/"),
+]
+_TRUST = link_trust.TrustSettings()
+_FITS = [
+    f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN {{'rule': '{r.text}', 'verdict': '{r.verdict}'}}"
+    for r in sorted(RULES, key=lambda r: -len(r.text))
+]
+_ROUNDS = "".join(
+    f"""r{k} AS MATERIALIZED (SELECT kind, host, sum(rank) AS rank FROM (SELECT kind, host, share * {1 - _TRUST.damping!r} AS rank FROM seeds
+  UNION ALL SELECT kind, dst, rank * (share * {_TRUST.damping!r}) FROM r{k - 1} JOIN edges USING (kind, host)) GROUP BY kind, host),
+""" for k in range(1, _TRUST.rounds + 1)
+)
+TRUST_SQL = f"""
+WITH cut AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+ruled AS (SELECT *, CASE {" ".join(_FITS)} END AS fit FROM parts),
+seeds AS (SELECT kind, host, count(*) / sum(count(*)) OVER (PARTITION BY kind) AS share
+          FROM (SELECT host, CASE fit.verdict WHEN 'allow' THEN 'trust' WHEN 'block' THEN 'distrust' END AS kind FROM ruled) WHERE kind IS NOT NULL GROUP BY kind, host),
+hrefs AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)\\shref\\s*=\\s*["'']?([^"''\\s>]*)', 1)) AS href FROM ruled WHERE host <> ''),
+ends AS (SELECT src, lower(regexp_extract(href, '^(?:(?i)https?:)?//([^/?#]*)', 1)) AS dst FROM hrefs),
+counted AS (SELECT src, CASE WHEN dst <> '' THEN dst ELSE src END AS dst, count(*) AS n FROM ends GROUP BY ALL),
+edges AS (SELECT 'trust' AS kind, src AS host, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM counted
+          UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM counted),
+r0 AS (SELECT kind, host, share * {1 - _TRUST.damping!r} AS rank FROM seeds),
+{_ROUNDS}hosts AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS trust, sum(rank) AS total FROM r{_TRUST.rounds} GROUP BY host HAVING sum(rank) > 0)
+SELECT page_id, host, path, fit.rule AS rule,
+       coalesce(fit.verdict, CASE WHEN total IS NULL THEN '{_TRUST.default}' WHEN round(trust / total, 9) >= {_TRUST.min_trust_share} THEN 'allow' ELSE 'block' END) AS verdict,
+       round(trust / total, 6) AS trust_share
+FROM ruled LEFT JOIN hosts USING (host)"""
+
+
+@query("op6_link_trust", TRUST_SQL)
+def link_trust_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page by rules and by trust spread over the host graph."""
+    return link_trust.judge_pages(table(spark, sf_dir, "pages"), RULES).withColumn("trust_share", F.round("trust_share", 6))
