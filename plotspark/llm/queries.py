@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotspark.llm import decontaminate, language_id, link_trust, packing, quality, sharding, simhash, token_files
+from plotspark.llm import decontaminate, language_id, link_trust, packing, preferences, quality, sharding, simhash, token_files
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -158,3 +158,25 @@ FROM ruled LEFT JOIN hosts USING (host)"""
 def link_trust_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page by rules and by trust spread over the host graph."""
     return link_trust.judge_pages(table(spark, sf_dir, "pages"), RULES).withColumn("trust_share", F.round("trust_share", 6))
+
+
+PREFERENCE_SQL = f"""
+WITH turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+replies AS (SELECT conv_id, turn AS at_turn, text AS reply FROM turns WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) = 1),
+rejected AS (SELECT t.conv_id, t.turn, t.role, CASE WHEN t.role = 'assistant' AND t.turn = a.at_turn AND t.text = a.reply AND b.reply IS NOT NULL THEN b.reply ELSE t.text END AS text
+             FROM turns t LEFT JOIN replies a USING (conv_id) LEFT JOIN replies b ON b.conv_id = xor(t.conv_id, 1)),
+sides AS (SELECT 'chosen' AS side, *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place FROM turns
+          UNION ALL SELECT 'rejected', *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 FROM rejected),
+met AS (SELECT conv_id, place, count(*) = 2 AND min(role) = max(role) AND min(text) = max(text) AS same FROM sides GROUP BY conv_id, place),
+prompts AS (SELECT conv_id, coalesce(min(place) FILTER (NOT same), max(place) + 1) AS prompt_turns FROM met GROUP BY conv_id),
+parts AS (SELECT conv_id, place, role, '{preferences.OPEN}' || role || '|>' || chr(10) || text || chr(10) AS rendered, CASE WHEN place < prompt_turns THEN 'prompt' ELSE side END AS part
+          FROM sides JOIN prompts USING (conv_id) WHERE place >= prompt_turns OR side = 'chosen')
+SELECT conv_id AS pair_id, part, CAST(place AS BIGINT) AS place, role, rendered, part <> 'prompt' AND role = 'assistant' AS loss,
+       CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, part ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+FROM parts"""
+
+
+@query("op4_preference_pairs", PREFERENCE_SQL)
+def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with its neighbour's last reply, as prompt and completions."""
+    return preferences.segments(*preferences.reply_pairs(table(spark, sf_dir, "conversations")))
