@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotspark.llm import decontaminate, language_id, link_trust, packing, preferences, quality, sharding, simhash, token_files
+from plotspark.llm import decontaminate, language_id, link_trust, packing, preferences, quality, secret_scan, sharding, simhash, token_files
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -180,3 +180,10 @@ FROM parts"""
 def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation against itself with its neighbour's last reply, as prompt and completions."""
     return preferences.segments(*preferences.reply_pairs(table(spark, sf_dir, "conversations")))
+
+
+@query("op5_forest_secrets")
+def forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document, and whether the forest takes it for a secret."""
+    found = secret_scan.scan_and_classify(table(spark, sf_dir, "documents"), carry=("doc_id",))
+    return found.select("doc_id", "at", F.md5("candidate").alias("candidate_md5"), F.col("length").cast("int").alias("length"), "name", "kind", "coverage", "score", "is_secret")
