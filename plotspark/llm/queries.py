@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from plotspark.llm import decontaminate, language_id, link_trust, packing, preferences, quality, secret_scan, sharding, simhash, token_files
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -187,3 +188,9 @@ def forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every document, and whether the forest takes it for a secret."""
     found = secret_scan.scan_and_classify(table(spark, sf_dir, "documents"), carry=("doc_id",))
     return found.select("doc_id", "at", F.md5("candidate").alias("candidate_md5"), F.col("length").cast("int").alias("length"), "name", "kind", "coverage", "score", "is_secret")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over the documents."""
+    return corpus_pipeline.run(spark, sf_dir)
