@@ -21,10 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plotspark.llm.small import settled
+
 SPACE = r"[\x20\x09-\x0D]"
 #: Character classes in the order in which they are taken out of a text; what is left after the last is "other".
 CLASSES = (("lower", r"\p{Ll}"), ("space", SPACE), ("upper", r"\p{Lu}"), ("digit", r"\p{Nd}"), ("symbol", r"[#*$%&|<>]"), ("punct", r"\p{P}"))
-STRATUM_WORDS = 8
+STRATUM_BYTES = 64
+FEW_REPEATS = 64
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -38,6 +41,7 @@ class QualityRules:
     min_common_words: int = 100
     max_class_distance: float = 0.27
     max_word_distance: float = 0.33
+    min_reference_bytes: int = 300
     #: Strata of text length over which a language's reference is averaged.
     strata: int = 16
 
@@ -52,16 +56,29 @@ def words_of(text: Column) -> Column:
 
 
 def repeat_words(words: Column) -> Column:
-    """How many words lie in a window of three words that the text has twice or more."""
+    """How many words lie in a window of three words that the text has twice or more (windows are told apart by 64-bit digests)."""
     size = F.size(words)
-    windows = F.transform(F.sequence(F.lit(0), size - 3), lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("gram"), i.alias("at")))
+    digests = F.transform(F.sequence(F.lit(0), size - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
 
-    def covered(ordered: Column) -> Column:
-        same = lambda x, i: F.coalesce(F.get(ordered, i)["gram"] == x["gram"], F.lit(False))
-        starts = F.transform(F.filter(ordered, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["at"])
+    def covered(starts: Column) -> Column:
         return _let(starts, lambda s: F.size(F.array_union(F.array_union(s, F.transform(s, lambda x: x + 1)), F.transform(s, lambda x: x + 2))))
 
-    return F.when(size >= 3, _let(F.sort_array(windows), covered)).otherwise(0)
+    def in_order(all_digests: Column) -> Column:
+        """Starts of repeated windows from the sorted windows; for texts with very many different ones."""
+        same = lambda ordered, x, i: F.coalesce(F.get(ordered, i)["digest"] == x["digest"], F.lit(False))
+        pairs = F.sort_array(F.transform(all_digests, lambda x, i: F.struct(x.alias("digest"), i.alias("at"))))
+        return _let(pairs, lambda o: F.transform(F.filter(o, lambda x, i: same(o, x, i - 1) | same(o, x, i + 1)), lambda x: x["at"]))
+
+    def starts(all_digests: Column, again: Column) -> Column:
+        few = F.filter(F.sequence(F.lit(0), F.size(all_digests) - 1), lambda i: F.array_contains(again, F.get(all_digests, i)))
+        return F.when(F.size(again) <= FEW_REPEATS, few).otherwise(in_order(all_digests))
+
+    def counted(all_digests: Column) -> Column:
+        again = _let(F.sort_array(all_digests), lambda o: F.array_distinct(F.filter(o, lambda x, i: F.coalesce(F.get(o, i + 1) == x, F.lit(False)))))
+        some = _let(again, lambda found: covered(starts(all_digests, found)))
+        return F.when(F.size(F.array_distinct(all_digests)) == F.size(all_digests), 0).otherwise(some)
+
+    return F.when(size >= 3, _let(digests, counted)).otherwise(0)
 
 
 def dup_lines(text: Column) -> Column:
@@ -81,23 +98,23 @@ def with_class_counts(df: DataFrame, text: str = "__text") -> DataFrame:
 
 
 def language_references(texts: DataFrame, rules: QualityRules) -> DataFrame:
-    """__lang, __top (its most common words), __word_share (theirs and all others'), __class_share; over all texts of min_words words or more.
+    """__lang, __top (its most common words), __word_share (theirs and all others'), __class_share; over all texts of min_reference_bytes or more.
 
-    Shares are taken within strata of text length and averaged over a language's strata: copies of one text, however many, lie in one stratum
-    (near copies in two at most) and cannot bend the reference to themselves.
+    Counts are taken per byte within strata of text length and averaged over a language's strata: copies of one text, however many, lie in
+    one stratum (near copies in few) and cannot bend the reference to themselves.
     """
-    sized = texts.withColumn("words", words_of(F.col("__text"))).withColumn("n", F.size("words")).where(F.col("n") >= rules.min_words)
-    sized = sized.withColumn("stratum", F.pmod(F.floor(F.col("n") / STRATUM_WORDS), F.lit(rules.strata)).cast("int"))
-    groups = ["__lang", "stratum"]
+    size = F.octet_length("__text")
+    sized = texts.where(size >= rules.min_reference_bytes).withColumn("__stratum", F.pmod(F.floor(size / STRATUM_BYTES), F.lit(rules.strata)).cast("int"))
+    groups = ["__lang", "__stratum"]
     class_sums = [F.sum(F.col("__classes")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
-    sums = with_class_counts(sized.select(*groups, "n", "__text")).groupBy(*groups).agg(F.sum("n").alias("words"), *class_sums)
+    sums = settled(with_class_counts(sized).groupBy(*groups).agg(F.sum(size).alias("bytes"), *class_sums))
     all_chars = sum((F.col(f"c{i}") for i in range(len(CLASSES) + 1)), F.lit(0))
-    classes = sums.groupBy("__lang").agg(
-        F.array(*[F.avg(F.col(f"c{i}") / all_chars) for i in range(len(CLASSES) + 1)]).alias("__class_share"), F.count(F.lit(1)).alias("strata"),
-    )
-    counted = sized.select(*groups, F.explode("words").alias("word")).groupBy(*groups, "word").agg(F.count(F.lit(1)).alias("n"))
-    shares = counted.join(sums.select(*groups, "words"), groups).groupBy("__lang", "word").agg(F.sum(F.col("n") / F.col("words")).alias("total"))
-    shares = shares.join(classes.select("__lang", "strata"), "__lang").select("__lang", "word", F.round(F.col("total") / F.col("strata"), 12).alias("share"))
+    classes = sums.groupBy("__lang").agg(F.array(*[F.avg(F.col(f"c{i}") / all_chars) for i in range(len(CLASSES) + 1)]).alias("__class_share"))
+    weighed = sized.join(sums.select(*groups, (1 / F.col("bytes")).alias("weight")), groups)
+    words = weighed.select("__lang", "weight", F.explode(words_of(F.col("__text"))).alias("word"))
+    weights = words.groupBy("__lang", "word").agg(F.sum("weight").alias("weight"))
+    totals = weights.groupBy("__lang").agg(F.sum("weight").alias("all"))
+    shares = weights.join(totals, "__lang").select("__lang", "word", F.round(F.col("weight") / F.col("all"), 12).alias("share"))
     rank = F.row_number().over(Window.partitionBy("__lang").orderBy(F.desc("share"), "word"))
     top = shares.withColumn("rank", rank).where(F.col("rank") <= rules.common_words)
     top = top.groupBy("__lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "share"))).alias("top"))
@@ -123,13 +140,13 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total, F.lit(0.0)))
 
 
-def _common_shares(words: Column, top: Column) -> Column:
-    """Shares of the common words among ``words``, and at last of all others."""
-    longest = F.array_max(F.transform(top, F.length))
-    places = _let(longest, lambda m: F.filter(F.transform(F.filter(words, lambda w: F.length(w) <= m), lambda w: F.array_position(top, w)), lambda x: x > 0))
-    size = F.greatest(F.size(words), F.lit(1))
-    own = lambda found: F.transform(F.sequence(F.lit(1), F.size(top)), lambda k: (F.size(found) - F.size(F.array_remove(found, k.cast("bigint")))) / size)
-    return _let(places, lambda found: F.concat(own(found), F.array((F.size(words) - F.size(found)) / size)))
+def _common_shares(spaced: Column, n_words: Column, top: Column) -> Column:
+    """Shares of the common words among a text's words, and at last of all others; every word of ``spaced`` has a space on each side."""
+    size = F.octet_length(spaced)
+    count = lambda w: (size - F.octet_length(F.replace(spaced, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)
+    total = F.greatest(n_words, F.lit(1))
+    shares = F.transform(top, lambda w: count(w) / total)
+    return _let(shares, lambda own: F.concat(own, F.array(F.greatest(1 - _total(own), F.lit(0.0)))))
 
 
 def judge(docs: DataFrame, rules: QualityRules | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -139,23 +156,21 @@ def judge(docs: DataFrame, rules: QualityRules | None = None, text: str = "text"
     """
     rules = rules or QualityRules()
     marked = docs.withColumns({"__text": F.coalesce(F.col(text), F.lit("")), "__lang": F.coalesce(F.col(lang), F.lit(""))})
-    references = language_references(marked.select("__text", "__lang"), rules)
+    references = settled(language_references(marked.select("__text", "__lang"), rules))
     rows = with_class_counts(marked.join(references, "__lang", "left"))
 
-    def of_words(words: Column) -> Column:
-        word_distance = F.when(F.size(words) >= rules.min_common_words, js_distance(_common_shares(words, F.col("__top")), F.col("__word_share")))
-        return F.struct(F.size(words).cast("bigint").alias("n_words"), repeat_words(words).cast("bigint").alias("n_repeat_words"), word_distance.alias("word_distance"))
-
+    spaced = F.concat(F.lit(" "), F.regexp_replace("__text", SPACE + "+", "  "), F.lit(" "))
+    rows = rows.withColumn("__words", _let(words_of(F.col("__text")), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), repeat_words(w).cast("bigint").alias("repeats"))))
+    shares = _let(spaced, lambda t: _common_shares(t, F.col("__words.n"), F.col("__top")))
     chars = F.length("__text").cast("bigint")
-    rows = rows.withColumn("__words", _let(words_of(F.col("__text")), of_words))
     rows = rows.withColumns({
-        "n_words": F.col("__words.n_words"),
+        "n_words": F.col("__words.n"),
         "word_chars": chars - F.col("__classes")[1],
         "n_symbols": F.col("__classes")[4],
         "n_dup_lines": dup_lines(F.col("__text")).cast("bigint"),
-        "n_repeat_words": F.col("__words.n_repeat_words"),
+        "n_repeat_words": F.col("__words.repeats"),
         "class_distance": F.when(chars >= rules.min_class_chars, js_distance(_shares(F.col("__classes")), F.col("__class_share"))),
-        "word_distance": F.col("__words.word_distance"),
+        "word_distance": F.when(F.col("__words.n") >= rules.min_common_words, js_distance(shares, F.col("__word_share"))),
     })
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     far = F.coalesce(F.col("class_distance") > rules.max_class_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > rules.max_word_distance, F.lit(False))
