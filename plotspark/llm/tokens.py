@@ -1,23 +1,34 @@
 """Token ids of whole texts by the tokenizers library, each different word encoded once per task.
 
 A text is cut only where the tokenizer's own pre-tokenizer always cuts, so the ids are those of the whole text; texts in which that is not
-certain are encoded whole. The ids of the pieces are kept in a bounded table in every Python worker.
+certain are encoded whole. Words of Latin letters go straight to the tokenizer's merge model, all else through the whole tokenizer. The ids
+of the pieces are kept in a bounded table in every Python worker.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
-PIECES_KEPT = 600_000
-PIECES_AT_ONCE = 128
-TEXT_AT_ONCE = 4 << 20
+PIECES_KEPT = 300_000
 
-_SPACES = re.compile(r"\s")
 _DOUBLE_SPACE = re.compile(r"\s\s")
 _SEPARATOR_CONTROLS = re.compile("[\x1c-\x1f]")
+#: Letters whose lower case and composed form are the same everywhere: Latin without the dotted capital I.
+_LATIN = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F"
+#: A word, then signs that are neither letters, digits nor white space: always two tokens' runs or more.
+_WORD_AND_SIGNS = re.compile(f"( ?[{_LATIN}]+)([^\\s\\w]*)")
+_PROBES = ("word", " word", "\u00c9t\u00e9", " stra\u00dfe", "a", " ma\u00f1ana")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the others from 256 on in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b) if b in own else chr(next(others)) for b in range(256)}
 
 
 class Encoder:
@@ -28,15 +39,23 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.words = self._ids(" a b") == self._ids("a\nb")
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.separator = " 0 " if self.words else "\t"
-        self.separator_ids = self._ids(self.separator)
+        letters = byte_letters()
+        spelled = [32, *[c for c in range(0x250) if chr(c).isalpha()]]
+        self.spelling = {c: "".join(letters[b] for b in chr(c).encode()) for c in spelled}
+        self.direct = all(self._merged(p) == self._packed(self._ids(p)) for p in _PROBES if not (self.words and p[0] == " "))
         self.pieces: dict[str, bytes] = {"": b""}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+        return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
+
+    def _merged(self, word: str) -> bytes:
+        """Ids of a word of Latin letters, by the merge model alone."""
+        if self.words:
+            word = word.lower()
+        return self._packed([t.id for t in self.tokenizer.model.tokenize(word.translate(self.spelling))])
 
     def _cut(self, text: str) -> list[str] | None:
         """The pieces of a text, or None where it is not certain that the tokenizer cuts between them."""
@@ -44,66 +63,40 @@ class Encoder:
             return None if _SEPARATOR_CONTROLS.search(text) else text.split()
         return None if _DOUBLE_SPACE.search(text) or "\x00" in text else text.replace(" ", "\x00 ").split("\x00")
 
-    def _parts(self, piece: str) -> list[str]:
-        """A piece as line breaks, words and the full stop or comma after a word: all are tokens' limits."""
-        parts: list[str] = []
-        for i, line in enumerate([piece] if self.words else piece.split("\n")):
-            if i:
-                parts.append("\n")
-            if len(line) > 2 and line[-1] in ".," and line[-2].isalpha():
-                parts += [line[:-1], line[-1]]
-            elif line:
-                parts.append(line)
-        return [p.lower() if self.words and p.isascii() else p for p in parts]
-
-    def _learn(self, pieces: set[str]) -> None:
-        parts = {p: self._parts(p) for p in pieces}
-        new = sorted({x for own in parts.values() for x in own if x not in self.pieces})
-        apart = [x for x in new if not self._joinable(x)]
-        joined = [x for x in new if self._joinable(x)]
-        for x, e in zip(apart, self.tokenizer.encode_batch_fast(apart, add_special_tokens=False), strict=True):
-            self.pieces[x] = self._packed(e.ids)
-        groups = [joined[i : i + PIECES_AT_ONCE] for i in range(0, len(joined), PIECES_AT_ONCE)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([self.separator.join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype=self.dtype)
-            ends = np.flatnonzero(ids == self.separator_ids[0])
-            if len(self.separator_ids) != 1 or len(ends) != len(group) - 1:
-                for x in group:
-                    self.pieces[x] = self._packed(self._ids(x))
-                continue
-            for x, own in zip(group, np.split(ids, ends), strict=True):
-                self.pieces[x] = own.tobytes() if x is group[0] else own[1:].tobytes()
-        for piece, own in parts.items():
-            self.pieces[piece] = b"".join([self.pieces[x] for x in own])
-
-    def _joinable(self, part: str) -> bool:
-        if self.words:
-            return not any(c.isnumeric() for c in part)
-        return bool(part.strip(" ")) and not _SPACES.search(part, 1) and (part[0] == " " or not part[0].isspace())
+    def _part(self, part: str) -> bytes:
+        """Ids of a piece without line breaks between words."""
+        found = _WORD_AND_SIGNS.fullmatch(part) if self.direct else None
+        if found is None:
+            return self._packed(self._ids(part))
+        word, signs = found.groups()
+        ids = self.pieces.get(word)
+        if ids is None:
+            ids = self.pieces[word] = self._merged(word)
+        if signs and signs not in self.pieces:
+            self.pieces[signs] = self._packed(self._ids(signs))
+        return ids + self.pieces[signs]
+
+    def _learn(self, piece: str) -> bytes:
+        lines = [piece] if self.words or "\n" not in piece else piece.split("\n")
+        if len(lines) == 1:
+            ids = self._part(piece)
+        else:
+            ids = self._packed(self._ids("\n")).join([self._part(line) if line else b"" for line in lines])
+        self.pieces[piece] = ids
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed little-endian ids of each text (null: none)."""
-        result: list[bytes] = []
-        part: list[str] = []
-        size = 0
-        for at, text in enumerate(texts):
-            part.append(text or "")
-            size += len(part[-1])
-            if size >= TEXT_AT_ONCE or at == len(texts) - 1:
-                result += self._encode(part)
-                part, size = [], 0
-        return result
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [self._text(t) if t else b"" for t in texts]
+
+    def _text(self, text: str) -> bytes:
         if len(self.pieces) > PIECES_KEPT:
             self.pieces = {"": b""}
-        cut = [self._cut(t) for t in texts]
-        new: set[str] = set()
-        for pieces in cut:
-            new.update(pieces or ())
-        self._learn(new.difference(self.pieces))
-        get = self.pieces.__getitem__
-        return [self._packed(self._ids(t)) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+        cut = self._cut(text)
+        if cut is None:
+            return self._packed(self._ids(text))
+        known, learn = self.pieces.get, self._learn
+        return b"".join([learn(p) if (ids := known(p)) is None else ids for p in cut])
 
 
 _ENCODERS: dict[str, Encoder] = {}
