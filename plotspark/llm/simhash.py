@@ -73,6 +73,8 @@ def _bit_cuts(low: int, high: int, parts: int) -> list[tuple[int, int]]:
 
 
 def _cut(value: Column, start: int, width: int) -> Column:
+    if width == FINGERPRINT_BITS:
+        return value
     return F.shiftrightunsigned(value, start).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
 
 
