@@ -10,7 +10,7 @@ The sample: ``samples`` cells per language by the digest of the text, in each ce
 Defined results
 * Texts that are null or have no letter are ``und`` with score 0, and so are all texts where no labelled text was given.
 * Rows with a null language or text teach nothing. Every row is predicted by its text alone, so repeated rows get the same answer.
-* Of equal sums the alphabetically first language wins, with score 0. With one language only, the score is 1.
+* Of equal sums the language with more labelled texts wins (then the alphabetically first), with score 0. With one language only, the score is 1.
 * An empty table gives an empty table. Result columns replace input columns of the same name; all others are carried along.
 """
 
@@ -42,6 +42,8 @@ PREDICTION = "lang_pred string, score double, margin double, rejected boolean"
 
 @dataclass(frozen=True)
 class LanguageModel:
+    """Languages, those with more labelled texts first, and their dictionaries."""
+
     languages: list[str]
     dictionaries: list[bytes]
 
@@ -72,7 +74,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", samples:
         languages.setdefault(row.lang, []).append(row.piece)
         if len(languages) > MOST_LANGUAGES:
             raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
-    names = sorted(languages)
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()} if languages else {}
+    names = sorted(languages, key=lambda n: (-counts[n], n))
     return LanguageModel(names, ["\n".join(languages[n]).lower().encode() for n in names])
 
 
