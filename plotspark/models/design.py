@@ -27,7 +27,7 @@ def keyed_join(rows: DataFrame, small: DataFrame, keys: Sequence[str], small_row
     if small_rows * (values_per_row * 8 + 64) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(small), list(keys))
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return salted_join(rows, small.join(sizes, list(keys)), list(keys), c("filename"), "_n")
+    return salted_join(rows, small.join(sizes, list(keys)), list(keys), "_n")
 
 
 def labelled_rows(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
@@ -51,7 +51,7 @@ def with_folds_per_key(rows: DataFrame, folds: DataFrame, key: str, train_aug: b
     sizes = rows.groupBy(key, "grp").agg(F.count(F.lit(1)).alias("_n"))
     marked = folds.join(sizes, [key, "grp"]).withColumn("_held", F.lit(True))
     every = rows.withColumn("cycle", F.explode(F.sequence(F.lit(0), c("_cycles") - 1))).drop("_cycles")
-    sided = salted_join(every, marked, [key, "cycle", "grp"], c("filename"), "_n", "left")
+    sided = salted_join(every, marked, [key, "cycle", "grp"], "_n", "left")
     sided = sided.withColumn("held_out", F.coalesce(c("_held"), F.lit(False))).drop("_held")
     return sided.withColumn("fit", ~c("held_out") & (F.lit(train_aug) | ~c("is_aug")))
 

@@ -327,13 +327,13 @@ def cloud_values(points: DataFrame, keys: Sequence[str], cfg: FeatureConfig = Fe
 
     out = clouds
     if frame:
-        rows = salted_join(veg, clouds, by, F.struct("x", "y", "h"), "n")
+        rows = salted_join(veg, clouds, by, "n")
         if set(AXES) <= base:
             rows = with_projection(rows)
         second = rows.groupBy(*by).agg(*[FRAME[n][1]().alias(n) for n in FRAME if n in frame])
         out = out.join(second, by, "left")
     if layers:
-        rows = salted_join(veg.select(*by, "x", "y", "h"), clouds.select(*by, "h_lo", "h_hi", "n"), by, F.struct("x", "y", "h"), "n")
+        rows = salted_join(veg.select(*by, "x", "y", "h"), clouds.select(*by, "h_lo", "h_hi", "n"), by, "n")
         lowest = F.floor(F.least(F.lit(0.0), c("h_lo"))).cast("double")
         rows = rows.withColumn("layer", layer_index(c("h"), lowest, c("h_hi"), cfg.entropy_bin))
         counts = rows.where(c("layer").isNotNull()).groupBy(*by, "layer").agg(F.count(F.lit(1)).alias("k"))
@@ -381,7 +381,7 @@ def grouped_feature(points: DataFrame, key: str, summarise, merge, finish, cfg:
     pts = pts.where(c("veg") & c("h").isNotNull())
     size = F.count(F.lit(1))
     sizes = pts.groupBy(*by).agg(F.ceil(size / F.lit(chunk_points)).alias("_chunks"), size.alias("_n"))
-    pts = salted_join(pts, sizes, by, F.struct("x", "y", "h"), "_n")
+    pts = salted_join(pts, sizes, by, "_n")
     pts = pts.withColumn("_chunk", F.pmod(F.xxhash64("x", "y", "h", F.lit(1)), c("_chunks")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pts.schema.fields if f.name in by)
 

@@ -2,57 +2,45 @@
 
 A plain window puts a whole group into one task. Everything here works in levels instead: a histogram over
 order-preserving buckets (map-side combined, at most a few thousand rows per group) finds *where* an order statistic
-lies, and only the rows of those buckets are looked at again. Results are exact.
-
-When Spark's own size estimate says that the whole input fits one task, the plain form is planned: it gives the same
-rows with fewer stages.
+lies, and only the rows of those buckets are looked at again. Results are exact, and the plan is the same for inputs
+of every size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotspark.functions.rng import hash_uniform
 from plotspark.session import checkpointed
 
-ONE_TASK_BYTES = 32 * 1024 * 1024  # inputs read from tables below this size may be handled by a single task
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    """Whether the tables below ``df`` are small by Spark's own size estimates (no job); unknown sizes count as large.
-
-    The leaves are summed, because estimates above joins multiply their sides and say little.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return sum(sizes) <= ONE_TASK_BYTES
+SHARES = 4096  # a joined group is cut so that no task gets more than about this fraction of all rows
 
 
-SHARES = 4096  # a joined group is cut so that no task gets more than about this fraction of all rows
+def row_spread(df: DataFrame) -> Column:
+    """A digest by which rows are dealt out: of the point's id where there is one, else of all columns that can be hashed."""
+    if "point_id" in df.columns:
+        return F.xxhash64("point_id")
+    return F.xxhash64(*[f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Column, weight: str, how: str = "inner",
+def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], weight: str, how: str = "inner",
                 shares: int = SHARES) -> DataFrame:
     """Join per-group values onto rows when one group may hold a large share of the rows.
 
     ``small`` has ``weight``, the group's number of rows in ``big`` (the same in all of a group's rows). A group with more than 1/shares of
-    all rows is cut: its rows draw a salt from ``spread`` and its small row is repeated per salt. There can be at
+    all rows is cut: its rows draw a salt (``row_spread``) and its small row is repeated per salt. There can be at
     most ``shares`` such groups, so the list of them is safe to broadcast whatever the data. All other groups join
     as they are; when the whole small side is small, Spark broadcasts it and no row moves. ``weight`` is dropped.
     """
     keys = list(keys)
-    if fits_one_task(big):
-        return big.join(small.drop(weight), keys, how)
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)  # a row per group, read for the total, the list and the join
     total = small.agg(F.greatest(F.sum(weight), F.lit(1))).scalar()
     sized = small.withColumn("_salts", F.greatest(F.lit(1), F.ceil(F.col(weight) * F.lit(shares) / total)).cast("int"))
     crowded = sized.where(F.col("_salts") > 1).select(*keys, "_salts").distinct()
     salts = F.coalesce(F.col("_salts"), F.lit(1))
-    left = big.join(F.broadcast(crowded), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
+    left = big.join(F.broadcast(crowded), keys, "left").withColumn("_salt", F.pmod(row_spread(big), salts).cast("int"))
     right = sized.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
     return left.drop("_salts").join(right.drop("_salts", weight), [*keys, "_salt"], how).drop("_salt")
 
@@ -95,7 +83,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: M
         return hit
 
     group = list(keys)
-    for level, bucket in enumerate(buckets[:1] if fits_one_task(rows) else buckets):
+    for level, bucket in enumerate(buckets):
         rows = rows.withColumn(f"_b{level}", bucket(F.col("_v")))
         carried = ["_start", "_n"] if level else []
         counts = rows.groupBy(*group, *carried, f"_b{level}").agg(F.count(F.lit(1)).alias("_c"))
@@ -139,8 +127,6 @@ def hash_rank(df: DataFrame, keys: Sequence[str], digest: str, ties: Sequence[st
     inside the part.
     """
     keys = list(keys)
-    if fits_one_task(df):
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy(digest, *ties)).cast("bigint"))
     ranges = F.ceil(F.sqrt(F.col(size_col).cast("double"))) if size_col else F.lit(16384)
     part = [*keys, "_part"]
     rows = df.withColumn("_part", F.floor(hash_uniform(F.col(digest)) * ranges))
@@ -168,20 +154,17 @@ def hash_sample(df: DataFrame, keys: Sequence[str], digest: str, ties: Sequence[
     slim = df.select(*keys, digest, *ties, ranges.alias("_ranges"))
     limits = quota.select(*keys, F.col(quota_col).alias("_quota"))
     whole = Window.partitionBy(*keys)
-    if fits_one_task(df):
-        edge = slim.join(limits, keys).withColumn("_need", F.col("_quota")).withColumn("_rows", F.lit(1))
-    else:
-        slim = slim.withColumn("_part", F.floor(hash_uniform(F.col(digest)) * F.col("_ranges")))
-        counts = slim.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c"))
-        counts = counts.withColumn("_upto", F.sum("_c").over(whole.orderBy("_part"))).withColumn("_rows", F.sum("_c").over(whole))
-        before = F.col("_upto") - F.col("_c")
-        border = counts.join(limits, keys).withColumn("_quota", F.least("_quota", "_rows"))
-        border = border.where((F.col("_upto") >= F.col("_quota")) & (before < F.col("_quota")))
-        edge = slim.join(border.select(*keys, "_part", "_rows", (F.col("_quota") - before).alias("_need")), [*keys, "_part"])
+    slim = slim.withColumn("_part", F.floor(hash_uniform(F.col(digest)) * F.col("_ranges")))
+    counts = slim.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_upto", F.sum("_c").over(whole.orderBy("_part"))).withColumn("_rows", F.sum("_c").over(whole))
+    before = F.col("_upto") - F.col("_c")
+    border = counts.join(limits, keys).withColumn("_quota", F.least("_quota", "_rows"))
+    border = border.where((F.col("_upto") >= F.col("_quota")) & (before < F.col("_quota")))
+    edge = slim.join(border.select(*keys, "_part", "_rows", (F.col("_quota") - before).alias("_need")), [*keys, "_part"])
     last = F.struct(F.col(digest).alias("d"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(ties)])
     edge = edge.withColumn("_rank", F.row_number().over(whole.orderBy(digest, *ties))).where(F.col("_rank") <= F.col("_need"))
     cut = edge.groupBy(*keys).agg(F.max(last).alias("_cut"), F.max("_rows").alias("_rows"))
-    marked = salted_join(df, cut, keys, F.col(digest), "_rows", "left" if keep_rest else "inner")
+    marked = salted_join(df, cut, keys, "_rows", "left" if keep_rest else "inner")
     kept = last <= F.col("_cut")
     if keep_rest:
         kept = F.col("_cut").isNull() | kept
@@ -194,8 +177,6 @@ def ordered_rank(df: DataFrame, order: Sequence[Column | str], out: str = "rank"
     Range-partitioned sort, then per-partition counts: no task sees more than its range. The sorted rows are
     checkpointed so that counting and numbering read the same partitions.
     """
-    if fits_one_task(df):
-        return df.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     position = F.monotonically_increasing_id()  # partition number in the high bits, row index in the low 33
     ranked = checkpointed(df.orderBy(*order).withColumn("_pos", position))
     ranked = ranked.withColumn("_range", F.shiftright("_pos", 33))
@@ -213,25 +194,23 @@ def count_below(df: DataFrame, keys: Sequence[str], value: str, out: str = "belo
                 buckets: Buckets = MAGNITUDE) -> DataFrame:
     """Per row: how many non-null values of its group are strictly smaller, and how many there are.
 
-    Distinct values are counted first, then ranked inside buckets, so neither ties nor group size matter.
+    Distinct values are counted first, then ranked inside coarse and inside fine buckets, so neither ties nor group size matter.
     """
     keys = list(keys)
     rows = df.withColumn("_k", F.lit(1)) if not keys else df
     group = keys or ["_k"]
-    counted = (
-        rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", buckets[0](F.col(value).cast("double")))
-    )
-    buckets = counted.groupBy(*group, "_b").agg(F.sum("_c").alias("_bc"))
-    whole = Window.partitionBy(*group)
-    buckets = (
-        buckets.withColumn("_before", F.sum("_bc").over(whole.orderBy("_b")) - F.col("_bc"))
-        .withColumn(total, F.sum("_bc").over(whole)).drop("_bc")
-    )
-    inside = F.sum("_c").over(Window.partitionBy(*group, "_b").orderBy(value)) - F.col("_c")
-    ranks = (
-        counted.withColumn("_inside", inside).join(buckets, [*group, "_b"])
-        .select(*group, value, (F.col("_before") + F.col("_inside")).alias(out), total, "_c")
-    )
-    spread = F.struct(*df.columns)  # rows of one frequent value are spread by their other columns
-    return salted_join(rows, ranks, [*group, value], spread, "_c", "left").drop("_k")
+    number = F.col(value).cast("double")
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    counted = counted.withColumn("_b0", buckets[0](number)).withColumn("_b1", buckets[1](number))
+
+    def earlier(count: str, within: list[str], order: str) -> Column:
+        return F.sum(count).over(Window.partitionBy(*within).orderBy(order)) - F.col(count)
+
+    fine = counted.groupBy(*group, "_b0", "_b1").agg(F.sum("_c").alias("_n1"))
+    coarse = fine.groupBy(*group, "_b0").agg(F.sum("_n1").alias("_n0"))
+    coarse = coarse.withColumn("_before0", earlier("_n0", group, "_b0")).withColumn(total, F.sum("_n0").over(Window.partitionBy(*group)))
+    fine = fine.withColumn("_before1", earlier("_n1", [*group, "_b0"], "_b1")).join(coarse.drop("_n0"), [*group, "_b0"])
+    placed = counted.withColumn("_inside", earlier("_c", [*group, "_b0", "_b1"], value)).join(fine.drop("_n1"), [*group, "_b0", "_b1"])
+    ranks = placed.select(*group, value, (F.col("_before0") + F.col("_before1") + F.col("_inside")).alias(out), total)
+    # Nothing after this join needs a value's rows together, so Spark may split the rows of a frequent one between tasks.
+    return rows.join(ranks, [*group, value], "left").select(*df.columns, out, total)

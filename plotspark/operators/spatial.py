@@ -69,7 +69,7 @@ def points_in_masks(points: DataFrame, masks: DataFrame, cell: float | None = No
         found = placed.join(F.broadcast(cells), key)
     else:
         crowd = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-        found = salted_join(placed, cells.join(crowd, key), key, F.struct("x", "y"), "_n")
+        found = salted_join(placed, cells.join(crowd, key), key, "_n")
     found = found.where(c("x").between(c("minx"), c("maxx")) & c("y").between(c("miny"), c("maxy")))
     found = found.where(strictly_inside(c("x"), c("y"), c("_edges")))
     return found.drop("_cx", "_cy", "_edges", "minx", "maxx", "miny", "maxy")
@@ -89,10 +89,10 @@ def trim_outliers(points: DataFrame, by: Sequence[str] = ("plot",), lo: float =
         .join(group_quantiles(points, by, "y", {"_ylo": lo, "_yhi": hi}, METRIC), by)
     )
     inside = c("x").between(c("_xlo"), c("_xhi")) & c("y").between(c("_ylo"), c("_yhi"))
-    banded = salted_join(points.select(*by, "x", "y"), limits, by, F.struct("x", "y"), "_n")
+    banded = salted_join(points.select(*by, "x", "y"), limits, by, "_n")
     kept = banded.groupBy(*by).agg(F.count_if(inside).alias("_kept"))
     limits = limits.join(kept, by).withColumn("_whole", (c("_n") < 20) | (c("_kept") < 3)).drop("_kept")
-    rows = salted_join(points, limits, by, F.struct("x", "y"), "_n")
+    rows = salted_join(points, limits, by, "_n")
     return rows.where(c("_whole") | inside).drop("_xlo", "_xhi", "_ylo", "_yhi", "_whole")
 
 
@@ -278,7 +278,7 @@ def place_on_grid(points: DataFrame, cells: DataFrame, pitch: DataFrame, by: str
     shift = middle.join(cells.select(by, "cell_col", "cell_row"), by).select(
         by, "_n", (c("cell_col") * pitch.select("pitch_x").scalar() - c("_mx")).alias("_sx"),
         (-c("cell_row") * pitch.select("pitch_y").scalar() - c("_my")).alias("_sy"))
-    moved = salted_join(points, shift, [by], F.struct("x", "y", "z"), "_n")
+    moved = salted_join(points, shift, [by], "_n")
     return moved.withColumn("x", c("x") + c("_sx")).withColumn("y", c("y") + c("_sy")).drop("_sx", "_sy")
 
 
@@ -316,7 +316,7 @@ def residuals(points: DataFrame, keys: Sequence[str] = ("filename",), height: st
         F.var_samp("x").alias("x_vs"), F.var_samp("y").alias("y_vs"), F.covar_samp("x", "y").alias("xy_cs"),
         F.covar_samp("x", height).alias("xh_cs"), F.covar_samp("y", height).alias("yh_cs"))
     plane = plane_columns(axis_columns(stats)).select(*keys, "_n", "h_avg", "x_avg", "y_avg", "plane_a", "plane_b")
-    rows = salted_join(points, plane, list(keys), F.struct("x", "y", height), "_n")
+    rows = salted_join(points, plane, list(keys), "_n")
     level = c("h_avg") + c("plane_a") * (c("x") - c("x_avg")) + c("plane_b") * (c("y") - c("y_avg"))
     return (
         rows.withColumn("plane_h", level).withColumn("residual", c(height) - level)

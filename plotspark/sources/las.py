@@ -11,7 +11,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotspark.operators.ranking import salted_join
+from plotspark.operators.ranking import row_spread, salted_join
 from plotspark.sources.files import SPLIT_BYTES, RangeFile, file_splits, scan
 
 c = F.col
@@ -183,8 +183,8 @@ def write_las(points: DataFrame, path: str, dims: list[str] | None = None, max_p
     colour = {"red", "green", "blue"} <= set(points.columns)
     size = F.count(F.lit(1))
     parts = points.groupBy("filename").agg(F.ceil(size / F.lit(max_points)).alias("_parts"), size.alias("_n"))
-    rows = salted_join(points, parts, ["filename"], F.struct("x", "y", "z"), "_n")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("x", "y", "z", F.lit(7)), c("_parts"))).drop("_parts")
+    rows = salted_join(points, parts, ["filename"], "_n")
+    rows = rows.withColumn("part", F.pmod(F.hash(row_spread(points)), c("_parts"))).drop("_parts")
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         name, part = pdf["filename"].iloc[0], int(pdf["part"].iloc[0])

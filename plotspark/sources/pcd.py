@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotspark.operators.ranking import salted_join
+from plotspark.operators.ranking import row_spread, salted_join
 from plotspark.sources.files import HEADER_BYTES, SPLIT_BYTES, RangeFile, file_splits, scan
 
 c = F.col
@@ -196,7 +196,7 @@ def write_pcd(points: DataFrame, path: str, columns: list[str] | None = None, ma
     columns = columns or ["x", "y", "z"]
     size = F.count(F.lit(1))
     parts = points.groupBy("filename").agg(F.ceil(size / F.lit(max_points)).alias("_parts"), size.alias("_n"))
-    rows = salted_join(points, parts, ["filename"], F.struct("x", "y", "z"), "_n").withColumn("part", F.pmod(F.xxhash64("x", "y", "z", F.lit(7)), c("_parts")))
+    rows = salted_join(points, parts, ["filename"], "_n").withColumn("part", F.pmod(F.hash(row_spread(points)), c("_parts")))
     sizes = rows.groupBy("filename", "part").agg(F.count(F.lit(1)).alias("_n"))
     many = lambda word: " ".join(word for _ in columns)
     n = c("_n").cast("string")

@@ -5,7 +5,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from plotspark.operators import ranking  # noqa: E402
 from plotspark.session import local_session  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -20,20 +19,6 @@ def spark():
     session.stop()
 
 
-@pytest.fixture(params=["plain", "distributed"])
-def plans(request, monkeypatch):
-    """Run a test with the plans for small inputs and with the plans for inputs no single task can hold."""
-    if request.param == "distributed":
-        monkeypatch.setattr(ranking, "ONE_TASK_BYTES", -1)
-    return request.param
-
-
-@pytest.fixture
-def at_scale(monkeypatch):
-    """Plan as for inputs that no single task can hold."""
-    monkeypatch.setattr(ranking, "ONE_TASK_BYTES", -1)
-
-
 @pytest.fixture
 def cloud(spark):
     """cloud(rows, **defaults): a points table from dicts."""

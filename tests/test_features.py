@@ -24,7 +24,7 @@ def test_percentiles_of_a_ramp(cloud):
     assert got["h_p25"] == 1 and got["h_p75"] == 3 and got["h_p95"] == pytest.approx(3.8)
 
 
-def test_quantiles_match_numpy_for_any_scale(spark, plans):
+def test_quantiles_match_numpy_for_any_scale(spark):
     from plotspark.operators.ranking import MAGNITUDE, METRIC, group_quantiles
 
     rng = np.random.default_rng(3)
@@ -54,7 +54,7 @@ def test_shape_moments(cloud):
 
 
 @pytest.mark.parametrize("values, width, bits", [((0.1, 0.2, 5.1, 5.2), 0.5, 1.0), ((0.05, 0.15, 0.25, 0.35), 0.1, 2.0)])
-def test_entropy_in_bits(cloud, at_scale, values, width, bits):
+def test_entropy_in_bits(cloud, values, width, bits):
     assert one(ft.compute_features(heights(cloud, values), ["entropy"], FeatureConfig(entropy_bin=width)))["entropy"] == pytest.approx(bits)
 
 
@@ -80,7 +80,7 @@ def test_tilted_plane_has_no_roughness(cloud):
     assert one(ft.compute_features(cloud(spot), ["sigma_z"]))["sigma_z"] == pytest.approx(np.std([0, 1, 5]))
 
 
-def test_shares(cloud, at_scale):
+def test_shares(cloud):
     assert one(ft.compute_features(heights(cloud, [0, 0, 0, 10]), ["frac_above_mean"]))["frac_above_mean"] == 0.25
     rows = [{"classification": 2}] * 3 + [{"classification": 1}] * 7
     assert one(ft.compute_features(cloud(rows), ["ppr"]))["ppr"] == pytest.approx(0.3)
@@ -108,7 +108,7 @@ def strip(seed=0, angle=0.0, shift=(0.0, 0.0)):
 HORIZONTAL = [k for k, f in ft.FEATURES.items() if f.cls == "2D"]
 
 
-def test_horizontal_features_ignore_rotation_and_shift(cloud, at_scale):
+def test_horizontal_features_ignore_rotation_and_shift(cloud):
     assert len(HORIZONTAL) == 9
     here = one(ft.compute_features(cloud(strip()), HORIZONTAL))
     there = one(ft.compute_features(cloud(strip(angle=53, shift=(1000, -200))), HORIZONTAL))

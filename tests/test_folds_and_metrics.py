@@ -38,12 +38,12 @@ def test_block_sizes_round_half_to_even_and_shrink():
     assert fd.block_size(5, 0.0001, 1) == 1
 
 
-def test_systematic(spark, plans):
+def test_systematic(spark):
     got = as_sets(fd.systematic_folds(groups(spark, 12), 3, 1 / 3))
     assert got == {0: {f"plot:{i}" for i in (1, 4, 7, 10)}, 1: {f"plot:{i}" for i in (2, 5, 8, 11)}, 2: {f"plot:{i}" for i in (3, 6, 9, 12)}}
 
 
-def test_sequential_orders_numbers_before_text(spark, plans):
+def test_sequential_orders_numbers_before_text(spark):
     got = as_sets(fd.sequential_folds(groups(spark, 11, ["row:b", "row:a"]), 4, 0.25))
     assert got[0] == {"plot:1", "plot:2", "plot:3"} and got[3] == {"plot:10", "plot:11", "row:a"}
 
@@ -57,7 +57,7 @@ def test_partitions_never_hold_out_twice(spark, mode, n, splits, size):
     assert len({len(s) for s in got.values()}) == 1
 
 
-def test_random_modes_do_not_depend_on_partitioning(spark, plans):
+def test_random_modes_do_not_depend_on_partitioning(spark):
     for mode in ("random", "random_systematic"):
         one = as_sets(fd.grouped_folds(groups(spark, 23).coalesce(1), mode, 4, 0.2, 9))
         many = as_sets(fd.grouped_folds(groups(spark, 23).repartition(7), mode, 4, 0.2, 9))
@@ -132,7 +132,7 @@ def test_bar_order_keeps_missing_last(spark):
     assert order("none") == [0, 1, 2, 3, 4] and order("asc") == [0, 4, 2, 1, 3] and order("desc") == [2, 4, 0, 1, 3]
 
 
-def test_fields(spark, at_scale):
+def test_fields(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 3.0), (3, 3.0), (4, None), (5, 5.0)], "plot int, v double")
     z = {r["plot"]: r["z"] for r in rs.z_scores(df, "v").collect()}
     assert z[1] == pytest.approx(-2 / math.sqrt(2)) and z[4] is None
@@ -143,7 +143,7 @@ def test_fields(spark, at_scale):
     assert {r["z"] for r in rs.z_scores(flat, "v").collect()} == {None}
 
 
-def test_distribution_and_density(spark, at_scale):
+def test_distribution_and_density(spark):
     rng = np.random.default_rng(4)
     v = np.append(rng.normal(10, 2, 80), 40.0)
     df = spark.createDataFrame([(float(x),) for x in v], "v double")

@@ -20,7 +20,7 @@ SQUARE = [(0, 0), (10, 0), (10, 10), (0, 10)]
 
 
 @pytest.mark.parametrize("how", ["broadcast", "cut by cell counts"])
-def test_clip_is_strict_and_may_match_twice(spark, cloud, at_scale, how):
+def test_clip_is_strict_and_may_match_twice(spark, cloud, how):
     size = 1 << 20 if how == "broadcast" else -1
     pts = cloud([{"x": 1, "y": 1}, {"x": 9, "y": 9}, {"x": 20, "y": 20}, {"x": 0, "y": 5}, {"x": 10, "y": 10}, {"x": 5, "y": 0}])
     masks = polygon(spark, {1: [SQUARE], 2: [[(0.5, 0.5), (2, 0.5), (2, 2), (0.5, 2)]], 3: [[(50, 50), (60, 50), (60, 60)]]})
@@ -87,7 +87,7 @@ def test_hull_pruning_keeps_every_vertex():
         assert full and {tuple(p) for p in sp.hull_of(xy)} == {tuple(p) for p in sp.hull_of(sp._outer_points(xy))}
 
 
-def test_trim(cloud, at_scale):
+def test_trim(cloud):
     rng = np.random.default_rng(0)
     rows = [{"x": x, "y": y} for x, y in rng.uniform(0, 10, (400, 2))] + [{"x": 500, "y": 5}]
     pts = cloud(rows).withColumn("plot", F.lit(1)).unionByName(cloud([{"x": i} for i in range(5)]).withColumn("plot", F.lit(2)))
@@ -96,7 +96,7 @@ def test_trim(cloud, at_scale):
     assert kept.where("plot = 1").agg(F.max("x")).first()[0] < 11 and kept.where("plot = 1").count() > 380
 
 
-def test_grid_placement(spark, cloud, at_scale):
+def test_grid_placement(spark, cloud):
     clouds = None
     for i, (x, y) in enumerate([(0, 0), (100, 7), (-40, 3)]):
         part = cloud([{"x": x, "y": y, "z": 5}, {"x": x + 2, "y": y + 2, "z": 6}], f"plot({i + 1}).laz")
@@ -171,7 +171,7 @@ def test_jitter(cloud):
     assert np.allclose(raw["z"], up["z"]) and (raw["height"] == before["height"]).all()
 
 
-def test_sampling_sizes(cloud, at_scale):
+def test_sampling_sizes(cloud):
     pts = field(cloud)
     kept = run(pts, "dropout", 0.3)
     assert kept.count() == 70 == kept.select("point_id").distinct().count()
@@ -180,7 +180,7 @@ def test_sampling_sizes(cloud, at_scale):
     assert run(pts, "dropout", 1.0).count() == 1
 
 
-def test_runs_do_not_depend_on_partitioning(cloud, at_scale):
+def test_runs_do_not_depend_on_partitioning(cloud):
     cfg = ag.AugmentConfig(list(ag.AUGMENTATIONS), 1, 4, copies=3, seed=2, ranges={"bootstrap": (0.5, 0.9)})
     columns = ["copy", "point_id", "x", "y", "z", "height"]
     one = ag.augment(field(cloud).coalesce(1), cfg).select(columns).collect()
