@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from plotspark.models import design as ds
 from plotspark.models import knn, rff, target, trees
 from plotspark.models.gram import LINEAR, Trial, fit_linear, predict_linear
-from plotspark.models.registry import MODELS, draw_params
+from plotspark.models.registry import MODELS, defaults, draw_params
 from plotspark.operators import folds as fd
 from plotspark.operators import metrics as mt
 
@@ -43,7 +43,7 @@ class Procedure:
     correction: str = "smearing"
 
     def all_params(self) -> dict:
-        return {**MODELS[self.model].defaults(), **self.params}
+        return {**defaults(self.model), **self.params}
 
 
 @dataclass(frozen=True)
@@ -70,9 +70,10 @@ def _fit_predict(rows: DataFrame, proc: Procedure, keys: Sequence[str], n_keys:
     if proc.model == "gpr":
         parts, coef_parts = [], []
         for t in trials:  # the features depend on the trial's length scale
-            lifted = rff.random_features(prepared, size, float(t.params.get("length_scale", 1.0)), proc.seed)
-            coefs = fit_linear(lifted, prep, keys, rff.N_FEATURES, [Trial(t.trial, "gpr", t.params)])
-            parts.append(predict_linear(lifted, coefs, keys, n_keys, 1, rff.N_FEATURES))
+            width = int(t.params.get("features", rff.N_FEATURES))
+            lifted = rff.random_features(prepared, size, float(t.params.get("length_scale", 1.0)), proc.seed, width)
+            coefs = fit_linear(lifted, prep, keys, width, [Trial(t.trial, "gpr", t.params)])
+            parts.append(predict_linear(lifted, coefs, keys, n_keys, 1, width))
             coef_parts.append(coefs)
         return _union(parts), prep, _union(coef_parts)
     if proc.model == "knn":
@@ -89,9 +90,10 @@ def _fit_predict(rows: DataFrame, proc: Procedure, keys: Sequence[str], n_keys:
                 raise ValueError("the polynomial kernel is not supported; use rbf or linear")
             lifted, width = prepared, size
             if kernel == "rbf":
-                scale = rff.svr_length_scale(size, str(t.params.get("gamma", "scale")))
-                lifted, width = rff.random_features(prepared, size, scale, proc.seed), rff.N_FEATURES
-            coefs = rff.fit_svr(lifted, keys, width, float(t.params.get("C", 10.0)), float(t.params.get("epsilon", 0.1)))
+                scaled = rff.unit_variance(prepared, keys, n_keys) if str(t.params.get("gamma", "scale")) == "scale" else prepared
+                width = int(t.params.get("features", rff.N_FEATURES))
+                lifted = rff.random_features(scaled, size, rff.svr_length_scale(size), proc.seed, width)
+            coefs = rff.fit_svr(lifted, keys, width, float(t.params.get("C", 10.0)), float(t.params.get("epsilon", 0.1)), int(t.params.get("max_steps", 120)))
             parts.append(predict_linear(lifted, coefs.withColumn("trial", F.lit(t.trial)), keys, n_keys, 1, width))
         return _union(parts), prep, None
     if list(keys) != ["cycle"]:
@@ -163,7 +165,7 @@ def summary(run: Run) -> DataFrame:
     held = fold_metrics(run).where(c("scope") == "held_out")
     return held.agg(
         F.lit(run.procedure.model).alias("model"), F.count(F.lit(1)).alias("n_splits"), F.avg("rrmse").alias("mean_rrmse"),
-        F.stddev_pop("rrmse").alias("std_rrmse"), F.min_by("split", F.struct("rrmse", "split")).alias("best_split"))
+        F.stddev_pop("rrmse").alias("std_rrmse"), mt.lowest("split", "rrmse").alias("best_split"))
 
 
 # -------------------------------------------------------------------------------------- search
@@ -200,8 +202,9 @@ def score_trials(df: DataFrame, proc: Procedure, trials: Sequence[Trial], inner_
 
 
 def best_trials(scores: DataFrame) -> DataFrame:
-    """The winner per outer fold: lowest mean rRMSE, first trial on ties."""
-    return scores.groupBy("outer").agg(F.min_by(F.struct("trial", "mean_rrmse", "mean_r2", "n_folds"), F.struct("mean_rrmse", "trial")).alias("_b")).select("outer", "_b.*")
+    """The winner per outer fold: lowest mean rRMSE, first trial on ties; trials without a finite mean never win."""
+    winner = mt.lowest(F.struct("trial", "mean_rrmse", "mean_r2", "n_folds"), "mean_rrmse", "trial")
+    return scores.groupBy("outer").agg(winner.alias("_b")).where(c("_b").isNotNull()).select("outer", "_b.*")
 
 
 def draw_trials(proc: Procedure, n_trials: int) -> list[Trial]:

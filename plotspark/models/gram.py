@@ -14,6 +14,9 @@ from plotspark.models.design import dot, keyed_join
 
 c = F.col
 
+# Sweeps stop when no weight moved by more than tol * STRICT of the largest; on cross-products a sweep is cheap, so this is far below tol.
+STRICT = 1e-6
+
 LINEAR = ("ridge", "lasso", "elastic_net", "pls")
 
 
@@ -74,7 +77,7 @@ def elastic_net_weights(sxx: np.ndarray, sxy: np.ndarray, n: int, alpha: float,
             new = np.sign(rho) * max(abs(rho) - alpha * l1, 0.0) / (q[j, j] + alpha * (1.0 - l1))
             change, largest = max(change, abs(new - w[j])), max(largest, abs(new))
             w[j] = new
-        if change <= min(tol, 1e-4) * 1e-6 * max(largest, 1e-300):
+        if change <= tol * STRICT * max(largest, 1e-300):
             break
     return w
 
@@ -123,21 +126,22 @@ def weights_of(trial: Trial, sxx: np.ndarray, sxy: np.ndarray, n: int) -> np.nda
 
 
 def fit_linear(design: DataFrame, prep: DataFrame, keys: Sequence[str], size: int, trials: Sequence[Trial]) -> DataFrame:
-    """(keys, trial, w) for every fold and trial from one cross-product pass."""
+    """(keys, trial, w) for every fold and trial from one cross-product pass; every fold and trial is a solve of its own."""
     keys = list(keys)
-    entries = gram(design, keys, size).join(prep.select(*keys, "n_fit"), keys)
+    chosen = {t.trial: t for t in trials}
+    entries = gram(design, keys, size).join(prep.select(*keys, "n_fit"), keys).withColumn("trial", F.explode(F.array(*[F.lit(t).cast("int") for t in chosen])))
     schema = f"{_key_fields(entries, keys)}, trial int, w array<double>"
-    chosen = list(trials)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:  # (size + 1)(size + 2) / 2 rows
         cross = np.zeros((size + 1, size + 1))
         cross[pdf["i"], pdf["j"]] = pdf["v"]
         cross[pdf["j"], pdf["i"]] = pdf["v"]
         n = int(pdf["n_fit"].iloc[0])
-        w = [weights_of(t, cross[:size, :size], cross[:size, size], n).tolist() for t in chosen]
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "trial": [t.trial for t in chosen], "w": w}, columns=[*keys, "trial", "w"])
+        trial = int(pdf["trial"].iloc[0])
+        w = weights_of(chosen[trial], cross[:size, :size], cross[:size, size], n).tolist()
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "trial": [trial], "w": [w]}, columns=[*keys, "trial", "w"])
 
-    return entries.groupBy(*keys).applyInPandas(solve, schema)
+    return entries.groupBy(*keys, "trial").applyInPandas(solve, schema)
 
 
 def predict_linear(design: DataFrame, coefs: DataFrame, keys: Sequence[str], n_keys: int, n_trials: int, size: int) -> DataFrame:

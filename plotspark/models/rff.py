@@ -1,13 +1,14 @@
 """Kernel models re-expressed on random Fourier features, which keep them linear in the number of rows.
 
 The Gaussian-process regression is ridge with the noise as penalty; the support-vector regression is an
-epsilon-insensitive linear model fitted by a fixed number of subgradient steps. Kernel parameters are used as given.
+epsilon-insensitive linear model fitted by subgradient steps until its objective settles. Kernel parameters are used as given.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotspark.models.design import BROADCAST_BYTES
+from plotspark.models.design import BROADCAST_BYTES, keyed_join
 
 c = F.col
 
@@ -47,14 +48,28 @@ def random_features(design: DataFrame, size: int, length_scale: float, seed: int
     return design.withColumn("x", lift("x"))
 
 
-def svr_length_scale(size: int, gamma: str, variance: float = 1.0) -> float:
-    """The length that matches an RBF kernel exp(-gamma d^2)."""
-    g = 1.0 / (size * variance) if gamma == "scale" else 1.0 / size
-    return math.sqrt(1.0 / (2.0 * g))
+def svr_length_scale(size: int) -> float:
+    """The length that matches an RBF kernel exp(-d^2 / size) on columns of variance 1."""
+    return math.sqrt(size / 2.0)
 
 
-def fit_svr(design: DataFrame, keys: Sequence[str], size: int, cost: float, epsilon: float, steps: int = 30) -> DataFrame:
-    """(keys, trial, w) of the epsilon-insensitive linear model; every step is one aggregation over all folds."""
+def unit_variance(design: DataFrame, keys: Sequence[str], n_keys: int) -> DataFrame:
+    """``x`` divided by the spread of all fitted x values of its fold, so that gamma "scale" is 1 / size there."""
+    whole = lambda f: F.aggregate(F.transform("x", f), F.lit(0.0), lambda a, b: a + b)
+    facts = design.where("fit").groupBy(*keys).agg(
+        F.sum(whole(lambda v: v)).alias("_s"), F.sum(whole(lambda v: v * v)).alias("_q"), F.sum(F.size("x")).alias("_c"))
+    spread = F.sqrt(F.greatest(c("_q") / c("_c") - F.pow(c("_s") / c("_c"), 2), F.lit(0.0)))
+    facts = facts.select(*keys, F.when(spread > 0, spread).otherwise(F.lit(1.0)).alias("_spread"))
+    rows = keyed_join(design, facts, list(keys), n_keys, 1)
+    return rows.withColumn("x", F.transform("x", lambda v: v / c("_spread"))).drop("_spread")
+
+
+def fit_svr(design: DataFrame, keys: Sequence[str], size: int, cost: float, epsilon: float, max_steps: int = 120, tol: float = 1e-3, window: int = 10) -> DataFrame:
+    """(keys, trial, w) of the epsilon-insensitive linear model; every step is one aggregation over all folds.
+
+    Steps go on until no fold's best objective has improved by more than ``tol`` of itself in the last ``window`` steps; the weights with
+    the best objective are kept. Where ``max_steps`` come first, a warning says so.
+    """
     keys = list(keys)
     rows = design.where("fit").select(*keys, "x", (c("y") - c("y_mean")).alias("_yc"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys)
@@ -63,9 +78,10 @@ def fit_svr(design: DataFrame, keys: Sequence[str], size: int, cost: float, epsi
         raise ValueError("too many folds for one run; run them in parts")
     info = {tuple(r[k] for k in keys): (r["n"], r["s"] or 1.0) for r in facts}
     weights = {key: np.zeros(size) for key in info}
-    averaged = {key: np.zeros(size) for key in info}
+    best = {key: (math.inf, np.zeros(size)) for key in info}
+    reached: list[dict] = []
 
-    for step in range(steps):
+    for step in range(max_steps + 1):
         current = {key: w.copy() for key, w in weights.items()}
 
         def slopes(batches: Iterator[pd.DataFrame], current=current) -> Iterator[pd.DataFrame]:
@@ -75,21 +91,28 @@ def fit_svr(design: DataFrame, keys: Sequence[str], size: int, cost: float, epsi
                     x = np.stack(part["x"].to_numpy())
                     miss = part["_yc"].to_numpy() - x @ current[key]
                     sign = np.where(miss > epsilon, 1.0, np.where(miss < -epsilon, -1.0, 0.0))
-                    sums[key] = sums.get(key, 0.0) + x.T @ sign
+                    loss = np.maximum(np.abs(miss) - epsilon, 0.0).sum()
+                    sums[key] = sums.get(key, 0.0) + np.append(x.T @ sign, loss)
             for key, g in sums.items():  # one row per fold and partition
                 yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "g": [g]})
 
         partial = rows.mapInPandas(slopes, f"{fields}, g array<double>")
         summed = partial.select(*keys, F.posexplode("g").alias("i", "v")).groupBy(*keys, "i").agg(F.sum("v").alias("v"))
-        total = {key: np.zeros(size) for key in info}
-        for r in summed.collect():  # folds x features
+        total = {key: np.zeros(size + 1) for key in info}
+        for r in summed.collect():  # folds x (features + 1)
             total[tuple(r[k] for k in keys)][r["i"]] = r["v"]
         for key, (n, spread) in info.items():
-            pull = weights[key] / (cost * n) - total[key] / n  # objective divided by cost * n
+            objective = weights[key] @ weights[key] / (2.0 * cost * n) + total[key][size] / n  # divided by cost * n
+            if objective < best[key][0]:
+                best[key] = (objective, weights[key].copy())
+            pull = weights[key] / (cost * n) - total[key][:size] / n
             norm = np.linalg.norm(pull)
             if norm > 0:
                 weights[key] = weights[key] - spread * 2.0 / math.sqrt(step + 1.0) * pull / max(norm, 1e-12)
-            averaged[key] += weights[key]
-    half = {key: w / steps for key, w in averaged.items()}
+        reached.append({key: value for key, (value, _) in best.items()})
+        if len(reached) > window and all(reached[-1 - window][k] - reached[-1][k] <= tol * abs(reached[-1][k]) for k in info):
+            break
+    else:
+        warnings.warn(f"support vectors: the objective had not settled after {max_steps} steps", RuntimeWarning, stacklevel=2)
     spark = design.sparkSession
-    return spark.createDataFrame([(*key, 0, [float(v) for v in w]) for key, w in half.items()], f"{fields}, trial int, w array<double>")
+    return spark.createDataFrame([(*key, 0, [float(v) for v in w]) for key, (_, w) in best.items()], f"{fields}, trial int, w array<double>")

@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 c = F.col
 
-MAX_DEPTH = 30  # MLlib's limit; depth 0 (unlimited) means this
+MAX_DEPTH = 30  # MLlib's limit
+# Depth 0, no limit of its own: forests grow as far as MLlib can, boosted trees stop at 2^5 leaves.
+FREE_DEPTH = {"random_forest": MAX_DEPTH, "hist_gbt": 5}
 
 
 def estimator(model: str, params: dict, seed: int):
     depth = int(params.get("max_depth", 0))
-    depth = MAX_DEPTH if depth <= 0 else min(depth, MAX_DEPTH)
+    if depth > MAX_DEPTH or depth < 0:
+        raise ValueError(f"max_depth must lie between 0 and {MAX_DEPTH}")
+    depth = depth or FREE_DEPTH.get(model, MAX_DEPTH)
     common = {"featuresCol": "features", "labelCol": "y", "predictionCol": "predicted", "seed": seed, "cacheNodeIds": False}
     if model == "random_forest":
         return RandomForestRegressor(

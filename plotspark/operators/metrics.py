@@ -45,6 +45,16 @@ def mape(y: Column, p: Column) -> Column:
     return F.avg(F.abs(y - p) / F.greatest(F.abs(y), F.lit(EPS))) * 100.0
 
 
+def finite(name: str) -> Column:
+    """The column's value where it is a finite number."""
+    return F.when(F.abs(c(name)) < float("inf"), c(name))
+
+
+def lowest(pick: Column | str, value: str, tie: str = "split") -> Column:
+    """Aggregate: ``pick`` of the row with the lowest finite value, the smaller ``tie`` first; null where no row has one."""
+    return F.min_by(pick, F.when(finite(value).isNotNull(), F.struct(value, tie)))
+
+
 def metric_columns(actual: str = "actual", predicted: str = "predicted") -> list[Column]:
     y, p = c(actual), c(predicted)
     return [

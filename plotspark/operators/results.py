@@ -89,9 +89,9 @@ def generalisation_gap(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def best_splits(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Lowest held-out rRMSE per run, first split on ties."""
+    """Lowest held-out rRMSE per run, first split on ties; splits without a finite value never win."""
     held = metrics.where(c("scope") == "held_out") if "scope" in metrics.columns else metrics
-    return held.groupBy(*keys).agg(F.min_by("split", F.struct("rrmse", "split")).alias("best_split"), F.min("rrmse").alias("best_rrmse"))
+    return held.groupBy(*keys).agg(mt.lowest("split", "rrmse").alias("best_split"), F.min(mt.finite("rrmse")).alias("best_rrmse"))
 
 
 def active_splits(metrics: DataFrame, keys: Sequence[str], wanted: Column) -> DataFrame:

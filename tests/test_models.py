@@ -85,7 +85,7 @@ def test_pls_with_all_components_is_least_squares():
     assert np.allclose(x @ one, t * (t @ y) / (t @ t))
 
 
-def test_neighbours_equal_brute_force(data, at_scale):
+def test_neighbours_equal_brute_force(data):
     run_rows = ds.labelled_rows(data, FEATURES, "target")
     from plotspark.operators import folds as fd
 
@@ -121,7 +121,7 @@ def test_k_is_clamped_to_the_training_rows(data):
     assert np.allclose(predictions(run, 1), pdf["target"][fit].mean())
 
 
-def test_imputation_and_partial_scaling(data, at_scale):
+def test_imputation_and_partial_scaling(data):
     holed = data.withColumn("f2", F.when(c("f2") > 0, c("f2"))).withColumn("f9", F.lit("none"))
     rows = ds.labelled_rows(holed, ("f0", "f2", "f9"), "target")
     from plotspark.operators import folds as fd
@@ -204,7 +204,7 @@ def test_search_finds_the_better_penalty(data):
 def test_search_space(spark):
     rows = {(r["model"], r["param"]): r for r in registry.search_space(spark, 3).collect()}
     assert rows[("ridge", "alpha")]["log_scale"] and not rows[("knn", "n_neighbors")]["log_scale"]
-    assert rows[("pls", "n_components")]["high"] == 3.0 and rows[("svr", "kernel")]["choices"] == "rbf, linear, poly"
+    assert rows[("pls", "n_components")]["high"] == 3.0 and rows[("svr", "kernel")]["choices"] == "rbf, linear"
     assert ("lasso", "max_iter") not in rows and not rows[("elastic_net", "l1_ratio")]["log_scale"]
     draws = [registry.draw_params("lasso", i, 0, limits={"max_iter": 500}) for i in range(50)]
     assert all(1e-4 <= d["alpha"] <= 1000 and d["max_iter"] == 500 and d["tol"] == 1e-4 for d in draws)
@@ -225,14 +225,13 @@ def test_registered_model(data):
     def fit_predict(design, prep, size, params, n_cycles, seed):
         return design.withColumn("predicted", c("y_mean") + params["shift"])
 
-    registry.register_model(registry.Model("mean", "Mean", False, (registry.HParam("shift", "float", 2.0, 0.0, 5.0),)), fit_predict)
+    registry.register_model(registry.Model("mean", "Mean", False), [registry.Param("mean", "shift", 2.0, "linear", 0.0, 5.0)], fit_predict)
     try:
         run = cv.run_procedure(data, cv.Procedure("mean", FEATURES))
         pdf, fit, _ = fold_arrays(data, 1)
         assert np.allclose(predictions(run, 1), pdf["target"][fit].mean() + 2.0)
     finally:
-        registry.MODELS.pop("mean")
-        cv.CUSTOM.pop("mean")
+        registry.unregister_model("mean")
 
 
 def test_importance_ranks_the_signal(data):
@@ -273,3 +272,25 @@ def test_stored_model_scores_like_the_run(data, tmp_path, spark):
     assert np.allclose(table.sort_index(), predictions(run, 2).sort_index())
     with pytest.raises(ValueError):
         save_run(str(tmp_path), "r1", {"other": run.predictions})
+
+
+@pytest.mark.parametrize(("model", "fixed"), [("svr", {"features": 16, "max_steps": 15}), ("hist_gbt", {})])
+def test_search_draws_only_what_a_model_accepts(data, model, fixed, monkeypatch):
+    small = [p._replace(high=10) if (p.model, p.name) == ("hist_gbt", "max_iter") else p for p in registry.PARAMS]
+    monkeypatch.setattr(registry, "PARAMS", small)
+    proc = cv.Procedure(model, FEATURES[:2], params=fixed, n_splits=2)
+    run, _ = cv.nested_search(data, proc, 2, 2)
+    assert cv.fold_metrics(run).count() == 4
+
+
+def test_a_trial_or_split_without_a_score_never_wins(spark):
+    nan, inf = float("nan"), float("inf")
+    trials = spark.createDataFrame([(0, 0, None, 1.0, 3), (0, 1, 5.0, 1.0, 3), (0, 2, nan, 1.0, 3), (0, 3, 5.0, 1.0, 3), (1, 0, inf, 1.0, 3)], "`outer` int, trial int, mean_rrmse double, mean_r2 double, n_folds bigint")
+    assert [(r["outer"], r["trial"]) for r in cv.best_trials(trials).collect()] == [(0, 1)]
+
+
+def test_gamma_follows_the_columns_spread(data):
+    wide = data.withColumns({f: c(f) * 1000 for f in FEATURES})
+    proc = cv.Procedure("svr", FEATURES, params={"features": 32, "max_steps": 10}, normalize=[], n_splits=2)
+    a, b = (cv.run_procedure(d, proc).predictions.orderBy("split", "filename").toPandas()["predicted"] for d in (data, wide))
+    assert np.allclose(a, b, rtol=1e-6)
