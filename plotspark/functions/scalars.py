@@ -180,7 +180,7 @@ def model_abbreviation(model_key: Column) -> Column:
 
 
 def run_label(model_key: Column, augmented: Column, nested: Column, target: Column, rrmse: Column, saved_at: Column) -> Column:
-    """The one-line text a saved run is listed under."""
+    """The one-line text a saved run is listed under (fixed value: its wording)."""
     return F.concat(
         F.lit("[ML] "), model_key, F.when(augmented, F.lit(" (AUG)")).otherwise(F.lit("")),
         F.when(nested, F.lit(" (nested CV)")).otherwise(F.lit("")), F.lit(" — "), target,
@@ -189,7 +189,6 @@ def run_label(model_key: Column, augmented: Column, nested: Column, target: Colu
 
 
 def safe_run_name(name: Column) -> Column:
-    """A typed run name without extension, separators and characters file systems refuse."""
-    text = F.regexp_replace(F.trim(name), r"(?i)\.joblib$", "")
-    text = F.regexp_replace(text, r'[<>:"/\\|?*\x00-\x1f]', "")
-    return F.regexp_replace(F.regexp_replace(text, r"\s+", "_"), r"^[._ ]+|[._ ]+$", "")
+    """A typed run name as a Parquet folder name: words of letters, digits, ``.`` and ``-``, joined by ``_``."""
+    words = F.regexp_extract_all(name, F.lit(r"[\p{L}\p{N}][\p{L}\p{N}.\-]*"), 0)
+    return F.array_join(F.transform(words, lambda w: F.rtrim(w, F.lit(".-"))), "_")

@@ -172,4 +172,4 @@ def test_box_angle(spark):
 
 
 def test_safe_run_name(spark):
-    assert column(spark, [" my run?.joblib", "../x/y", "  "], scalars.safe_run_name) == ["my_run", "xy", ""]
+    assert column(spark, [" my run? v1.2", "../x/y", "  ", "été-3."], scalars.safe_run_name) == ["my_run_v1.2", "x_y", "", "été-3"]
