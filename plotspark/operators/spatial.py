@@ -14,6 +14,7 @@ from plotspark.operators.ranking import METRIC, group_quantiles, ordered_rank, s
 
 c = F.col
 
+SMALLEST_CELL = 1e-3  # metres; masks without an extent are gridded as if they had this one
 
 # ----------------------------------------------------------------------------- point in polygon
 def ring_edges(rings: Column) -> Column:
@@ -41,38 +42,32 @@ def strictly_inside(x: Column, y: Column, edges: Column) -> Column:
     return (F.size(F.filter(edges, crosses)) % 2 == 1) & ~F.exists(edges, touches)
 
 
-def points_in_masks(points: DataFrame, masks: DataFrame, cell: float | None = None, label: str = "label",
-                    broadcast_bytes: int = 32 * 1024 * 1024) -> DataFrame:
+def points_in_masks(points: DataFrame, masks: DataFrame, label: str = "label") -> DataFrame:
     """Points with the label of every mask that strictly contains them.
 
-    Masks are spread over the grid cells of their bounding boxes, so the join is an equi-join on the cell. Masks whose
-    measured size is small are broadcast; otherwise the points are counted per cell and crowded cells are cut. The
-    exact test runs only on points inside a mask's bounding box.
+    Every mask lies on a grid whose cells, a power of two wide, are at least as large as the mask, so it meets four cells at most, however
+    different the masks' sizes are. A point takes its cell on each of the grids in use, and the join is an equi-join on grid and cell; Spark
+    broadcasts the masks if they are small and splits crowded cells if they are not. The exact test runs only on points inside a mask's
+    bounding box.
     """
-    facts = masks.agg(
-        F.percentile_approx(c("maxx") - c("minx"), 0.5, 1000).alias("width"), F.count(F.lit(1)).alias("n"),
-        F.sum(F.aggregate("rings", F.lit(0), lambda s, r: s + F.size(r))).alias("vertices")).first()
-    if cell is None:
-        cell = facts["width"] or 1.0  # any size gives the same result, this one is fast
-    g = F.lit(float(cell))
+    extent = F.greatest(c("maxx") - c("minx"), c("maxy") - c("miny"), F.lit(SMALLEST_CELL))
+    graded = masks.withColumn("_grid", F.ceil(F.log2(extent)).cast("int"))
+    grids = sorted(r["_grid"] for r in graded.where(c("_grid").isNotNull()).select("_grid").distinct().collect())  # one row per power of two
+    width = F.pow(F.lit(2.0), c("_grid"))
 
     def span(lo: str, hi: str) -> Column:
-        return F.explode(F.sequence(F.floor(c(lo) / g), F.floor(c(hi) / g)))
+        return F.explode(F.sequence(F.floor(c(lo) / width), F.floor(c(hi) / width)))
 
     cells = (
-        masks.select(c("label").alias(label), ring_edges(c("rings")).alias("_edges"), "minx", "maxx", "miny", "maxy")
+        graded.select(c("label").alias(label), ring_edges(c("rings")).alias("_edges"), "minx", "maxx", "miny", "maxy", "_grid")
         .withColumn("_cx", span("minx", "maxx")).withColumn("_cy", span("miny", "maxy"))
     )
-    placed = points.withColumn("_cx", F.floor(c("x") / g)).withColumn("_cy", F.floor(c("y") / g))
-    key = ["_cx", "_cy"]
-    if (facts["vertices"] or 0) * 32 * 4 + facts["n"] * 256 <= broadcast_bytes:  # a mask of median width meets four cells
-        found = placed.join(F.broadcast(cells), key)
-    else:
-        crowd = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-        found = salted_join(placed, cells.join(crowd, key), key, "_n")
+    placed = points.withColumn("_grid", F.explode(F.array(*[F.lit(g) for g in grids]).cast("array<int>")))
+    placed = placed.withColumn("_cx", F.floor(c("x") / width)).withColumn("_cy", F.floor(c("y") / width))
+    found = placed.join(cells, ["_grid", "_cx", "_cy"])
     found = found.where(c("x").between(c("minx"), c("maxx")) & c("y").between(c("miny"), c("maxy")))
     found = found.where(strictly_inside(c("x"), c("y"), c("_edges")))
-    return found.drop("_cx", "_cy", "_edges", "minx", "maxx", "miny", "maxy")
+    return found.drop("_grid", "_cx", "_cy", "_edges", "minx", "maxx", "miny", "maxy")
 
 
 def empty_masks(masks: DataFrame, clipped: DataFrame, label: str = "label") -> DataFrame:

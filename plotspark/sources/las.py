@@ -140,6 +140,7 @@ def header_counts(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", count("path").alias("points"))
 
 
+LAS_NAME_BYTES = 32  # fixed value
 LAS_SCALE = 0.0001  # fixed value: written resolution in metres
 
 
@@ -149,7 +150,7 @@ def _file_bytes(pdf: pd.DataFrame, dims: list[str], colour: bool) -> bytes:
     for name in dims:
         entry = bytearray(192)
         entry[2] = 10  # double
-        entry[4:4 + len(name)] = name.encode("ascii")[:32]
+        entry[4:4 + len(name)] = name.encode("ascii")
         extra += bytes(entry)
     vlr = struct.pack("<H16sHH32s", 0, b"LASF_Spec", 4, len(extra), b"") + extra if dims else b""
     layout = [("X", "<i4"), ("Y", "<i4"), ("Z", "<i4"), ("intensity", "<u2"), ("flags", "u1"), ("classification", "u1"), ("rest", "V4" if not colour else "V12")]
@@ -180,6 +181,8 @@ def write_las(points: DataFrame, path: str, dims: list[str] | None = None, max_p
     A crowded cloud becomes several files (name.0.las, name.1.las, ...). A repeated task writes the same file again.
     """
     dims = list(dims or [])
+    if bad := [d for d in dims if len(d.encode()) > LAS_NAME_BYTES or not d.isascii()]:
+        raise ValueError(f"LAS stores dimension names of at most {LAS_NAME_BYTES} ASCII characters: {bad}")
     colour = {"red", "green", "blue"} <= set(points.columns)
     size = F.count(F.lit(1))
     parts = points.groupBy("filename").agg(F.ceil(size / F.lit(max_points)).alias("_parts"), size.alias("_n"))

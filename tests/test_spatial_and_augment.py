@@ -19,21 +19,33 @@ def polygon(spark, shapes):
 SQUARE = [(0, 0), (10, 0), (10, 10), (0, 10)]
 
 
-@pytest.mark.parametrize("how", ["broadcast", "cut by cell counts"])
-def test_clip_is_strict_and_may_match_twice(spark, cloud, how):
-    size = 1 << 20 if how == "broadcast" else -1
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_clip_is_strict_and_may_match_twice(spark, cloud, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     pts = cloud([{"x": 1, "y": 1}, {"x": 9, "y": 9}, {"x": 20, "y": 20}, {"x": 0, "y": 5}, {"x": 10, "y": 10}, {"x": 5, "y": 0}])
     masks = polygon(spark, {1: [SQUARE], 2: [[(0.5, 0.5), (2, 0.5), (2, 2), (0.5, 2)]], 3: [[(50, 50), (60, 50), (60, 60)]]})
-    got = sp.points_in_masks(pts, masks, broadcast_bytes=size)
-    assert sorted((r["label"], r["point_id"]) for r in got.collect()) == [(1, 0), (1, 1), (2, 0)]
-    assert [r["label"] for r in sp.empty_masks(masks, got).collect()] == [3]
+    got = sp.points_in_masks(pts, masks)
+    try:
+        assert sorted((r["label"], r["point_id"]) for r in got.collect()) == [(1, 0), (1, 1), (2, 0)]
+        assert [r["label"] for r in sp.empty_masks(masks, got).collect()] == [3]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_clip_with_masks_of_very_different_size(spark, cloud):
+    field = [(-5000, -5000), (5000, -5000), (5000, 5000), (-5000, 5000)]
+    shapes = {100: [field]} | {k: [[(k, 0), (k + 1, 0), (k + 1, 1), (k, 1)]] for k in range(40)}
+    pts = cloud([{"x": k + 0.5, "y": 0.5} for k in range(40)] + [{"x": 0.5, "y": 0.25}] * 500 + [{"x": 6000, "y": 0}])
+    got = sp.points_in_masks(pts, polygon(spark, shapes)).groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in got} == {100: 540, 0: 501, **{k: 1 for k in range(1, 40)}}
+    assert sp.points_in_masks(pts, polygon(spark, shapes).limit(0)).count() == 0
 
 
 def test_holes_and_concave_shapes(spark, cloud):
     hole = [(4, 4), (6, 4), (6, 6), (4, 6)]
     masks = polygon(spark, {1: [SQUARE, hole], 2: [[(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)]]})
     pts = cloud([{"x": 5, "y": 5}, {"x": 3, "y": 5}, {"x": 4, "y": 5}, {"x": 2, "y": 2}, {"x": 0.5, "y": 2}])
-    got = {(r["label"], r["point_id"]) for r in sp.points_in_masks(pts, masks, cell=0.7).collect()}
+    got = {(r["label"], r["point_id"]) for r in sp.points_in_masks(pts, masks).collect()}
     assert got == {(1, 1), (1, 3), (1, 4), (2, 4)}
 
 
