@@ -284,6 +284,26 @@ def nested_search(spark, sf_dir):
     return cv.fold_metrics(run).join(params.where(c("param") == "alpha").select("split", c("value").alias("alpha")), "split")
 
 
+NESTED = cv.Procedure("ridge", ("f0",))
+DRAWN = [t.params["alpha"] for t in cv.draw_trials(NESTED, 4)]
+NESTED_CTE = SEARCH_CTE.replace(", ".join(f"({i}, {a}e0)" for i, a in enumerate(ALPHAS)), ", ".join(f"({i}, CAST({a!r} AS DOUBLE))" for i, a in enumerate(DRAWN))).rstrip() + """,
+picked AS (SELECT outer_, min_by(trial, struct_pack(a := mean_rrmse, b := trial)) AS trial FROM scores WHERE isfinite(mean_rrmse) GROUP BY outer_),
+outer_st AS (SELECT cycle, avg(f0) AS m, stddev_pop(f0) AS s, avg(target) AS ym FROM sided WHERE NOT held_out GROUP BY cycle),
+outer_z AS (SELECT d.cycle, held_out, aug, target AS y, (f0 - m) / s AS x, ym FROM sided d JOIN outer_st USING (cycle)),
+outer_fit AS (SELECT cycle, sum(x * x) AS sxx, sum(x * (y - ym)) AS sxy FROM outer_z WHERE NOT held_out GROUP BY cycle),
+outer_pred AS (SELECT z.cycle, alpha, y, ym + sxy / (sxx + alpha) * x AS p, CASE WHEN held_out AND aug = 0 THEN 'held_out' WHEN NOT held_out THEN 'train' END AS scope
+               FROM outer_z z JOIN outer_fit USING (cycle) JOIN picked ON picked.outer_ = z.cycle JOIN trials USING (trial))
+"""
+
+
+@query("m13_nested_ridge", views.with_views(f"""
+SELECT CAST(cycle + 1 AS INT) AS split, scope, {metrics_sql("y", "p")}, round(any_value(alpha), 6) AS alpha FROM outer_pred WHERE scope IS NOT NULL GROUP BY cycle, scope""", "v_dataset", ctes=NESTED_CTE))
+def nested_ridge(spark, sf_dir):
+    """Tuned on each outer fold's own training groups, refitted with the winner, scored on the untouched block."""
+    run, params = cv.nested_search(views.dataset(spark, sf_dir), NESTED, n_trials=4, inner_splits=3)
+    return rounded_all(cv.fold_metrics(run).join(params.where(c("param") == "alpha").select("split", c("value").alias("alpha")), "split"))
+
+
 @query("m15_model_sweep", views.with_views(f"""
 SELECT *, row_number() OVER (ORDER BY rrmse, model) AS place FROM (
   SELECT model, round(avg(rrmse) FILTER (WHERE scope = 'held_out'), 6) AS rrmse, round(avg(r2) FILTER (WHERE scope = 'held_out'), 6) AS r2, round(avg(r) FILTER (WHERE scope = 'held_out'), 6) AS r,
@@ -302,7 +322,7 @@ def model_sweep(spark, sf_dir):
     return rounded_all(cv.rank_models(metrics)).withColumn("place", c("place").cast("bigint"))
 
 
-REPEATS = 5
+REPEATS = importance.DEFAULT_REPEATS
 
 
 @query("m16_permutation_importance", views.with_views(f"""

@@ -394,6 +394,12 @@ def percentile_ranks(spark, sf_dir):
     return rounded_all(rs.percentile_ranks(views.table(spark, sf_dir, "lineitem"), "l_quantity").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "pct"))
 
 
+@query("w11_price_ranks", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round((rank() OVER (ORDER BY l_extendedprice) - 1) * 1e0 / count(*) OVER () * 100, 6) AS pct FROM lineitem")
+def price_ranks(spark, sf_dir):
+    """Many different values close together, so that fine buckets are needed."""
+    return rounded_all(rs.percentile_ranks(views.table(spark, sf_dir, "lineitem"), "l_extendedprice").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "pct"))
+
+
 @query("w13_range_norm", "SELECT c_custkey, round((c_acctbal - (SELECT min(c_acctbal) FROM customer)) / (SELECT max(c_acctbal) - min(c_acctbal) FROM customer), 6) AS norm FROM customer")
 def range_norm(spark, sf_dir):
     return rounded_all(rs.range_norm(views.table(spark, sf_dir, "customer"), "c_acctbal").select("c_custkey", "norm"))

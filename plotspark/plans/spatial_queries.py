@@ -30,6 +30,24 @@ def point_in_polygon(spark, sf_dir):
     return sp.points_in_masks(views.points(spark, sf_dir), views.masks(spark, sf_dir)).select("label", "filename", "point_id")
 
 
+FIELD_CORNERS = ((1, -100.25), (2, -100.25), (3, 100.25), (4, 100.25)), ((1, -200.5), (2, 200.5), (3, 200.5), (4, -200.5))
+
+
+@query("j01_unequal_masks", views.with_views("""
+SELECT label, count(*) AS points, round(avg(z), 6) AS mean_z FROM inside GROUP BY label""", "v_points", "v_mask_vertices", ctes="""
+field AS (SELECT * FROM v_mask_vertices UNION ALL SELECT 1000, seq, x, y FROM (VALUES (1, -100.25e0, -200.5e0), (2, -100.25e0, 200.5e0), (3, 100.25e0, 200.5e0), (4, 100.25e0, -200.5e0)) AS f(seq, x, y)),
+""" + INSIDE_CTE.replace("v_mask_vertices", "field").lstrip()))
+def unequal_masks(spark, sf_dir):
+    """One mask around the whole field beside the small ones."""
+    from plotspark.sources.masks import masks_from_vertices
+
+    corners = [(1000, seq, x, y) for (seq, x), (_, y) in zip(*FIELD_CORNERS, strict=True)]
+    field = spark.createDataFrame(corners, "label int, seq int, x double, y double")
+    shapes = masks_from_vertices(views.mask_vertices(spark, sf_dir).unionByName(field))
+    found = sp.points_in_masks(views.points(spark, sf_dir), shapes)
+    return found.groupBy("label").agg(F.count(F.lit(1)).alias("points"), rounded(F.avg("z")).alias("mean_z"))
+
+
 @query("j01_clipped_plots", views.with_views("""
 SELECT b.label, count(i.label) AS points, round(avg(z), 6) AS mean_z, count(i.label) = 0 AS empty FROM (SELECT DISTINCT label FROM v_mask_vertices) b LEFT JOIN inside i ON i.label = b.label GROUP BY b.label""",
     "v_points", "v_mask_vertices", ctes=INSIDE_CTE))
