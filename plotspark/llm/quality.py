@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plotspark.llm.small import settled
+from plotspark.llm.small import BROADCAST_ROWS, settled
 
 SPACE = r"[\x20\x09-\x0D]"
 #: Character classes in the order in which they are taken out of a text; what is left after the last is "other".
@@ -113,7 +113,9 @@ def language_references(texts: DataFrame, rules: QualityRules) -> DataFrame:
     weighed = sized.join(sums.select(*groups, (1 / F.col("bytes")).alias("weight")), groups)
     words = weighed.select("__lang", "weight", F.explode(words_of(F.col("__text"))).alias("word"))
     weights = words.groupBy("__lang", "word").agg(F.sum("weight").alias("weight"))
+    # A row per language; where the sums by language and stratum were small enough to be broadcast, so is this.
     totals = weights.groupBy("__lang").agg(F.sum("weight").alias("all"))
+    totals = F.broadcast(totals) if sums.count() <= BROADCAST_ROWS else totals
     shares = weights.join(totals, "__lang").select("__lang", "word", F.round(F.col("weight") / F.col("all"), 12).alias("share"))
     rank = F.row_number().over(Window.partitionBy("__lang").orderBy(F.desc("share"), "word"))
     top = shares.withColumn("rank", rank).where(F.col("rank") <= rules.common_words)
@@ -176,3 +178,11 @@ def judge(docs: DataFrame, rules: QualityRules | None = None, text: str = "text"
     far = F.coalesce(F.col("class_distance") > rules.max_class_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > rules.max_word_distance, F.lit(False))
     rows = rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~far)
     return rows.drop("__text", "__lang", "__words", "__classes", "__top", "__word_share", "__class_share")
+
+
+def keep(docs: DataFrame, rules: QualityRules | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their own columns, whatever their names."""
+    rows = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    # The filter mentions a row number, so that Spark filters after the counts instead of working them out at every mention of one.
+    judged = judge(rows, rules).withColumn("__row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("__row") >= 0)).select("__doc.*")
