@@ -35,6 +35,7 @@ UNIT = 16
 DEPTH = 3
 SOLVER_STEPS = 2000
 ROWS_PER_BUCKET = 100_000
+LEAST_BUCKETS = 64
 TOKEN_SCHEMA = "doc_id bigint, doc_tokens bigint, full_crc32 array<bigint>, rest_crc32 bigint, ids binary"
 TOKEN_COLUMNS = ["doc_id", "doc_tokens", "full_crc32", "rest_crc32", "ids"]
 PIECE = ["rid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -175,7 +176,7 @@ def pieces_of(tokens: DataFrame, window: int = WINDOW, unit: int = UNIT, depth:
     rows = rows.withColumn("bin", F.ceil(F.col("rest") / unit).cast("int"))
     found = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("full").alias("full")).collect()  # at most units + 1 rows
     histogram = {r.bin: r.n for r in found if r.bin}
-    buckets = 1 + sum(r.n for r in found) // ROWS_PER_BUCKET
+    buckets = LEAST_BUCKETS + sum(r.n for r in found) // ROWS_PER_BUCKET
     chosen = plan(histogram, units, depth)
     full_windows = sum(r.full for r in found)
 

@@ -13,7 +13,7 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
-PIECES_KEPT = 300_000
+PIECES_KEPT = 700_000
 
 _DOUBLE_SPACE = re.compile(r"\s\s")
 _SEPARATOR_CONTROLS = re.compile("[\x1c-\x1f]")
