@@ -163,6 +163,24 @@ def knn_uniform(spark, sf_dir):
     return _predictions(_run(spark, sf_dir, cv.Procedure("knn", FEATURES, params={"n_neighbors": 7, "weights": "uniform"})))
 
 
+ALL_DIMS = 64
+WIDE_CTE = "v_dataset AS (" + views.SQL_VIEWS["v_dataset"].replace("AS target", "AS target, embedding") + "),\n" + DATA_FOLDS_CTE.strip() + f""",
+long AS (SELECT cycle, filename, held_out, target AS y, i, CAST(embedding[i] AS DOUBLE) AS v FROM sided CROSS JOIN range(1, {ALL_DIMS + 1}) AS r(i)),
+sts AS (SELECT cycle, i, avg(v) AS m, stddev_pop(v) AS s FROM long WHERE NOT held_out GROUP BY cycle, i),
+wide AS (SELECT cycle, filename, any_value(held_out) AS held_out, any_value(y) AS y, list((v - m) / s ORDER BY i) AS x FROM long JOIN sts USING (cycle, i) GROUP BY cycle, filename),
+near AS (SELECT a.cycle, a.filename, a.held_out, b.y, list_distance(a.x, b.x) AS dist, b.filename AS other FROM wide a JOIN wide b ON a.cycle = b.cycle AND NOT b.held_out),
+top AS (SELECT *, row_number() OVER (PARTITION BY cycle, filename ORDER BY dist, other) AS rk FROM near)
+"""
+
+
+@query("m06_knn_all_dimensions", views.with_views("""
+SELECT CAST(cycle + 1 AS INT) AS split, filename, any_value(held_out) AS held_out, round(avg(y), 6) AS predicted FROM top WHERE rk <= 7 GROUP BY cycle, filename""", ctes=WIDE_CTE))
+def knn_all_dimensions(spark, sf_dir):
+    """Nearest neighbours over the whole embedding."""
+    names = tuple(f"f{i}" for i in range(ALL_DIMS))
+    return _predictions(cv.run_procedure(views.dataset(spark, sf_dir, ALL_DIMS), cv.Procedure("knn", names, params={"n_neighbors": 7, "weights": "uniform"})))
+
+
 @query("m07_random_forest")
 def random_forest(spark, sf_dir):
     return _predictions(_run(spark, sf_dir, cv.Procedure("random_forest", FEATURES, params={"n_estimators": 10, "max_depth": 5}, n_splits=2)))

@@ -80,16 +80,16 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature table with augmented copies and a target."""
+def dataset(spark: SparkSession, sf_dir: str, dims: int = 4) -> DataFrame:
+    """Feature table with augmented copies and a target; the features are the first ``dims`` of the embedding."""
     copy = F.floor(c("vec_id") / 100.0).cast("int")
     plot = c("vec_id") % 100 + 1
-    f = [F.element_at("embedding", i + 1).cast("double") for i in range(4)]
+    f = [F.element_at("embedding", i + 1).cast("double") for i in range(dims)]
     suffix = F.when(c("vec_id") >= 100, F.concat(F.lit("_aug("), copy.cast("string"), F.lit(")"))).otherwise(F.lit(""))
     return table(spark, sf_dir, "embeddings").select(
         plot.cast("int").alias("plot"), copy.alias("aug"),
         F.concat(F.lit("field_plot("), plot.cast("string"), F.lit(")"), suffix, F.lit(".laz")).alias("filename"),
-        *[f[i].alias(f"f{i}") for i in range(4)],
+        *[f[i].alias(f"f{i}") for i in range(dims)],
         (F.lit(200.0) + 30.0 * f[0] - 10.0 * f[1] + c("label")).alias("target"),
     )
 

@@ -183,6 +183,8 @@ def write_las(points: DataFrame, path: str, dims: list[str] | None = None, max_p
     dims = list(dims or [])
     if bad := [d for d in dims if len(d.encode()) > LAS_NAME_BYTES or not d.isascii()]:
         raise ValueError(f"LAS stores dimension names of at most {LAS_NAME_BYTES} ASCII characters: {bad}")
+    if "://" not in path and not path.startswith("file:") and not points.sparkSession.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster the folder needs its file system in front (hdfs://, s3://, file:// of a shared mount)")
     colour = {"red", "green", "blue"} <= set(points.columns)
     size = F.count(F.lit(1))
     parts = points.groupBy("filename").agg(F.ceil(size / F.lit(max_points)).alias("_parts"), size.alias("_n"))
