@@ -113,6 +113,9 @@ def test_quality_of_odd_rows(spark, odd_docs):
         assert r.n_words == len(words) and r.word_chars == sum(map(len, words))
         assert r.n_repeat_words == brute_repeats(words) and r.n_dup_lines == 0
         assert r.base_failed and r.kept is False
+    kept = quality.keep(odd_docs, quality.QualityRules(min_words=4, max_repeat_percent=100))
+    assert kept.columns == odd_docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter([1, 1, None, 6])
+    assert all(r.kept == 7 and r.words == 7 for r in kept.collect())
     assert quality.judge(odd_docs.limit(0)).count() == 0
 
 
