@@ -31,7 +31,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op3_jump_shards")
+def _walk_sql(name: str, shards: int) -> str:
+    """The jumps of every key below ``shards``, and the last of them."""
+    return f"""{name} AS (
+  SELECT rid, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS UBIGINT) AS state, CAST(-1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS j FROM texts
+  UNION ALL
+  SELECT rid, next, j, CAST(floor((j + 1) * (2147483648e0 / CAST((next >> 33) + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT rid, j, CAST((CAST(state AS UHUGEINT) * {sharding.MULTIPLIER} + 1) % 18446744073709551616 AS UBIGINT) AS next FROM {name} WHERE j < {shards})),
+{name}_end AS (SELECT rid, CAST(max(b) AS INT) AS shard FROM {name} GROUP BY rid)"""
+
+
+SHARD_SQL = f"""
+WITH RECURSIVE texts AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+entries AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS entry),
+sums AS (SELECT rid, doc_id, octet_length(raw) + 8 AS size,
+                xor(4294967295, list_reduce(list_transform(string_split(regexp_replace(hex(raw), '(..)', '\\1 ', 'g'), ' ')[:octet_length(raw)], lambda x: CAST('0x' || x AS BIGINT)),
+                                            lambda c, x: xor(c >> 8, entry[(xor(c, x) & 255) + 1]), 4294967295)) AS text_crc32
+         FROM texts, entries),
+{_walk_sql('jumps', 24)},
+{_walk_sql('grown', 25)},
+placed AS (SELECT s.*, a.shard, b.shard AS grown_shard,
+                  CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(size AS VARCHAR), CAST(text_crc32 AS VARCHAR))), 1, 8) AS BIGINT) % 4096 AS bucket
+           FROM sums s JOIN jumps_end a USING (rid) JOIN grown_end b USING (rid))
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard,
+       CAST(row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32) - 1 AS BIGINT) AS slot, grown_shard
+FROM placed"""
+
+
+@query("op3_jump_shards", SHARD_SQL)
 def jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards by jump consistent hashing of doc_id."""
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), 24)

@@ -43,7 +43,7 @@ def same_as_sql(spark, name, sf=SF):
     assert got == Counter(tuple(map(tidy, r)) for r in cursor.fetchall())
 
 
-@pytest.mark.parametrize("name", ["op2_distribution_divergence", "op4_preference_pairs", "op6_link_trust"])
+@pytest.mark.parametrize("name", ["op2_distribution_divergence", "op3_jump_shards", "op4_preference_pairs", "op6_link_trust"])
 def test_query_equals_its_sql(spark, name):
     same_as_sql(spark, name)
 
