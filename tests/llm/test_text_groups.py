@@ -284,7 +284,14 @@ def test_sequences_hold_their_pieces_ids(spark, tmp_path, documents):
 
 def test_plan_uses_no_more_than_there_is():
     rng = np.random.default_rng(2)
-    for histogram in ({}, {64: 3}, {40: 100_000}, {40: 100_000, 24: 30_000, 12: 90_000}, {k: int(n) for k, n in enumerate(50_000 / np.arange(1, 65) + rng.integers(0, 300, 64), 1)}):
+    every = packing.combinations(64, 3)
+    solvable = Counter()  # a histogram that combinations use up whole
+    for k in rng.choice(len(every), size=60, replace=False):
+        count = int(rng.integers(100, 2000))
+        for x in every[k]:
+            solvable[x] += count
+    uneven = {k: int(n) for k, n in enumerate(50_000 / np.arange(1, 65) + rng.integers(0, 300, 64), 1)}
+    for histogram in ({}, {64: 3}, {40: 100_000}, {40: 100_000, 24: 30_000, 12: 90_000}, uneven, dict(solvable)):
         plan = packing.plan(histogram, 64)
         used = Counter()
         for part, count in zip(plan.parts, plan.counts, strict=True):
@@ -292,7 +299,9 @@ def test_plan_uses_no_more_than_there_is():
             for x in part:
                 used[x] += count
         assert all(used[k] <= histogram.get(k, 0) for k in used)
-    assert sum(used.values()) >= 0.9 * sum(histogram.values())
+        left = Counter(histogram) - used
+        assert not any(all(left[x] >= part.count(x) for x in part) for part in every)  # nothing that fits is left
+    assert sum(k * n for k, n in used.items()) >= 0.95 * sum(k * n for k, n in solvable.items())
     assert set(packing.combinations(6, 3)) == {(6,), (5, 1), (4, 2), (3, 3), (4, 1, 1), (3, 2, 1), (2, 2, 2)}
 
 
