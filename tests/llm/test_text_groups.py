@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from conftest import SF
-from plotspark.llm import decontaminate, packing, secret_scan, simhash, token_files
+from plotspark.llm import decontaminate, near_copies, packing, secret_scan, simhash, token_files
 from plotspark.llm.components import components
 from plotspark.llm.tokens import Encoder
 
@@ -111,6 +111,54 @@ def test_near_duplicates_of_odd_rows(odd_docs):
     assert simhash.keep_one(odd_docs.limit(0)).count() == 0 and simhash.near_duplicates(odd_docs.limit(0)).count() == 0
 
 
+def shingle_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies_at_every_edit_level(spark, documents):
+    rng = random.Random(3)
+    bases = [r.text.split() for r in documents.where("n_chars between 1500 and 4500").orderBy("doc_id").collect()]
+    rows, texts = [], []
+    for k, words in enumerate(bases):
+        for edits in (0, 1, 2, 3, 5, 8, 12, 20):
+            copy = list(words)
+            for at in rng.sample(range(len(words)), edits):
+                copy[at] = f"new{rng.randrange(10**6)}"
+            texts.append((k, " ".join(copy)))
+    rows = [(i, text, "en", "x", len(text)) for i, (_, text) in enumerate(texts)]
+    sets = [shingle_set(text) for _, text in texts]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            shared = len(sets[a] & sets[b])
+            if 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    want = {i for i in range(len(rows)) if find(i) == i}
+    got = {r.doc_id for r in near_copies.keep_one(spark.createDataFrame(rows, DOC)).collect()}
+    assert len(want) < len(rows) / 2 and want <= got and len(got - want) <= 0.01 * (len(rows) - len(want))
+    staged = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOC), SF)
+    assert {r.doc_id for r in staged.collect()} == got
+
+
+def test_near_copies_of_odd_rows_and_crowds(spark, odd_docs):
+    kept = near_copies.keep_one(odd_docs)
+    assert kept.columns == odd_docs.columns and near_copies.keep_one(odd_docs.limit(0)).count() == 0
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 5, 6, 2**62 + 1])
+    # A chain in one large group: each text is near the next one only.
+    words = [f"w{i}" for i in range(700)]
+    chain = [(i, " ".join(words[4 * i : 4 * i + 100]), "en", "x", 0) for i in range(150)]
+    crowd = [(1000 + i, " ".join([*words[:100], f"end{i}"]).upper(), "en", "x", 0) for i in range(200)]
+    assert [r.doc_id for r in near_copies.keep_one(spark.createDataFrame([*chain, *crowd], DOC)).collect()] == [0]
+
+
 # decontamination
 
 def least_edits(item, words):
