@@ -8,6 +8,7 @@ of the pieces are kept in a bounded table in every Python worker.
 from __future__ import annotations
 
 import re
+import unicodedata
 from array import array
 
 import numpy as np
@@ -66,7 +67,8 @@ class Encoder:
     def _part(self, part: str) -> bytes:
         """Ids of a piece without line breaks between words."""
         found = _WORD_AND_SIGNS.fullmatch(part) if self.direct else None
-        if found is None:
+        # A combining mark among the signs may belong to the word's last letter.
+        if found is None or not unicodedata.is_normalized("NFC", part):
             return self._packed(self._ids(part))
         word, signs = found.groups()
         ids = self.pieces.get(word)

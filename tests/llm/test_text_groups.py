@@ -256,6 +256,14 @@ def test_ids_equal_the_whole_texts_ids():
         assert own.direct
 
 
+def test_ids_of_words_that_end_in_combining_marks():
+    texts = ["cafe\u0301 noir", "cafe\u0301", "cafe\u0301, noir", "un cafe\u0301. e\u0301te\u0301", "q\u0303 n\u0303 a\u0327\u0301!", "a\u0338 o\u0308\u0304 x"]
+    for path in (BYTES, WORDS):
+        own, tokenizer = Encoder(path), Tokenizer.from_file(path)
+        for text, ids in zip([*texts, *texts], own.encode([*texts, *texts]), strict=True):
+            assert np.frombuffer(ids, own.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("count", [0, 1, 63, 64, 65, 1000])
 def test_elias_fano_selects_every_document(count):
     rng = np.random.default_rng(count)
