@@ -1,7 +1,7 @@
 """Token ids of whole texts by the tokenizers library, each different word encoded once per task.
 
 A text is cut only where the tokenizer's own pre-tokenizer always cuts, so the ids are those of the whole text; texts in which that is not
-certain are encoded whole. Words of Latin letters go straight to the tokenizer's merge model, all else through the whole tokenizer. The ids
+certain, or that hold a special token's text, are encoded whole. Words of Latin letters go straight to the tokenizer's merge model, all else through the whole tokenizer. The ids
 of the pieces are kept in a bounded table in every Python worker.
 """
 
@@ -33,11 +33,15 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """``words``: the tokenizer drops white space and cuts words at it; otherwise a word keeps the one space before it."""
+    """``words``: the tokenizer drops white space and cuts words at it; otherwise a word keeps the one space before it.
 
-    def __init__(self, path: str):
+    ``special``: a special token's text becomes its id, as by the library's default; otherwise it is text like any other.
+    """
+
+    def __init__(self, path: str, special: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values()) if special else []
         self.words = self._ids(" a b") == self._ids("a\nb")
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         letters = byte_letters()
@@ -94,7 +98,7 @@ class Encoder:
     def _text(self, text: str) -> bytes:
         if len(self.pieces) > PIECES_KEPT:
             self.pieces = {"": b""}
-        cut = self._cut(text)
+        cut = None if any(t in text for t in self.special) else self._cut(text)
         if cut is None:
             return self._packed(self._ids(text))
         known, learn = self.pieces.get, self._learn
@@ -105,7 +109,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """This worker's encoder of a tokenizer file."""
+    """This worker's encoder of a tokenizer file; its ids are the library's, special tokens included."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, special=True)
     return _ENCODERS[path]

@@ -16,7 +16,7 @@ import corpus_pipeline
 from conftest import SF
 from plotspark.llm import decontaminate, near_copies, packing, secret_scan, simhash, token_files
 from plotspark.llm.components import components
-from plotspark.llm.tokens import Encoder
+from plotspark.llm.tokens import Encoder, encoder
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -264,6 +264,18 @@ def test_ids_of_words_that_end_in_combining_marks():
             assert np.frombuffer(ids, own.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_ids_of_texts_with_special_tokens(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y <|endoftext|>\n\nz", "a <|ENDOFTEXT|> b <| endoftext |>", "caf\u00e9 <|endoftext|>.", "plain words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for path in (BYTES, WORDS):
+        own, tokenizer = encoder(path), Tokenizer.from_file(path)
+        for text, ids in zip([*texts, *texts], own.encode([*texts, *texts]), strict=True):
+            assert np.frombuffer(ids, own.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    sizes = lambda path: {i: len(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in token_files.token_file_rows(docs, BYTES).collect()} == sizes(BYTES)
+    assert {r.doc_id: r.doc_tokens for r in packing.pack(docs, WORDS, 2).collect()} == sizes(WORDS)
+
+
 @pytest.mark.parametrize("count", [0, 1, 63, 64, 65, 1000])
 def test_elias_fano_selects_every_document(count):
     rng = np.random.default_rng(count)
