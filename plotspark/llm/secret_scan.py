@@ -1,4 +1,4 @@
-"""Secrets in texts: long tokens with a digit, and a random forest that sorts out the false findings.
+"""Secrets in texts: values after telling names and random tokens, and a random forest that sorts out the false findings.
 
 Every candidate is described by its length, the kinds of characters and how often they change, how much of it is made of dictionary words,
 whether it looks like a path or address, and by the words before it. A random forest is fitted on labelled findings, a bounded sample of
@@ -6,7 +6,9 @@ whether it looks like a path or address, and by the words before it. A random fo
 a secret looks like and not only what is written before one. Dictionary counts cover all texts.
 
 Defined results
-* A candidate is a run of 12 or more of ``A-Z a-z 0-9 + / _ . @ -`` (and closing ``=``) with a digit. Whole texts are searched, at any length.
+* A candidate is the value after a telling name and ``= : := =>`` (name and value quoted or not), of any length and with any signs; a run of 12
+  or more of ``A-Z a-z 0-9 + / _ . @ -`` (and closing ``=``) with a digit; or a run of 20 or more letters and ``+ / _ -`` without one whose case
+  changes often or that has few vowels. A quoted value ends at its quote, another at white space. Whole texts are searched, at any length.
 * Null and empty texts have no candidates. Copies of a text have the same findings each; in the sample equal candidates count once.
 * Where the labelled findings lack a class, no forest is fitted and the labels themselves decide; findings without a label are then no secrets.
 * Rows are known by their text alone, so null and repeated ids do no harm. Empty tables give no findings.
@@ -36,10 +38,20 @@ MIN_SCORE = 0.5
 MIN_WORD_COUNT = 3
 MASK = "[SECRET]"
 #: Words that announce a secret, wherever they stand in the name before it.
-HINTS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "access_key", "private_key", "credential", "auth")
+_HINT = r"(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth(?!or(?!i[sz])))"
+_HINTED = re.compile(_HINT, re.I)
+#: Runs without a digit are candidates if their case changes at this share of places, or if fewer of their letters are vowels.
+MIN_CASE_CHANGES, MIN_VOWELS = 0.3, 0.24
+#: Paths whose kinds of characters change this often, as a whole or in a piece of 16 or more, are not taken for harmless.
+MIN_RANDOM_CHANGES = 0.35
 
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.@-]*[0-9])[A-Za-z0-9+/_.@-]{12,}={0,2}")
-_NAME_BEFORE = re.compile(r"([A-Za-z_][\w-]*)\s*(=>|:=|=|:)\s*[\"'`]?$")
+_NO_DIGIT = re.compile(r"(?<![A-Za-z0-9+/_.@-])[A-Za-z+/_-]{20,}={0,2}(?![A-Za-z0-9+/_.@-])")
+_QUOTED = "|".join(rf"{q}((?:[^{q}\\\n]|\\.)+){q}(?!\w)" for q in "\"'`")
+_SCHEME = r"(?:(?:[Bb]earer|[Bb]asic|[Tt]oken)\s+)?"
+_VALUE = re.compile(rf"(?i:{_HINT})[\w-]{{0,64}}[\"'`]?[ \t]*(?:=>|:=|==?|:(?!:))(?:\s*{_SCHEME}(?:{_QUOTED})|[ \t]*{_SCHEME}[\"'`]?([^\s\"'`]+))")
+_CLOSING = ".,;:!?)]}>"
+_NAME_BEFORE = re.compile(rf"([A-Za-z_][\w-]*)[\"'`]?\s*(=>|:=|==?|:)\s*{_SCHEME}[\"'`]?$")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _SHAPED = {
     "mail": re.compile(r"[\w.+-]+@[\w-]+(\.[\w-]+)+\.?"),
@@ -47,7 +59,7 @@ _SHAPED = {
     "address": re.compile(r"(\d{1,3}\.){3}\d{1,3}\.?"),
 }
 NUMBERS = (
-    "length", "digit_share", "upper_share", "sign_share", "change_share", "letter_digit_share", "entropy", "distinct_share", "path_signs", "like_mail", "like_number",
+    "length", "digit_share", "upper_share", "sign_share", "change_share", "letter_digit_share", "piece_change", "vowel_share", "entropy", "distinct_share", "path_signs", "like_mail", "like_number",
     "coverage", "named", "hinted", "hint_near", "quoted",
 )
 NEIGHBOURS = ("named", "hinted", "hint_near", "quoted")
@@ -59,14 +71,49 @@ def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
+def _changes(kinds: list[int]) -> float:
+    return sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, len(kinds) - 1)
+
+
+def _vowels(found: str) -> float:
+    return sum(c in "aeiouyAEIOUY" for c in found) / max(1, sum(c.isalpha() for c in found))
+
+
+def spans(text: str) -> list[tuple[int, int]]:
+    """Start and end of every candidate, in order; the value after a telling name comes before a run that overlaps it."""
+    found = []
+    for m in _VALUE.finditer(text):
+        at = m.lastindex
+        start, end = m.span(at)
+        while at == 4 and end > start and text[end - 1] in _CLOSING:
+            end -= 1
+        if end > start:
+            found.append((start, end))
+    runs = [m.span() for m in _CANDIDATE.finditer(text)]
+    for m in _NO_DIGIT.finditer(text):
+        if _changes([_kind(c) for c in m[0] if c.isalpha()]) >= MIN_CASE_CHANGES or _vowels(m[0]) < MIN_VOWELS:
+            runs.append(m.span())
+    if found and runs:
+        taken = iter([*found, (len(text) + 1, len(text) + 1)])
+        low, high = next(taken)
+        for start, end in sorted(runs):
+            while high <= start:
+                low, high = next(taken)
+            if end <= low:
+                found.append((start, end))
+        return sorted(found)
+    return sorted(found or runs)
+
+
 def describe(text: str, start: int, end: int) -> dict:
     """Everything that is known of a candidate without the dictionary."""
     found = text[start:end]
-    before = text[max(0, start - 64) : start]
+    before = text[max(0, start - 128) : start]
     named = _NAME_BEFORE.search(before)
     name = named.group(1).lower() if named else ""
     kinds = [_kind(c) for c in found]
     pairs = list(zip(kinds, kinds[1:], strict=False))
+    pieces = [[_kind(c) for c in p] for p in re.split(r"[/._@-]+", found) if len(p) >= 16]
     counts = Counter(found)
     size = len(found)
     shape = next((k for k, p in _SHAPED.items() if p.fullmatch(found)), "path" if "/" in found[1:] else "token")
@@ -75,9 +122,9 @@ def describe(text: str, start: int, end: int) -> dict:
         "at": start, "candidate": found, "name": name, "kind": shape, "runs": [r.lower() for r in re.findall(r"[A-Za-z]{3,}", found)],
         "length": float(size), "digit_share": kinds.count(2) / size, "upper_share": kinds.count(1) / size, "sign_share": kinds.count(3) / size,
         "change_share": sum(a != b for a, b in pairs) / max(1, len(pairs)), "letter_digit_share": sum((a < 2) != (b < 2) and 3 not in (a, b) for a, b in pairs) / max(1, len(pairs)),
-        "entropy": -sum(n / size * math.log2(n / size) for n in counts.values()), "distinct_share": len(counts) / size, "path_signs": float(sum(found.count(c) for c in "/.@")),
+        "piece_change": max(map(_changes, pieces), default=0.0), "vowel_share": _vowels(found), "entropy": -sum(n / size * math.log2(n / size) for n in counts.values()), "distinct_share": len(counts) / size, "path_signs": float(sum(found.count(c) for c in "/.@")),
         "like_mail": float(shape == "mail"), "like_number": float(shape in ("number", "address")), "named": float(bool(name)),
-        "hinted": float(any(h in name for h in HINTS)), "hint_near": float(any(h in near for h in HINTS)), "quoted": float(before[-1:] in ("'", '"', "`") and before != ""),
+        "hinted": float(bool(_HINTED.search(name))), "hint_near": float(bool(_HINTED.search(near))), "quoted": float(before[-1:] in ("'", '"', "`") and before != ""),
     }
 
 
@@ -86,9 +133,9 @@ def candidates(text: Column) -> Column:
 
     @F.pandas_udf(FINDINGS)
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([[describe(t, m.start(), m.end()) for m in _CANDIDATE.finditer(t)] if t else [] for t in texts])
+        return pd.Series([[describe(t, start, end) for start, end in spans(t)] if t else [] for t in texts])
 
-    return run(F.when(text.rlike("[0-9]"), text))
+    return run(text)
 
 
 def _known_by(text: Column) -> list[Column]:
@@ -121,10 +168,17 @@ def with_coverage(found: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def rule_labels(found: DataFrame) -> DataFrame:
-    """``found`` with a label where a plain rule is sure: 1 for a token under a telling name, 0 for mail addresses, numbers, paths and prose."""
-    secret = (F.col("hinted") == 1) & F.col("kind").isin("token", "path")
-    harmless = F.col("kind").isin("mail", "number", "address") | ((F.col("hinted") == 0) & ((F.col("kind") == "path") | (F.col("coverage") >= 0.5)))
-    return found.withColumn("label", F.when(secret, 1.0).when(harmless, 0.0))
+    """``found`` with a label where a plain rule is sure: 1 for a token under a telling name, 0 for mail addresses, numbers, plain paths and prose.
+
+    Random paths without a name, words and numbers under a telling name stay without a label.
+    """
+    hinted = F.col("hinted") == 1
+    secret = hinted & F.col("kind").isin("token", "path") & (F.col("coverage") < 0.5)
+    plain = (F.col("change_share") < MIN_RANDOM_CHANGES) & (F.col("piece_change") < MIN_RANDOM_CHANGES)
+    unnamed = ~hinted & (((F.col("kind") == "path") & plain) | (F.col("coverage") >= 0.5))
+    harmless = F.col("kind").isin("mail", "address") | (~hinted & (F.col("kind") == "number")) | unnamed
+    prose = hinted & (F.col("quoted") == 0) & (F.col("coverage") >= 1)
+    return found.withColumn("label", F.when(secret, 1.0).when(harmless | prose, 0.0))
 
 
 def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> PipelineModel | None:

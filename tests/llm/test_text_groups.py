@@ -243,6 +243,34 @@ def test_neighbours_alone_do_not_decide(spark):
     assert secret_scan.describe("mail a.b1@mail.example.com", 5, 26)["kind"] == "mail"
 
 
+def test_secrets_of_every_kind(spark):
+    rng = random.Random(11)
+    letters, base = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    draw = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    rows, planted = [], []
+    for i in range(60):
+        plain = f"mail me at a{i}.b@mail{i}.example.com or read /usr/share/documentation{i}/pages and see 10.20.30.{i}, author: John Smith, plain words here"
+        short, signs, free, keyed = draw(letters[:26], 6) + draw("0123456789", 2), draw(letters, 4) + "&%" + draw(base, 5), draw(letters, 26), draw(base, 18) + "/" + draw(base, 21)
+        bare = draw(base, 15) + "/" + draw(base, 24)
+        free_bare = draw(letters, 40)
+        for text, secret in ((f"password: {short}", short), (f'password = "{signs}"', signs), (f'token = "{free}"', free), (f'{{"aws_secret_access_key": "{keyed}"}}', keyed),
+                             (f"the key {bare} was sent", bare), (f"the key {free_bare} was sent", free_bare)):
+            planted.append((len(rows), secret))
+            rows.append((len(rows), f"{plain} {text} {plain}", "en", None, 0))
+    df = spark.createDataFrame(rows, DOC)
+    scanned = secret_scan.scan(df, carry=("doc_id",))
+    labels = {(r.doc_id, r.candidate): r.label for r in secret_scan.rule_labels(scanned).collect()}
+    assert set(planted) <= set(labels) and not any(labels[p] == 0 for p in planted)
+    assert {labels[p] for k, p in enumerate(planted) if k % 6 < 4} == {1.0} and {labels[p] for k, p in enumerate(planted) if k % 6 == 4} == {None}
+    cut = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    missed = Counter(k % 6 for k, (d, secret) in enumerate(planted) if secret in cut[d])
+    assert not any(missed[kind] for kind in range(4)) and missed[4] <= 3 and missed[5] <= 3
+    assert all("@mail" in t and "/usr/share/documentation" in t and "author: John Smith" in t for t in cut.values())
+    spans = lambda t: [t[a:b] for a, b in secret_scan.spans(t)]
+    assert spans("Authorization: Bearer ab.cd, then api-key => 'x y'; pwd=\"a\\\"b\"") == ["ab.cd", "x y", 'a\\"b']
+    assert spans("author = Smith, Geschichtsschreibungen and some_snake_case_identifier") == []
+
+
 # token files
 
 def test_ids_equal_the_whole_texts_ids():
