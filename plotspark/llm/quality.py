@@ -5,7 +5,8 @@ all texts of that language by the Jensen-Shannon distance (square root of the di
 to mean anything are not judged by it. Everything is built-in functions, row by row; only word counts and one row per language are shuffled.
 
 Defined results
-* A null text is an empty text: no words, so it fails the counting rules. A null language is a language of its own.
+* A null text is an empty text: no words, so it fails the counting rules. A row with a null language bends no reference and is judged by the
+  nearest one: the language with the least word distance, then class distance.
 * Words are runs of characters other than space and \\x09-\\x0D; texts are read whole, at any length.
 * Every row is judged by itself, so repeated rows and repeated or null ids each keep their own verdict. An empty table gives an empty table.
 * The text and language columns are read by name; all other columns are carried along unless they bear the name of a result column,
@@ -157,27 +158,39 @@ def judge(docs: DataFrame, rules: QualityRules | None = None, text: str = "text"
     A distance is null where the text is too short for it or where its language has no reference, and then rejects nothing.
     """
     rules = rules or QualityRules()
-    marked = docs.withColumns({"__text": F.coalesce(F.col(text), F.lit("")), "__lang": F.coalesce(F.col(lang), F.lit(""))})
-    references = settled(language_references(marked.select("__text", "__lang"), rules))
-    rows = with_class_counts(marked.join(references, "__lang", "left"))
+    marked = docs.withColumns({"__text": F.coalesce(F.col(text), F.lit("")), "__lang": F.col(lang)})
+    references = settled(language_references(marked.where("__lang IS NOT NULL").select("__text", "__lang"), rules))
+    # A row's references: its language's, or all of them (a row per language) where it has none.
+    reference = F.struct("__top", "__word_share", "__class_share")
+    every = references.agg(F.collect_list(reference).alias("__references")).select(F.lit(None).cast("string").alias("__lang"), "__references")
+    own = settled(references.select("__lang", F.array(reference).alias("__references")).unionAll(every))
+    rows = with_class_counts(marked.join(own.withColumnRenamed("__lang", "__of"), F.col("__lang").eqNullSafe(F.col("__of")), "left").drop("__of"))
 
     spaced = F.concat(F.lit(" "), F.regexp_replace("__text", SPACE + "+", "  "), F.lit(" "))
     rows = rows.withColumn("__words", _let(words_of(F.col("__text")), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), repeat_words(w).cast("bigint").alias("repeats"))))
-    shares = _let(spaced, lambda t: _common_shares(t, F.col("__words.n"), F.col("__top")))
     chars = F.length("__text").cast("bigint")
+    class_shares = _shares(F.col("__classes"))
+    judged_words, judged_classes = F.col("__words.n") >= rules.min_common_words, chars >= rules.min_class_chars
+
+    def distances(t: Column, c: Column, r: Column) -> Column:
+        by_word = F.when(judged_words, js_distance(_common_shares(t, F.col("__words.n"), r["__top"]), r["__word_share"]))
+        return F.struct(by_word.alias("word"), F.when(judged_classes, js_distance(c, r["__class_share"])).alias("class"))
+
+    nearest = _let(spaced, lambda t: _let(class_shares, lambda c: F.array_min(F.transform("__references", lambda r: distances(t, c, r)))))
+    rows = rows.withColumn("__nearest", nearest)
     rows = rows.withColumns({
         "n_words": F.col("__words.n"),
         "word_chars": chars - F.col("__classes")[1],
         "n_symbols": F.col("__classes")[4],
         "n_dup_lines": dup_lines(F.col("__text")).cast("bigint"),
         "n_repeat_words": F.col("__words.repeats"),
-        "class_distance": F.when(chars >= rules.min_class_chars, js_distance(_shares(F.col("__classes")), F.col("__class_share"))),
-        "word_distance": F.when(F.col("__words.n") >= rules.min_common_words, js_distance(shares, F.col("__word_share"))),
+        "class_distance": F.col("__nearest.class"),
+        "word_distance": F.col("__nearest.word"),
     })
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     far = F.coalesce(F.col("class_distance") > rules.max_class_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > rules.max_word_distance, F.lit(False))
     rows = rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~far)
-    return rows.drop("__text", "__lang", "__words", "__classes", "__top", "__word_share", "__class_share")
+    return rows.drop("__text", "__lang", "__words", "__classes", "__references", "__nearest")
 
 
 def keep(docs: DataFrame, rules: QualityRules | None = None, text: str = "text", lang: str = "lang") -> DataFrame:

@@ -127,6 +127,17 @@ def test_quality_follows_the_labels(spark):
     assert good == 1 and bad <= 0.1
 
 
+def test_rows_without_a_language_are_judged_by_the_nearest(spark):
+    sf = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"), "doc_id", "left")
+    chosen = (F.col("quality") == 1) & (F.length("text") > 700)
+    judged = quality.judge(docs.withColumns({"true_lang": F.col("lang"), "lang": F.when(~F.coalesce(chosen, F.lit(False)), F.col("lang"))}))
+    kept = {r.true_lang: (r.n, r.k) for r in judged.where("lang is null and not base_failed").groupBy("true_lang").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("k")).collect()}
+    assert len(kept) == 4 and all(n == k > 0 for n, k in kept.values())
+    alone = quality.judge(docs.where("doc_id < 40").withColumn("lang", F.lit(None).cast("string")))
+    assert alone.where("word_distance is not null or class_distance is not null").count() == 0
+
+
 def test_copies_do_not_bend_the_reference(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     copied = docs.where("lang = 'en'").orderBy(F.desc(F.length("text"))).limit(1).select(F.explode(F.sequence(F.lit(10_000).cast("bigint"), F.lit(10_400).cast("bigint"))).alias("doc_id"), "text", "lang")
