@@ -12,7 +12,8 @@ exact edit distance, so what is reported is always right; only recall is a matte
 Documents are only mapped, never shuffled. Benchmark items are read in blocks of bounded size, each against all documents.
 
 Defined results
-* Words are runs of letters and digits in lower case; punctuation, symbols and case make no difference.
+* Words are runs of Unicode letters and digits, with their marks, in lower case; of scripts written without spaces every character is a word.
+  Punctuation, symbols, every kind of space and case make no difference; invisible joiners and soft hyphens are left out.
 * An item matches where a run of the document is within ``(1 - similarity) * words`` word edits of it; items of under 5 words must match exactly.
 * Null and empty texts and items have no words and match nothing. Texts and items are read whole, at any length.
 * Of several places in one document the nearest counts, then the first. Equal items are reported each. Repeated rows are each judged.
@@ -22,6 +23,7 @@ Defined results
 from __future__ import annotations
 
 import math
+import unicodedata
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,12 +42,39 @@ PAIR_BITS = 20
 WALKS_AT_ONCE = 1 << 20
 SEED = 20160619
 
-_ASCII = bytes(range(128))
-_WORD_BYTES = bytes((c if chr(c).isalnum() else 32) for c in _ASCII) + bytes(range(128, 256))
+#: Letters of scripts without spaces between words: Thai, Lao, Tibetan, Myanmar, Khmer, Han and kana.
+_UNSPACED = ((0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+             (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
+#: Soft hyphen, joiners and byte order mark, which stand inside words and are not seen.
+_UNSEEN = (0xAD, 0x200C, 0x200D, 0x2060, 0xFEFF)
+
+
+class _Signs(dict):
+    """What each character of a text becomes before it is cut at white space."""
+
+    def __missing__(self, code: int) -> str | None:
+        c = chr(code)
+        kind = unicodedata.category(c)
+        if code in _UNSEEN or 0xFE00 <= code <= 0xFE0F:
+            self[code] = None
+        elif not (c.isalnum() or kind[0] == "M"):
+            self[code] = " "
+        elif any(low <= code <= high for low, high in _UNSPACED):
+            self[code] = f" {c} "
+        else:
+            self[code] = c
+        return self[code]
+
+
+_SIGNS = _Signs()
+_WORD_BYTES = bytes((c if c < 128 and chr(c).isalnum() else 32) for c in range(256))
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
+    text = (text or "").lower()
+    if text.isascii():
+        return text.encode().translate(_WORD_BYTES).split()
+    return text.translate(_SIGNS).encode("utf-8", "surrogatepass").split()
 
 
 def most_edits(words: int, similarity: float = SIMILARITY) -> int:

@@ -211,6 +211,18 @@ def test_items_in_blocks_and_neighbouring_documents(spark):
     assert [[x["item_id"] for x in f] for f in found] == [[], [3], [], [], [4]]
 
 
+def test_items_are_found_in_other_typography_and_scripts(spark):
+    item = "don't say it's the end - we'll see what they've got, and that's all there is"
+    han = "\u6211\u5011\u5728\u5c71\u4e0a\u770b\u898b\u4e86\u4e00\u500b\u5f88\u5927\u7684\u6e56"
+    items = spark.createDataFrame([(1, item), (2, han), (3, "\u00e9t\u00e9 \u00e0 la plage")], "item_id bigint, text string")
+    curly = item.replace("'", "\u2019").replace(" - ", "\u2009\u2014\u2009").replace(", ", "\u2026\u00a0").replace("what", "wh\u00adat")
+    docs = [(1, f"\u201c{curly}\u201d"), (2, "\u4eca\u5929" + han + "\u3002\u660e\u5929"), (3, "\u4eca\u5929" + han[:5] + "\u6c34" + han[6:] + "\u660e"), (4, "l\u2019\u00c9T\u00c9\u00a0\u00e0 la\u202fplage!"), (5, "\u660e\u5929\u898b"),
+            (6, item.replace("'", ""))]
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()}
+    assert got == {(1, 1): 0, (2, 2): 0, (3, 2): 1, (4, 3): 0}
+    assert decontaminate.words_of("a\u0301b \u0928\u092e\u0938\u094d\u0924\u0947 x_y 3\u00d74") == ["a\u0301b".encode(), "\u0928\u092e\u0938\u094d\u0924\u0947".encode(), b"x", b"y", b"3", b"4"]
+
+
 # secrets
 
 def test_secrets_are_found_and_cut(spark):
