@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plotspark.llm import decontaminate, language_id, link_trust, packing, preferences, quality, secret_scan, sharding, simhash, token_files
+from plotspark.llm import (
+    decontaminate, language_id, link_trust, merkle, packing, piece_ids, preferences, quality, secret_scan, sharding, simhash, spelling, token_files,
+)
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -217,6 +219,91 @@ def forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "at", F.md5("candidate").alias("candidate_md5"), F.col("length").cast("int").alias("length"), "name", "kind", "coverage", "score", "is_secret")
 
 
+@query("op11_piece_ids")
+def piece_ids_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document's text and of the text they stand for."""
+    found = piece_ids.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), decode=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+#: crc32 of a short ASCII or UTF-8 text, its 256 entries worked out in the query.
+CRC_ENTRIES = "entries AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS entry)"
+
+
+def crc_sql(text: str) -> str:
+    """SQL of the unsigned crc32 of a non-empty text, where ``entry`` is in scope."""
+    octets = f"list_transform(string_split(regexp_replace(hex(encode({text})), '(..)', '\\1 ', 'g'), ' ')[:octet_length(encode({text}))], lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(4294967295, list_reduce({octets}, lambda c, x: xor(c >> 8, entry[(xor(c, x) & 255) + 1]), 4294967295))"
+
+
+SPELLING_SQL = f"""
+WITH RECURSIVE {CRC_ENTRIES},
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '{spelling.RUNS}')), '{spelling._UPPER}', '{spelling._LOWER}') AS run FROM documents),
+seen AS (SELECT id, run, count(*) AS k FROM runs WHERE length(run) >= {spelling.MIN_LENGTH} GROUP BY ALL),
+hashed AS (SELECT run, k, {crc_sql("id || ':' || run")} AS h FROM seen, entries),
+words AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, k FROM hashed),
+vocabulary AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM words WHERE length(word) >= {spelling.MIN_LENGTH} GROUP BY word HAVING sum(k) >= {spelling.MIN_COUNT}),
+places AS (SELECT word, n, unnest(range(length(word))) AS p FROM vocabulary),
+cut AS (SELECT word, n, p, substr(word, 1, p) AS a, substr(word, p + 2) AS z FROM places),
+pairs AS (
+  SELECT x.word, x.n, y.word AS near, y.n AS near_n FROM cut x JOIN cut y ON x.p = y.p AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+  UNION SELECT x.word, x.n, v.word, v.n FROM cut x JOIN vocabulary v ON v.word = x.a || x.z
+  UNION SELECT v.word, v.n, x.word, x.n FROM cut x JOIN vocabulary v ON v.word = x.a || x.z),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+judged AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= {spelling.RATIO} * v.n THEN near END AS form, CASE WHEN near_n >= {spelling.RATIO} * v.n THEN near_n END AS form_n FROM vocabulary v LEFT JOIN best USING (word)),
+ways AS (SELECT word, word AS root, 0 AS steps FROM judged UNION ALL SELECT w.word, j.form, steps + 1 FROM ways w JOIN judged j ON j.word = w.root WHERE j.form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, steps) AS root FROM ways GROUP BY word)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM judged JOIN ends USING (word)"""
+
+
+@query("op12_spelling_variants", SPELLING_SQL)
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of the documents with its frequent form."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_every=199)
+
+
+def _leaf_sql(chars: str) -> str:
+    part = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR) END"
+    return "sha256(" + " || ".join(part.format(c) for c in ("doc_id", "source", "lang", chars, "text")) + ")"
+
+
+_CLIMB = """SELECT level + 1, grp, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), (max(n) + 1) // 2 FROM {0} WHERE n > 1 GROUP BY level, grp, idx // 2"""
+_PATH = """{0}_path AS (SELECT grp, idx AS leaf, level, idx, CAST(NULL AS VARCHAR) AS other, false AS odd, n FROM {0} WHERE level = 0
+  UNION ALL SELECT p.grp, p.leaf, p.level + 1, p.idx // 2, coalesce(s.digest, ''), p.idx % 2 = 1, (p.n + 1) // 2
+  FROM {0}_path p LEFT JOIN {0}_nodes s ON s.grp = p.grp AND s.level = p.level AND s.idx = xor(p.idx, 1) WHERE p.n > 1)"""
+MERKLE_SQL = f"""
+WITH RECURSIVE {CRC_ENTRIES},
+marked AS (SELECT doc_id, coalesce(':' || lang, '') AS grp, {_leaf_sql("n_chars")} AS digest, {_leaf_sql("n_chars + 1")} AS other,
+                  coalesce({crc_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0, false) AS tampered FROM documents, entries),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, digest) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM marked),
+low(level, grp, idx, digest, n) AS (SELECT 0, grp, idx, digest, n FROM leaves UNION ALL {_CLIMB.format("low")}),
+low_nodes AS MATERIALIZED (SELECT * FROM low),
+subroots AS (SELECT grp, digest AS subroot, row_number() OVER (ORDER BY grp) - 1 AS place, count(*) OVER () AS groups FROM low_nodes WHERE n = 1),
+high(level, grp, idx, digest, n) AS (SELECT 0, '', place, subroot, groups FROM subroots UNION ALL {_CLIMB.format("high")}),
+high_nodes AS MATERIALIZED (SELECT * FROM high),
+{_PATH.format("low")},
+{_PATH.format("high")},
+steps AS (SELECT l.grp, l.idx, list({{'other': p.other, 'odd': p.odd}} ORDER BY p.level) FILTER (p.level > 0) AS low FROM leaves l JOIN low_path p ON p.grp = l.grp AND p.leaf = l.idx GROUP BY l.grp, l.idx),
+high_steps AS (SELECT s.grp, list({{'other': p.other, 'odd': p.odd}} ORDER BY p.level) FILTER (p.level > 0) AS high FROM subroots s JOIN high_path p ON p.leaf = s.place GROUP BY s.grp),
+joined AS (SELECT doc_id, digest, CASE WHEN tampered THEN other ELSE digest END AS used, l.grp, coalesce(low, []) || coalesce(high, []) AS path
+           FROM leaves l JOIN steps USING (grp, idx) JOIN high_steps h ON h.grp = l.grp),
+folded AS (SELECT *, list_reduce(path, lambda own, s: {{'other': CASE WHEN s.odd THEN sha256(s.other || own.other) ELSE sha256(own.other || s.other) END, 'odd': false}}, {{'other': used, 'odd': false}}).other AS folded_root FROM joined)
+SELECT doc_id, digest AS leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.other), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM folded JOIN subroots USING (grp), (SELECT digest AS root FROM high_nodes WHERE n = 1)"""
+
+
+@query("op13_merkle_manifest", MERKLE_SQL)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof, checked against the root with every seventh document changed."""
+    leaf = lambda chars: merkle.digest(*[F.col(c) for c in ("doc_id", "source", "lang")], chars, F.col("text"))
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").withColumn("used", F.when(tampered, leaf(F.col("n_chars") + 1)).otherwise(leaf(F.col("n_chars"))))
+    found = merkle.manifest(docs, leaf(F.col("n_chars")), "lang", "doc_id", carry=("used",))
+    checked = merkle.verify(found, F.col("used"))
+    return checked.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over the documents."""
