@@ -123,10 +123,10 @@ def brute_variants(counts, ratio=5):
         around = [v for v in counts if near(w, v)]
         best = min(around, key=lambda v: (-counts[v], v), default=None)
         forms[w] = best if best is not None and counts[best] >= ratio * n else None
-        result[w] = (forms[w], n, len(around), counts[best] if forms[w] else None)
+        result[w] = (forms[w], n, len(around), counts[best] if forms[w] is not None else None)
     for w in counts:
         root = w
-        while forms[root]:
+        while forms[root] is not None:
             root = forms[root]
         form, *rest = result[w]
         result[w] = (form, root, *rest)
