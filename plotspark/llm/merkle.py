@@ -18,14 +18,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotspark.llm.small import written
 from plotspark.operators.ranking import ordered_rank, salted_join
-from plotspark.session import checkpointed
 
 #: Paths are written after so many levels.
 LEVELS_A_WRITE = 4
+#: Levels of no more nodes, whatever the dataset, are one task's work: near the roots there is nothing to deal out.
+FEW_NODES = 10_000
 NODE = ["grp", "idx", "n", "digest"]
 
 
@@ -45,18 +47,23 @@ def _group_key(group: Column) -> Column:
 
 def _numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
     """``rows`` (with grp) with idx, the place in the group from 0, and n, the group's size."""
-    placed = checkpointed(ordered_rank(rows, [F.col("grp"), *order], "__place"))
+    placed = ordered_rank(rows, [F.col("grp"), *order], "__place")
     groups = placed.groupBy("grp").agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("n")).withColumn("__rows", F.col("n"))
     return salted_join(placed, groups, ["grp"], "__rows").withColumn("idx", F.col("__place") - F.col("__first")).drop("__place", "__first")
 
 
 @dataclass
 class Tree:
-    """levels: (grp, idx, n, digest, others) of every level's nodes that have a parent; roots: (grp, level, digest)."""
+    """levels: (grp, idx, n, digest, others) of every level's nodes that have a parent; roots: (grp, level, digest); sizes: most nodes of each level."""
 
     levels: list[DataFrame]
     roots: DataFrame
     fanout: int
+    sizes: list[int]
+
+
+def _dealt(nodes: DataFrame, most: int) -> DataFrame:
+    return nodes.coalesce(1) if most <= FEW_NODES else nodes
 
 
 def _with_siblings(nodes: DataFrame, fanout: int) -> DataFrame:
@@ -84,13 +91,16 @@ def build(leaves: DataFrame, fanout: int = 2) -> Tree:
     if fanout < 2:
         raise ValueError("a run needs two nodes or more")
     nodes = leaves.select(*NODE)
-    most = nodes.agg(F.max("n")).first()[0] or 0
-    levels, roots = [], []
+    most, total, groups = nodes.agg(F.max("n"), F.count(F.lit(1)), F.count_if(F.col("idx") == 0)).first()
+    most = most or 0
+    levels, roots, sizes = [], [], []
     while True:
+        sizes.append(total // fanout ** len(levels) + groups)
+        nodes = _dealt(nodes, sizes[-1])
         roots.append(nodes.where("n = 1").select("grp", F.lit(len(levels)).alias("level"), "digest"))
         if most <= 1:
             break
-        level = checkpointed(_with_siblings(nodes.where("n > 1"), fanout))
+        level = written(_with_siblings(nodes.where("n > 1"), fanout))
         levels.append(level)
         slot_zero = level.where(F.col("idx") % fanout == 0)
         nodes = slot_zero.select("grp", F.floor(F.col("idx") / fanout).alias("idx"), F.ceil(F.col("n") / fanout).alias("n"), _joined(F.lit(0), F.col("digest"), F.col("others")).alias("digest"))
@@ -98,24 +108,25 @@ def build(leaves: DataFrame, fanout: int = 2) -> Tree:
     every = roots[0]
     for more in roots[1:]:
         every = every.unionAll(more)
-    return Tree(levels, checkpointed(every), fanout)
+    return Tree(levels, written(every), fanout, sizes)
 
 
 def paths(tree: Tree, above: DataFrame) -> DataFrame:
     """grp, idx, path of every leaf: array of (slot, others) from its own level up, and then what ``above`` (grp, path) has for its group's root."""
-    tops = checkpointed(tree.roots.select("grp", "level").join(above, "grp"))
+    groups = tree.sizes[-1]
+    tops = written(_dealt(tree.roots.select("grp", "level"), groups).join(_dealt(above, groups), "grp"))
 
     def roots_at(level: int) -> DataFrame:
         return tops.where(F.col("level") == level).select("grp", F.lit(0).cast("bigint").alias("idx"), "path")
 
-    found = roots_at(len(tree.levels))
+    found = _dealt(roots_at(len(tree.levels)), groups)
     for k in range(len(tree.levels) - 1, -1, -1):
         step = F.struct((F.col("idx") % tree.fanout).cast("int").alias("slot"), "others").alias("step")
         nodes = tree.levels[k].select("grp", "idx", F.floor(F.col("idx") / tree.fanout).alias("up"), step)
-        joined = nodes.join(found.withColumnRenamed("idx", "up"), ["grp", "up"])
-        found = joined.select("grp", "idx", F.concat(F.array("step"), "path").alias("path")).unionAll(roots_at(k))
+        joined = _dealt(nodes, tree.sizes[k]).join(found.withColumnRenamed("idx", "up"), ["grp", "up"])
+        found = _dealt(joined.select("grp", "idx", F.concat(F.array("step"), "path").alias("path")).unionAll(roots_at(k)), tree.sizes[k])
         if k and k % LEVELS_A_WRITE == 0:
-            found = checkpointed(found)
+            found = written(found)
     return found
 
 
@@ -132,18 +143,24 @@ def proof(path: Column) -> Column:
 def manifest(rows: DataFrame, leaf: Column, group: str, order: str, carry: tuple[str, ...] = (), fanout: int = 2) -> DataFrame:
     """Every row's order column, ``carry`` columns, leaf, subroot, root and path (array of slot and siblings)."""
     slim = rows.select(_group_key(F.col(group)).alias("grp"), F.col(order).alias("__order"), leaf.alias("digest"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)])
-    leaves = checkpointed(_numbered(slim, [F.col("__order").asc_nulls_first(), F.col("digest")]))
+    leaves = written(_numbered(slim, [F.col("__order").asc_nulls_first(), F.col("digest")]))
     tree = build(leaves, fanout)
-    subroots = checkpointed(_numbered(tree.roots.select(F.lit("").alias("grp"), F.col("grp").alias("name"), "digest"), [F.col("name")]))
+    named = tree.roots.select(F.lit("").alias("grp"), F.col("grp").alias("name"), "digest")
+    if tree.sizes[-1] <= FEW_NODES:
+        one = Window.partitionBy("grp")
+        subroots = named.coalesce(1).withColumns({"idx": (F.row_number().over(one.orderBy("name")) - 1).cast("bigint"), "n": F.count(F.lit(1)).over(one)})
+    else:
+        subroots = _numbered(named, [F.col("name")])
+    subroots = written(subroots)
     upper = build(subroots, fanout)
     root = upper.roots.first()
     empty = F.from_json(F.lit("[]"), "array<struct<slot: int, others: binary>>")
     above = paths(upper, upper.roots.select("grp", empty.alias("path")))
     above = above.join(subroots.select("grp", "idx", "name"), ["grp", "idx"]).select(F.col("name").alias("grp"), "path")
     sized = tree.roots.select("grp", F.col("digest").alias("subroot")).join(leaves.where("idx = 0").select("grp", F.col("n").alias("__rows")), "grp")
-    placed = salted_join(leaves, checkpointed(sized), ["grp"], "__rows").join(paths(tree, above), ["grp", "idx"])
-    named = [F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)]
-    return placed.select(F.col("__order").alias(order), *named, F.col("digest").alias("leaf"), "subroot", F.lit(root["digest"] if root else None).cast("string").alias("root"), "path")
+    placed = salted_join(leaves, written(sized), ["grp"], "__rows").join(paths(tree, above), ["grp", "idx"])
+    carried = [F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)]
+    return placed.select(F.col("__order").alias(order), *carried, F.col("digest").alias("leaf"), "subroot", F.lit(root["digest"] if root else None).cast("string").alias("root"), "path")
 
 
 def verify(found: DataFrame, leaf: Column) -> DataFrame:
