@@ -1,23 +1,26 @@
-"""Nested grouped cross-validation, hyperparameter search and model sweeps.
+"""Nested grouped cross-validation, hyperparameter search, model sweeps, and stored models of every kind.
 
 Folds, inner folds and trials are columns: a linear or nearest-neighbour model is fitted for all of them in one job.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from plotspark.functions.scalars import from_log_target
 from plotspark.models import design as ds
 from plotspark.models import knn, rff, target, trees
 from plotspark.models.gram import LINEAR, Trial, fit_linear, predict_linear
 from plotspark.models.registry import MODELS, defaults, draw_params
 from plotspark.operators import folds as fd
 from plotspark.operators import metrics as mt
+from plotspark.session import checkpointed
 
 c = F.col
 
@@ -53,59 +56,75 @@ class Run:
     procedure: Procedure
     predictions: DataFrame  # split, filename, plot, aug, is_aug, held_out, fit, actual, predicted
     prep: DataFrame
-    coefs: DataFrame | None
+    fitted: dict[str, DataFrame]  # what the model's kind needs besides prep: coefs, nodes or reference, with cycle and trial
     n_cycles: int
     folds: DataFrame
 
+    @property
+    def coefs(self) -> DataFrame | None:
+        return self.fitted.get("coefs")
 
-def _fit_predict(rows: DataFrame, proc: Procedure, keys: Sequence[str], n_keys: int, trials: Sequence[Trial]) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(design rows with trial and predicted, prep, coefficients) of one model family."""
+
+Fitted = dict[str, DataFrame]
+
+
+def _kernel(proc: Procedure, params: dict, size: int) -> tuple[float, int]:
+    """Length scale and number of random features; a length of 0 stands for the plain features."""
+    width = int(params.get("features", rff.N_FEATURES))
+    if proc.model == "gpr":
+        return float(params.get("length_scale", 1.0)), width
+    kernel = str(params.get("kernel", "rbf"))
+    if kernel == "poly":
+        raise ValueError("the polynomial kernel is not supported; use rbf or linear")
+    return (rff.svr_length_scale(size), width) if kernel == "rbf" else (0.0, size)
+
+
+def _spread_wanted(proc: Procedure, params: dict) -> bool:
+    return proc.model == "svr" and str(params.get("kernel", "rbf")) == "rbf" and str(params.get("gamma", "scale")) == "scale"
+
+
+def _fit_predict(rows: DataFrame, proc: Procedure, keys: Sequence[str], n_keys: int, trials: Sequence[Trial]) -> tuple[DataFrame, DataFrame, Fitted]:
+    """(design rows with trial and predicted, prep, fitted tables) of one model family."""
     spec = MODELS[proc.model]
     size = len(proc.features)
     prep = ds.fit_prep(rows, proc.features, keys, n_keys, proc.normalize, spec.needs_scaling)
     prepared = ds.design_rows(rows, prep, proc.features, keys, n_keys)
     if proc.model in LINEAR:
         coefs = fit_linear(prepared, prep, keys, size, trials)
-        return predict_linear(prepared, coefs, keys, n_keys, len(trials), size), prep, coefs
-    if proc.model == "gpr":
+        return predict_linear(prepared, coefs, keys, n_keys, len(trials), size), prep, {"coefs": coefs}
+    if proc.model in ("gpr", "svr"):
         parts, coef_parts = [], []
         for t in trials:  # the features depend on the trial's length scale
-            width = int(t.params.get("features", rff.N_FEATURES))
-            lifted = rff.random_features(prepared, size, float(t.params.get("length_scale", 1.0)), proc.seed, width)
-            coefs = fit_linear(lifted, prep, keys, width, [Trial(t.trial, "gpr", t.params)])
+            length, width = _kernel(proc, t.params, size)
+            spread = rff.spreads(prepared, keys) if _spread_wanted(proc, t.params) else None
+            scaled = rff.divided(prepared, spread, keys, n_keys) if spread is not None else prepared
+            lifted = rff.random_features(scaled, size, length, proc.seed, width) if length else scaled
+            if proc.model == "gpr":
+                coefs = fit_linear(lifted, prep, keys, width, [Trial(t.trial, "gpr", t.params)])
+            else:
+                coefs = rff.fit_svr(lifted, keys, width, float(t.params.get("C", 10.0)), float(t.params.get("epsilon", 0.1)), int(t.params.get("max_steps", 120))).withColumn("trial", F.lit(t.trial))
             parts.append(predict_linear(lifted, coefs, keys, n_keys, 1, width))
-            coef_parts.append(coefs)
-        return _union(parts), prep, _union(coef_parts)
+            coef_parts.append(coefs.join(spread, list(keys)) if spread is not None else coefs.withColumn("spread", F.lit(1.0)))
+        return _union(parts), prep, {"coefs": _union(coef_parts)}
     if proc.model == "knn":
         k_of = {t.trial: max(1, int(t.params.get("n_neighbors", 5))) for t in trials}
         found = knn.nearest(prepared, keys, n_keys, size, max(k_of.values()))
         found = found.persist() if len(trials) > 1 else found
         votes = [knn.vote(found, keys, k_of[t.trial], str(t.params.get("weights", "distance"))).withColumn("trial", F.lit(t.trial)) for t in trials]
-        return prepared.join(_union(votes), [*keys, "filename"]), prep, None
-    if proc.model == "svr":
-        parts = []
-        for t in trials:
-            kernel = str(t.params.get("kernel", "rbf"))
-            if kernel == "poly":
-                raise ValueError("the polynomial kernel is not supported; use rbf or linear")
-            lifted, width = prepared, size
-            if kernel == "rbf":
-                scaled = rff.unit_variance(prepared, keys, n_keys) if str(t.params.get("gamma", "scale")) == "scale" else prepared
-                width = int(t.params.get("features", rff.N_FEATURES))
-                lifted = rff.random_features(scaled, size, rff.svr_length_scale(size), proc.seed, width)
-            coefs = rff.fit_svr(lifted, keys, width, float(t.params.get("C", 10.0)), float(t.params.get("epsilon", 0.1)), int(t.params.get("max_steps", 120)))
-            parts.append(predict_linear(lifted, coefs.withColumn("trial", F.lit(t.trial)), keys, n_keys, 1, width))
-        return _union(parts), prep, None
+        reference = prepared.where("fit").select(*keys, "filename", "y", "x")
+        return prepared.join(_union(votes), [*keys, "filename"]), prep, {"reference": reference}
     if list(keys) != ["cycle"]:
         raise ValueError(f"{proc.model!r} is fitted per fold; search it fold by fold")
-    parts = []
+    parts, nodes = [], []
     for t in trials:
         if proc.model in CUSTOM:
             scored = CUSTOM[proc.model](prepared, prep, size, t.params, n_keys, proc.seed)
         else:
-            scored = trees.predict_trees(prepared, trees.fit_trees(prepared, proc.model, t.params, n_keys, proc.seed))
+            grown = trees.fit_trees(prepared, proc.model, t.params, proc.seed, size)
+            scored = trees.predict_trees(prepared, grown)
+            nodes.append(grown.withColumn("trial", F.lit(t.trial)))
         parts.append(scored.withColumn("trial", F.lit(t.trial)))
-    return _union(parts), prep, None
+    return _union(parts), prep, {"nodes": _union(nodes)} if nodes else {}
 
 
 def _cached(sided: DataFrame) -> DataFrame:
@@ -122,13 +141,14 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def _scored(rows: DataFrame, proc: Procedure, keys: Sequence[str], n_keys: int, trials: Sequence[Trial]) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def _scored(rows: DataFrame, proc: Procedure, keys: Sequence[str], n_keys: int, trials: Sequence[Trial]) -> tuple[DataFrame, DataFrame, Fitted]:
     if proc.transform == "log":
         rows = target.to_log(rows)
-    scored, prep, coefs = _fit_predict(rows, proc, keys, n_keys, trials)
+    scored, prep, fitted = _fit_predict(rows, proc, keys, n_keys, trials)
     if proc.transform == "log":
+        fitted = {**fitted, "smears": target.smears(scored, [*keys, "trial"], proc.correction)}
         scored = target.from_log(scored, [*keys, "trial"], n_keys * len(trials), proc.correction)
-    return scored, prep, coefs
+    return scored, prep, fitted
 
 
 def run_procedure(df: DataFrame, proc: Procedure, folds: DataFrame | None = None, n_cycles: int | None = None) -> Run:
@@ -143,10 +163,17 @@ def run_procedure(df: DataFrame, proc: Procedure, folds: DataFrame | None = None
     sided = _cached(ds.with_folds(rows, folds, n_cycles, proc.train_aug))
     if not (proc.train_aug and proc.score_aug):
         ds.require_originals(sided, proc.score_aug)
-    scored, prep, coefs = _scored(sided, proc, ["cycle"], n_cycles, [Trial(0, proc.model, proc.all_params())])
+    trial = Trial(0, proc.model, proc.all_params())
+    scored, prep, fitted = _scored(sided, proc, ["cycle"], n_cycles, [trial])
     predictions = scored.select(
         (c("cycle") + 1).alias("split"), "filename", "plot", "aug", "is_aug", "held_out", "fit", c("y").alias("actual"), "predicted")
-    return Run(proc, predictions, prep, coefs, n_cycles, folds)
+    return Run(proc, predictions, prep, {**fitted, "settings": _settings(df, proc, {k: trial for k in range(n_cycles)})}, n_cycles, folds)
+
+
+def _settings(df: DataFrame, proc: Procedure, chosen: Mapping[int, Trial]) -> DataFrame:
+    """cycle and everything that scoring must know of the procedure besides the fitted tables; one row per fold."""
+    rows = [(cycle, proc.model, list(proc.features), json.dumps(t.params, sort_keys=True), proc.seed, proc.transform) for cycle, t in chosen.items()]
+    return df.sparkSession.createDataFrame(rows, "cycle int, model string, features array<string>, params string, seed bigint, transform string")
 
 
 def fold_metrics(run: Run) -> DataFrame:
@@ -225,16 +252,16 @@ def nested_search(df: DataFrame, proc: Procedure, n_trials: int, inner_splits: i
     chosen = {r["outer"]: r["trial"] for r in best_trials(scores).collect()}  # one row per outer fold
     used = sorted(set(chosen.values()))
     sided = _cached(ds.with_folds(rows, outer, n_cycles, proc.train_aug))
-    scored, prep, coefs = _scored(sided, proc, ["cycle"], n_cycles, [t for t in trials if t.trial in used])
+    scored, prep, fitted = _scored(sided, proc, ["cycle"], n_cycles, [t for t in trials if t.trial in used])
     pick = F.create_map(*[F.lit(v) for kv in chosen.items() for v in kv])
     scored = scored.where(c("trial") == F.element_at(pick, c("cycle")))
     predictions = scored.select(
         (c("cycle") + 1).alias("split"), "filename", "plot", "aug", "is_aug", "held_out", "fit", c("y").alias("actual"), "predicted")
-    if coefs is not None:
-        coefs = coefs.where(c("trial") == F.element_at(pick, c("cycle")))
+    fitted = {name: table.where(c("trial") == F.element_at(pick, c("cycle"))) if "trial" in table.columns else table for name, table in fitted.items()}
+    fitted["settings"] = _settings(df, proc, {o: trials[t] for o, t in chosen.items()})
     params = [(o + 1, k, float(v)) for o, t in chosen.items() for k, v in trials[t].params.items() if isinstance(v, (int, float)) and not isinstance(v, bool)]
     fold_params = df.sparkSession.createDataFrame(params, "split int, param string, value double")
-    return Run(proc, predictions, prep, coefs, n_cycles, outer), fold_params
+    return Run(proc, predictions, prep, fitted, n_cycles, outer), fold_params
 
 
 # --------------------------------------------------------------------------------------- sweep
@@ -267,9 +294,9 @@ def rank_models(metrics: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------------------ stored models
 def fitted_table(run: Run) -> DataFrame:
-    """What scoring a new dataset needs, per split: imputation, scaling, weights."""
+    """A linear model's imputation, scaling and weights, one row per split."""
     if run.coefs is None or run.procedure.model not in LINEAR:
-        raise ValueError("only linear models are stored as a table")
+        raise ValueError("only linear models are one table; see stored_tables")
     return run.prep.join(run.coefs.drop("trial"), "cycle").withColumn("split", c("cycle") + 1).drop("cycle")
 
 
@@ -283,9 +310,77 @@ def linear_score(features: Sequence[str], fitted: Row) -> Column:
 
 
 def score_dataset(df: DataFrame, fitted: DataFrame, features: Sequence[str], target_col: str, split: int) -> DataFrame:
-    """A stored model's predictions on a dataset: filename, grp, plot, aug, actual, predicted."""
+    """A stored linear model's predictions on a dataset: filename, grp, plot, aug, actual, predicted."""
     rows = ds.labelled_rows(df, features, target_col)
     one = fitted.where(c("split") == split).first()  # one fold's weights
     if one is None:
         raise ValueError(f"no fitted split {split}")
     return rows.select("filename", "grp", "plot", "aug", c("y").alias("actual"), linear_score(features, one).alias("predicted"))
+
+
+#: Tables of a stored model, whatever its kind.
+MODEL_TABLES = ("settings", "prep", "coefs", "nodes", "reference", "smears")
+
+
+def stored_tables(run: Run) -> dict[str, DataFrame]:
+    """Everything that scoring new rows needs, as tables with split: for the run store, or for ``scorer``."""
+    if run.procedure.model in CUSTOM:
+        raise ValueError(f"{run.procedure.model!r} has no tables to store")
+    tables = {"prep": run.prep, **run.fitted}
+    return {name: table.withColumn("split", c("cycle") + 1).drop("cycle", "trial") for name, table in tables.items()}
+
+
+def scorer(tables: Mapping[str, DataFrame], split: int) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds ``predicted`` to rows with the model's features (numbers), by one split of the stored tables of any model."""
+    one = lambda name: tables[name].where(c("split") == split)
+    setting, prep = one("settings").first(), one("prep").first()
+    if setting is None or prep is None:
+        raise ValueError(f"no fitted split {split}")
+    features, params, model, size = list(setting["features"]), json.loads(setting["params"]), setting["model"], len(setting["features"])
+    proc = Procedure(model, features, params=params, seed=setting["seed"])
+    x = F.array(*[(F.coalesce(c(f), F.lit(prep["med"][i])) - F.lit(prep["mean"][i])) / F.lit(prep["scale"][i]) for i, f in enumerate(features)])
+    smear = one("smears").first()["smear"] if setting["transform"] == "log" else None
+    done = (lambda df: df) if smear is None else (lambda df: df.withColumn("predicted", from_log_target(c("predicted"), F.lit(smear))))
+
+    if model in LINEAR or model in ("gpr", "svr"):
+        fitted = one("coefs").first()
+        weights = F.lit([float(v) for v in fitted["w"]]).cast("array<double>")
+        length, width = _kernel(proc, params, size) if model not in LINEAR else (0.0, size)
+
+        def linear(df: DataFrame) -> DataFrame:
+            rows = df.withColumn("x", x)
+            if model == "svr":
+                rows = rows.withColumn("x", F.transform("x", lambda v: v / F.lit(float(fitted["spread"]))))
+            if length:
+                rows = rff.random_features(rows, size, length, proc.seed, width)
+            return done(rows.withColumn("__w", weights).withColumn("predicted", F.lit(float(prep["y_mean"])) + ds.dot("x", "__w", width)).drop("x", "__w"))
+
+        return linear
+    if model == "knn":
+        reference = one("reference").select(F.lit(0).alias("cycle"), "filename", F.lit(True).alias("fit"), "y", "x")
+
+        def neighbours(df: DataFrame) -> DataFrame:
+            # Rows are told apart by their own number, so names may repeat and may be those of reference rows.
+            numbered = _numbered(df)
+            asked = numbered.select(F.lit(0).alias("cycle"), F.concat(F.lit("?"), c("__row").cast("string")).alias("filename"), F.lit(False).alias("fit"), F.lit(0.0).alias("y"), x.alias("x"))
+            known = reference.withColumn("filename", F.concat(F.lit("="), c("filename")))
+            found = knn.nearest(known.unionByName(asked), ["cycle"], 1, size, max(1, int(params.get("n_neighbors", 5))), only_new=True)
+            votes = knn.vote(found, ["cycle"], max(1, int(params.get("n_neighbors", 5))), str(params.get("weights", "distance")))
+            votes = votes.select(F.substring("filename", 2, 20).cast("bigint").alias("__row"), "predicted")
+            return done(numbered.join(votes, "__row").drop("__row"))
+
+        return neighbours
+    nodes = one("nodes").select(F.lit(0).alias("cycle"), *trees.NODE)
+    return lambda df: done(trees.predict_trees(df.withColumns({"cycle": F.lit(0), "x": x}), nodes).drop("cycle", "x"))
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """``df`` with a number per row, written so that every later look sees the same."""
+    return checkpointed(df.withColumn("__row", F.monotonically_increasing_id()))
+
+
+def score_stored(df: DataFrame, tables: Mapping[str, DataFrame], target_col: str, split: int) -> DataFrame:
+    """The predictions of a stored model of any kind on a dataset: filename, grp, plot, aug, actual, predicted."""
+    features = list(tables["settings"].where(c("split") == split).first()["features"])
+    rows = ds.labelled_rows(df, features, target_col).withColumnRenamed("y", "actual")
+    return scorer(tables, split)(rows).select("filename", "grp", "plot", "aug", "actual", "predicted")

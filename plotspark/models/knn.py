@@ -1,23 +1,29 @@
 """Exact k nearest neighbours without comparing everything with everything.
 
-Fitting rows are assigned to their nearest pivot. From the distances of a query to the pivots, the cells' radii and
-their row counts follow an upper bound for its k-th distance and a lower bound for every cell (triangle inequality);
-only cells that can contain a neighbour are visited. Cells are cut into blocks of bounded size, so a crowded cell is
-spread over many tasks, and every block returns k rows per query at most.
+The fitting rows of a fold hang under a tree of two levels: about twice the square root of their number are pivots, some of them head a group of the
+others. A row goes to its nearest head and then to that group's nearest pivot; groups and cells have a radius. A query first looks at its own
+cell; what it finds there bounds its k-th distance, and only groups and cells that can come nearer are visited: by the triangle inequality, as a
+cell's rows lie in a ring about its pivot and its group's head, and as they lie nearer to their own pivot (or head) than to any other.
+
+Cells are cut into blocks of bounded size and so are the queries that visit a cell. Every pair of blocks is a join key of its own, so neither a
+crowded cell nor one that everybody visits is the work of one task. Equal rows are as far from everything, so of each fold's equal rows only the
+k first by name take part. Every pair of blocks returns k rows per query at most, and the ranking keeps k before it shuffles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotspark.models.design import BROADCAST_BYTES, keyed_join
 from plotspark.operators.ranking import hash_sample
+from plotspark.session import checkpointed
 
 c = F.col
 
@@ -26,89 +32,213 @@ BLOCK_ROWS = 512
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances from differences, so that equal rows are at distance 0 exactly."""
-    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-
-
-def _pivots(fit: DataFrame, keys: list[str], n_keys: int, size: int, count: int) -> dict:
-    if n_keys * count * size * 8 > BROADCAST_BYTES:
-        raise ValueError("too many folds for one nearest-neighbour run; run them in parts")
-    hashed = fit.withColumn("_h", F.md5("filename"))
-    quota = fit.groupBy(*keys).agg(F.least(F.count(F.lit(1)), F.lit(count)).alias("_q"))
-    rows = hash_sample(hashed, keys, "_h", ["filename"], quota, "_q").select(*keys, "filename", "x").collect()  # n_keys * count rows
+    out = np.empty((len(a), len(b)))
+    for at in range(0, len(a), 64):
+        out[at : at + 64] = np.sqrt(((a[at : at + 64, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    return out
+
+
+@dataclass
+class Cells:
+    """The tree of one fold: pivots in order of their group, the groups' heads, and with rows also radii and counts."""
+
+    pivots: np.ndarray
+    heads: np.ndarray
+    first: np.ndarray  # of every group, and the end
+    near: np.ndarray | None = None  # cells x 2: least and greatest distance of a cell's rows to its pivot
+    far: np.ndarray | None = None  # cells x 2: and to the group's head
+    count: np.ndarray | None = None
+    reach: np.ndarray | None = None  # radius of a group
+    held: np.ndarray | None = None  # rows of a group
+
+    @classmethod
+    def of(cls, pivots: np.ndarray) -> Cells:
+        heads = pivots[: max(1, math.isqrt(len(pivots)))]
+        group = _distances(pivots, heads).argmin(axis=1)
+        order = np.argsort(group, kind="stable")
+        return cls(pivots[order], heads, np.searchsorted(group[order], np.arange(len(heads) + 1)))
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cell of every row, and its distances to the cell's pivot and to the group's head."""
+        far = _distances(x, self.heads)
+        group = far.argmin(axis=1)
+        cell, near = np.zeros(len(x), np.int64), np.zeros(len(x))
+        for g in np.unique(group):
+            at = np.flatnonzero(group == g)
+            d = _distances(x[at], self.pivots[self.first[g] : self.first[g + 1]])
+            cell[at], near[at] = self.first[g] + d.argmin(axis=1), d.min(axis=1)
+        return cell, near, far[np.arange(len(x)), group]
+
+    def visits(self, x: np.ndarray, own: np.ndarray, bound: np.ndarray, k: int) -> list[np.ndarray]:
+        """The cells, but the own one, that can hold one of the k nearest rows of every query."""
+        far = _distances(x, self.heads)
+        order = np.argsort(far + self.reach, axis=1, kind="stable")
+        enough = np.cumsum(self.held[order], axis=1) >= k
+        reach = np.take_along_axis(far + self.reach, order, axis=1)[np.arange(len(x)), enough.argmax(axis=1)]
+        bound = np.minimum(bound, np.where(enough.any(axis=1), reach, np.inf)) * (1 + 1e-9) + 1e-12
+        found: list[list[np.ndarray]] = [[] for _ in x]
+        behind = (far - far.min(axis=1, keepdims=True)) / 2
+        for g in np.flatnonzero(self.held):
+            asked = np.flatnonzero(np.maximum(far[:, g] - self.reach[g], behind[:, g]) - 1e-10 * far[:, g] <= bound)
+            if not len(asked):
+                continue
+            inside = np.arange(self.first[g], self.first[g + 1])
+            d, head = _distances(x[asked], self.pivots[inside]), far[asked, g][:, None]
+            least = np.maximum.reduce([
+                d - self.near[inside, 1], self.near[inside, 0] - d, head - self.far[inside, 1], self.far[inside, 0] - head, (d - d.min(axis=1, keepdims=True)) / 2])
+            near = (least - 1e-10 * (d + head) <= bound[asked, None]) & (self.count[inside] > 0)  # the distances' own last digits
+            for q, hit in zip(asked, near, strict=True):
+                found[q].append(inside[hit & (inside != own[q])])
+        return [np.concatenate(f) if f else np.zeros(0, np.int64) for f in found]
+
+
+def _trees(fit: DataFrame, keys: list[str], size: int, most: int) -> dict:
+    """Pivots of every fold: about twice the square root of its fitting rows, ``most`` at most."""
+    quota = fit.groupBy(*keys).agg(F.least(F.ceil(2 * F.sqrt(F.count(F.lit(1)))), F.lit(most)).cast("bigint").alias("_q"))
+    rows = hash_sample(fit.withColumn("_h", F.md5("filename")), keys, "_h", ["filename"], quota, "_q").select(*keys, "filename", "x").collect()
     out: dict = {}
     for r in sorted(rows, key=lambda r: r["filename"]):
         out.setdefault(tuple(r[k] for k in keys), []).append(r["x"])
-    return {k: np.array(v) for k, v in out.items()}
-
-
-def nearest(design: DataFrame, keys: Sequence[str], n_keys: int, size: int, k: int, pivots: int = 16) -> DataFrame:
-    """(keys, filename, rank, dist, y): the k nearest fitting rows of every design row, ties by file name."""
-    keys = list(keys)
-    rows = design.select(*keys, "filename", "fit", "y", "x")
-    fit = rows.where("fit")
-    centers = _pivots(fit, keys, n_keys, size, pivots)
+    return {k: Cells.of(np.array(v, dtype=float).reshape(len(v), size)) for k, v in out.items()}
+
+
+def _by_fold(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    for key, part in pdf.groupby(keys, sort=False):
+        yield (key if isinstance(key, tuple) else (key,)), part
+
+
+def _matrix(rows: pd.Series) -> np.ndarray:
+    return np.stack(rows.to_numpy())
+
+
+@dataclass
+class Search:
+    """The prepared cells of some folds; ``compare`` answers queries that name the cells they visit."""
+
+    keys: list[str]
+    fields: str
+    size: int
+    k: int
+    trees: dict
+    train: DataFrame  # keys, filename, y, x, cell
+    cells: DataFrame  # keys, cell, n
+
+    def compare(self, asked: DataFrame) -> DataFrame:
+        """keys, filename, neighbour, dist, y: for every query (keys, filename, x, cell) the k nearest rows of every block of that cell."""
+        keys, cell, k = self.keys, [*self.keys, "cell"], self.k
+        parts = asked.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).alias("_parts"))
+        sizes = self.cells.withColumn("_blocks", F.ceil(c("n") / F.lit(BLOCK_ROWS))).drop("n").join(parts, cell)
+        cells = len(self.trees) * max([len(t.pivots) for t in self.trees.values()], default=0)
+        deal = lambda n: F.pmod(F.xxhash64("filename"), c(n))
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), c(n) - 1))
+        train = keyed_join(self.train, sizes, cell, cells, 2).withColumn("_block", deal("_blocks"))
+        train = train.groupBy(*cell, "_block", "_parts").agg(F.collect_list(F.struct("filename", "y", "x")).alias("train")).withColumn("_part", each("_parts"))
+        queries = keyed_join(asked, sizes, cell, cells, 2).withColumn("_part", deal("_parts"))
+        queries = queries.groupBy(*cell, "_part", "_blocks").agg(F.collect_list(F.struct("filename", "x")).alias("asked")).withColumn("_block", each("_blocks"))
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for row in pdf.itertuples(index=False):
+                    known = sorted(row.train, key=lambda t: t["filename"])  # a stable sort by distance then breaks ties by name
+                    names, y = np.array([t["filename"] for t in known]), np.array([t["y"] for t in known])
+                    dist = _distances(np.array([list(q["x"]) for q in row.asked]), np.array([list(t["x"]) for t in known]))
+                    keep = np.argsort(dist, axis=1, kind="stable")[:, :k]
+                    out = pd.DataFrame({
+                        "filename": np.repeat(np.array([q["filename"] for q in row.asked]), keep.shape[1]), "neighbour": names[keep].ravel(),
+                        "dist": np.take_along_axis(dist, keep, axis=1).ravel(), "y": y[keep].ravel()})
+                    for q in keys:
+                        out[q] = getattr(row, q)
+                    yield out[[*keys, "filename", "neighbour", "dist", "y"]]
+
+        pairs = queries.drop("_blocks").join(train.drop("_parts"), [*cell, "_block", "_part"])  # pairs of blocks, never of rows
+        return pairs.mapInPandas(best, f"{self.fields}, filename string, neighbour string, dist double, y double")
+
+    def ranked(self, found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*self.keys, "filename").orderBy("dist", "neighbour"))
+        return found.withColumn("rank", rank).where(c("rank") <= self.k)
+
+
+def _prepared(rows: DataFrame, keys: list[str], n_keys: int, size: int, k: int, only_new: bool) -> tuple[Search, DataFrame]:
+    """Cells over the fitting rows, and the asking rows with the cell they lie in."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys)
+    same = Window.partitionBy(*keys, "x").orderBy("filename")
+    fit = rows.where("fit").withColumn("_same", F.row_number().over(same)).where(c("_same") <= k).drop("_same")
+    fit = checkpointed(fit)
+    trees = _trees(fit, keys, size, max(1, BROADCAST_BYTES // max(1, n_keys * size * 16)))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for key, part in pdf.groupby(keys, sort=False):
-                d = _distances(np.stack(part["x"].to_numpy()), centers[key if isinstance(key, tuple) else (key,)])
-                yield part.assign(cell=d.argmin(axis=1), to_pivots=list(d))
-
-    placed = rows.mapInPandas(assign, f"{fields}, filename string, fit boolean, y double, x array<double>, cell int, to_pivots array<double>")
-    placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
-    train = placed.where("fit")
-    radius = F.max(F.element_at("to_pivots", c("cell") + 1))
-    cells = train.groupBy(*keys, "cell").agg(radius.alias("radius"), F.count(F.lit(1)).alias("n"))
-    known: dict = {}
-    for r in cells.collect():  # at most n_keys * pivots rows
-        known.setdefault(tuple(r[q] for q in keys), []).append((r["cell"], r["radius"], r["n"]))
+            for key, part in _by_fold(pdf, keys):
+                if key in trees:
+                    cell, near, far = trees[key].place(_matrix(part["x"]))
+                    yield part.assign(cell=cell, near=near, far=far)
+
+    def placed(part: DataFrame) -> DataFrame:
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema.fields)
+        return part.mapInPandas(assign, f"{schema}, cell bigint, near double, far double")
+
+    train = checkpointed(placed(fit.select(*keys, "filename", "y", "x")))
+    cells = checkpointed(train.groupBy(*keys, "cell").agg(*[f(x).alias(f"{x}_{side}") for x in ("near", "far") for side, f in (("low", F.min), ("high", F.max))], F.count(F.lit(1)).alias("n")))
+    for tree in trees.values():
+        tree.near, tree.far, tree.count = np.zeros((len(tree.pivots), 2)), np.zeros((len(tree.pivots), 2)), np.zeros(len(tree.pivots), np.int64)
+        tree.reach, tree.held = np.zeros(len(tree.heads)), np.zeros(len(tree.heads), np.int64)
+    for r in cells.collect():  # as many rows as pivots
+        tree = trees[tuple(r[q] for q in keys)]
+        tree.near[r["cell"]], tree.far[r["cell"]], tree.count[r["cell"]] = (r["near_low"], r["near_high"]), (r["far_low"], r["far_high"]), r["n"]
+        group = int(np.searchsorted(tree.first, r["cell"], side="right")) - 1
+        tree.reach[group] = max(tree.reach[group], r["far_high"])
+        tree.held[group] += r["n"]
+    search = Search(keys, fields, size, k, trees, train.drop("near", "far"), cells.select(*keys, "cell", "n"))
+    asking = rows.where("NOT fit") if only_new else rows
+    return search, placed(asking.select(*keys, "filename", "x")).drop("near", "far")
+
+
+def _visited(search: Search, placed: DataFrame, bounds: DataFrame) -> DataFrame:
+    """keys, filename, x, cell: the further cells that every query has to visit."""
+    keys, trees, k = search.keys, search.trees, search.k
+    schema = f"{search.fields}, filename string, x array<double>, cells array<bigint>"
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for key, part in pdf.groupby(keys, sort=False):
-                cell, radii, counts = (np.array(v) for v in zip(*known[key if isinstance(key, tuple) else (key,)]))
-                d = np.stack(part["to_pivots"].to_numpy())[:, cell]
-                order = np.argsort(d + radii, axis=1, kind="stable")
-                reach = np.take_along_axis(d + radii, order, axis=1)
-                enough = np.cumsum(counts[order], axis=1) >= k
-                bound = np.where(enough.any(axis=1), reach[np.arange(len(d)), enough.argmax(axis=1)], np.inf)
-                near = np.maximum(d - radii, 0.0) <= (bound * (1 + 1e-9) + 1e-12)[:, None]
-                yield part[[*keys, "filename", "x"]].assign(cells=[cell[m].tolist() for m in near])
-
-    asked = placed.mapInPandas(visits, f"{fields}, filename string, x array<double>, cells array<int>")
-    asked = asked.withColumn("cell", F.explode("cells")).drop("cells")
-
-    blocks = cells.select(*keys, "cell", F.ceil(c("n") / F.lit(BLOCK_ROWS)).alias("_blocks"))
-    packed = keyed_join(train, blocks, [*keys, "cell"], n_keys * pivots, 1)
-    packed = packed.withColumn("_block", F.pmod(F.xxhash64("filename"), c("_blocks")))
-    packed = packed.groupBy(*keys, "cell", "_block").agg(F.collect_list(F.struct("filename", "y", "x")).alias("train"))
-    per_cell = asked.groupBy(*keys, "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).alias("_parts"))
-    queries = keyed_join(asked, per_cell, [*keys, "cell"], n_keys * pivots, 1)
-    queries = queries.withColumn("_part", F.pmod(F.xxhash64("filename"), c("_parts")))
-    queries = queries.groupBy(*keys, "cell", "_part").agg(F.collect_list(F.struct("filename", "x")).alias("asked"))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                known = sorted(row.train, key=lambda t: t["filename"])  # a stable sort by distance then breaks ties by name
-                known_names, known_y = np.array([t["filename"] for t in known]), np.array([t["y"] for t in known])
-                known_x = np.array([list(t["x"]) for t in known])
-                names = np.array([q["filename"] for q in row.asked])
-                x = np.array([list(q["x"]) for q in row.asked])
-                dist = np.vstack([_distances(x[at:at + 64], known_x) for at in range(0, len(x), 64)])
-                keep = np.argsort(dist, axis=1, kind="stable")[:, :k]
-                out = pd.DataFrame({
-                    "filename": np.repeat(names, keep.shape[1]), "neighbour": known_names[keep].ravel(),
-                    "dist": np.take_along_axis(dist, keep, axis=1).ravel(), "y": known_y[keep].ravel()})
-                for q in keys:
-                    out[q] = getattr(row, q)
-                yield out[[*keys, "filename", "neighbour", "dist", "y"]]
-
-    pairs = queries.join(packed, [*keys, "cell"])  # block pairs, never row pairs
-    found = pairs.mapInPandas(best, f"{fields}, filename string, neighbour string, dist double, y double")
-    rank = F.row_number().over(Window.partitionBy(*keys, "filename").orderBy("dist", "neighbour"))
-    return found.withColumn("rank", rank).where(c("rank") <= k)
+            for key, part in _by_fold(pdf, keys):
+                found = trees[key].visits(_matrix(part["x"]), part["cell"].to_numpy(), part["bound"].fillna(np.inf).to_numpy(dtype=float), k)
+                yield part[[*keys, "filename", "x"]].assign(cells=found)
+
+    asked = placed.join(bounds, [*keys, "filename"], "left").select(*keys, "filename", "x", "cell", "bound")
+    return asked.mapInPandas(visits, schema).withColumn("cell", F.explode("cells")).drop("cells")
+
+
+def nearest(design: DataFrame, keys: Sequence[str], n_keys: int, size: int, k: int, only_new: bool = False) -> DataFrame:
+    """(keys, filename, rank, dist, y): the k nearest fitting rows of every design row (or only of those not fitted), ties by file name."""
+    return _searched(design, keys, n_keys, size, k, only_new)[0]
+
+
+def _searched(design: DataFrame, keys: Sequence[str], n_keys: int, size: int, k: int, only_new: bool = False) -> tuple[DataFrame, list[tuple[Search, DataFrame]]]:
+    """The neighbours, and for every run of folds its cells and all visits."""
+    keys = list(keys)
+    rows = design.select(*keys, "filename", "fit", "y", "x")
+    # Folds of which not even 16 pivots each could be held at once go in several runs.
+    runs = -(-n_keys * size * 16 * 16 // BROADCAST_BYTES)
+    out, searches = None, []
+    for run in range(runs):
+        part = rows if runs == 1 else rows.where(F.pmod(F.hash(*keys), F.lit(runs)) == run)
+        search, placed = _prepared(part, keys, -(-n_keys // runs), size, k, only_new)
+        placed = checkpointed(placed)
+        first = checkpointed(search.ranked(search.compare(placed)))
+        bounds = first.where(c("rank") == k).select(*keys, "filename", c("dist").alias("bound"))
+        asked = checkpointed(_visited(search, placed, bounds))
+        found = search.ranked(first.drop("rank").unionByName(search.compare(asked)))
+        out = found if out is None else out.unionByName(found)
+        searches.append((search, placed.select(*asked.columns).unionByName(asked)))
+    return out, searches
+
+
+def compared_pairs(design: DataFrame, keys: Sequence[str], n_keys: int, size: int, k: int) -> int:
+    """How many pairs of rows ``nearest`` compares."""
+    total = 0
+    for search, asked in _searched(design, keys, n_keys, size, k)[1]:
+        total += asked.join(search.cells, [*search.keys, "cell"]).agg(F.sum("n")).first()[0] or 0
+    return total
 
 
 def vote(neighbours: DataFrame, keys: Sequence[str], k: int | Column, weights: str) -> DataFrame:

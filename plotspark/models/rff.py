@@ -53,15 +53,19 @@ def svr_length_scale(size: int) -> float:
     return math.sqrt(size / 2.0)
 
 
-def unit_variance(design: DataFrame, keys: Sequence[str], n_keys: int) -> DataFrame:
-    """``x`` divided by the spread of all fitted x values of its fold, so that gamma "scale" is 1 / size there."""
+def spreads(design: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, spread) of all fitted x values of a fold; divided by it, gamma "scale" is 1 / size."""
     whole = lambda f: F.aggregate(F.transform("x", f), F.lit(0.0), lambda a, b: a + b)
     facts = design.where("fit").groupBy(*keys).agg(
         F.sum(whole(lambda v: v)).alias("_s"), F.sum(whole(lambda v: v * v)).alias("_q"), F.sum(F.size("x")).alias("_c"))
     spread = F.sqrt(F.greatest(c("_q") / c("_c") - F.pow(c("_s") / c("_c"), 2), F.lit(0.0)))
-    facts = facts.select(*keys, F.when(spread > 0, spread).otherwise(F.lit(1.0)).alias("_spread"))
-    rows = keyed_join(design, facts, list(keys), n_keys, 1)
-    return rows.withColumn("x", F.transform("x", lambda v: v / c("_spread"))).drop("_spread")
+    return facts.select(*keys, F.when(spread > 0, spread).otherwise(F.lit(1.0)).alias("spread"))
+
+
+def divided(design: DataFrame, spread: DataFrame, keys: Sequence[str], n_keys: int) -> DataFrame:
+    """``x`` divided by the spread of its fold."""
+    rows = keyed_join(design, spread, list(keys), n_keys, 1)
+    return rows.withColumn("x", F.transform("x", lambda v: v / c("spread"))).drop("spread")
 
 
 def fit_svr(design: DataFrame, keys: Sequence[str], size: int, cost: float, epsilon: float, max_steps: int = 120, tol: float = 1e-3, window: int = 10) -> DataFrame:

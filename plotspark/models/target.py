@@ -34,12 +34,15 @@ def smearing_factors(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     return scored.groupBy(*keys).agg(smearing(fitted).alias("smear"))
 
 
+def smears(scored: DataFrame, keys: Sequence[str], correction: str = "smearing") -> DataFrame:
+    """``smear`` per fold as the correction has it: 1 without one."""
+    found = smearing_factors(scored, keys)
+    return found if correction == "smearing" else found.withColumn("smear", F.lit(1.0))
+
+
 def from_log(scored: DataFrame, keys: Sequence[str], n_keys: int, correction: str = "smearing") -> DataFrame:
     """Predictions and targets back in original units, floored at 0."""
-    if correction == "smearing":
-        scored = keyed_join(scored, smearing_factors(scored, keys), keys, n_keys, 1)
-    else:
-        scored = scored.withColumn("smear", F.lit(1.0))
+    scored = keyed_join(scored, smears(scored, keys, correction), keys, n_keys, 1)
     return (
         scored.withColumn("predicted", from_log_target(c("predicted"), c("smear")))
         .withColumn("y", F.expm1("y")).drop("smear")

@@ -164,6 +164,7 @@ def knn_uniform(spark, sf_dir):
 
 
 ALL_DIMS = 64
+ALL_NAMES = tuple(f"f{i}" for i in range(ALL_DIMS))
 WIDE_CTE = "v_dataset AS (" + views.SQL_VIEWS["v_dataset"].replace("AS target", "AS target, embedding") + "),\n" + DATA_FOLDS_CTE.strip() + f""",
 long AS (SELECT cycle, filename, held_out, target AS y, i, CAST(embedding[i] AS DOUBLE) AS v FROM sided CROSS JOIN range(1, {ALL_DIMS + 1}) AS r(i)),
 sts AS (SELECT cycle, i, avg(v) AS m, stddev_pop(v) AS s FROM long WHERE NOT held_out GROUP BY cycle, i),
@@ -177,18 +178,42 @@ top AS (SELECT *, row_number() OVER (PARTITION BY cycle, filename ORDER BY dist,
 SELECT CAST(cycle + 1 AS INT) AS split, filename, any_value(held_out) AS held_out, round(avg(y), 6) AS predicted FROM top WHERE rk <= 7 GROUP BY cycle, filename""", ctes=WIDE_CTE))
 def knn_all_dimensions(spark, sf_dir):
     """Nearest neighbours over the whole embedding."""
-    names = tuple(f"f{i}" for i in range(ALL_DIMS))
-    return _predictions(cv.run_procedure(views.dataset(spark, sf_dir, ALL_DIMS), cv.Procedure("knn", names, params={"n_neighbors": 7, "weights": "uniform"})))
+    return _predictions(cv.run_procedure(views.dataset(spark, sf_dir, ALL_DIMS), cv.Procedure("knn", ALL_NAMES, params={"n_neighbors": 7, "weights": "uniform"})))
 
 
 @query("m07_random_forest")
 def random_forest(spark, sf_dir):
-    return _predictions(_run(spark, sf_dir, cv.Procedure("random_forest", FEATURES, params={"n_estimators": 10, "max_depth": 5}, n_splits=2)))
+    """300 trees of any depth a fold, over the whole embedding."""
+    return _predictions(cv.run_procedure(views.dataset(spark, sf_dir, ALL_DIMS), cv.Procedure("random_forest", ALL_NAMES)))
 
 
 @query("m07_boosted_trees")
 def boosted_trees(spark, sf_dir):
-    return _predictions(_run(spark, sf_dir, cv.Procedure("hist_gbt", FEATURES, params={"max_iter": 5, "max_depth": 3}, n_splits=2)))
+    """200 rounds a fold, over the whole embedding."""
+    return _predictions(cv.run_procedure(views.dataset(spark, sf_dir, ALL_DIMS), cv.Procedure("hist_gbt", ALL_NAMES)))
+
+
+STUMP_L2, STUMP_LEAST = 2.0, 30
+
+
+def _few_valued(data):
+    return data.withColumns({f: F.floor(c(f) * 4) for f in FEATURES}).withColumn("target", F.floor("target"))
+
+
+@query("m07_boosted_round", views.with_views(f"""
+SELECT CAST(cycle + 1 AS INT) AS split, filename, held_out, round(ym + 0.5e0 * CASE WHEN long.v <= cut THEN s / (n + {STUMP_L2!r}) ELSE (-s) / (rows_ - n + {STUMP_L2!r}) END, 6) AS predicted
+FROM long JOIN best USING (cycle, feature)""", "v_dataset", ctes=DATA_FOLDS_CTE.rstrip() + f""",
+few AS (SELECT cycle, filename, held_out, floor(target) AS y, avg(floor(target)) FILTER (WHERE NOT held_out) OVER (PARTITION BY cycle) AS ym, {", ".join(f"floor(f{i} * 4) AS f{i}" for i in range(4))} FROM sided),
+long AS (SELECT cycle, filename, held_out, y, ym, feature, v FROM few UNPIVOT (v FOR feature IN (f0, f1, f2, f3))),
+cells AS (SELECT cycle, feature, v, count(*) AS k, sum(y - ym) AS sy FROM long WHERE NOT held_out GROUP BY cycle, feature, v),
+runs AS (SELECT cycle, feature, v, (v + lead(v) OVER w) / 2 AS cut, sum(k) OVER w AS n, sum(sy) OVER w AS s, sum(k) OVER (PARTITION BY cycle, feature) AS rows_ FROM cells WINDOW w AS (PARTITION BY cycle, feature ORDER BY v)),
+best AS (SELECT * FROM runs WHERE cut IS NOT NULL AND n >= {STUMP_LEAST} AND rows_ - n >= {STUMP_LEAST}
+         QUALIFY row_number() OVER (PARTITION BY cycle ORDER BY round(s * s / (n + {STUMP_L2!r}) + s * s / (rows_ - n + {STUMP_L2!r}), 4) DESC, feature, cut) = 1)
+"""))
+def boosted_round(spark, sf_dir):
+    """One round of depth 1 with an L2 term and a least leaf size, over features of few values."""
+    params = {"max_iter": 1, "max_depth": 1, "learning_rate": 0.5, "l2_regularization": STUMP_L2, "min_samples_leaf": STUMP_LEAST}
+    return _predictions(cv.run_procedure(_few_valued(views.dataset(spark, sf_dir)), cv.Procedure("hist_gbt", FEATURES, params=params)))
 
 
 @query("m08_gaussian_process")
@@ -343,23 +368,50 @@ def model_sweep(spark, sf_dir):
 REPEATS = importance.DEFAULT_REPEATS
 
 
-@query("m16_permutation_importance", views.with_views(f"""
+def _network_sql(number: str) -> str:
+    """SQL of one pass of the keyed network over ``number`` (bits, mask and the keys k0 to k3 in scope) as a subquery of ``steps``."""
+    low = "4294967295::UBIGINT"
+    query_ = f"SELECT *, CAST({number} AS UBIGINT) >> bits AS h0, CAST({number} AS UBIGINT) & mask AS l0 FROM steps"
+    for k in range(importance.ROUNDS):
+        first = f"((((l{k} + k{k}) & {low}) * {importance.MIXERS[0]}::UBIGINT) & {low})"
+        second = f"((xor({first}, {first} >> 15) * {importance.MIXERS[1]}::UBIGINT) & {low})"
+        query_ = f"SELECT *, l{k} AS h{k + 1}, xor(h{k}, xor({second}, {second} >> 13) & mask) AS l{k + 1} FROM ({query_})"
+    return f"SELECT i, rep, n, bits, mask, {', '.join(f'k{k}' for k in range(importance.ROUNDS))}, (h{importance.ROUNDS} << bits) | l{importance.ROUNDS} AS pos FROM ({query_})"
+
+
+KEYS_SQL = ", ".join("(" + ", ".join([str(r), *[f"{k}::UBIGINT" for k in keys]]) + ")" for r, keys in enumerate(importance.round_keys(9, REPEATS)))
+IMPORTANCE_CTE = TWO_CTE.rstrip() + f""",
+scored AS (SELECT z.filename, x0, x1, w0, w1, y AS actual, ym + w0 * x0 + w1 * x1 AS predicted, row_number() OVER (ORDER BY md5(concat('9:row:', z.filename))) - 1 AS i
+           FROM z JOIN wt USING (cycle) WHERE cycle = 1 AND held_out),
+sized AS (SELECT count(*)::UBIGINT AS n, (SELECT min(k) FROM range(1, 32) AS t(k) WHERE pow(4, k) >= (SELECT count(*) FROM scored))::INT AS b FROM scored),
+starts AS (SELECT i, rep, n, b::UBIGINT AS bits, (1::UBIGINT << b) - 1 AS mask, k0, k1, k2, k3, i::UBIGINT AS pos, false AS moved FROM scored CROSS JOIN sized CROSS JOIN (VALUES {KEYS_SQL}) AS v(rep, k0, k1, k2, k3)),
+walk AS (SELECT * FROM starts UNION ALL SELECT *, true FROM ({_network_sql("pos").replace("FROM steps", "FROM walk WHERE NOT moved OR pos >= n")})),
+donors AS (SELECT i, rep, pos FROM walk WHERE moved AND pos < n)
+"""
+
+
+@query("m16_permutation_importance", "WITH RECURSIVE" + views.with_views("""
 SELECT feature, round(avg(loss - base), 6) AS mean, round(stddev_pop(loss - base), 6) AS std, round(any_value(base), 6) AS baseline, any_value(n) AS n_scored FROM (
   SELECT feature, rep, sqrt(avg(pow(actual - p, 2))) / abs(avg(actual)) * 100 AS loss FROM (
-    SELECT t.feature, t.rep, s.actual, s.predicted + CASE t.feature WHEN 'f0' THEN s.w0 * (d.x0 - s.x0) ELSE s.w1 * (d.x1 - s.x1) END AS p
-    FROM scored s JOIN donors t ON t.i = s.i JOIN scored d ON d.filename = t.donor) GROUP BY feature, rep)
-CROSS JOIN (SELECT sqrt(avg(pow(actual - predicted, 2))) / abs(avg(actual)) * 100 AS base, count(*) AS n FROM scored) GROUP BY feature""", "v_dataset", ctes=TWO_CTE.rstrip() + f""",
-scored AS (SELECT z.filename, x0, x1, w0, w1, y AS actual, ym + w0 * x0 + w1 * x1 AS predicted, row_number() OVER (ORDER BY md5(concat('9:row:', z.filename))) AS i
-           FROM z JOIN wt USING (cycle) WHERE cycle = 1 AND held_out),
-donors AS (SELECT feature, CAST(r AS INT) AS rep, filename AS donor, row_number() OVER (PARTITION BY feature, r ORDER BY md5(concat('9:', feature, ':', CAST(r AS VARCHAR), ':', filename))) AS i
-           FROM scored CROSS JOIN (VALUES ('f0'), ('f1')) AS f(feature) CROSS JOIN range({REPEATS}) AS q(r))"""))
+    SELECT f.feature, t.rep, s.actual, s.predicted + CASE f.feature WHEN 'f0' THEN s.w0 * (d.x0 - s.x0) ELSE s.w1 * (d.x1 - s.x1) END AS p
+    FROM scored s JOIN donors t ON t.i = s.i JOIN scored d ON d.i = t.pos CROSS JOIN (VALUES ('f0'), ('f1')) AS f(feature)) GROUP BY feature, rep)
+CROSS JOIN (SELECT sqrt(avg(pow(actual - predicted, 2))) / abs(avg(actual)) * 100 AS base, count(*) AS n FROM scored) GROUP BY feature""", "v_dataset", ctes=IMPORTANCE_CTE).removeprefix("WITH"))
 def permutation_importance(spark, sf_dir):
     run = _run(spark, sf_dir, RIDGE)
     features = list(RIDGE.features)
     rows = ds.labelled_rows(views.dataset(spark, sf_dir), features, "target").withColumnRenamed("y", "actual")
     held = rows.join(run.folds.where(c("cycle") == 1).select("grp"), "grp", "left_semi")
-    fitted = cv.fitted_table(run).where(c("split") == 2).first()
-    return rounded_all(importance.permutation_importance(held, features, cv.linear_score(features, fitted), REPEATS, seed=9))
+    return rounded_all(importance.permutation_importance(held, features, cv.scorer(cv.stored_tables(run), 2), REPEATS, seed=9))
+
+
+@query("m16_forest_importance")
+def forest_importance(spark, sf_dir):
+    """Importance of every dimension of the embedding for a forest of full size, on the rows that its second fold holds out."""
+    data = views.dataset(spark, sf_dir, ALL_DIMS)
+    run = cv.run_procedure(data, cv.Procedure("random_forest", ALL_NAMES))
+    rows = ds.labelled_rows(data, ALL_NAMES, "target").withColumnRenamed("y", "actual")
+    held = rows.join(run.folds.where(c("cycle") == 1).select("grp"), "grp", "left_semi")
+    return rounded_all(importance.permutation_importance(held, ALL_NAMES, cv.scorer(cv.stored_tables(run), 2), REPEATS, seed=9))
 
 
 @query("m18_score_stored_model", views.with_views("""
@@ -374,6 +426,29 @@ def score_stored_model(spark, sf_dir):
     return rounded_all(rs.plot_table(table, train, "grp").select("filename", "actual", "predicted", "role"))
 
 
+def _stored_again(spark, sf_dir, proc):
+    """The stored model's predictions next to the run's own, for the rows of one fold."""
+    data = views.dataset(spark, sf_dir, ALL_DIMS)
+    run = cv.run_procedure(data, proc)
+    own = run.predictions.where(c("split") == 2).select("filename", c("predicted").alias("own"))
+    stored = cv.score_stored(data, cv.stored_tables(run), "target", 2)
+    return stored.join(own, "filename").select("filename", rounded("predicted").alias("predicted"), rounded("own").alias("own"))
+
+
+@query("m18_stored_forest")
+def stored_forest(spark, sf_dir):
+    return _stored_again(spark, sf_dir, cv.Procedure("random_forest", ALL_NAMES))
+
+
+STORED_KNN_SQL = views.with_views("""
+SELECT filename, round(avg(y), 6) AS predicted, round(avg(y), 6) AS own FROM top WHERE rk <= 7 AND cycle = 1 GROUP BY filename""", ctes=WIDE_CTE)
+
+
+@query("m18_stored_neighbours", STORED_KNN_SQL)
+def stored_neighbours(spark, sf_dir):
+    return _stored_again(spark, sf_dir, cv.Procedure("knn", ALL_NAMES, params={"n_neighbors": 7, "weights": "uniform"}))
+
+
 @query("g10_inner_seeds", views.with_views("SELECT split, CAST(('0x' || substr(md5(concat('7:cycle:', CAST(split AS VARCHAR))), 1, 7)) AS BIGINT) AS seed FROM (SELECT DISTINCT split FROM v_predictions)", "v_predictions"))
 def inner_seeds(spark, sf_dir):
     return views.predictions(spark, sf_dir).select("split").distinct().select("split", inner_seed(7, c("split")).alias("seed"))

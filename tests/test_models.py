@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plotspark.models import cv, gram, importance, knn, registry, target
+from plotspark.models import cv, gram, importance, knn, registry, target, trees
 from plotspark.models import design as ds
 from plotspark.models.gram import Trial
 
@@ -93,7 +93,7 @@ def test_neighbours_equal_brute_force(data):
     sided = ds.with_folds(run_rows, folds, 4)
     prep = ds.fit_prep(sided, FEATURES, ["cycle"], 4)
     rows = ds.design_rows(sided, prep, FEATURES, ["cycle"], 4)
-    found = knn.nearest(rows, ["cycle"], 4, 4, 5, pivots=6).toPandas()
+    found = knn.nearest(rows, ["cycle"], 4, 4, 5).toPandas()
     pdf, fit, _ = fold_arrays(data, 2)
     x = standardised(pdf, fit.to_numpy())
     names = pdf["filename"].to_numpy()
@@ -108,13 +108,49 @@ def test_neighbour_blocks_split_crowded_cells(spark, monkeypatch):
     monkeypatch.setattr(knn, "BLOCK_ROWS", 8)
     rows = spark.createDataFrame([(0, f"r{i:03d}", i % 3 != 0, float(i), [1.0, 1.0] if i < 60 else [float(i), 0.0]) for i in range(80)],
                                  "cycle int, filename string, fit boolean, y double, x array<double>")
-    found = knn.nearest(rows, ["cycle"], 1, 2, 4, pivots=3).toPandas()
+    found = knn.nearest(rows, ["cycle"], 1, 2, 4).toPandas()
     assert (found.groupby("filename").size() == 4).all() and len(found) == 320
     assert (found[found["filename"] == "r000"].sort_values("rank")["neighbour"].tolist()) == ["r001", "r002", "r004", "r005"]
     votes = knn.vote(spark.createDataFrame(found), ["cycle"], 4, "distance").toPandas().set_index("filename")["predicted"]
     assert votes["r000"] == pytest.approx((1 + 2 + 4 + 5) / 4)
 
 
+def wide_rows(spark, points, cycles=1, held=lambda i: i % 4 == 0):
+    rows = [(k, f"r{i:05d}", not held(i), float(i % 17), [float(v) for v in p]) for k in range(cycles) for i, p in enumerate(points)]
+    return spark.createDataFrame(rows, "cycle int, filename string, fit boolean, y double, x array<double>").repartition(4)
+
+
+@pytest.mark.parametrize(("limit", "dims"), [(None, 2), (None, 16), (40_000, 3)])
+def test_neighbours_of_any_shape(spark, monkeypatch, limit, dims):
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 16)
+    if limit:  # folds go in several runs
+        monkeypatch.setattr(knn, "BROADCAST_BYTES", limit // 40)
+    rng = np.random.default_rng(dims)
+    points = np.concatenate([rng.normal(0, 1, (60, dims)), rng.normal(8, 0.1, (60, dims)), np.zeros((50, dims)), rng.integers(0, 2, (40, dims))])
+    found = knn.nearest(wide_rows(spark, points, 3), ["cycle"], 3, dims, 6).toPandas()
+    fit = np.arange(len(points)) % 4 != 0
+    assert len(found) == 3 * 6 * len(points)
+    for (_, name), part in found.groupby(["cycle", "filename"]):
+        d = np.sqrt(((points[int(name[1:])] - points) ** 2).sum(axis=1))
+        want = sorted((d[i], f"r{i:05d}") for i in np.flatnonzero(fit))[:6]
+        assert [(a, b) for a, b in zip(part.sort_values("rank")["dist"], part.sort_values("rank")["neighbour"])] == want
+
+
+def test_compared_pairs_grow_slowly(spark):
+    rng = np.random.default_rng(3)
+    sizes = (1000, 4000)
+    pairs = [knn.compared_pairs(wide_rows(spark, rng.normal(0, 1, (n, 3))), ["cycle"], 1, 3, 5) for n in sizes]
+    assert math.log(pairs[1] / pairs[0]) / math.log(sizes[1] / sizes[0]) < 1.6 and pairs[1] < 0.1 * sizes[1] ** 2
+
+
+def test_a_crowd_of_equal_rows_is_compared_by_few(spark):
+    points = [[0.0, 0.0]] * 1500 + [[float(i), 1.0] for i in range(60)]
+    rows = wide_rows(spark, points)
+    assert knn.compared_pairs(rows, ["cycle"], 1, 2, 5) < 60 * len(points)
+    found = knn.nearest(rows, ["cycle"], 1, 2, 5).where("filename = 'r01499'").orderBy("rank").collect()
+    assert [r["neighbour"] for r in found] == ["r00001", "r00002", "r00003", "r00005", "r00006"]
+
+
 def test_k_is_clamped_to_the_training_rows(data):
     run = cv.run_procedure(data, cv.Procedure("knn", FEATURES, params={"n_neighbors": 50, "weights": "uniform"}))
     pdf, fit, _ = fold_arrays(data, 1)
@@ -136,7 +172,7 @@ def test_imputation_and_partial_scaling(data):
 
 
 @pytest.mark.parametrize("model, params", [
-    ("random_forest", {"n_estimators": 10, "max_depth": 4}), ("hist_gbt", {"max_iter": 6, "max_depth": 3}), ("gpr", {"length_scale": 4.0, "noise_level": 0.1}),
+    ("random_forest", {"n_estimators": 30}), ("hist_gbt", {"max_iter": 30, "min_samples_leaf": 2}), ("gpr", {"length_scale": 4.0, "noise_level": 0.1}),
     ("svr", {"kernel": "rbf"})])
 def test_randomised_models_beat_the_mean_and_repeat(data, model, params):
     proc = cv.Procedure(model, FEATURES, params=params, n_splits=2)
@@ -148,11 +184,74 @@ def test_randomised_models_beat_the_mean_and_repeat(data, model, params):
         assert np.allclose(predictions(first, 1).sort_index(), predictions(again, 1).sort_index(), rtol=1e-6)
 
 
+def tree_rows(spark, n=160, cycles=2, seed=5):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, 1, (n, 3)).round(1)
+    y = 3 * (x[:, 0] > 0.3) - 2 * x[:, 1] + rng.normal(0, 0.1, n)
+    rows = [(k, f"r{i:04d}", i % (k + 3) != 0, float(y[i]), [float(v) for v in x[i]]) for k in range(cycles) for i in range(n)]
+    return spark.createDataFrame(rows, "cycle int, filename string, fit boolean, y double, x array<double>").repartition(3), x, y
+
+
+def test_a_stump_is_the_best_cut(spark):
+    rows, x, y = tree_rows(spark)
+    for l2, least in ((0.0, 1), (3.0, 25)):
+        nodes = trees.fit_trees(rows, "hist_gbt", {"max_iter": 1, "max_depth": 1, "learning_rate": 1.0, "l2_regularization": l2, "min_samples_leaf": least}).toPandas()
+        for k in range(2):
+            fit = np.arange(len(y)) % (k + 3) != 0
+            r, xs = y[fit] - y[fit].mean(), x[fit]
+            best = (0.0, None)
+            for f in range(3):
+                values = np.unique(xs[:, f])
+                for cut in (values[1:] + values[:-1]) / 2:
+                    low = xs[:, f] <= cut
+                    if min(low.sum(), (~low).sum()) >= least:
+                        gain = sum(r[side].sum() ** 2 / (side.sum() + l2) for side in (low, ~low))
+                        if gain > best[0]:
+                            best = (gain, (f, cut, r[low].sum() / (low.sum() + l2), r[~low].sum() / ((~low).sum() + l2)))
+            mine = nodes[(nodes["cycle"] == k) & (nodes["tree"] == 0)].set_index("node")
+            assert (mine.loc[0, "feature"], pytest.approx(mine.loc[0, "threshold"]), pytest.approx(mine.loc[1, "value"]), pytest.approx(mine.loc[2, "value"])) == best[1]
+
+
+@pytest.mark.parametrize(("model", "params"), [
+    ("random_forest", {"n_estimators": 6, "min_samples_leaf": 3}), ("random_forest", {"n_estimators": 3, "max_depth": 2}),
+    ("hist_gbt", {"max_iter": 3, "max_depth": 3, "l2_regularization": 0.5, "min_samples_leaf": 5})])
+def test_large_nodes_are_cut_as_small_ones(spark, monkeypatch, model, params):
+    rows, x, _ = tree_rows(spark)
+    here = trees.predict_trees(rows, trees.fit_trees(rows, model, params, seed=3)).toPandas()
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 40)
+    monkeypatch.setattr(trees, "NODES_A_PASS", 5)
+    monkeypatch.setattr(trees, "NODES_A_SCORING", 30)
+    large = trees.fit_trees(rows, model, params, seed=3)
+    there = trees.predict_trees(rows, large).toPandas()
+    a, b = (d.sort_values(["cycle", "filename"])["predicted"].to_numpy() for d in (here, there))
+    assert np.allclose(a, b) and np.std(a) > 0.5
+    assert large.groupBy("cycle").agg({"tree": "max"}).count() == 2
+
+
+def test_forest_draws_follow_the_poisson_law():
+    digests = np.random.default_rng(0).integers(-(2**63), 2**63, size=20_000)
+    for tree in (0, 7):
+        times = trees.draws(digests, tree, 1)
+        assert abs(times.mean() - 1) < 0.03 and abs((times == 0).mean() - math.exp(-1)) < 0.01
+    assert np.corrcoef(trees.draws(digests, 0, 1), trees.draws(digests, 1, 1))[0, 1] < 0.03
+
+
+def test_leaves_and_least_rows_are_kept(spark):
+    rows, _, _ = tree_rows(spark, 400, 1)
+    nodes = trees.fit_trees(rows, "hist_gbt", {"max_iter": 2, "min_samples_leaf": 2}).toPandas()
+    leaves = nodes[(nodes["tree"] >= 0) & nodes["feature"].isna()].groupby("tree").size()
+    assert (leaves <= trees.MAX_LEAVES).all() and leaves.max() == trees.MAX_LEAVES
+    flat = rows.withColumn("y", F.lit(2.5))
+    for model in ("random_forest", "hist_gbt"):
+        found = trees.predict_trees(flat, trees.fit_trees(flat, model, {"n_estimators": 2, "max_iter": 2})).toPandas()
+        assert np.allclose(found["predicted"], 2.5)
+
+
 def test_unsupported_options_are_errors(data):
     with pytest.raises(ValueError, match="poly"):
         cv.run_procedure(data, cv.Procedure("svr", FEATURES, params={"kernel": "poly"}))
-    with pytest.raises(ValueError, match="l2"):
-        cv.run_procedure(data, cv.Procedure("hist_gbt", FEATURES, params={"l2_regularization": 1.0}))
+    with pytest.raises(ValueError, match="max_depth"):
+        cv.run_procedure(data, cv.Procedure("random_forest", FEATURES, params={"max_depth": 101}))
     with pytest.raises(ValueError, match="random"):
         cv.run_procedure(data, cv.Procedure("ridge", FEATURES, mode="random"))
     with pytest.raises(ValueError, match="original"):
@@ -252,6 +351,20 @@ def test_importance_ranks_the_signal(data):
     assert importance.permutation_importance(held.limit(1), FEATURES, F.lit(1.0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 1000])
+def test_every_repeat_is_a_bijection(n):
+    keys = np.array(importance.round_keys(4, 6), dtype=np.uint64)
+    seen = {tuple(importance.receivers(np.arange(n), np.repeat(keys[r : r + 1], n, axis=0), n)) for r in range(6)}
+    assert all(sorted(s) == list(range(n)) for s in seen) and (n < 5 or len(seen) == 6)
+
+
+def test_importance_of_a_forest(data):
+    run = cv.run_procedure(data, cv.Procedure("random_forest", FEATURES, params={"n_estimators": 20}))
+    rows = ds.labelled_rows(data, FEATURES, "target").withColumnRenamed("y", "actual")
+    ranked = importance.ranked(importance.permutation_importance(rows, FEATURES, cv.scorer(cv.stored_tables(run), 1), 4, seed=1)).collect()
+    assert ranked[0]["feature"] == "f0" and ranked[0]["mean"] > 2 * ranked[1]["mean"] and ranked[0]["n_scored"] == 48
+
+
 def test_importance_subsets_fall_back(data, spark):
     rows = ds.labelled_rows(data, FEATURES, "target")
     nobody = spark.createDataFrame([("plot:99",)], "grp string")
@@ -274,6 +387,35 @@ def test_stored_model_scores_like_the_run(data, tmp_path, spark):
         save_run(str(tmp_path), "r1", {"other": run.predictions})
 
 
+@pytest.mark.parametrize(("model", "params", "transform"), [
+    ("lasso", {"alpha": 0.5}, "none"), ("random_forest", {"n_estimators": 12}, "log"), ("hist_gbt", {"max_iter": 5, "min_samples_leaf": 3}, "none"), ("knn", {"n_neighbors": 3}, "log"),
+    ("gpr", {"length_scale": 3.0, "features": 32}, "none"), ("svr", {"features": 16, "max_steps": 10}, "none"), ("svr", {"kernel": "linear", "max_steps": 10}, "none")])
+def test_every_model_scores_from_its_tables(data, tmp_path, spark, model, params, transform):
+    from plotspark.sinks import load_run, save_run
+
+    run = cv.run_procedure(data, cv.Procedure(model, FEATURES, params=params, transform=transform, n_splits=2))
+    tables = cv.stored_tables(run)
+    assert set(tables) <= set(cv.MODEL_TABLES)
+    save_run(str(tmp_path), "run", tables)
+    again = {name: load_run(spark, str(tmp_path), "run", name) for name in tables}
+    found = cv.score_stored(data, again, "target", 2).toPandas().set_index("filename")["predicted"]
+    assert np.allclose(found.sort_index(), predictions(run, 2).sort_index())
+    twice = cv.score_stored(data.unionByName(data), again, "target", 2)
+    assert twice.count() == 96 and twice.where("predicted IS NULL").count() == 0
+    with pytest.raises(ValueError, match="split"):
+        cv.scorer(again, 9)
+
+
+def test_a_nested_search_is_stored_with_its_winners(data):
+    run, params = cv.nested_search(data, cv.Procedure("knn", FEATURES, n_splits=2), 3, 2)
+    tables = cv.stored_tables(run)
+    chosen = {(r["split"], r["param"]): r["value"] for r in params.collect()}
+    import json
+    assert {r["split"]: json.loads(r["params"])["n_neighbors"] for r in tables["settings"].collect()} == {s: chosen[s, "n_neighbors"] for s in (1, 2)}
+    found = cv.score_stored(data, tables, "target", 1).toPandas().set_index("filename")["predicted"]
+    assert np.allclose(found.sort_index(), predictions(run, 1).sort_index())
+
+
 @pytest.mark.parametrize(("model", "fixed"), [("svr", {"features": 16, "max_steps": 15}), ("hist_gbt", {})])
 def test_search_draws_only_what_a_model_accepts(data, model, fixed, monkeypatch):
     small = [p._replace(high=10) if (p.model, p.name) == ("hist_gbt", "max_iter") else p for p in registry.PARAMS]
