@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotspark.operators.ranking import METRIC, group_quantiles, ordered_rank, salted_join
+from plotspark.session import checkpointed
 
 c = F.col
 
@@ -79,14 +80,19 @@ def empty_masks(masks: DataFrame, clipped: DataFrame, label: str = "label") -> D
 def trim_outliers(points: DataFrame, by: Sequence[str] = ("plot",), lo: float = 0.005, hi: float = 0.995) -> DataFrame:
     """Points within the percentile band on both axes; groups under 20 points, or left with fewer than 3, stay whole."""
     by = list(by)
-    limits = (
-        group_quantiles(points, by, "x", {"_xlo": lo, "_xhi": hi}, METRIC, count="_n")
-        .join(group_quantiles(points, by, "y", {"_ylo": lo, "_yhi": hi}, METRIC), by)
-    )
+    both = F.explode(F.array(*[F.struct(F.lit(k).alias("axis"), c(k).alias("v")) for k in ("x", "y")])).alias("_a")
+    long = points.select(*by, both).select(*by, c("_a.axis").alias("_axis"), c("_a.v").alias("_v"))
+    found = group_quantiles(long, [*by, "_axis"], "_v", {"lo": lo, "hi": hi}, METRIC, count="_n")
+    on = lambda k, name: F.max(F.when(c("_axis") == k, c(name)))
+    limits = found.groupBy(*by).agg(*[on(k, side).alias(f"_{k}{side}") for k in ("x", "y") for side in ("lo", "hi")], on("x", "_n").alias("_n"))
     inside = c("x").between(c("_xlo"), c("_xhi")) & c("y").between(c("_ylo"), c("_yhi"))
-    banded = salted_join(points.select(*by, "x", "y"), limits, by, "_n")
-    kept = banded.groupBy(*by).agg(F.count_if(inside).alias("_kept"))
-    limits = limits.join(kept, by).withColumn("_whole", (c("_n") < 20) | (c("_kept") < 3)).drop("_kept")
+    whole = c("_n") < 20
+    # A band that cuts at most a quarter of each axis leaves 3 of 20 points or more, whatever the points are.
+    if lo + 1.0 - hi > 0.25:
+        banded = salted_join(points.select(*by, "x", "y"), limits, by, "_n")
+        limits = limits.join(banded.groupBy(*by).agg(F.count_if(inside).alias("_kept")), by)
+        whole = whole | (c("_kept") < 3)
+    limits = checkpointed(limits.withColumn("_whole", whole).drop("_kept"))
     rows = salted_join(points, limits, by, "_n")
     return rows.where(c("_whole") | inside).drop("_xlo", "_xhi", "_ylo", "_yhi", "_whole")
 
@@ -139,6 +145,36 @@ def hull_of(xy: np.ndarray) -> np.ndarray:
 
 
 BUFFER_ROWS = 1_000_000
+#: Directions, none along an axis or a diagonal, in which the outermost point of a group is looked up.
+_LOOKS = [(float(np.cos(a)), float(np.sin(a))) for a in np.linspace(0.1, 0.1 + 2.0 * np.pi, 16, endpoint=False)]
+
+
+def border_points(points: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The points (by, x, y) that do not lie strictly inside the polygon of their group's outermost points in 16 directions.
+
+    None of the others is a vertex of the hull. One aggregation finds the polygons, one join drops the inside, and hardly a point is left.
+    """
+    by = list(by)
+    slim = points.select(*by, "x", "y")
+    reach = [c("x") * dx + c("y") * dy for dx, dy in _LOOKS]
+    outer = slim.groupBy(*by).agg(
+        *[F.max_by(k, r).alias(f"_{k}{i}") for i, r in enumerate(reach) for k in ("x", "y")], *[F.max(r).alias(f"_r{i}") for i, r in enumerate(reach)],
+        F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("_size"), F.count(F.lit(1)).alias("_n"))
+    outer = checkpointed(outer)
+    # Where two points reach as far, x and y may come from either; such a corner counts only if it is as far out itself.
+    sound = F.lit(True)
+    for i, (dx, dy) in enumerate(_LOOKS):
+        sound = sound & (F.abs(c(f"_x{i}") * dx + c(f"_y{i}") * dy - c(f"_r{i}")) <= 1e-12 * F.greatest(F.abs(f"_r{i}"), F.lit(1e-300)))
+    outer = outer.withColumn("_sound", sound).drop(*[f"_r{i}" for i in range(len(_LOOKS))])
+    placed = salted_join(slim, outer.withColumn("_rows", c("_n")), by, "_rows")
+    inside, edges = c("_sound") & (c("_n") > 64), F.lit(False)
+    for i in range(len(_LOOKS)):
+        ax, ay, bx, by_ = c(f"_x{i}"), c(f"_y{i}"), c(f"_x{(i + 1) % len(_LOOKS)}"), c(f"_y{(i + 1) % len(_LOOKS)}")
+        same = (ax == bx) & (ay == by_)
+        left = (bx - ax) * (c("y") - ay) - (by_ - ay) * (c("x") - ax) > F.lit(1e-9) * c("_size") * c("_size")
+        inside, edges = inside & (same | left), edges | ~same
+    inside = inside & edges
+    return placed.where(~F.coalesce(inside, F.lit(False))).select(*by, "x", "y")
 
 
 def _group_hulls(pdf: pd.DataFrame, by: list[str]) -> pd.DataFrame:
@@ -162,7 +198,7 @@ def convex_hulls(points: DataFrame, by: Sequence[str] = ("plot",), partitions_pe
     block of partitions are merged next, and only then all of a group, so no group is collected whole.
     """
     by = list(by)
-    keyed = points.select(*by, "x", "y")
+    keyed = border_points(points, by)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields if f.name in by)
 
     def partition_hulls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

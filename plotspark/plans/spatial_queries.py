@@ -99,10 +99,43 @@ def height_levels(spark, sf_dir):
     return wide.unpivot("filename", levels, "level", "value").select("filename", "level", rounded("value", 10).alias("value"))
 
 
-@query("a25_convex_hulls")
+def _whole_steps(points):
+    """Coordinates in whole steps of their resolution, so that every cross product is exact."""
+    return points.withColumns({"x": F.round(c("x") * 10), "y": F.round(c("y") * 100)})
+
+
+def _hull_ctes(source: str) -> str:
+    """Hull vertices by wrapping: from the lowest point of the least x, always to the point of the least further turn, the farthest of those in line."""
+    return f"""
+steps AS (SELECT DISTINCT filename, x, y FROM {source}),
+wrap AS (
+  SELECT filename, 0 AS step, min(x) AS x, arg_min(y, (x, y)) AS y, min(x) AS x0, arg_min(y, (x, y)) AS y0, CAST(-pi() / 2 AS DOUBLE) AS turn, false AS closed FROM steps GROUP BY filename
+  UNION ALL
+  SELECT filename, step + 1, arg_min(px, (t, -far)), arg_min(py, (t, -far)), any_value(x0), any_value(y0), min(t), arg_min(px = x0 AND py = y0, (t, -far))
+  FROM (SELECT w.*, s.x AS px, s.y AS py, pow(s.x - w.x, 2) + pow(s.y - w.y, 2) AS far, round(CASE WHEN atan2(s.y - w.y, s.x - w.x) >= turn - 1e-9 THEN atan2(s.y - w.y, s.x - w.x) ELSE atan2(s.y - w.y, s.x - w.x) + 2 * pi() END, 12) AS t
+        FROM wrap w JOIN steps s ON s.filename = w.filename AND (s.x <> w.x OR s.y <> w.y) WHERE NOT closed)
+  GROUP BY filename, step),
+hulls AS (SELECT filename, step, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM wrap WHERE NOT closed WINDOW w AS (PARTITION BY filename ORDER BY step)),
+sides AS (SELECT e.filename, e.step, (e.nx - e.x) / sqrt(pow(e.nx - e.x, 2) + pow(e.ny - e.y, 2)) AS ux, (e.ny - e.y) / sqrt(pow(e.nx - e.x, 2) + pow(e.ny - e.y, 2)) AS uy FROM hulls e),
+boxes AS (SELECT s.filename, s.step, ux, uy, max(h.x * ux + h.y * uy) - min(h.x * ux + h.y * uy) AS a, max(h.y * ux - h.x * uy) - min(h.y * ux - h.x * uy) AS b FROM sides s JOIN hulls h USING (filename) GROUP BY s.filename, s.step, ux, uy),
+least AS (SELECT * FROM boxes QUALIFY row_number() OVER (PARTITION BY filename ORDER BY round(a * b, 6), step) = 1)
+"""
+
+
+STEPS_CTE = "v_steps AS (SELECT * REPLACE (round(x * 10) AS x, round(y * 100) AS y) FROM v_points),"
+
+
+def _wrapped_sql(body: str, source: str = "v_steps", more: str = "") -> str:
+    return "WITH RECURSIVE" + views.with_views(body, "v_points", ctes=STEPS_CTE + more + _hull_ctes(source)).removeprefix("WITH")
+
+
+@query("a25_convex_hulls", _wrapped_sql("SELECT filename, CAST(count(*) AS INT) AS vertices, round(sum(x * ny - nx * y) / 2, 6) AS area, string_agg(CAST(x AS BIGINT) || ' ' || CAST(y AS BIGINT), ', ' ORDER BY step) AS hull FROM hulls GROUP BY filename"))
 def convex_hulls(spark, sf_dir):
-    hulls = sp.convex_hulls(views.points(spark, sf_dir), ["filename"])
-    return hulls.select("filename", F.size("hull").alias("vertices"), "hull")
+    hulls = sp.convex_hulls(_whole_steps(views.points(spark, sf_dir)), ["filename"])
+    following = F.concat(F.slice("hull", 2, F.size("hull")), F.slice("hull", 1, 1))
+    doubled = F.aggregate(F.zip_with("hull", following, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, v: s + v)
+    corners = F.array_join(F.transform("hull", lambda v: F.concat_ws(" ", v["x"].cast("bigint"), v["y"].cast("bigint"))), ", ")
+    return hulls.select("filename", F.size("hull").alias("vertices"), rounded(doubled / 2).alias("area"), corners.alias("hull"))
 
 
 DIRECTIONS = ((1, 0), (2, 1), (1, 1), (1, 2), (0, 1), (-1, 2), (-1, 1), (-2, 1), (-1, 0), (-2, -1), (-1, -1), (-1, -2), (0, -1), (1, -2), (1, -1), (2, -1))
@@ -117,17 +150,25 @@ def hull_extremes(spark, sf_dir):
     return hulls.select("filename", *[rounded(reach(a, b)).alias(f"e{i}") for i, (a, b) in enumerate(DIRECTIONS)])
 
 
-@query("a26_min_area_boxes")
+@query("a26_min_area_boxes", _wrapped_sql("SELECT filename, round(least(a, b), 6) AS short_side, round(greatest(a, b), 6) AS long_side FROM least"))
 def min_area_boxes(spark, sf_dir):
-    boxes = sp.min_area_rectangles(sp.convex_hulls(views.points(spark, sf_dir), ["filename"]))
+    boxes = sp.min_area_rectangles(sp.convex_hulls(_whole_steps(views.points(spark, sf_dir)), ["filename"]))
     short, long = scalars.box_sides(c("corners"))
     return boxes.select("filename", rounded(short).alias("short_side"), rounded(long).alias("long_side"))
 
 
-@query("a27_footprints")
+FOOTPRINT_SQL = _wrapped_sql("""
+SELECT filename, round(cx, 6) AS cx, round(cy, 6) AS cy, round(least(a, b), 6) AS short_side, round(greatest(a, b), 6) AS long_side,
+       round(CASE WHEN angle > 90 THEN angle - 180 WHEN angle <= -90 THEN angle + 180 ELSE angle END, 6) + 0e0 AS angle
+FROM (SELECT filename, a, b, CASE WHEN a >= b THEN degrees(atan2(uy, ux)) ELSE degrees(atan2(ux, -uy)) END AS angle FROM least)
+JOIN (SELECT filename, avg(x) AS cx, avg(y) AS cy FROM v_steps GROUP BY filename) USING (filename)""", "trimmed", TRIM_CTE.replace("v_points", "v_steps").strip() + ",")
+
+
+@query("a27_footprints", FOOTPRINT_SQL)
 def footprints(spark, sf_dir):
-    out = sp.footprints(views.points(spark, sf_dir), ["filename"])
-    return out.select("filename", rounded("cx").alias("cx"), rounded("cy").alias("cy"), rounded(scalars.box_angle(c("corners"))).alias("angle"), "corners")
+    out = sp.footprints(_whole_steps(views.points(spark, sf_dir)), ["filename"])
+    short, long = scalars.box_sides(c("corners"))
+    return out.select("filename", rounded("cx").alias("cx"), rounded("cy").alias("cy"), rounded(short).alias("short_side"), rounded(long).alias("long_side"), rounded(scalars.box_angle(c("corners"))).alias("angle"))
 
 
 @query("a33_slope_planes", views.with_views("""

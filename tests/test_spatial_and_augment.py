@@ -99,6 +99,29 @@ def test_hull_pruning_keeps_every_vertex():
         assert full and {tuple(p) for p in sp.hull_of(xy)} == {tuple(p) for p in sp.hull_of(sp._outer_points(xy))}
 
 
+def test_border_filter_keeps_hulls(spark):
+    rng = np.random.default_rng(8)
+    shapes = {1: rng.normal(0, 1, (500, 2)), 2: rng.integers(0, 6, (400, 2)).astype(float), 3: np.column_stack([np.arange(100.0), np.arange(100.0)]), 4: np.zeros((90, 2)), 5: rng.random((40, 2))}
+    pts = spark.createDataFrame([(k, float(x), float(y)) for k, xy in shapes.items() for x, y in xy], "plot int, x double, y double").repartition(5)
+    left = sp.border_points(pts, ["plot"]).groupBy("plot").count().collect()
+    sizes = {r["plot"]: r["count"] for r in left}
+    assert sizes[1] < 200 and sizes[4] == 90 and sizes[3] == 100 and sizes[5] == 40
+    hulls = {r["plot"]: r["hull"] for r in sp.convex_hulls(pts).collect()}
+    for k in (1, 2, 5):
+        assert {(p["x"], p["y"]) for p in hulls[k]} == {tuple(p) for p in sp.hull_of(shapes[k])}
+    assert hulls.get(3) is None and hulls.get(4) is None
+
+
+def test_trim_with_a_narrow_band(spark):
+    rng = np.random.default_rng(9)
+    xy = rng.normal(0, 1, (60, 2))
+    pts = spark.createDataFrame([(1, float(x), float(y)) for x, y in xy] + [(2, float(i % 5), float(i // 5)) for i in range(19)], "plot int, x double, y double")
+    lo, hi = np.quantile(xy, 0.3, axis=0), np.quantile(xy, 0.7, axis=0)
+    kept = sp.trim_outliers(pts, lo=0.3, hi=0.7).groupBy("plot").count().collect()
+    want = int(((xy >= lo) & (xy <= hi)).all(axis=1).sum())
+    assert {r["plot"]: r["count"] for r in kept} == {1: want if want >= 3 else 60, 2: 19}
+
+
 def test_trim(cloud):
     rng = np.random.default_rng(0)
     rows = [{"x": x, "y": y} for x, y in rng.uniform(0, 10, (400, 2))] + [{"x": 500, "y": 5}]
