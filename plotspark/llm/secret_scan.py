@@ -55,8 +55,8 @@ _NAME_BEFORE = re.compile(rf"([A-Za-z_][\w-]*)[\"'`]?\s*(=>|:=|==?|:)\s*{_SCHEME
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _SHAPED = {
     "mail": re.compile(r"[\w.+-]+@[\w-]+(\.[\w-]+)+\.?"),
-    "number": re.compile(r"[0-9+/_.@-]+"),
     "address": re.compile(r"(\d{1,3}\.){3}\d{1,3}\.?"),
+    "number": re.compile(r"[0-9+/_.@-]+"),
 }
 NUMBERS = (
     "length", "digit_share", "upper_share", "sign_share", "change_share", "letter_digit_share", "piece_change", "vowel_share", "entropy", "distinct_share", "path_signs", "like_mail", "like_number",
@@ -153,8 +153,9 @@ def dictionary(docs: DataFrame, found: DataFrame, text: str = "text", min_count:
     """Which of the candidates' letter runs are words: those that stand alone in the texts ``min_count`` times or more."""
     runs = settled(found.select(F.explode("runs").alias("word")).distinct())
     words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+")).alias("word"))
-    counted = words.select(F.rtrim("word", F.lit(".,;:!?")).alias("word")).join(runs, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return settled(counted.where(F.col("n") >= min_count).select("word"))
+    # Counted before the join, so that no run, however common a word, meets more than one row.
+    counted = words.select(F.rtrim("word", F.lit(".,;:!?")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
+    return settled(counted.join(runs, "word").select("word"))
 
 
 def with_coverage(found: DataFrame, words: DataFrame) -> DataFrame:
@@ -170,20 +171,25 @@ def with_coverage(found: DataFrame, words: DataFrame) -> DataFrame:
 def rule_labels(found: DataFrame) -> DataFrame:
     """``found`` with a label where a plain rule is sure: 1 for a token under a telling name, 0 for mail addresses, numbers, plain paths and prose.
 
-    Random paths without a name, words and numbers under a telling name stay without a label.
+    Random paths without a name, quoted words and numbers under a telling name stay without a label.
     """
     hinted = F.col("hinted") == 1
     secret = hinted & F.col("kind").isin("token", "path") & (F.col("coverage") < 0.5)
     plain = (F.col("change_share") < MIN_RANDOM_CHANGES) & (F.col("piece_change") < MIN_RANDOM_CHANGES)
     unnamed = ~hinted & (((F.col("kind") == "path") & plain) | (F.col("coverage") >= 0.5))
     harmless = F.col("kind").isin("mail", "address") | (~hinted & (F.col("kind") == "number")) | unnamed
-    prose = hinted & (F.col("quoted") == 0) & (F.col("coverage") >= 1)
+    # A lower-case or capitalised word with an ordinary share of vowels, however rare.
+    wordlike = (F.col("digit_share") + F.col("sign_share") == 0) & (F.col("upper_share") * F.col("length") <= 1) & (F.col("vowel_share") >= MIN_VOWELS)
+    prose = hinted & (F.col("quoted") == 0) & ((F.col("coverage") >= 1) | wordlike)
+    secret = secret & ~wordlike
     return found.withColumn("label", F.when(secret, 1.0).when(harmless | prose, 0.0))
 
 
 def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> PipelineModel | None:
     """A forest fitted on at most ``train_rows`` labelled findings of each class, or None if one class is missing."""
-    rows = labelled.where("label is not null").dropDuplicates(["candidate", "name", "label"]).withColumn("order", F.xxhash64("candidate", "name", "label"))
+    # Of equal candidates the one with the smallest numbers stands for all, whatever the shuffle.
+    rows = labelled.where("label is not null").groupBy("candidate", "name", "label").agg(F.min(F.struct(*NUMBERS)).alias("__numbers"))
+    rows = rows.select("candidate", "name", "label", "__numbers.*").withColumn("order", F.xxhash64("candidate", "name", "label"))
     parts = [rows.where(F.col("label") == value).orderBy("order", "candidate", "name").limit(train_rows) for value in (0.0, 1.0)]
     sample = checkpointed(parts[0].unionAll(parts[1]))
     if len(sample.groupBy("label").count().collect()) < 2:

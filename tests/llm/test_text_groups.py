@@ -283,6 +283,23 @@ def test_secrets_of_every_kind(spark):
     assert spans("author = Smith, Geschichtsschreibungen and some_snake_case_identifier") == []
 
 
+def test_rare_words_after_telling_names_stay(spark):
+    rng = random.Random(12)
+    draw = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    names = ["Winterberg", "marguerite", "Esperanza", "Oberammergau", "quixotic", "chrysalide", "Guadalajara", "elderberry"]
+    rows = [(i, f"The secret: {name} was a token: {name[::-1]} of love", "en", None, 0) for i, name in enumerate(names)]
+    rows += [(100 + i, f'password = "{draw(20)}" and 10.1.2.{i} or a{i}@mail{i}.example.com', "en", None, 0) for i in range(60)]
+    cut = {r.doc_id: r.text for r in secret_scan.redact(spark.createDataFrame(rows, DOC)).collect()}
+    assert all(f"secret: {name} " in cut[i] for i, name in enumerate(names)) and all("[SECRET]" in cut[100 + i] for i in range(60))
+    assert secret_scan.describe("at 10.20.30.40 now", 3, 14)["kind"] == "address"
+
+
+def test_dictionary_counts_words_once(spark):
+    docs = spark.createDataFrame([("the cat the dog",), ("the cat, the cat!",), (None,)], "text string")
+    found = spark.createDataFrame([(["the", "cat"],), (["the", "dog"],)], "runs array<string>")
+    assert sorted(r.word for r in secret_scan.dictionary(docs, found).collect()) == ["cat", "the"]
+
+
 # token files
 
 def test_ids_equal_the_whole_texts_ids():
