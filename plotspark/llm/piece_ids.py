@@ -19,10 +19,8 @@ Defined results
 
 from __future__ import annotations
 
-import sys
 from array import array
 from collections.abc import Iterator
-from types import ModuleType
 
 import ahocorasick
 import numpy as np
@@ -31,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from sentencepiece import SentencePieceProcessor
 
+from plotspark.llm.workers import kept
+
 BLANK = "▁"
 SHORT, CUTS_KEPT, PAIRS_KEPT = 64, 400_000, 500_000
 ROWS_AT_ONCE = 256
@@ -175,18 +175,15 @@ class PieceModel:
 
 
 def piece_model(path: str) -> PieceModel:
-    """This worker's model of a file; it outlives the task, whose own globals do not."""
-    kept = sys.modules.setdefault("plotspark_worker_models", ModuleType("plotspark_worker_models")).__dict__
-    if path not in kept:
-        kept[path] = PieceModel(path)
-    return kept[path]
+    """This worker's model of a file."""
+    return kept("pieces", path, PieceModel)
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", decode: bool = False) -> DataFrame:
     """``docs`` with ``ids`` (array of int, the end id last) and, if asked, ``decoded``, the text that the ids stand for."""
     added = [StructField("ids", ArrayType(IntegerType(), False), False), *([StructField("decoded", StringType(), False)] if decode else [])]
     carried = [c for c in docs.columns if c not in {f.name for f in added} or c == text]
-    kept = [f for f in docs.select(*carried).schema.fields if f.name not in {a.name for a in added}]
+    fields = [f for f in docs.select(*carried).schema.fields if f.name not in {a.name for a in added}]
     place = carried.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +194,10 @@ def encode(docs: DataFrame, model: str, text: str = "text", decode: bool = False
                 packed = [own.encode(t) for t in rows.column(place).to_pylist()]
                 ends = np.cumsum([0, *[len(p) // 4 for p in packed]]).astype(np.int32)
                 values = np.frombuffer(b"".join(packed), dtype="<i4")
-                columns = [rows.column(k) for k, name in enumerate(carried) if name in {f.name for f in kept}]
+                columns = [rows.column(k) for k, name in enumerate(carried) if name in {f.name for f in fields}]
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
                 if decode:
                     columns.append(pa.array([own.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in [*kept, *added]])
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in [*fields, *added]])
 
-    return docs.select(*carried).mapInArrow(run, StructType([*kept, *added]))
+    return docs.select(*carried).mapInArrow(run, StructType([*fields, *added]))

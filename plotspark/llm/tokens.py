@@ -2,7 +2,7 @@
 
 A text is cut only where the tokenizer's own pre-tokenizer always cuts, so the ids are those of the whole text; texts in which that is not
 certain, or that hold a special token's text, are encoded whole. Words of Latin letters go straight to the tokenizer's merge model, all else through the whole tokenizer. The ids
-of the pieces are kept in a bounded table in every Python worker.
+of the pieces are kept in a bounded table in every Python worker, which outlives its tasks.
 """
 
 from __future__ import annotations
@@ -14,7 +14,10 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
-PIECES_KEPT = 700_000
+from plotspark.llm.workers import kept
+
+#: Pieces of at most so many characters are kept, so the table's bytes are bounded too.
+SHORT, PIECES_KEPT = 64, 300_000
 
 _DOUBLE_SPACE = re.compile(r"\s\s")
 _SEPARATOR_CONTROLS = re.compile("[\x1c-\x1f]")
@@ -77,10 +80,13 @@ class Encoder:
         word, signs = found.groups()
         ids = self.pieces.get(word)
         if ids is None:
-            ids = self.pieces[word] = self._merged(word)
-        if signs and signs not in self.pieces:
-            self.pieces[signs] = self._packed(self._ids(signs))
-        return ids + self.pieces[signs]
+            ids = self._keep(word, self._merged(word))
+        if not signs:
+            return ids
+        after = self.pieces.get(signs)
+        if after is None:
+            after = self._keep(signs, self._packed(self._ids(signs)))
+        return ids + after
 
     def _learn(self, piece: str) -> bytes:
         lines = [piece] if self.words or "\n" not in piece else piece.split("\n")
@@ -88,7 +94,11 @@ class Encoder:
             ids = self._part(piece)
         else:
             ids = self._packed(self._ids("\n")).join([self._part(line) if line else b"" for line in lines])
-        self.pieces[piece] = ids
+        return self._keep(piece, ids)
+
+    def _keep(self, piece: str, ids: bytes) -> bytes:
+        if len(piece) <= SHORT:
+            self.pieces[piece] = ids
         return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -97,7 +107,8 @@ class Encoder:
 
     def _text(self, text: str) -> bytes:
         if len(self.pieces) > PIECES_KEPT:
-            self.pieces = {"": b""}
+            self.pieces.clear()
+            self.pieces[""] = b""
         cut = None if any(t in text for t in self.special) else self._cut(text)
         if cut is None:
             return self._packed(self._ids(text))
@@ -105,11 +116,6 @@ class Encoder:
         return b"".join([learn(p) if (ids := known(p)) is None else ids for p in cut])
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This worker's encoder of a tokenizer file; its ids are the library's, special tokens included."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path, special=True)
-    return _ENCODERS[path]
+    return kept("tokens", path, lambda file: Encoder(file, special=True))
