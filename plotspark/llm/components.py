@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotspark.session import checkpointed
+from plotspark.llm.small import written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -30,13 +30,13 @@ def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node it is linked to) for every node of ``links`` (a, b) but the roots themselves.
 
     Each round only joins and groups by node, with partial minima before the shuffle, so a node with very many links is no group that has
-    to fit a task. Rounds grow with the logarithm of a chain's length. Every round is cut by a reliable checkpoint.
+    to fit a task. Rounds grow with the logarithm of a chain's length. Every round is a written table.
     """
     edges = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = checkpointed(edges)
+    edges = written(edges)
     mark = _mark(edges)
     while mark[0]:
-        edges = checkpointed(_small_star(_large_star(edges)))
+        edges = written(_small_star(_large_star(edges)))
         now = _mark(edges)
         if now == mark:
             break
