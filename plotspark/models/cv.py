@@ -103,6 +103,7 @@ def _fit_predict(rows: DataFrame, proc: Procedure, keys: Sequence[str], n_keys:
                 coefs = fit_linear(lifted, prep, keys, width, [Trial(t.trial, "gpr", t.params)])
             else:
                 coefs = rff.fit_svr(lifted, keys, width, float(t.params.get("C", 10.0)), float(t.params.get("epsilon", 0.1)), int(t.params.get("max_steps", 120))).withColumn("trial", F.lit(t.trial))
+                lifted, width = lifted.withColumn("x", F.concat("x", F.array(F.lit(1.0)))), width + 1  # the last weight is the intercept
             parts.append(predict_linear(lifted, coefs, keys, n_keys, 1, width))
             coef_parts.append(coefs.join(spread, list(keys)) if spread is not None else coefs.withColumn("spread", F.lit(1.0)))
         return _union(parts), prep, {"coefs": _union(coef_parts)}
@@ -353,7 +354,9 @@ def scorer(tables: Mapping[str, DataFrame], split: int) -> Callable[[DataFrame],
                 rows = rows.withColumn("x", F.transform("x", lambda v: v / F.lit(float(fitted["spread"]))))
             if length:
                 rows = rff.random_features(rows, size, length, proc.seed, width)
-            return done(rows.withColumn("__w", weights).withColumn("predicted", F.lit(float(prep["y_mean"])) + ds.dot("x", "__w", width)).drop("x", "__w"))
+            if model == "svr":
+                rows = rows.withColumn("x", F.concat("x", F.array(F.lit(1.0))))
+            return done(rows.withColumn("__w", weights).withColumn("predicted", F.lit(float(prep["y_mean"])) + ds.dot("x", "__w", len(fitted["w"]))).drop("x", "__w"))
 
         return linear
     if model == "knn":

@@ -223,7 +223,25 @@ def gaussian_process(spark, sf_dir):
 
 @query("m09_support_vectors")
 def support_vectors(spark, sf_dir):
-    return _predictions(_run(spark, sf_dir, cv.Procedure("svr", FEATURES, params={"kernel": "linear"})))
+    """The default kernel over the whole embedding."""
+    return _predictions(cv.run_procedure(views.dataset(spark, sf_dir, ALL_DIMS), cv.Procedure("svr", ALL_NAMES)))
+
+
+@query("m09_linear_objective", "WITH RECURSIVE" + views.with_views("""
+SELECT CAST(cycle + 1 AS INT) AS split, round(objective, 2) AS objective FROM zoom WHERE step = 26""", "v_dataset", ctes=ONE_CTE.rstrip() + """,
+zoom AS (
+  SELECT DISTINCT cycle, 0 AS step, 0e0 AS w, 0e0 AS b, 64e0 AS h, 0e0 AS objective FROM z
+  UNION ALL SELECT cycle, step + 1, arg_min(w, o), arg_min(b, o), any_value(h) / 2, min(o) FROM (
+    SELECT cycle, step, h, w, b, pow(w, 2) / (2 * 10 * count(*)) + avg(greatest(abs(y - ym - w * x - b) - 0.1e0, 0)) AS o FROM (
+      SELECT k.cycle, k.step, k.h, k.w + i * k.h / 5 AS w, k.b + j * k.h / 5 AS b, y, ym, x FROM zoom k CROSS JOIN range(-5, 6) AS p(i) CROSS JOIN range(-5, 6) AS q(j) JOIN z ON z.cycle = k.cycle AND NOT held_out WHERE step < 26)
+    GROUP BY cycle, step, h, w, b) GROUP BY cycle, step)""").removeprefix("WITH"))
+def linear_objective(spark, sf_dir):
+    """What a linear fit of one feature reaches, against a search of all weights and intercepts."""
+    run = _run(spark, sf_dir, cv.Procedure("svr", ("f0",), params={"kernel": "linear"}))
+    loss = F.avg(F.greatest(F.abs(c("actual") - c("predicted")) - 0.1, F.lit(0.0)))
+    losses = run.predictions.where("fit").groupBy("split").agg(loss.alias("loss"), F.count(F.lit(1)).alias("n"))
+    weights = run.coefs.select((c("cycle") + 1).alias("split"), F.get("w", F.lit(0)).alias("w"))
+    return losses.join(weights, "split").select(c("split").cast("int").alias("split"), rounded(c("w") * c("w") / (2 * 10 * c("n")) + c("loss"), 2).alias("objective"))
 
 
 @query("m10_log_target", views.with_views("""
