@@ -8,7 +8,8 @@ and a round is one equality join and one sum by host, however many links a host
 Defined results
 * The host is what stands after the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z in lower case; the path follows up to ``?``,
   ``#`` or the end. A null url, or one without ``://``, has an empty host and path, which no rule fits.
-* Of the rules that fit, the longest wins, then a blocking one. Hosts that no trust or distrust reaches get ``default``.
+* Of the rules that fit, the longest wins, then a blocking one. Hosts that no trust or distrust reaches, at any distance, get ``default``.
+* Rounds go on until no host is reached anew and no rank still grows by more than ``growth`` between two checks.
 * Null html has no links. Links to hosts without pages pass trust on, but have no verdict. Links without a host lead to the page's own host.
 * Repeated pages and links count as often as they occur. Empty tables give an empty table. Rank at hosts without links is not passed on.
 * Only page_id, url and html are read; other columns, whatever their names, are ignored.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 import string
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +43,10 @@ class Rule:
 @dataclass(frozen=True)
 class TrustSettings:
     damping: float = 0.85
-    #: Rounds go on until what is still to come is under this share of any rank.
+    #: Least number of rounds: as many as leave under this share of a rank to come where everything is near a seed.
     rest: float = 0.01
+    #: Beyond them rounds go on until no host is reached anew and no rank has grown by more than this share since the last check.
+    growth: float = 0.01
     rounds_per_checkpoint: int = 6
     min_trust_share: float = 0.5
     default: str = "allow"
@@ -89,13 +93,18 @@ def spread(seeds: DataFrame, edges: DataFrame, settings: TrustSettings | None =
     settings = settings or TrustSettings()
     start = checkpointed(seeds.select("kind", "host", (F.col("share") * (1 - settings.damping)).alias("rank")))
     edges = checkpointed(edges.select("kind", F.col("src").alias("host"), "dst", (F.col("share") * settings.damping).alias("passed")))
-    ranks = start
-    for done in range(1, settings.rounds + 1):
+    ranks = known = start
+    for done in count(1):
         moved = ranks.join(edges, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("passed")).alias("rank"))
         ranks = start.unionAll(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if done % settings.rounds_per_checkpoint == 0:
-            ranks = checkpointed(ranks)
-    return ranks
+        if done % settings.rounds_per_checkpoint and done != settings.rounds:
+            continue
+        ranks = checkpointed(ranks)
+        if done >= settings.rounds:
+            grown = ranks.join(known.withColumnRenamed("rank", "before"), ["kind", "host"], "left")
+            if grown.where(F.col("before").isNull() | (F.col("rank") > F.col("before") * (1 + settings.growth))).isEmpty():
+                return ranks
+        known = ranks
 
 
 def host_verdicts(pages: DataFrame, settings: TrustSettings | None = None) -> DataFrame:

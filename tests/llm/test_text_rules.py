@@ -233,6 +233,15 @@ def test_hosts_paths_and_rules(spark):
     ]
 
 
+def test_trust_reaches_hosts_at_any_distance(spark):
+    far = 60
+    link = lambda host: f'<a href="http://{host}/">x</a>'
+    rows = [(0, "http://bad.com/x", None), *[(k, f"http://h{k}.net/", link("bad.com" if k == 1 else f"h{k - 1}.net")) for k in range(1, far + 1)], (100, "http://nobody.net/", "")]
+    rules = [link_trust.Rule("block", "bad.com")]
+    got = {r.page_id: (r.verdict, r.trust_share) for r in link_trust.judge_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string"), rules).collect()}
+    assert all(got[k] == ("block", 0.0) for k in range(1, far + 1)) and got[100] == ("allow", None)
+
+
 def test_trust_spreads_as_in_the_plain_iteration(spark):
     link = lambda *hosts: "".join(f'<a href="http://{h}/p">x</a>' for h in hosts) + '<a HREF=/own>y</a>'
     pages = [
