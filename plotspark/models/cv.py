@@ -159,7 +159,7 @@ def run_procedure(df: DataFrame, proc: Procedure, folds: DataFrame | None = None
         if proc.mode == "random":
             raise ValueError("random folds overlap; outer folds need a partition mode")
         groups = fd.groups_of(rows)
-        n_cycles = min(proc.n_splits, fd.max_splits(groups.count(), proc.test_size))
+        n_cycles = min(proc.n_splits, fd.split_cap(groups, proc.test_size))
         folds = fd.grouped_folds(groups, proc.mode, n_cycles, proc.test_size, proc.seed)
     sided = _cached(ds.with_folds(rows, folds, n_cycles, proc.train_aug))
     if not (proc.train_aug and proc.score_aug):
@@ -246,7 +246,7 @@ def nested_search(df: DataFrame, proc: Procedure, n_trials: int, inner_splits: i
     """
     rows = ds.labelled_rows(df, proc.features, proc.target)
     groups = fd.groups_of(rows)
-    n_cycles = min(proc.n_splits, fd.max_splits(groups.count(), proc.test_size))
+    n_cycles = min(proc.n_splits, fd.split_cap(groups, proc.test_size))
     outer = fd.grouped_folds(groups, proc.mode, n_cycles, proc.test_size, proc.seed).persist()
     trials = draw_trials(proc, n_trials)
     scores = score_trials(df, proc, trials, inner_splits, inner_mode, outer, n_cycles, proc.train_aug, proc.score_aug)

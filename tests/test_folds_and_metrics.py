@@ -15,6 +15,10 @@ def groups(spark, n, extra=()):
     return spark.createDataFrame([(f"plot:{i}",) for i in range(1, n + 1)] + [(g,) for g in extra], "grp string").repartition(3)
 
 
+def value(spark, column):
+    return spark.range(1).select(column).first()[0]
+
+
 def as_sets(folds):
     out = {}
     for r in folds.collect():
@@ -23,19 +27,18 @@ def as_sets(folds):
 
 
 @pytest.mark.parametrize("n, size, want", [(80, 0.25, 4), (80, 0.2, 5), (80, 0.3, 3), (150, 0.25, 4), (0, 0.25, 1), (10, 0, 10)])
-def test_split_caps(n, size, want):
-    assert fd.max_splits(n, size) == want
+def test_split_caps(spark, n, size, want):
+    assert value(spark, fd.max_splits_col(F.lit(n), F.lit(float(size)))) == want
 
 
 @pytest.mark.parametrize("n, size, want", [(80, 0.25, 4), (80, 0.20, 5), (80, 0.34, 3), (1, 0.25, 1)])
-def test_legacy_counts(n, size, want):
-    assert fd.legacy_splits(n, size) == want
+def test_legacy_counts(spark, n, size, want):
+    assert value(spark, fd.legacy_splits_col(F.lit(n), F.lit(size))) == want
 
 
-def test_block_sizes_round_half_to_even_and_shrink():
-    assert fd.block_size(20, 0.25, 6) == 3 and fd.block_size(10, 0.3, 5) == 2
-    assert fd.block_size(10, 0.25, 1) == 2 and fd.block_size(14, 0.25, 1) == 4 and fd.block_size(150, 0.25, 4) == 37
-    assert fd.block_size(5, 0.0001, 1) == 1
+@pytest.mark.parametrize("n, size, splits, want", [(20, 0.25, 6, 3), (10, 0.3, 5, 2), (10, 0.25, 1, 2), (14, 0.25, 1, 4), (150, 0.25, 4, 37), (5, 0.0001, 1, 1)])
+def test_block_sizes_round_half_to_even_and_shrink(spark, n, size, splits, want):
+    assert value(spark, fd.block_size_col(F.lit(n), F.lit(size), F.lit(splits))) == want
 
 
 def test_systematic(spark):
@@ -53,7 +56,7 @@ def test_sequential_orders_numbers_before_text(spark):
 def test_partitions_never_hold_out_twice(spark, mode, n, splits, size):
     got = as_sets(fd.grouped_folds(groups(spark, n), mode, splits, size, 5))
     members = [g for s in got.values() for g in s]
-    assert len(members) == len(set(members)) and len(got) == min(splits, fd.max_splits(n, size))
+    assert len(members) == len(set(members)) and len(got) == min(splits, fd.split_cap(groups(spark, n), size))
     assert len({len(s) for s in got.values()}) == 1
 
 
