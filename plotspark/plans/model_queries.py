@@ -115,7 +115,36 @@ def elastic_net(spark, sf_dir):
     return _predictions(_run(spark, sf_dir, cv.Procedure("elastic_net", ("f0",), params={"alpha": 0.2, "l1_ratio": 0.5})))
 
 
-@query("m04_lasso_four_features")
+def _four_cte(source: str, keys: str, kept: str, name: str = "four") -> str:
+    """Standardised f0 to f3 of every fold of ``source`` (keys, held, y and the features) as {name}_z, and the fold's means of products as {name}_gr."""
+    each = range(4)
+    pairs = [(i, j) for i in each for j in range(i, 4)]
+    return f"""
+{name}_st AS (SELECT {keys}, {", ".join(f"avg(f{i}) AS m{i}, stddev_pop(f{i}) AS s{i}" for i in each)}, avg(y) AS ym FROM {source} WHERE NOT held GROUP BY {keys}),
+{name}_z AS (SELECT {keys}, {kept}, held, y, ym, {", ".join(f"(f{i} - m{i}) / s{i} AS x{i}" for i in each)} FROM {source} JOIN {name}_st USING ({keys})),
+{name}_gr AS (SELECT {keys}, {", ".join(f"avg(x{i} * x{j}) AS g{i}{j}" for i, j in pairs)}, {", ".join(f"avg(x{i} * (y - ym)) AS p{i}" for i in each)} FROM {name}_z WHERE NOT held GROUP BY {keys})"""
+
+
+def _descent_cte(keys: str, trials: str, sweeps: int, name: str = "four") -> str:
+    """Weights of the elastic net by coordinate descent: ``sweeps`` rounds over the four weights. ``trials``: a table (trial, alpha, l1)."""
+    def weight(i: int) -> str:
+        rest = " + ".join(f"g{min(i, j)}{max(i, j)} * {'u' if j < i else 'k.w'}{j}" for j in range(4) if j != i)
+        return f"sign(p{i} - ({rest})) * greatest(abs(p{i} - ({rest})) - alpha * l1, 0) / (g{i}{i} + alpha * (1 - l1)) AS u{i}"
+
+    on = ", ".join(f"k.{k.strip()}" for k in keys.split(","))
+    return f"""
+{name}_descent AS (
+  SELECT {keys}, trial, 0 AS sweep, 0e0 AS w0, 0e0 AS w1, 0e0 AS w2, 0e0 AS w3 FROM {name}_gr CROSS JOIN {trials}
+  UNION ALL SELECT {on}, k.trial, sweep + 1, {", ".join(weight(i) for i in range(4))} FROM {name}_descent k JOIN {name}_gr USING ({keys}) JOIN {trials} t ON t.trial = k.trial WHERE sweep < {sweeps}),
+{name}_fits AS (SELECT * FROM {name}_descent WHERE sweep = {sweeps})"""
+
+
+FOUR_CTE = DATA_FOLDS_CTE.rstrip() + ",\nsides AS (SELECT cycle, filename, held_out AS held, target AS y, f0, f1, f2, f3 FROM sided)," + _four_cte("sides", "cycle", "filename")
+
+
+@query("m04_lasso_four_features", "WITH RECURSIVE" + views.with_views("""
+SELECT CAST(cycle + 1 AS INT) AS split, filename, held AS held_out, round(ym + w0 * x0 + w1 * x1 + w2 * x2 + w3 * x3, 6) AS predicted FROM four_z JOIN four_fits USING (cycle)""",
+    "v_dataset", ctes=FOUR_CTE + ",\none_trial AS (SELECT 0 AS trial, 0.05e0 AS alpha, 1e0 AS l1)," + _descent_cte("cycle", "one_trial", 300)).removeprefix("WITH"))
 def lasso_four_features(spark, sf_dir):
     return _predictions(_run(spark, sf_dir, cv.Procedure("lasso", FEATURES, params={"alpha": 0.05})))
 
@@ -127,7 +156,22 @@ def pls_one_component(spark, sf_dir):
     return _predictions(_run(spark, sf_dir, cv.Procedure("pls", ("f0", "f1"), params={"n_components": 1})))
 
 
-@query("m05_pls_two_components")
+_G = "[" + ", ".join("[" + ", ".join(f"g{min(i, j)}{max(i, j)}" for j in range(4)) + "]" for i in range(4)) + "]"
+_TIMES = "list_transform([1, 2, 3, 4], lambda i: list_dot_product(g[i], {0}))"
+_PLUS = "list_transform([1, 2, 3, 4], lambda i: {0})"
+
+
+@query("m05_pls_two_components", views.with_views("""
+SELECT CAST(cycle + 1 AS INT) AS split, filename, held AS held_out, round(ym + list_dot_product(b, [x0, x1, x2, x3]), 6) AS predicted FROM four_z JOIN fit USING (cycle)""", "v_dataset", ctes=FOUR_CTE + f""",
+c0 AS (SELECT cycle, {_G} AS g, [p0, p1, p2, p3] AS s FROM four_gr),
+c1 AS (SELECT *, {_PLUS.format("s[i] / sqrt(list_dot_product(s, s))")} AS v1 FROM c0),
+c2 AS (SELECT *, {_TIMES.format("v1")} AS gv1 FROM c1),
+c3 AS (SELECT *, list_dot_product(v1, gv1) AS t1, list_dot_product(s, v1) AS r1 FROM c2),
+c4 AS (SELECT *, {_PLUS.format("s[i] - gv1[i] / t1 * r1")} AS s2 FROM c3),
+c5 AS (SELECT *, {_PLUS.format("s2[i] / sqrt(list_dot_product(s2, s2))")} AS v2 FROM c4),
+c6 AS (SELECT *, list_dot_product(gv1, v2) / t1 AS pv, {_TIMES.format("v2")} AS gv2 FROM c5),
+c7 AS (SELECT *, list_dot_product(s2, v2) / (list_dot_product(v2, gv2) - pv * pv * t1) AS q2 FROM c6),
+fit AS (SELECT cycle, {_PLUS.format("v1[i] * (r1 / t1 - pv * q2) + v2[i] * q2")} AS b FROM c7)"""))
 def pls_two_components(spark, sf_dir):
     return _predictions(_run(spark, sf_dir, cv.Procedure("pls", FEATURES, params={"n_components": 2})))
 
@@ -339,10 +383,27 @@ def best_trials(spark, sf_dir):
     return rounded_all(cv.best_trials(_scores(spark, sf_dir)))
 
 
-@query("m13_nested_search")
+TUNED = cv.Procedure("elastic_net", FEATURES, params={"max_iter": 5000})
+TUNED_CTE = "".join([
+    SEARCH_CTE[: SEARCH_CTE.index("rows_ AS")], """
+rows4 AS (SELECT f.outer_, CAST(k AS INT) AS inner_, d.filename, d.aug, d.target AS y, d.f0, d.f1, d.f2, d.f3, f.inner_fold = k AS held FROM data d JOIN inner_folds f USING (grp) CROSS JOIN range(3) AS r(k)),
+drawn AS (SELECT * FROM (VALUES """, ", ".join(f"({t.trial}, CAST({t.params['alpha']!r} AS DOUBLE), CAST({t.params['l1_ratio']!r} AS DOUBLE))" for t in cv.draw_trials(TUNED, 4)),
+    ") AS t(trial, alpha, l1)),", _four_cte("rows4", "outer_, inner_", "aug", "inn"), ",", _descent_cte("outer_, inner_", "drawn", 300, "inn"), """,
+tried AS (SELECT outer_, trial, inner_, """, metrics_sql("y", "p", None), """ FROM (
+  SELECT outer_, inner_, trial, y, ym + w0 * x0 + w1 * x1 + w2 * x2 + w3 * x3 AS p FROM inn_z JOIN inn_fits USING (outer_, inner_) WHERE held AND aug = 0) GROUP BY outer_, trial, inner_),
+means AS (SELECT outer_, trial, avg(rrmse) AS mean_rrmse FROM tried GROUP BY outer_, trial),
+won AS (SELECT outer_, min_by(trial, struct_pack(a := mean_rrmse, b := trial)) AS trial FROM means WHERE isfinite(mean_rrmse) GROUP BY outer_),
+sides AS (SELECT cycle, aug, held_out AS held, target AS y, f0, f1, f2, f3 FROM sided),""", _four_cte("sides", "cycle", "aug", "out"), ",", _descent_cte("cycle", "drawn", 300, "out"), """,
+refit AS (SELECT f.cycle, alpha, y, ym + w0 * x0 + w1 * x1 + w2 * x2 + w3 * x3 AS p, CASE WHEN held AND aug = 0 THEN 'held_out' WHEN NOT held THEN 'train' END AS scope
+          FROM out_z f JOIN won ON won.outer_ = f.cycle JOIN out_fits o ON o.cycle = f.cycle AND o.trial = won.trial JOIN drawn ON drawn.trial = won.trial)"""])
+
+
+@query("m13_nested_search", "WITH RECURSIVE" + views.with_views(f"""
+SELECT CAST(cycle + 1 AS INT) AS split, scope, {metrics_sql("y", "p")}, round(any_value(alpha), 6) AS alpha FROM refit WHERE scope IS NOT NULL GROUP BY cycle, scope""", "v_dataset", ctes=TUNED_CTE).removeprefix("WITH"))
 def nested_search(spark, sf_dir):
-    run, params = cv.nested_search(views.dataset(spark, sf_dir), cv.Procedure("elastic_net", FEATURES, params={"max_iter": 5000}), n_trials=4, inner_splits=3)
-    return cv.fold_metrics(run).join(params.where(c("param") == "alpha").select("split", c("value").alias("alpha")), "split")
+    """Two parameters tuned on each outer fold's own training groups, over four features."""
+    run, params = cv.nested_search(views.dataset(spark, sf_dir), TUNED, n_trials=4, inner_splits=3)
+    return rounded_all(cv.fold_metrics(run).join(params.where(c("param") == "alpha").select("split", c("value").alias("alpha")), "split"))
 
 
 NESTED = cv.Procedure("ridge", ("f0",))
