@@ -16,8 +16,8 @@ from tokenizers import Tokenizer
 
 from plotspark.llm.workers import kept
 
-#: Pieces of at most so many characters are kept, so the table's bytes are bounded too.
-SHORT, PIECES_KEPT = 64, 300_000
+#: Pieces of at most so many characters are kept, so the table's bytes are bounded too, in two generations of so many.
+SHORT, PIECES_KEPT = 64, 350_000
 
 _DOUBLE_SPACE = re.compile(r"\s\s")
 _SEPARATOR_CONTROLS = re.compile("[\x1c-\x1f]")
@@ -52,6 +52,7 @@ class Encoder:
         self.spelling = {c: "".join(letters[b] for b in chr(c).encode()) for c in spelled}
         self.direct = all(self._merged(p) == self._packed(self._ids(p)) for p in _PROBES if not (self.words and p[0] == " "))
         self.pieces: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -78,17 +79,21 @@ class Encoder:
         if found is None or not unicodedata.is_normalized("NFC", part):
             return self._packed(self._ids(part))
         word, signs = found.groups()
-        ids = self.pieces.get(word)
+        ids = self.pieces.get(word) or self.older.get(word)
         if ids is None:
             ids = self._keep(word, self._merged(word))
         if not signs:
             return ids
-        after = self.pieces.get(signs)
+        after = self.pieces.get(signs) or self.older.get(signs)
         if after is None:
             after = self._keep(signs, self._packed(self._ids(signs)))
         return ids + after
 
     def _learn(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is not None:
+            self.pieces[piece] = ids
+            return ids
         lines = [piece] if self.words or "\n" not in piece else piece.split("\n")
         if len(lines) == 1:
             ids = self._part(piece)
@@ -107,8 +112,8 @@ class Encoder:
 
     def _text(self, text: str) -> bytes:
         if len(self.pieces) > PIECES_KEPT:
-            self.pieces.clear()
-            self.pieces[""] = b""
+            # What is still in use moves over from the older generation when it is met again.
+            self.pieces, self.older = {"": b""}, self.pieces
         cut = None if any(t in text for t in self.special) else self._cut(text)
         if cut is None:
             return self._packed(self._ids(text))
