@@ -8,6 +8,7 @@ from plotspark.functions.rng import inner_seed
 from plotspark.models import cv, importance
 from plotspark.models import design as ds
 from plotspark.models.gram import Trial
+from plotspark.models.registry import MODELS
 from plotspark.operators import folds as fd
 from plotspark.operators import metrics as mt
 from plotspark.operators import results as rs
@@ -444,6 +445,15 @@ def model_sweep(spark, sf_dir):
     return rounded_all(cv.rank_models(metrics)).withColumn("place", c("place").cast("bigint"))
 
 
+@query("m15_full_sweep")
+def full_sweep(spark, sf_dir):
+    """All nine models with their defaults over the whole embedding."""
+    metrics, failed = cv.sweep(views.dataset(spark, sf_dir, ALL_DIMS), cv.Procedure("ridge", ALL_NAMES), list(MODELS))
+    if failed:
+        raise RuntimeError(str(failed))
+    return rounded_all(cv.rank_models(metrics)).withColumn("place", c("place").cast("bigint"))
+
+
 REPEATS = importance.DEFAULT_REPEATS
 
 

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from conftest import SF
 
 CHECKED = ["a02_height_percentiles", "a07_height_entropy", "a14_axis_asymmetry", "a34_metric_cube", "j02_reference_lookup", "j05_match_report",
-           "w04_random_systematic_folds", "w05_random_folds", "g01_augmentation_plan", "m03_ridge"]
+           "w04_random_systematic_folds", "w05_random_folds", "g01_augmentation_plan", "m03_ridge", "m04_lasso_four_features", "m07_boosted_round", "m16_permutation_importance", "a25_convex_hulls"]
 
 
 def canonical(v):
