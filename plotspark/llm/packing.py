@@ -1,10 +1,9 @@
 """Packing of token documents into windows by non-negative least squares over the length histogram.
 
-Every document is cut into full windows and a rest. The rests' lengths are counted in steps of ``unit`` tokens. All combinations of at most
-``depth`` lengths that fill a window exactly are enumerated, and non-negative least squares finds how often each should be used to use up the
-histogram (Krell et al., 2021). The counts are rounded down, what is left of the histogram is given greedily to combinations that still fit,
-and rests that fit none are laid end to end and cut where a window is full. The histogram has at most window / unit rows, and so has the
-plan, whatever the corpus; documents find their place by their rank among the rests of their length.
+Every document is cut into full windows and a rest. The rests' lengths are counted; ``window_plan.layout`` gives every rank of every length its
+sequence and place: repeat counts of shallow combinations by non-negative least squares, what they leave by best fit, and only what would fill
+no window is laid end to end and cut where a window is full. The histogram has at most ``window`` rows, and the layout depends on its lengths and not
+on how many documents there are; documents find their place by their rank among the rests of their length.
 
 Defined results
 * A null or empty text is a document of the end id alone. Texts are encoded whole, at any length.
@@ -17,7 +16,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,110 +26,19 @@ from pyspark.sql.window import Window
 
 from plotspark.llm.running import running_total
 from plotspark.llm.tokens import encoder
+from plotspark.llm.window_plan import DEPTH, Layout, combinations, layout, least_squares, plan
 from plotspark.session import scratch_path
 
 WINDOW = 4096
-UNIT = 16
-DEPTH = 3
-SOLVER_STEPS = 2000
+UNIT = 8
 ROWS_PER_BUCKET = 100_000
 LEAST_BUCKETS = 64
 TOKEN_SCHEMA = "doc_id bigint, doc_tokens bigint, full_crc32 array<bigint>, rest_crc32 bigint, ids binary"
 TOKEN_COLUMNS = ["doc_id", "doc_tokens", "full_crc32", "rest_crc32", "ids"]
+RANK_BITS = 40
 PIECE = ["rid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def combinations(units: int, depth: int) -> list[tuple[int, ...]]:
-    """All falling tuples of 1 to ``depth`` lengths that sum to ``units``."""
-
-    def of(left: int, most: int, count: int) -> Iterator[tuple[int, ...]]:
-        if left == 0:
-            yield ()
-        elif count:
-            for first in range(min(left, most), 0, -1):
-                if first * count < left:
-                    break
-                for rest in of(left - first, first, count - 1):
-                    yield (first, *rest)
-
-    return list(of(units, units, depth))
-
-
-def least_squares(parts: np.ndarray, histogram: np.ndarray, steps: int = SOLVER_STEPS) -> np.ndarray:
-    """Counts x >= 0 of the combinations that bring the lengths they use nearest to the histogram, by accelerated projected gradients.
-
-    ``parts`` has a combination's lengths in a row, padded with 0; length 0 is no length.
-    """
-    lengths = len(histogram)
-
-    def used(x: np.ndarray) -> np.ndarray:
-        total = np.bincount(parts.ravel(), weights=np.repeat(x, parts.shape[1]), minlength=lengths)
-        total[0] = 0
-        return total
-
-    # The largest eigenvalue of A'A is at most the largest row sum of A A' (every length's uses times the lengths beside it).
-    ones = used(np.ones(len(parts)))
-    bound = max(1.0, parts.shape[1] * float(ones.max()))
-    x, ahead, pace = np.zeros(len(parts)), np.zeros(len(parts)), 1.0
-    for _ in range(steps):
-        wrong = used(ahead) - histogram
-        wrong[0] = 0
-        new = np.maximum(0, ahead - wrong[parts].sum(axis=1) / bound)
-        quicker = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
-        ahead = new + (pace - 1) / quicker * (new - x)
-        x, pace = new, quicker
-    return x
-
-
-@dataclass(frozen=True)
-class Plan:
-    """Combinations with their counts, and the first sequence of each."""
-
-    parts: list[tuple[int, ...]]
-    counts: list[int]
-
-    def slots(self) -> list[tuple[int, int, int, int, int]]:
-        """(length, first rank, end rank, first sequence, place) for the rests of each length that the combinations take up."""
-        taken: dict[int, int] = {}
-        rows, sequence = [], 0
-        for lengths, count in zip(self.parts, self.counts, strict=True):
-            for place, length in enumerate(lengths):
-                first = taken.get(length, 0)
-                rows.append((length, first, first + count, sequence, place))
-                taken[length] = first + count
-            sequence += count
-        return rows
-
-    @property
-    def sequences(self) -> int:
-        return sum(self.counts)
-
-
-def plan(histogram: dict[int, int], units: int, depth: int = DEPTH) -> Plan:
-    """How often each combination is used; never more rests of a length than there are."""
-    all_parts = [p for p in combinations(units, depth) if all(histogram.get(x) for x in p)]
-    if not all_parts:
-        return Plan([], [])
-    padded = np.array([[*p, *[0] * (depth - len(p))] for p in all_parts])
-    left = np.zeros(units + 1, dtype=np.int64)
-    for length, count in histogram.items():
-        left[length] = count
-    wanted = np.floor(least_squares(padded, left.astype(float)) + 1e-6).astype(np.int64)
-    counts: dict[int, int] = {}
-    # Rounded counts first, from the most used; then whatever still fits, from the longest lengths.
-    for turn in (wanted, np.full(len(all_parts), np.iinfo(np.int64).max)):
-        for k in sorted(np.flatnonzero(turn).tolist(), key=lambda k: (-turn[k], [-x for x in all_parts[k]])):
-            part = all_parts[k]
-            fits = min(int(left[x]) // part.count(x) for x in set(part))
-            take = min(int(turn[k]), fits)
-            if take > 0:
-                counts[k] = counts.get(k, 0) + take
-                for x in part:
-                    left[x] -= take
-    chosen = sorted(counts)
-    return Plan([all_parts[k] for k in chosen], [counts[k] for k in chosen])
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> None:
     """Token ids of every document, checksums of its full windows and of its rest, and a row number, as Parquet at ``path``."""
 
@@ -168,17 +75,37 @@ def _crc32_of(ids: str, start: str, length: str, id_bytes: int) -> Column:
     return run(ids, start, length)
 
 
+def _slot(table: Layout, length: str, rank: str) -> Column:
+    """Sequence and place of the rest of a length with a rank; null for a rest that the layout leaves over."""
+    starts, ends, firsts, places = (table.rows[:, 0] << RANK_BITS) + table.rows[:, 1], (table.rows[:, 0] << RANK_BITS) + table.rows[:, 2], table.rows[:, 3], table.rows[:, 4]
+
+    @F.pandas_udf("struct<sequence: bigint, place: bigint>")
+    def find(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
+        key = (lengths.to_numpy() << RANK_BITS) + ranks.to_numpy()
+        at = np.searchsorted(starts, key, side="right") - 1
+        if not len(starts):
+            return pd.DataFrame({"sequence": [None] * len(key), "place": [None] * len(key)}, dtype="Int64")
+        known = (at >= 0) & (key < ends[at])
+        sequence, place = pd.Series(firsts[at] + key - starts[at], dtype="Int64"), pd.Series(places[at], dtype="Int64")
+        return pd.DataFrame({"sequence": sequence.where(known), "place": place.where(known)})
+
+    return find(length, rank)
+
+
+def rest_layout(tokens: DataFrame, window: int = WINDOW, unit: int = UNIT, depth: int = DEPTH) -> tuple[Layout, dict[int, int], int]:
+    """The layout of the rests of ``tokens``, their histogram (at most ``window`` lengths), and the number of full windows."""
+    rest, full = F.col("doc_tokens") % window, F.floor(F.col("doc_tokens") / window)
+    found = tokens.groupBy(rest.alias("rest")).agg(F.count(F.lit(1)).alias("n"), F.sum(full).alias("full")).collect()
+    histogram = {r.rest: r.n for r in found if r.rest}
+    return layout(histogram, window, window // unit, depth), histogram, sum(r.full for r in found)
+
+
 def pieces_of(tokens: DataFrame, window: int = WINDOW, unit: int = UNIT, depth: int = DEPTH, id_bytes: int = 2) -> DataFrame:
     """rid, doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece of ``tokens`` (as ``write_tokens`` wrote it)."""
     spark = tokens.sparkSession
-    units = window // unit
     rows = tokens.select("rid", "doc_id", "doc_tokens", "rest_crc32", (F.col("doc_tokens") % window).alias("rest"), F.floor(F.col("doc_tokens") / window).alias("full"))
-    rows = rows.withColumn("bin", F.ceil(F.col("rest") / unit).cast("int"))
-    found = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("full").alias("full")).collect()  # at most units + 1 rows
-    histogram = {r.bin: r.n for r in found if r.bin}
-    buckets = LEAST_BUCKETS + sum(r.n for r in found) // ROWS_PER_BUCKET
-    chosen = plan(histogram, units, depth)
-    full_windows = sum(r.full for r in found)
+    chosen, histogram, full_windows = rest_layout(tokens, window, unit, depth)
+    buckets = LEAST_BUCKETS + sum(histogram.values()) // ROWS_PER_BUCKET
 
     # Full windows are sequences of their own, numbered first.
     full = running_total(rows.where("full > 0").withColumn("all", F.lit(0)), ["all"], F.col("full"), "rid", buckets, "first")
@@ -188,23 +115,19 @@ def pieces_of(tokens: DataFrame, window: int = WINDOW, unit: int = UNIT, depth:
         (F.col("first") + F.col("at")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"),
     )
 
-    # Rests by the plan: rank within the length, slot of the rank, place among the pieces of the slot's sequence.
-    rests = running_total(rows.where("bin > 0"), ["bin"], F.lit(1), "rid", buckets, "rank")
-    by_length: dict[int, list] = {}
-    for length, *slot in chosen.slots():
-        by_length.setdefault(length, []).append(tuple(slot))
-    slots = spark.createDataFrame(list(by_length.items()), "bin int, slots array<struct<first: bigint, end: bigint, sequence: bigint, place: int>>")
-    own = F.filter("slots", lambda s: (s["first"] <= F.col("rank")) & (F.col("rank") < s["end"]))
-    placed = rests.join(F.broadcast(slots), "bin", "left").withColumn("slot", F.get(own, 0)).drop("slots")
+    # Rests by the layout: rank within the length (a row per length says over how many parts it is counted), sequence and place of the rank.
+    parts = spark.createDataFrame([(k, 1 + n // ROWS_PER_BUCKET) for k, n in histogram.items()], "rest bigint, parts bigint")
+    rests = running_total(rows.join(F.broadcast(parts), "rest"), ["rest"], F.lit(1), "rid", F.col("parts"), "rank")
+    placed = rests.withColumn("slot", _slot(chosen, "rest", "rank"))
     before = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     start = (F.col("full") * window).cast("bigint").alias("start")
-    planned = placed.where("slot is not null").select(
+    planned = placed.where("slot.sequence is not null").select(
         "rid", "doc_id", start, F.col("rest").alias("length"), F.col("rest_crc32").alias("ids_crc32"), "doc_tokens",
-        (F.lit(full_windows) + F.col("slot.sequence") + F.col("rank") - F.col("slot.first")).alias("sequence_id"), F.col("slot.place").alias("place"),
+        (F.lit(full_windows) + F.col("slot.sequence")).alias("sequence_id"), F.col("slot.place").alias("place"),
     ).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("bigint"))
 
-    # Rests beyond the plan, end to end; those that a window's end cuts need their ids again for the checksums.
-    loose = running_total(placed.where("slot is null").withColumn("all", F.lit(0)), ["all"], F.col("rest"), "rid", buckets, "from")
+    # Rests that are left over, end to end; those that a window's end cuts need their ids again for the checksums.
+    loose = running_total(placed.where("slot.sequence is null").withColumn("all", F.lit(0)), ["all"], F.col("rest"), "rid", buckets, "from")
     windows = F.sequence(F.floor(F.col("from") / window), F.floor((F.col("from") + F.col("rest") - 1) / window))
     loose = loose.select("*", F.explode(windows).alias("window"))
     first = F.greatest(F.col("from"), F.col("window") * window)

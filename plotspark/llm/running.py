@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def running_total(df: DataFrame, group: list[str], weight: Column, order: str, buckets: int, name: str) -> DataFrame:
+def running_total(df: DataFrame, group: list[str], weight: Column, order: str, buckets: int | Column, name: str) -> DataFrame:
     """``df`` with ``name``, the sum of ``weight`` over the rows of the group that come before.
 
-    ``order`` is a column of different numbers; its digest deals each group's rows over ``buckets`` parts, which are summed first, so a
+    ``order`` is a column of different numbers; its digest deals each group's rows over ``buckets`` parts (a number, or a column that is one number in a group), which are summed first, so a
     window holds a group's part and the windows over the parts hold ``buckets`` numbers. The order is by part, then by ``order``.
     """
-    rows = df.withColumns({"__part": F.pmod(F.xxhash64(order), F.lit(buckets)).cast("int"), "__weight": weight.cast("bigint")})
+    many = buckets if isinstance(buckets, Column) else F.lit(buckets)
+    rows = df.withColumns({"__part": F.pmod(F.xxhash64(order), many).cast("int"), "__weight": weight.cast("bigint")})
     sums = rows.groupBy(*group, "__part").agg(F.sum("__weight").alias("__sum"))
     earlier = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*group, "__part", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__start"))

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from conftest import SF
-from plotspark.llm import decontaminate, near_copies, packing, secret_scan, simhash, token_files
+from plotspark.llm import decontaminate, near_copies, packing, secret_scan, simhash, token_files, window_plan
 from plotspark.llm.components import components
 from plotspark.llm.tokens import Encoder, encoder
 
@@ -437,6 +437,49 @@ def test_one_length_holds_most_rows(spark):
     assert check_pieces(packing.pack(docs, WORDS, 2).collect(), ids) < 0.05
 
 
+def _checked_layout(histogram, window=4096, units=512):
+    """The layout, after a look at every rank and every sequence of it."""
+    found = window_plan.layout(histogram, window, units)
+    filled, last = Counter(), {}
+    for length, first, end, sequence, place in found.rows.tolist():
+        assert last.get(length, 0) <= first < end <= histogram[length]
+        last[length] = end
+        for k in range(sequence, sequence + end - first):
+            filled[k] += length
+    assert sorted(filled) == list(range(found.sequences)) and all(n <= window for n in filled.values())
+    taken = sum(r[2] - r[1] for r in found.rows.tolist())
+    assert found.by_squares + found.by_best_fit == taken == sum(histogram.values()) - found.left_over
+    return found, (1 - sum(filled.values()) / (window * found.sequences) if filled else 0.0)
+
+
+def test_layouts_of_odd_histograms():
+    rng = np.random.default_rng(4)
+    for histogram in ({}, {1: 1}, {4095: 7}, {1: 100_000}, {2048: 5}, {3000: 10, 1096: 4}, {2500: 900, 3: 1}, {int(k): int(n) for k, n in zip(rng.integers(1, 4096, 300), rng.integers(1, 40, 300), strict=True)}):
+        found, padding = _checked_layout(histogram)
+        assert padding <= 0.01
+    assert _checked_layout({4095: 7})[0].left_over == 0 and _checked_layout({2500: 900})[0].left_over == 900
+    assert _checked_layout({7: 40, 9: 3, 40: 11}, 64, 16)[0].sequences > 0
+
+
+def test_least_squares_take_nearly_all_documents(documents):
+    tokenizer = Tokenizer.from_file(WORDS)
+    sizes = Counter((len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1) % 4096 for r in documents.collect())
+    del sizes[0]
+    shares = []
+    for times in (1, 30):
+        found, padding = _checked_layout({k: n * times for k, n in sizes.items()})
+        shares.append(found.by_squares / (times * sum(sizes.values())))
+        assert padding < 0.005
+    assert min(shares) > 0.9
+
+
+def test_left_over_rests_are_cut(spark):
+    docs = spark.createDataFrame([(i, "word " * 2499) for i in range(40)], "doc_id bigint, text string")
+    rows = packing.pack(docs, WORDS, 2).collect()
+    assert sum(r.length for r in rows) == 40 * rows[0].doc_tokens and len(rows) > 40
+    assert len({r.sequence_id for r in rows}) == -(-40 * rows[0].doc_tokens // 4096)
+
+
 # pipeline
 
 def test_pipeline_stages(spark, documents):
