@@ -6,15 +6,18 @@ repetition uses a new walk and a new sample of its steps as the hash key. How ma
 measured on the items themselves, with as many random edits as the limit allows.
 
 Windows have the size of an item. A window that shares too few word pairs with the items of that length to lie within the edit limit
-(n - 1 - 2 d of n - 1 pairs) is not embedded; this bound is exact and drops no match. Every window and item whose keys meet are compared by
-exact edit distance, so what is reported is always right; only recall is a matter of the repetitions.
+(n - 1 - 2 d of n - 1 pairs) is not embedded; this bound is exact and drops no match. Where the edit limit leaves no such number of pairs, every
+window is embedded. Every window and item whose keys meet are compared by exact edit distance, so what is reported is always right; only recall
+is a matter of the repetitions. Where ``MOST_REPETITIONS`` do not reach the target recall, every window within the bound is compared with every
+item of its length instead, which misses nothing.
 
 Documents are only mapped, never shuffled. Benchmark items are read in blocks of bounded size, each against all documents.
 
 Defined results
 * Words are runs of Unicode letters and digits, with their marks, in lower case; of scripts written without spaces every character is a word.
   Punctuation, symbols, every kind of space and case make no difference; invisible joiners and soft hyphens are left out.
-* An item matches where a run of the document is within ``(1 - similarity) * words`` word edits of it; items of under 5 words must match exactly.
+* An item matches where a run of the document is within ``(1 - similarity) * words`` word edits of it; at 0.8 items of under 5 words must match
+  exactly. A similarity that is not above 0 and at most 1 is an error.
 * Null and empty texts and items have no words and match nothing. Texts and items are read whole, at any length.
 * Of several places in one document the nearest counts, then the first. Equal items are reported each. Repeated rows are each judged.
 * Empty tables give no match. Only the text columns are read; other columns, whatever their names, are carried along.
@@ -127,7 +130,7 @@ class _Walks:
 
 @dataclass
 class _Length:
-    """The items of one length, the walks of every repetition and the items' sorted keys under each."""
+    """The items of one length, the walks of every repetition and the items' sorted keys under each; without walks all windows are compared."""
 
     words: int
     edits: int
@@ -141,6 +144,8 @@ class Matcher:
     """A block of benchmark items, ready to be found in texts."""
 
     def __init__(self, item_ids: list, texts: list[str], similarity: float = SIMILARITY, recall: float = RECALL, samples: int = SAMPLES):
+        if not 0 < similarity <= 1:
+            raise ValueError(f"similarity {similarity} is not above 0 and at most 1")
         cut = [(i, words_of(t)) for i, t in zip(item_ids, texts, strict=True)]
         cut = [(i, w) for i, w in cut if w]
         self.item_ids = [i for i, _ in cut]
@@ -205,17 +210,21 @@ class Matcher:
             met = (around == own[:, :, None]).any(axis=2).sum(axis=0)
             # A trial's chance of never meeting, from its own rate (one that never met counts as half of a meeting).
             missed = np.power(1 - np.maximum(met, 0.5) / repetitions, repetitions)
-            if not length.edits or repetitions >= MOST_REPETITIONS or missed.mean() <= 1 - self.recall and (met > 0).mean() >= self.recall:
+            if not length.edits or missed.mean() <= 1 - self.recall and (met > 0).mean() >= self.recall:
                 break
+            if repetitions >= MOST_REPETITIONS:
+                return
             repetitions += ROUND
         length.walks = walks
         for keys in walks.keys(layout, at, self.pad):
             order = np.argsort(keys, kind="stable")
             length.tables.append((keys[order], order))
 
-    def _starts(self, hits: np.ndarray, bit: int, masks: np.ndarray, length: _Length) -> np.ndarray:
+    def _starts(self, size: int, hits: np.ndarray, bit: int, masks: np.ndarray, length: _Length) -> np.ndarray:
         """Every start at which a run within the edit limit of an item of this length can begin."""
         need, reach = length.words - 1 - 2 * length.edits, length.words + length.edits - 1
+        if need < 1:
+            return np.arange(size, dtype=np.int64)
         own = hits[(masks >> np.uint64(bit % 64)) & np.uint64(1) == 1]
         if len(own) < need:
             return np.zeros(0, dtype=np.int64)
@@ -243,9 +252,9 @@ class Matcher:
         masks = masks[hits]
         found: list[dict] = [{} for _ in texts]
         for bit, length in enumerate(self.lengths):
-            starts = self._single(ids, length) if length.words == 1 else self._starts(hits, bit, masks, length)
+            starts = self._single(ids, length) if length.words == 1 else self._starts(len(ids), hits, bit, masks, length)
             starts = starts[inside[starts]]
-            block = max(1, WALKS_AT_ONCE // len(length.tables))
+            block = max(1, WALKS_AT_ONCE // (len(length.tables) or len(length.items)))
             for a in range(0, len(starts), block):
                 self._verify(ids, begins, starts[a : a + block], length, found)
         return [[d[k] for k in sorted(d)] for d in found]
@@ -255,7 +264,9 @@ class Matcher:
         return np.flatnonzero(np.isin(ids, length.items[:, 0]))
 
     def _meet(self, ids: np.ndarray, starts: np.ndarray, length: _Length) -> np.ndarray:
-        """Distinct (start, item) that share a key in some repetition, packed into one number."""
+        """Distinct (start, item) that share a key in some repetition (or all of them without walks), packed into one number."""
+        if length.walks is None:
+            return (starts[:, None] * len(length.items) + np.arange(len(length.items))).ravel()
         met = []
         for (keys, order), own in zip(length.tables, length.walks.keys(ids, starts, self.pad), strict=True):
             low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")

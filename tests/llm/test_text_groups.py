@@ -223,6 +223,31 @@ def test_items_are_found_in_other_typography_and_scripts(spark):
     assert decontaminate.words_of("a\u0301b \u0928\u092e\u0938\u094d\u0924\u0947 x_y 3\u00d74") == ["a\u0301b".encode(), "\u0928\u092e\u0938\u094d\u0924\u0947".encode(), b"x", b"y", b"3", b"4"]
 
 
+def test_items_are_found_at_low_similarity_and_without_repetitions(monkeypatch):
+    rng = random.Random(21)
+    word = lambda: rng.choice("abcdefghijklmnop") + rng.choice("qrstuvwxyz")
+    items = [[word() for _ in range(n)] for n in (2, 5, 9, 9, 16, 16, 24)]
+    for most, similarities in ((decontaminate.MOST_REPETITIONS, (0.5,)), (4, (0.8, 0.6, 0.5, 0.4, 0.3))):
+        monkeypatch.setattr(decontaminate, "MOST_REPETITIONS", most)
+        for similarity in similarities:
+            texts = []
+            for k in range(28):
+                planted = list(items[k % 7])
+                for _ in range(rng.randrange(decontaminate.most_edits(len(planted), similarity) + 2)):
+                    planted[rng.randrange(len(planted))] = "changed"
+                texts.append([*(word() for _ in range(rng.randrange(4))), *planted, *(word() for _ in range(rng.randrange(20)))])
+            matcher = decontaminate.Matcher(list(range(7)), [" ".join(i) for i in items], similarity=similarity)
+            found = matcher.find([" ".join(t) for t in texts])
+            got = {(k, f["item_id"]): f["distance"] for k, own in enumerate(found) for f in own}
+            want = {(k, i): n for k, t in enumerate(texts) for i, item in enumerate(items) if (n := least_edits(item, t)) <= decontaminate.most_edits(len(item), similarity)}
+            assert all(want.get(k) is not None for k in got) and len(want) > 10
+            exact = {i for n in matcher.lengths if n.walks is None or not n.edits for i in n.rows.tolist()}
+            assert {k: n for k, n in want.items() if k[1] in exact} == {k: n for k, n in got.items() if k[1] in exact}
+            assert len(got) >= 0.9 * len(want) and (most > 4 or similarity > 0.6 or len(exact) >= 5)
+    with pytest.raises(ValueError):
+        decontaminate.Matcher([1], ["a b"], similarity=0.0)
+
+
 # secrets
 
 def test_secrets_are_found_and_cut(spark):
