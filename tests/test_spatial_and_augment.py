@@ -215,6 +215,12 @@ def test_sampling_sizes(cloud):
     assert run(pts, "dropout", 1.0).count() == 1
 
 
+def test_draws_of_a_bootstrap_are_not_broadcast(cloud):
+    plan = run(field(cloud), "bootstrap", 1.0)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "_no#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def test_runs_do_not_depend_on_partitioning(cloud):
     cfg = ag.AugmentConfig(list(ag.AUGMENTATIONS), 1, 4, copies=3, seed=2, ranges={"bootstrap": (0.5, 0.9)})
     columns = ["copy", "point_id", "x", "y", "z", "height"]
