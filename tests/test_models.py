@@ -136,6 +136,13 @@ def test_neighbours_of_any_shape(spark, monkeypatch, limit, dims):
         assert [(a, b) for a, b in zip(part.sort_values("rank")["dist"], part.sort_values("rank")["neighbour"])] == want
 
 
+def test_a_query_travels_once_to_a_slab(spark):
+    """In many dimensions nearly every cell is visited; a query's row must not be written once per cell."""
+    points = np.random.default_rng(5).normal(0, 1, (900, 24))
+    _, asked = knn._searched(wide_rows(spark, points), ["cycle"], 1, 24, 7)
+    assert sum((a[1] if isinstance(a, tuple) else a).count() for a in asked) <= 2 * len(points)
+
+
 def test_compared_pairs_grow_slowly(spark):
     rng = np.random.default_rng(3)
     sizes = (1000, 4000)
