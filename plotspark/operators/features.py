@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from plotspark.config import FeatureConfig
 from plotspark.functions.aggregates import slope
 from plotspark.functions.scalars import balance_index
+from plotspark.operators.groups import map_groups
 from plotspark.operators.ranking import METRIC, group_quantiles, salted_join
 
 c = F.col
@@ -398,6 +399,6 @@ def grouped_feature(points: DataFrame, key: str, summarise, merge, finish, cfg:
         return pd.DataFrame({**row, key: [float(finish(merge(list(pdf["summary"]))))]})
 
     summary_schema = f"{fields}, `_chunk` bigint, summary array<double>"
-    level = pts.groupBy(*by, "_chunk").applyInPandas(first_level, summary_schema)
-    level = level.groupBy(*by, F.floor(c("_chunk") / fan_in).alias("_part")).applyInPandas(next_level, summary_schema)
-    return level.groupBy(*by).applyInPandas(last_level, f"{fields}, `{key}` double")
+    level = map_groups(pts, [*by, "_chunk"], first_level, summary_schema)
+    level = map_groups(level.withColumn("_part", F.floor(c("_chunk") / fan_in)), [*by, "_part"], next_level, summary_schema)
+    return map_groups(level, by, last_level, f"{fields}, `{key}` double")

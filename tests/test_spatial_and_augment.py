@@ -1,11 +1,13 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from plotspark.operators import augment as ag
 from plotspark.operators import spatial as sp
+from plotspark.operators.groups import together, whole_groups
 from plotspark.sources.masks import features_from_geojson, list_mask_fields, load_masks, masks_from_vertices, read_geojson
 
 c = F.col
@@ -41,6 +43,40 @@ def test_clip_with_masks_of_very_different_size(spark, cloud):
     assert sp.points_in_masks(pts, polygon(spark, shapes).limit(0)).count() == 0
 
 
+def test_points_stay_where_they_are_for_few_masks(spark, cloud, monkeypatch):
+    points = cloud([{"x": x / 10, "y": 0.5} for x in range(-5, 30)])
+    masks = polygon(spark, {1: [[(0, 0), (1, 0), (1, 1), (0, 1)]], 2: [[(-100, -100), (100, -100), (100, 100), (-100, 100)]]})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = sp.points_in_masks(points, masks)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        monkeypatch.setattr(sp, "BROADCAST_BYTES", 0)
+        cut = sp.points_in_masks(points, masks)
+        rows = lambda df: sorted((r.label, r.point_id) for r in df.collect())
+        assert rows(found) == rows(cut) and len(rows(cut)) == 9 + 35
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_groups_over_batches_are_whole():
+    rows = pd.DataFrame({"a": ["x", "x", None, None, "y", "y", "y", "z"], "b": [1, 1, 1, 1, 1, 2, 2, 2], "v": range(8)})
+    for cut in range(1, 9):
+        batches = [rows.iloc[i : i + cut] for i in range(0, 8, cut)]
+        assert [p["v"].tolist() for p in whole_groups(iter(batches), ["a", "b"])] == [[0, 1], [2, 3], [4], [5, 6], [7]]
+
+
+def test_small_frames_travel_together():
+    got = list(together(pd.DataFrame({"v": range(i, i + 30)}) for i in range(0, 24_000, 30)))
+    assert len(got) == 3 and pd.concat(got)["v"].tolist() == list(range(24_000))
+
+
+def test_small_groups_keep_their_points():
+    rows = pd.DataFrame({"plot": ["a", "b", "a", None, "a", "a", "a"], "x": [0.0, 5.0, 2.0, 7.0, 2.0, 0.0, 1.0], "y": [0.0, 5.0, 0.0, 7.0, 2.0, 2.0, 1.0]})
+    got = sp._group_hulls(rows, ["plot"])
+    assert sorted(zip(got["plot"].fillna("?"), got["x"], got["y"])) == [("?", 7, 7), ("a", 0, 0), ("a", 0, 2), ("a", 2, 0), ("a", 2, 2), ("b", 5, 5)]
+
+
 def test_holes_and_concave_shapes(spark, cloud):
     hole = [(4, 4), (6, 4), (6, 6), (4, 6)]
     masks = polygon(spark, {1: [SQUARE, hole], 2: [[(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)]]})
