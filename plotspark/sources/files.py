@@ -15,6 +15,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plotspark.operators.groups import together
+
 c = F.col
 
 SPLIT_BYTES = 64 * 1024 * 1024
@@ -74,10 +76,8 @@ def scan(splits: DataFrame, count: Callable[[str, int, int], int], read: Callabl
             yield pdf.assign(rows=rows, reason=reasons)
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                for frame in read(r.path, int(r.start), int(r.stop), int(r.before)):
-                    yield frame.assign(path=r.path)[["path", *names]]
+        ranges = (r for pdf in batches for r in pdf.itertuples(index=False))
+        yield from together(frame.assign(path=r.path)[["path", *names]] for r in ranges for frame in read(r.path, int(r.start), int(r.stop), int(r.before)))
 
     checked = splits.repartition("path", "split").mapInPandas(check, "path string, split bigint, start bigint, stop bigint, rows bigint, reason string")
     checked = checked.persist(StorageLevel.MEMORY_AND_DISK)  # one row per range

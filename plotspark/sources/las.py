@@ -11,6 +11,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotspark.operators.groups import map_groups
 from plotspark.operators.ranking import row_spread, salted_join
 from plotspark.sources.files import SPLIT_BYTES, RangeFile, file_splits, scan
 
@@ -200,6 +201,6 @@ def write_las(points: DataFrame, path: str, dims: list[str] | None = None, max_p
             out.write(_file_bytes(pdf, dims, colour))
         return pd.DataFrame({"filename": [name], "path": [target], "points": [len(pdf)]})
 
-    written = rows.groupBy("filename", "part").applyInPandas(write, "filename string, path string, points bigint")
+    written = map_groups(rows, ["filename", "part"], write, "filename string, path string, points bigint")
     written.write.mode("overwrite").parquet(f"{path}/_written")
     return points.sparkSession.read.parquet(f"{path}/_written")
