@@ -15,6 +15,8 @@ from plotspark.session import checkpointed
 
 c = F.col
 
+#: Masks of up to so many bytes are sent to the points.
+BROADCAST_BYTES = 64 * 1024 * 1024
 SMALLEST_CELL = 1e-3  # metres; masks without an extent are gridded as if they had this one
 
 # ----------------------------------------------------------------------------- point in polygon
@@ -47,9 +49,9 @@ def points_in_masks(points: DataFrame, masks: DataFrame, label: str = "label") -
     """Points with the label of every mask that strictly contains them.
 
     Every mask lies on a grid whose cells, a power of two wide, are at least as large as the mask, so it meets four cells at most, however
-    different the masks' sizes are. A point takes its cell on each of the grids in use, and the join is an equi-join on grid and cell; Spark
-    broadcasts the masks if they are small and splits crowded cells if they are not. The exact test runs only on points inside a mask's
-    bounding box.
+    different the masks' sizes are. A point takes its cell on each of the grids in use, and the join is an equi-join on grid and cell. The masks'
+    edges are counted: few of them are broadcast, so that no point moves, and beyond that crowded cells are cut by their number of points. The
+    exact test runs only on points inside a mask's bounding box.
     """
     extent = F.greatest(c("maxx") - c("minx"), c("maxy") - c("miny"), F.lit(SMALLEST_CELL))
     graded = masks.withColumn("_grid", F.ceil(F.log2(extent)).cast("int"))
@@ -65,7 +67,12 @@ def points_in_masks(points: DataFrame, masks: DataFrame, label: str = "label") -
     )
     placed = points.withColumn("_grid", F.explode(F.array(*[F.lit(g) for g in grids]).cast("array<int>")))
     placed = placed.withColumn("_cx", F.floor(c("x") / width)).withColumn("_cy", F.floor(c("y") / width))
-    found = placed.join(cells, ["_grid", "_cx", "_cy"])
+    on = ["_grid", "_cx", "_cy"]
+    held = cells.agg(F.sum(F.size("_edges") * 32 + 64)).first()[0] or 0
+    if held <= BROADCAST_BYTES:
+        found = placed.join(F.broadcast(cells), on)
+    else:
+        found = salted_join(placed, cells.join(placed.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), on), on, "_n")
     found = found.where(c("x").between(c("minx"), c("maxx")) & c("y").between(c("miny"), c("maxy")))
     found = found.where(strictly_inside(c("x"), c("y"), c("_edges")))
     return found.drop("_grid", "_cx", "_cy", "_edges", "minx", "maxx", "miny", "maxy")
