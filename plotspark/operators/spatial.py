@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotspark.operators.groups import map_groups
 from plotspark.operators.ranking import METRIC, group_quantiles, ordered_rank, salted_join
 from plotspark.session import checkpointed
 
@@ -185,8 +186,11 @@ def border_points(points: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _group_hulls(pdf: pd.DataFrame, by: list[str]) -> pd.DataFrame:
-    """The rows of every group that are vertices of its hull."""
-    pdf = pdf.reset_index(drop=True)
+    """The rows of every group that are vertices of its hull; groups of up to three rows stay as they are."""
+    rows = pdf.groupby(by, sort=False, dropna=False)["x"].transform("size").to_numpy()
+    few, pdf = pdf[rows <= 3][[*by, "x", "y"]], pdf[rows > 3].reset_index(drop=True)
+    if pdf.empty:
+        return few
     xy = pdf[["x", "y"]].to_numpy()
     parts = []
     for key, rows in pdf.groupby(by, sort=False, dropna=False).indices.items():
@@ -195,7 +199,8 @@ def _group_hulls(pdf: pd.DataFrame, by: list[str]) -> pd.DataFrame:
     lengths = [len(hull) for _, hull in parts]
     out = {name: np.repeat(np.array([key[i] for key, _ in parts], dtype=object), lengths) for i, name in enumerate(by)}
     hulls = np.vstack([hull for _, hull in parts])
-    return pd.DataFrame({**out, "x": hulls[:, 0], "y": hulls[:, 1]})
+    found = pd.DataFrame({**out, "x": hulls[:, 0], "y": hulls[:, 1]})
+    return found if few.empty else pd.concat([few, found], ignore_index=True)
 
 
 def convex_hulls(points: DataFrame, by: Sequence[str] = ("plot",), partitions_per_part: int = 256) -> DataFrame:
@@ -231,8 +236,8 @@ def convex_hulls(points: DataFrame, by: Sequence[str] = ("plot",), partitions_pe
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by}, "hull": [corners]})
 
     partial = keyed.mapInPandas(partition_hulls, f"{schema}, `_part` int, x double, y double")
-    partial = partial.groupBy(*by, "_part").applyInPandas(part_hull, f"{schema}, x double, y double")
-    return partial.groupBy(*by).applyInPandas(whole_hull, f"{schema}, hull array<struct<x:double,y:double>>")
+    partial = map_groups(partial, [*by, "_part"], part_hull, f"{schema}, x double, y double")
+    return map_groups(partial, by, whole_hull, f"{schema}, hull array<struct<x:double,y:double>>")
 
 
 def min_area_box(hull: np.ndarray) -> np.ndarray | None:
