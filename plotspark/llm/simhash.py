@@ -50,7 +50,11 @@ def fingerprint_of(text: str | None, size: int = SHINGLE_WORDS) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
-    hashes = np.fromiter(_hashes(words, size), dtype="<u8", count=max(1, len(words) - size + 1))
+    return print_of(np.fromiter(_hashes(words, size), dtype="<u8", count=max(1, len(words) - size + 1)))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The signed fingerprint of a text's shingle hashes, repeats included."""
     ones = np.zeros(FINGERPRINT_BITS, dtype=np.int64)
     for at in range(0, len(hashes), HASHES_AT_ONCE):
         part = hashes[at : at + HASHES_AT_ONCE].view(np.uint8).reshape(-1, 8)

@@ -148,6 +148,15 @@ def test_near_copies_at_every_edit_level(spark, documents):
     assert {r.doc_id for r in staged.collect()} == got
 
 
+def test_near_copies_ask_the_fingerprints(spark):
+    """Contents whose SimHash fingerprints are equal or two bits apart are candidates, whatever their bands."""
+    contents = spark.createDataFrame([(1, 5), (2, 5), (3, 5 ^ 1 << 40 ^ 1 << 3), (4, 5 ^ 0b111 << 20)], "fp bigint, print bigint")
+    assert {(r.a, r.b) for r in near_copies.print_pairs(contents).collect()} == {(1, 2), (1, 3)}
+    text = " ".join(f"w{i % 97}" for i in range(300))
+    digest, fingerprint, bands = near_copies.sketch_of(text)
+    assert fingerprint == simhash.fingerprint_of(text, near_copies.SHINGLE_WORDS) and len(bands) == near_copies.BANDS
+
+
 def test_near_copies_of_odd_rows_and_crowds(spark, odd_docs):
     kept = near_copies.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns and near_copies.keep_one(odd_docs.limit(0)).count() == 0
