@@ -466,3 +466,32 @@ def test_support_vectors_settle_at_the_least_objective(spark, cost, epsilon, rec
             if goal(other) < best:
                 best, at = goal(other), other
         assert goal(w) <= best * 1.003
+
+
+def test_nodes_are_cut_alike_by_bins_and_by_order(monkeypatch):
+    rng = np.random.default_rng(8)
+    bins, y, weight = rng.integers(0, 20, (7, 900)).astype(np.uint8), rng.normal(0, 1, 900), rng.integers(1, 4, 900).astype(float)
+    for model, params in (("random_forest", {"min_samples_leaf": 2}), ("hist_gbt", {"l2_regularization": 0.5})):
+        how = trees.law(model, params, 0)
+        grown = []
+        for binned, cells in ((1, 32768), (1 << 30, 1), (60, 5000)):
+            monkeypatch.setattr(trees, "BINNED_ROWS", binned)
+            monkeypatch.setattr(trees, "ORDERED_CELLS", cells)
+            nodes, leaf = trees.grow(bins, y, weight, how)
+            grown.append((nodes.feature, nodes.cut, leaf.tolist()))
+            ends, at = np.unique(leaf, return_inverse=True)
+            assert np.allclose(np.bincount(at, weight * y) / (np.bincount(at, weight) + how.l2), np.array(nodes.value)[ends])
+        assert grown[0] == grown[1] == grown[2] and len(grown[0][0]) > 50
+
+
+def test_a_large_fold_of_boosting_does_not_route_through_all_rounds(spark, monkeypatch):
+    rows, _, _ = tree_rows(spark, 120, 2)
+    params = {"max_iter": 5, "max_depth": 2, "min_samples_leaf": 5}
+    here = trees.predict_trees(rows, trees.fit_trees(rows, "hist_gbt", params, seed=3)).toPandas()
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 40)
+    monkeypatch.setattr(trees, "ROUNDS_A_WRITE", 2)
+    known, seen = trees._histograms, []
+    monkeypatch.setattr(trees, "_histograms", lambda rows, size, wanted, state, how: (seen.append(max(len(s[0]) for s in state.values())), known(rows, size, wanted, state, how))[1])
+    there = trees.predict_trees(rows, trees.fit_trees(rows, "hist_gbt", params, seed=3)).toPandas()
+    a, b = (d.sort_values(["cycle", "filename"])["predicted"].to_numpy() for d in (here, there))
+    assert np.allclose(a, b) and max(seen) == 1
