@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -39,8 +40,13 @@ def quoted(text: str) -> str:
 
 
 def _group_or_null(text: Column, pattern: str) -> Column:
-    # regexp_extract gives '' without a match
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    # the first of all matches, since nullif of regexp_extract spells the text out twice, and nested ones double at every level
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(0))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once per row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def plot_number(name: Column) -> Column:
@@ -61,15 +67,17 @@ def aug_level(name: Column) -> Column:
 def label_number(text: Column, fmt: LabelFormat | None = None) -> Column:
     """The number spelled in ``fmt`` anywhere in the text, or the whole text as a bare integer."""
     fmt = fmt or LabelFormat()
-    text = text.cast("string")
-    return F.coalesce(_group_or_null(text, fmt.pattern), _group_or_null(text, BARE_NUMBER_PATTERN)).try_cast("int")
+    numbers = lambda t: F.coalesce(_group_or_null(t, fmt.pattern), _group_or_null(t, BARE_NUMBER_PATTERN))
+    return _once(text.cast("string"), numbers).try_cast("int")
 
 
 def plot_key(text: Column, fmt: KeyFormat) -> Column:
     """``struct(col, row)``; null as a whole when the column number is missing."""
-    col = label_number(text, fmt.col)
-    row = label_number(text, fmt.row) if fmt.row is not None else F.lit(None).cast("int")
-    return F.when(col.isNotNull(), F.struct(col.alias("col"), row.alias("row")))
+    def pair(t: Column) -> Column:
+        row = label_number(t, fmt.row) if fmt.row is not None else F.lit(None).cast("int")
+        return F.struct(label_number(t, fmt.col).alias("col"), row.alias("row"))
+
+    return _once(_once(text, pair), lambda key: F.when(key["col"].isNotNull(), key))
 
 
 def packed_key(col: Column, row: Column, stride: Column) -> Column:

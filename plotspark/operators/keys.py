@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +58,11 @@ class ImportPlan:
 
 
 def plan_import(files: DataFrame, name: str, fmt: naming.KeyFormat) -> ImportPlan:
-    """Numbers derived from the file names alone, so that every import of the same files agrees."""
-    keyed = read_keys(files, naming.stem(c(name)), fmt)
+    """Numbers derived from the file names alone, so that every import of the same files agrees.
+
+    Names are read once: the stride, the entries and their claims all need the keys.
+    """
+    keyed = read_keys(files, naming.stem(c(name)), fmt).persist(StorageLevel.MEMORY_AND_DISK)
     entries = keyed.where(c("col").isNotNull())
     stride = key_stride(entries)
     number = naming.packed_key(c("col").cast("bigint"), c("row").cast("bigint"), stride.scalar())

@@ -61,6 +61,14 @@ def test_import_plan(spark):
     assert {r["number"] for r in single.entries.collect()} == {3}
 
 
+def test_names_are_read_once(spark):
+    files = spark.createDataFrame([(0, "1-12-1-b.pcd"), (1, "2-12-1-b.pcd")], "file_no int, name string")
+    key = files.select(naming.plot_key(naming.stem(c("name")), FMT).alias("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert key.count("regexp_replace") <= 2 and key.count("regexp_extract") <= 4  # two patterns for each of two numbers
+    assert "InMemoryRelation" in keys.plan_import(files, "name", FMT).duplicates._jdf.queryExecution().withCachedData().toString()
+    assert [r["col"] for r in keys.plan_import(files, "name", FMT).entries.orderBy("file_no").collect()] == [12, 12]
+
+
 SHEET = [(429, 1, "T", 74.0, 0), (430, 2, "T", 78.0, 1), (431, 3, "M", 61.0, 2)]
 
 
