@@ -251,6 +251,18 @@ def test_sampling_sizes(cloud):
     assert run(pts, "dropout", 1.0).count() == 1
 
 
+def test_dropout_ranks_small_clouds_in_one_move(cloud, monkeypatch):
+    pts = field(cloud, 400).unionByName(field(cloud, 30).withColumn("filename", F.lit("plot(2).laz")))
+    plan = run(pts, "dropout", 0.3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rank(" in plan and "_p_dropout#" in plan
+    assert not [line for line in plan.splitlines() if "Filter" in line and "isnull(_p_dropout" in line]  # no pass for copies that cannot be
+    found = []
+    for whole in (1_000, 100, 1):  # all small, one of each, all large
+        monkeypatch.setattr(ag, "WHOLE_ROWS", whole)
+        found.append(sorted((r["filename"], r["point_id"]) for r in run(pts, "dropout", 0.3).collect()))
+    assert len(found[0]) == 280 + 21 and found[0] == found[1] == found[2]
+
+
 def test_draws_of_a_bootstrap_are_not_broadcast(cloud):
     plan = run(field(cloud), "bootstrap", 1.0)._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line and "_no#" in line]
