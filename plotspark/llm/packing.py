@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plotspark.llm.running import running_total
-from plotspark.llm.tokens import encoder
+from plotspark.llm.tokens import encoder, forget
 from plotspark.llm.window_plan import DEPTH, Layout, combinations, layout, least_squares, plan
 from plotspark.session import scratch_path
 
@@ -69,6 +69,7 @@ def _crc32_of(ids: str, start: str, length: str, id_bytes: int) -> Column:
 
     @F.pandas_udf("bigint")
     def run(packed: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.Series:
+        forget()
         cut = (np.frombuffer(x, dtype=f"<u{id_bytes}", count=n, offset=a * id_bytes) for x, a, n in zip(packed, starts, lengths, strict=True))
         return pd.Series([zlib.crc32(x.astype("<u4").tobytes()) for x in cut], dtype="int64")
 
@@ -81,6 +82,8 @@ def _slot(table: Layout, length: str, rank: str) -> Column:
 
     @F.pandas_udf("struct<sequence: bigint, place: bigint>")
     def find(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
+        # All ids are written by now, and Spark deals these tasks to all idle workers in turn.
+        forget()
         key = (lengths.to_numpy() << RANK_BITS) + ranks.to_numpy()
         at = np.searchsorted(starts, key, side="right") - 1
         if not len(starts):

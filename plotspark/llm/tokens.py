@@ -2,7 +2,7 @@
 
 A text is cut only where the tokenizer's own pre-tokenizer always cuts, so the ids are those of the whole text; texts in which that is not
 certain, or that hold a special token's text, are encoded whole. Words of Latin letters go straight to the tokenizer's merge model, all else through the whole tokenizer. The ids
-of the pieces are kept in a bounded table in every Python worker, which outlives its tasks.
+of the pieces are kept in a bounded table in every Python worker, which outlives its tasks until it is let go (``forget``).
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
-from plotspark.llm.workers import kept
+from plotspark.llm.workers import dropped, kept
 
-#: Pieces of at most so many characters are kept, so the table's bytes are bounded too, in two generations of so many.
-SHORT, PIECES_KEPT = 64, 350_000
+#: Pieces of at most so many characters are kept, so the table's bytes are bounded too, in two generations of so many. From 349,526 entries on
+#: a dict takes twice the room.
+SHORT, PIECES_KEPT = 64, 349_000
 
 _DOUBLE_SPACE = re.compile(r"\s\s")
 _SEPARATOR_CONTROLS = re.compile("[\x1c-\x1f]")
@@ -124,3 +125,8 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """This worker's encoder of a tokenizer file; its ids are the library's, special tokens included."""
     return kept("tokens", path, lambda file: Encoder(file, special=True))
+
+
+def forget() -> None:
+    """Give this worker's encoders and their tables back, once a job has all its ids: an idle worker would hold them through later jobs."""
+    dropped("tokens")

@@ -6,6 +6,8 @@ import sys
 from collections.abc import Callable
 from types import ModuleType
 
+import pyarrow as pa
+
 
 def kept(kind: str, path: str, make: Callable):
     """``make(path)``, made once per worker: the package's own globals travel with every task and end with it."""
@@ -14,3 +16,13 @@ def kept(kind: str, path: str, make: Callable):
     if key not in held:
         held[key] = make(path)
     return held[key]
+
+
+def dropped(kind: str) -> None:
+    """Let go of everything of a kind that this worker keeps; ``kept`` makes it again. Arrow gives back what it holds in reserve, too."""
+    held = sys.modules["plotspark_worker"].__dict__ if "plotspark_worker" in sys.modules else {}
+    old = [key for key in held if key.startswith(f"{kind} ")]
+    for key in old:
+        del held[key]
+    if old:
+        pa.default_memory_pool().release_unused()

@@ -2,11 +2,14 @@
 
 import random
 import re
+import sys
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -14,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from conftest import SF
-from plotspark.llm import decontaminate, near_copies, packing, secret_scan, simhash, token_files, window_plan
+from plotspark.llm import decontaminate, near_copies, packing, secret_scan, simhash, token_files, tokens, window_plan, workers
 from plotspark.llm.components import components
 from plotspark.llm.tokens import Encoder, encoder
 
@@ -355,6 +358,37 @@ def test_ids_of_words_that_end_in_combining_marks():
             assert np.frombuffer(ids, own.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_token_tables_are_let_go():
+    own = encoder(WORDS)
+    assert encoder(WORDS) is own
+    want, gone = own.encode(["a word or two"]), weakref.ref(own)
+    workers.kept("other", "x", str)
+    del own
+    tokens.forget()
+    assert gone() is None and "other x" in sys.modules["plotspark_worker"].__dict__
+    assert encoder(WORDS).encode(["a word or two"]) == want
+
+
+def test_a_full_generation_takes_no_double_room():
+    table = {}
+    for i in range(tokens.PIECES_KEPT + 1):
+        table[f" {i}"] = b""
+    assert sys.getsizeof(table) < 12_000_000
+
+
+def test_no_worker_holds_token_tables_after_packing(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of"), F.col("id")).alias("text")).repartition(64)
+    assert packing.pack(docs, WORDS, 2).agg(F.sum("length")).first()[0] > 0
+    docs.select(near_copies.sketch(F.col("text")).alias("sketch")).write.format("noop").mode("overwrite").save()
+
+    def held(batches):
+        for _ in batches:
+            names = vars(sys.modules["plotspark_worker"]) if "plotspark_worker" in sys.modules else {}
+            yield pa.RecordBatch.from_pydict({"n": [sum(k.startswith("tokens ") for k in names)]})
+
+    assert [r.n for r in docs.select("doc_id").mapInArrow(held, "n bigint").distinct().collect()] == [0]
+
+
 def test_ids_of_texts_with_special_tokens(spark):
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y <|endoftext|>\n\nz", "a <|ENDOFTEXT|> b <| endoftext |>", "caf\u00e9 <|endoftext|>.", "plain words"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
