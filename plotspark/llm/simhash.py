@@ -127,7 +127,8 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, key_rows: int = KEY_ROWS)
     on = ["segment", "bit", "key", "piece"]
     left = index.where("side <= 0").withColumnRenamed("fp", "a").withColumnRenamed("side", "a_side")
     right = index.where("side != 0").withColumnRenamed("fp", "b").withColumnRenamed("side", "b_side")
-    met = left.join(right, on).where("a_side < 0 AND b_side < 0 AND a < b OR a_side = 0 AND b_side = 1")
+    # Spark sizes the index by what it is exploded from, a row for 66, and would broadcast it whole.
+    met = left.hint("merge").join(right.hint("merge"), on).where("a_side < 0 AND b_side < 0 AND a < b OR a_side = 0 AND b_side = 1")
     return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b")
 
 

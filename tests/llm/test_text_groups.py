@@ -94,6 +94,13 @@ def test_no_link_is_lost(spark, bits, key_rows):
     assert got == want
 
 
+def test_the_index_is_never_broadcast(spark):
+    found = simhash.links(spark.range(300).select(F.xxhash64("id").alias("fp")))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin[^\n]*piece", plan) and not re.search(r"BroadcastHashJoin[^\n]*piece", plan)
+
+
 def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
