@@ -178,6 +178,41 @@ def test_near_copies_of_odd_rows_and_crowds(spark, odd_docs):
     assert [r.doc_id for r in near_copies.keep_one(spark.createDataFrame([*chain, *crowd], DOC)).collect()] == [0]
 
 
+def test_no_link_of_a_crowded_key_is_lost(spark, monkeypatch):
+    """Texts under one key, each with its own nearest text somewhere in the crowd, in groups of two and one large group; several blocks of several sizes."""
+    monkeypatch.setattr(near_copies, "BLOCK_ROWS", 40)
+    rng = random.Random(5)
+    texts = []
+    for k in range(150):
+        words = [f"k{k}w{i}" for i in range(60 + k)]
+        texts += [" ".join(words), " ".join([*words[:-3], f"end{k}"])]
+    texts += [" ".join([*(f"base{i}" for i in range(80)), f"last{k}"]) for k in range(90)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, __words string")
+    contents = spark.createDataFrame([(i, 1000 + i * 2654435761, [7], (i,)) for i in range(len(texts))], "fp bigint, print bigint, bands array<bigint>, first struct<id: bigint>")
+    got = {r.fp: r.root for r in near_copies.groups(contents, docs, ["id"], 0.8, 5).collect()}
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    assert got == dict(enumerate(root)) and len(set(root)) == 151
+
+
+def test_no_link_of_equal_or_linked_fingerprints_is_lost(spark):
+    """The second and third contents of fingerprints are near each other, and the smallest ones are near none."""
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(f"x{i}" for i in range(100)), " ".join(words), " ".join([*words, "end"]), " ".join(f"y{i}" for i in range(100)), " ".join(["begin", *words])]
+    prints = [5, 5, 5, 4, 4]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, __words string")
+    contents = spark.createDataFrame([(i, p, [i], (i,)) for i, p in enumerate(prints)], "fp bigint, print bigint, bands array<bigint>, first struct<id: bigint>")
+    got = {r.fp: r.root for r in near_copies.groups(contents, docs, ["id"], 0.8, 5).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 3, 4: 1}
+
+
 # decontamination
 
 def least_edits(item, words):
